@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from stillwave.llm import licenses, sharding
+from stillwave.llm import bpe, licenses, packing, sharding
 
 QUERIES = {
     "op1_shards": sharding.query,
     "op3_licenses": licenses.query,
+    "op6_bpe": bpe.query,
+    "op7_packing": packing.query,
 }
 ORACLES = {
     "op3_licenses": licenses.SQL,

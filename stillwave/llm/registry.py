@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stillwave.llm import bpe, licenses, packing, sharding
+from stillwave.llm import bpe, langid, licenses, packing, sharding, toxicity
 
 QUERIES = {
     "op1_shards": sharding.query,
     "op3_licenses": licenses.query,
     "op6_bpe": bpe.query,
     "op7_packing": packing.query,
+    "op8_toxicity": toxicity.query,
+    "op10_language": langid.query,
 }
 ORACLES = {
     "op3_licenses": licenses.SQL,

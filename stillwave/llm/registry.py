@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stillwave.llm import bpe, langid, licenses, packing, sharding, toxicity
+from stillwave.llm import bpe, langid, licenses, neardup, packing, sharding, toxicity
 
 QUERIES = {
     "op1_shards": sharding.query,
+    "op2_near_duplicates": neardup.query,
     "op3_licenses": licenses.query,
     "op6_bpe": bpe.query,
     "op7_packing": packing.query,

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from stillwave.llm import bpe, langid, licenses, neardup, packing, sharding, toxicity
+from stillwave.llm import ann, bpe, langid, licenses, neardup, packing, sharding, topk, toxicity
 
 QUERIES = {
     "op1_shards": sharding.query,
     "op2_near_duplicates": neardup.query,
     "op3_licenses": licenses.query,
+    "op4_top_k": topk.query,
     "op6_bpe": bpe.query,
     "op7_packing": packing.query,
     "op8_toxicity": toxicity.query,
+    "op9_neighbours": ann.query,
     "op10_language": langid.query,
 }
 ORACLES = {
     "op3_licenses": licenses.SQL,
+    "op4_top_k": topk.SQL,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stillwave.llm import ann, bpe, langid, licenses, neardup, packing, sharding, topk, toxicity
+from stillwave.llm import ann, bpe, langid, licenses, lm, neardup, packing, sharding, topk, toxicity
 
 QUERIES = {
     "op1_shards": sharding.query,
     "op2_near_duplicates": neardup.query,
     "op3_licenses": licenses.query,
     "op4_top_k": topk.query,
+    "op5_language_model": lm.query,
     "op6_bpe": bpe.query,
     "op7_packing": packing.query,
     "op8_toxicity": toxicity.query,

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -212,6 +213,19 @@ def predict(df: DataFrame, filter: Filter, text: str = "text", id: str = "doc_id
     return df.select(df[id], df[text].cast("string")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
 
 
+def keep(df: DataFrame, filter: Filter, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` in a language, with a share of at least ``least`` of their
+    n-grams, and with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(filter)
+
+    @F.pandas_udf("boolean")
+    def in_language(texts: pd.Series) -> pd.Series:
+        names, scores = shared.value.predict(list(texts))
+        return pd.Series([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], dtype="bool")
+
+    return df.filter(in_language(F.col(text).cast("string")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those outside the held-out third."""
     docs = common.documents(spark, sf_dir)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,22 +160,20 @@ def score(df: DataFrame, model: Ordinal, text: str = "text", id: str = "doc_id")
     each by itself, an empty table gives an empty result, and other columns are left out.
     A text of any length is scored whole.
     """
-    kind = df.schema[id].dataType.simpleString()
-    return _scored(df.select(df[id].alias("_id"), df[text].cast("string").alias("_text")), model, f"_id {kind}").select(
-        F.col("_id").alias(id), "severity", (F.col("severity") >= REJECT).alias("rejected")
-    )
+    return df.select(F.col(id), _severity(model)(F.col(text).cast("string")).alias("severity")).withColumn("rejected", F.col("severity") >= REJECT)
 
 
-def _scored(df: DataFrame, model: Ordinal, kept: str) -> DataFrame:
-    """The first columns, and the severity of the last, a text."""
+def keep(df: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that aren't rejected, with all their columns."""
+    return df.filter(_severity(model)(F.col(text).cast("string")) < REJECT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = pa.array([model.severity(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*names, "severity"])
 
-    return df.mapInArrow(run, f"{kept}, severity double")
+def _severity(model: Ordinal):
+    @F.pandas_udf("double")
+    def severity(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.severity(t) for t in texts], dtype="float64")
+
+    return severity
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stillwave.plans import bindings, event_queries, inventory_queries, quality_queries, signal_queries, window_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (window_queries, inventory_queries, quality_queries, signal_queries, event_queries):
+    QUERIES |= _module.PLANS.queries
+    ORACLES |= _module.PLANS.oracles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily chunk statistics of the event stream."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Daily chunk statistics by event type with quality verdicts."""
+    return QUERIES["qcv1_qcone"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "bindings", "flagship"]

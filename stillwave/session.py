@@ -19,7 +19,6 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "stillw
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.timestampType", "TIMESTAMP_NTZ")
         .config("spark.driver.memory", os.environ.get("STILLWAVE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -1,3 +1,298 @@
+"""Array kernels, correlations, stacks, spectra and beams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stillwave.functions import arrays as A
+from stillwave.functions import columns as C
+from stillwave.operators import chunks as K
+from stillwave.operators import signals, stacking
 from stillwave.plans import bindings as B
 
 PLANS = B.Plans()
+
+_R = lambda x: f"list_transform({x}, lambda v: round(v, 6) + 0.0)"
+
+
+def rounded_array(x):
+    return F.transform(x, lambda v: C.rounded(v))
+
+
+def _array_query(key: str, sql: str, expression):
+    """A kernel over every waveform, with its SQL."""
+
+    @PLANS.add(key, f"WITH {B.WAVEFORMS_SQL} SELECT vec_id, {_R(sql)} AS y FROM wave")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return B.waveforms(spark, sf_dir).select("vec_id", rounded_array(expression(F.col("x"))).alias("y"))
+
+    return query
+
+
+_array_query("dsp4_demean", "list_transform(x, lambda v: v - list_avg(x))", A.demean)
+_array_query("dsp11_one_bit", "list_transform(x, lambda v: CAST(sign(v) AS DOUBLE))", A.one_bit)
+_array_query("dsp8_constant_response", "list_transform(x, lambda v: v * 2.5)", lambda x: A.scaled(x, 2.5))
+_array_query("dsp3_zero_pad", "list_concat(list_concat([0.0, 0.0, 0.0], x), [0.0, 0.0])", lambda x: A.zero_pad(x, 3, 2))
+_array_query(
+    "dsp6_cosine_taper",
+    "list_transform(x, lambda v, i: v * CASE WHEN least(i - 1, 64 - i) >= 6 THEN 1.0 ELSE 0.5 * (1 - cos(pi() * least(i - 1, 64 - i) / 6)) END)",
+    lambda x: A.cosine_taper(x, 0.1),
+)
+_array_query("wn5_sub_windows", "flatten(list_transform(range(0, 49, 16), lambda i: list_slice(x, i + 1, i + 16)))", lambda x: F.flatten(A.windows(x, 16, 16)))
+
+
+@PLANS.add(
+    "dsp1_slice_validation",
+    f"""WITH {B.SAMPLES_SQL} SELECT timespan_id, event_type, count(*) AS npts, greatest(0, 14 - count(*)) AS deficit,
+CASE WHEN count(*) < 8 THEN 'too few' WHEN count(*) > 20000 THEN 'too many' WHEN count(*) < 14 THEN 'padded' ELSE 'whole' END AS state FROM sample GROUP BY ALL""",
+)
+def dsp1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count("*")
+    state = F.when(n < 8, "too few").when(n > 20000, "too many").when(n < 14, "padded").otherwise("whole")
+    return B.samples(spark, sf_dir).groupBy("timespan_id", "event_type").agg(n.alias("npts"), F.greatest(F.lit(0), 14 - n).cast("long").alias("deficit"), state.alias("state"))
+
+
+@PLANS.add(
+    "dsp2_gaps",
+    """SELECT user_id, event_id, ts - previous > INTERVAL 1 DAY AS gap FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE previous IS NOT NULL""",
+)
+def dsp2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.lag("ts").over(w).alias("previous"))
+    return e.filter("previous is not null").select("user_id", "event_id", (F.col("ts") - F.col("previous") > F.expr("interval 1 day")).alias("gap"))
+
+
+@PLANS.add(
+    "wn4_sliced_samples",
+    f"""WITH {B.SAMPLES_SQL} SELECT timespan_id, event_type, list(round(value, 6) + 0.0 ORDER BY ts, event_id) AS samples FROM sample WHERE user_id < 20 GROUP BY ALL""",
+)
+def wn4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.array_sort(F.collect_list(F.struct("ts", "event_id", C.rounded(F.col("value")).alias("v"))))
+    found = B.samples(spark, sf_dir).filter("user_id < 20").groupBy("timespan_id", "event_type").agg(s.alias("s"))
+    return found.select("timespan_id", "event_type", F.col("s.v").alias("samples"))
+
+
+_CCF_SQL = f"""{B.WAVEFORMS_SQL}, ccf AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS label_a, b.label AS label_b, list_transform(range(-10, 11), lambda l:
+  list_inner_product(list_slice(a.x, greatest(l, 0) + 1, 64 + least(l, 0)), list_slice(b.x, greatest(-l, 0) + 1, 64 - greatest(l, 0)))) AS y
+  FROM wave a JOIN wave b ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 2)"""
+
+
+def ccfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of every waveform with itself and the next two; the pairs are equal
+    ids after the first side is listed once for each partner."""
+    w = B.waveforms(spark, sf_dir)
+    a = w.select(F.col("vec_id").alias("a"), F.col("label").alias("label_a"), F.col("x").alias("xa")).withColumn("b", F.explode(F.sequence(F.col("a"), F.col("a") + 2)))
+    b = w.select(F.col("vec_id").alias("b"), F.col("label").alias("label_b"), F.col("x").alias("xb"))
+    return a.join(b, "b").select("a", "b", "label_a", "label_b", A.cross_correlation(F.col("xa"), F.col("xb"), 10).alias("y"))
+
+
+@PLANS.add("dsp13_cross_correlation", f"WITH {_CCF_SQL} SELECT a, b, {_R('y')} AS y FROM ccf")
+def dsp13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ccfs(spark, sf_dir).select("a", "b", rounded_array(F.col("y")).alias("y"))
+
+
+@PLANS.add("jn6_chunks_of_windows", f"WITH {B.WAVEFORMS_SQL} SELECT label, count(*) AS chunks, CAST(sum(len(x)) AS BIGINT) AS samples FROM wave GROUP BY label")
+def jn6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.waveforms(spark, sf_dir).groupBy("label").agg(F.count("*").alias("chunks"), F.sum(F.size("x")).alias("samples"))
+
+
+@PLANS.add("jn7_pair_lookup", f"WITH {B.WAVEFORMS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, len(a.x) = len(b.x) AS same_shape FROM wave a JOIN wave b ON b.vec_id = a.vec_id + 1")
+def jn7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = B.waveforms(spark, sf_dir)
+    a = w.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.size("x").alias("na"))
+    return a.join(w.select(F.col("vec_id").alias("b"), F.size("x").alias("nb")), "b").select("a", "b", (F.col("na") == F.col("nb")).alias("same_shape"))
+
+
+@PLANS.add("jn8_unordered_lookup", f"WITH {_CCF_SQL} SELECT least(label_a, label_b) AS low, greatest(label_a, label_b) AS high, count(*) AS n FROM ccf GROUP BY ALL")
+def jn8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ccfs(spark, sf_dir).groupBy(F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")).agg(F.count("*").alias("n"))
+
+
+_ROTATED = " UNION ALL ".join(
+    f"SELECT vec_id, '{code}' AS code, list_transform(range(1, 17), lambda i: {w[0]} * x[i] + {w[1]} * x[i + 16] + {w[2]} * x[i + 32] + {w[3]} * x[i + 48]) AS y FROM b"
+    for code, w in {"RR": ("s * s", "s * c", "s * c", "c * c"), "TT": ("c * c", "-s * c", "-s * c", "s * s"), "RT": ("-s * c", "s * s", "-c * c", "s * c"), "TR": ("-s * c", "-c * c", "s * s", "s * c")}.items()
+)
+
+
+@PLANS.add(
+    "dsp14_rotation",
+    f"WITH {B.WAVEFORMS_SQL}, b AS (SELECT vec_id, x, sin(radians(vec_id % 360)) AS s, cos(radians(vec_id % 360)) AS c FROM wave), r AS ({_ROTATED}) SELECT vec_id, code, {_R('y')} AS y FROM r",
+)
+def dsp14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four quarters of a waveform stand for the EE, EN, NE and NN correlations."""
+    parts = [F.slice("x", 16 * k + 1, 16) for k in range(4)]
+    back = (F.col("vec_id") % 360).cast("double")
+    rows = F.array(*(F.struct(F.lit(code).alias("code"), rounded_array(A.rotate(code, *parts, back)).alias("y")) for code in ("RR", "TT", "RT", "TR")))
+    return B.waveforms(spark, sf_dir).select("vec_id", F.explode(rows).alias("r")).select("vec_id", "r.code", "r.y")
+
+
+@PLANS.add(
+    "ag3_linear_stack",
+    f"""WITH {_CCF_SQL}, long AS (SELECT label_a, label_b, unnest(range(0, 21)) AS i, unnest(y) AS v FROM ccf)
+SELECT label_a, label_b, list(round(m, 6) + 0.0 ORDER BY i) AS stack, CAST(max(n) AS BIGINT) AS no_ccfs FROM (SELECT label_a, label_b, i, avg(v) AS m, count(*) AS n FROM long GROUP BY ALL) GROUP BY label_a, label_b HAVING max(n) >= 5""",
+)
+def ag3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stacking.linear_stack(ccfs(spark, sf_dir), ["label_a", "label_b"], "y", least=5)
+    return found.select("label_a", "label_b", rounded_array(F.col("stack")).alias("stack"), "no_ccfs")
+
+
+@PLANS.add(
+    "jn9_stack_windows",
+    """WITH c AS (SELECT event_id, ts AS starttime, ts + INTERVAL 30 MINUTES AS endtime FROM events WHERE event_type = 'click'),
+w AS (SELECT s AS w_start, s + INTERVAL 6 HOURS AS w_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 21:00:00', INTERVAL 3 HOURS)) AS s))
+SELECT w_start, count(*) AS no_ccfs FROM w JOIN c ON w_start <= starttime AND endtime <= w_end GROUP BY w_start""",
+)
+def jn9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stillwave.operators import grid
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'click'")
+    c = e.select("event_id", F.col("ts").alias("starttime"), (F.col("ts") + F.expr("interval 30 minutes")).alias("endtime"))
+    w = grid.timespans(spark, "2024-01-01", "2024-01-31", 21600, overlap_s=10800, across_midnight=True)
+    w = w.select(F.col("starttime").alias("w_start"), F.col("endtime").alias("w_end"))
+    return grid.bucketed_containment_join(c, w, "starttime", "endtime", "w_start", "w_end", 21600).groupBy("w_start").agg(F.count("*").alias("no_ccfs"))
+
+
+@PLANS.add("qcv5_qctwo", f"""WITH {_CCF_SQL} SELECT a, b, a >= 10 AS ok_starttime, b <= 480 AS ok_endtime, NOT (a <= 120 AND b >= 100) AS ok_accepted_time FROM ccf""")
+def qcv5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return ccfs(spark, sf_dir).select("a", "b", (a >= 10).alias("ok_starttime"), (b <= 480).alias("ok_endtime"), (~C.overlaps(a, b, F.lit(100), F.lit(120))).alias("ok_accepted_time"))
+
+
+@PLANS.add("ag4_passing_ccfs", f"WITH {_CCF_SQL} SELECT label_a, count(*) AS n FROM ccf WHERE a >= 10 AND b <= 480 AND NOT (a <= 120 AND b >= 100) GROUP BY label_a")
+def ag4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = qcv5(spark, sf_dir).select("a", "b", K.passing(["ok_starttime", "ok_endtime", "ok_accepted_time"]))
+    return K.passed_only(ccfs(spark, sf_dir), verdicts, ["a", "b"]).groupBy("label_a").agg(F.count("*").alias("n"))
+
+
+@PLANS.add("dsp23_ccf_matrix", f"WITH {_CCF_SQL} SELECT a AS midtime, list(list_transform(y, lambda v: round(v, 6) + 0.0) ORDER BY b) AS matrix FROM ccf GROUP BY a")
+def dsp23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("b", rounded_array(F.col("y")).alias("y"))))
+    return ccfs(spark, sf_dir).groupBy(F.col("a").alias("midtime")).agg(rows.alias("r")).select("midtime", F.col("r.y").alias("matrix"))
+
+
+@PLANS.add(
+    "ag14_energy_band",
+    """WITH e AS (SELECT label, vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * i)) AS energy FROM embeddings),
+q AS (SELECT label, quantile_cont(energy, 0.1) AS lo, quantile_cont(energy, 0.9) AS hi FROM e GROUP BY label)
+SELECT label, count(*) AS n FROM e JOIN q USING (label) WHERE energy > lo AND energy < hi GROUP BY label""",
+)
+def ag14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.waveforms(spark, sf_dir).select("label", A.total(F.transform("x", lambda v, i: v * v * (i + 1))).alias("energy"))
+    band = e.groupBy("label").agg(F.percentile("energy", F.lit(0.1)).alias("lo"), F.percentile("energy", F.lit(0.9)).alias("hi"))
+    return e.join(F.broadcast(band), "label").filter("energy > lo and energy < hi").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@PLANS.add(
+    "ag15_mean_spectrum",
+    f"""WITH {B.WAVEFORMS_SQL}, long AS (SELECT label, unnest(range(1, 65)) AS i, unnest(x) AS v FROM wave)
+SELECT label, i AS place, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std FROM long GROUP BY ALL""",
+)
+def ag15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = B.waveforms(spark, sf_dir).select("label", F.posexplode("x").alias("i", "v"))
+    by = long.groupBy("label", (F.col("i") + 1).cast("long").alias("place"))
+    return by.agg(C.rounded(F.avg("v")).alias("mean"), C.rounded(F.stddev_pop("v")).alias("std"))
+
+
+@PLANS.add(
+    "wn7_rolling_mean",
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events GROUP BY ALL)
+SELECT day, event_type, round(avg(v) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling FROM d""",
+)
+def wn7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.avg("value").alias("v"))
+    w = Window.partitionBy("event_type").orderBy(F.unix_date("day")).rangeBetween(-6, 0)
+    return e.select("day", "event_type", C.rounded(F.avg("v").over(w)).alias("rolling"))
+
+
+@PLANS.add(
+    "ag6_significant_peaks",
+    """WITH p AS (SELECT label AS midtime, vec_id % 7 AS x, vec_id % 5 AS y, CAST(embedding[1] AS DOUBLE) + 1 AS amplitude FROM embeddings),
+s AS (SELECT *, amplitude / sum(amplitude) OVER (PARTITION BY midtime) AS share FROM p), g AS (SELECT x, y, avg(amplitude) AS amplitude, count(*) AS occurrences, sum(share) AS share FROM s GROUP BY x, y),
+t AS (SELECT 4.0 / pow(2, greatest(0, floor(log2(4.0 / max(share))) + 1)) AS threshold FROM g)
+SELECT x, y, round(amplitude, 6) + 0.0 AS amplitude, occurrences, round(share, 6) + 0.0 AS share FROM g, t WHERE share > threshold""",
+)
+def ag6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.waveforms(spark, sf_dir).select(F.col("label").alias("midtime"), (F.col("vec_id") % 7).alias("x"), (F.col("vec_id") % 5).alias("y"), (F.element_at("x", 1) + 1).alias("amplitude"))
+    found = stacking.significant_peaks(p, "midtime", ["x", "y"], "amplitude", 4.0)
+    return found.select("x", "y", C.rounded(F.col("amplitude")).alias("amplitude"), "occurrences", C.rounded(F.col("share")).alias("share"))
+
+
+@PLANS.add(
+    "ag7_slowness_histogram",
+    """SELECT label, CAST(CASE WHEN v = 1.0 THEN 19 ELSE floor((v + 1.0) / 0.1) END AS INTEGER) AS bin, count(*) AS n FROM (SELECT label, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings) WHERE v BETWEEN -1 AND 1 GROUP BY ALL""",
+)
+def ag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = B.waveforms(spark, sf_dir).select("label", F.element_at("x", 3).alias("v"))
+    return stacking.histogram(w, ["label"], "v", -1.0, 0.1, 20)
+
+
+@PLANS.add("ag8_least_misfit", "SELECT label, arg_min(vec_id, (v, vec_id)) AS vec_id FROM (SELECT label, vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS v FROM embeddings) GROUP BY label")
+def ag8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = B.waveforms(spark, sf_dir).select("label", "vec_id", F.abs(F.element_at("x", 1)).alias("v"))
+    return w.groupBy("label").agg(F.min_by("vec_id", F.struct("v", "vec_id")).alias("vec_id"))
+
+
+@PLANS.add(
+    "ag17_average_maps",
+    f"""WITH {B.WAVEFORMS_SQL}, long AS (SELECT label, unnest(range(0, 64)) AS i, unnest(x) AS v FROM wave), g AS (SELECT label, i, avg(v) AS m FROM long GROUP BY ALL)
+SELECT label, i // 8 AS ix, i % 8 AS iy, round(m, 6) + 0.0 AS power FROM g""",
+)
+def ag17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = B.waveforms(spark, sf_dir).select("label", F.posexplode("x").alias("i", "v"))
+    by = long.groupBy("label", (F.col("i") / 8).cast("long").alias("ix"), (F.col("i") % 8).cast("long").alias("iy"))
+    return by.agg(C.rounded(F.avg("v")).alias("power"))
+
+
+@PLANS.add(
+    "dsp18_array_response",
+    f"""WITH {B.COMPONENTS_SQL}, st AS (SELECT station, lon / 100 AS px, lat / 100 AS py FROM component WHERE component = 'Z'),
+g AS (SELECT (i - 10) * CAST(0.1 AS DOUBLE) AS sx, (j - 10) * CAST(0.1 AS DOUBLE) AS sy FROM range(21) a(i), range(21) b(j)), f AS (SELECT CAST(0.5 + 0.25 * k AS DOUBLE) AS freq FROM range(5) c(k)),
+p AS (SELECT sx, sy, freq, pow(sum(cos(2 * pi() * freq * (px * sx + py * sy))), 2) + pow(sum(sin(2 * pi() * freq * (px * sx + py * sy))), 2) AS v FROM st, g, f GROUP BY ALL),
+t AS (SELECT sx, sy, sum(v * CASE WHEN freq IN (0.5, 1.5) THEN 0.125 ELSE 0.25 END) AS v FROM p GROUP BY ALL)
+SELECT round(sx, 6) + 0.0 AS sx, round(sy, 6) + 0.0 AS sy, round(v / (SELECT max(v) FROM t), 6) + 0.0 AS response FROM t""",
+)
+def dsp18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = B.components(spark, sf_dir).filter("component = 'Z'").select((F.col("lon") / 100).alias("px"), (F.col("lat") / 100).alias("py"))
+    out = signals.array_response(st, [(i - 10) * 0.1 for i in range(21)], [0.5 + 0.25 * k for k in range(5)])
+    return out.select(*(C.rounded(F.col(c)).alias(c) for c in ("sx", "sy", "response")))
+
+
+def _kernel(key: str, stage: str, **options):
+    """A kernel that runs in numpy over Arrow batches; held against closed forms in tests."""
+
+    @PLANS.add(key)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return signals.per_trace(B.waveforms(spark, sf_dir), stage, rate=64.0, **options)
+
+    return query
+
+
+_kernel("dsp4_detrend", "detrend", order=3)
+_kernel("dsp5_resample", "resample", new_rate=16.0)
+_kernel("dsp7_bandpass", "bandpass", low=2.0, high=16.0, order=4)
+_kernel("dsp9_preprocess", "preprocess", low=2.0, high=12.0, new_rate=32.0)
+_kernel("dsp10_whiten", "whiten", water=0.01)
+_kernel("dsp12_process", "process", low=2.0, high=16.0, water=0.01)
+_kernel("dsp15_power_spectrum", "power_spectrum")
+
+
+@PLANS.add("ag5_average_psd")
+def ag5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectra = signals.per_trace(B.waveforms(spark, sf_dir), "power_spectrum", rate=64.0).join(B.waveforms(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    return stacking.linear_stack(spectra, ["label"], "y", least=1)
+
+
+@PLANS.add("dsp16_beams")
+def dsp16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam power on a slowness grid for each group of 16 waveforms of one label."""
+    traces = B.waveforms(spark, sf_dir).select((F.col("vec_id") / 16).cast("long").alias("timespan_id"), "vec_id", "x")
+    places = traces.select("timespan_id", "vec_id", "x", F.cos(F.col("vec_id").cast("double")).alias("px"), F.sin(F.col("vec_id").cast("double") * 1.7).alias("py"))
+    return signals.beams(places, rate=64.0, low=2.0, high=12.0, axis=[(i - 8) * 0.05 for i in range(17)], method="bartlett", peaks=3)
+
+
+@PLANS.add("dsp16_capon_beams")
+def dsp16_capon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traces = B.waveforms(spark, sf_dir).select((F.col("vec_id") / 16).cast("long").alias("timespan_id"), "vec_id", "x")
+    places = traces.select("timespan_id", "vec_id", "x", F.cos(F.col("vec_id").cast("double")).alias("px"), F.sin(F.col("vec_id").cast("double") * 1.7).alias("py"))
+    return signals.beams(places, rate=64.0, low=2.0, high=12.0, axis=[(i - 8) * 0.05 for i in range(17)], method="capon", peaks=3)

@@ -1 +1,18 @@
-"""Helpers for streaming."""
+"""Chunk statistics over a stream: an addition, for the reference has only bounded runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def chunk_statistics(samples: DataFrame, window: str = "1 day", late: str = "1 hour", time: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
+    """Statistics by window and channel of a streaming (or bounded) frame. Samples later than
+    ``late`` behind the newest are dropped, so a window's state can be let go."""
+    x = F.col(value)
+    grouped = samples.withWatermark(time, late).groupBy(F.window(time, window), key)
+    out = grouped.agg(
+        F.count(x).alias("npts"), (F.sum(x * x) / F.count(x)).alias("energy"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
+    )
+    return out.select(F.col("window.start").alias("starttime"), F.col("window.end").alias("endtime"), key, "npts", "energy", "min", "max", "mean", "variance", "skewness", "kurtosis")

@@ -19,14 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwave.llm import common
 
-#: The most texts, and the most characters in all, that are learned from for a language.
-TEXTS = 400
-CHARACTERS = 1_500_000
+#: Texts that are learned from for a language (on average), the most characters of each,
+#: and the most characters in all.
+TEXTS, TEXT_CHARACTERS, CHARACTERS = 400, 20_000, 1_500_000
 #: Signs in an n-gram; words are padded with a blank on either side.
 N = (3, 4)
 #: Slots of the filter and hash functions; at most so many n-grams of a language go in.
@@ -161,15 +161,20 @@ def build(counted: dict[str, dict[int, int]]) -> Filter:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Filter:
-    """A filter from labelled rows: for each language the TEXTS rows of the smallest hash
-    of id and text, of which CHARACTERS in all are used. Rows without text or label teach
-    nothing. The languages are the labels of those rows."""
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("_l"), F.col(text).cast("string").alias("_t"), F.xxhash64(id, text).alias("_o")
-    )
-    # The limit is kept by each task first, so a frequent label sends no more than a rare one.
-    first = Window.partitionBy("_l").orderBy("_o", F.length("_t"))
-    rows = rows.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= TEXTS).select("_l", "_t", "_o")
+    """A filter from labelled rows: for each language about TEXTS rows, those of the
+    smallest hashes of their id, of each the first TEXT_CHARACTERS, and of all CHARACTERS.
+    Rows without text or label teach nothing. The languages are the labels of those rows.
+
+    How many rows a language has decides below which hash its rows are taken, so no task
+    passes on, or gathers, more than the sample.
+    """
+    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = rows.groupBy(F.col(lang).cast("string").alias("l")).count().collect()
+    if not known:
+        return build({})
+    chance = F.create_map(*[F.lit(x) for r in known for x in (r.l, min(1.0, TEXTS / r["count"]))])
+    rows = rows.select(F.col(lang).cast("string").alias("_l"), F.substring(F.col(text).cast("string"), 1, TEXT_CHARACTERS).alias("_t"), F.xxhash64(id).alias("_o"))
+    rows = rows.filter(F.pmod("_o", F.lit(1 << 40)) < F.lit(float(1 << 40)) * F.element_at(chance, F.col("_l")))
 
     def count(table: pa.Table) -> pa.Table:
         texts = sorted(zip(table["_o"].to_pylist(), table["_t"].to_pylist(), strict=True))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from stillwave.llm import common
 
-#: Labelled documents that are learned from at most, and the most bytes of each text.
-LABELLED, LABELLED_BYTES = 6_000, 1 << 16
+#: Labelled documents that are learned from (on average), and the most characters of each.
+LABELLED, LABELLED_CHARACTERS = 5_000, 1 << 15
 #: Words that become features at most; each in at least so many labelled documents.
 FEATURES, LEAST_DOCUMENTS = 256, 3
 #: A feature's evidence (log-likelihood ratio of its counts) is at least so large, and at
@@ -115,25 +115,20 @@ def regress(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rat
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id") -> Ordinal:
-    """A model from labelled documents: of the labels with a value, the LABELLED of the
-    smallest hash of their id, and the first LABELLED_BYTES of their texts. With fewer than
-    two distinct grades, everything has severity 0."""
-    chosen = (
-        labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .select(
-            F.col("doc_id").alias("_id"),
-            F.col("toxic").cast("int").alias("_grade"),
-        )
-        .orderBy(F.xxhash64("_id"), "_id", "_grade")
-        .limit(LABELLED)
-    )
+    """A model from labelled documents: of the labels with a value about LABELLED, those of
+    the smallest hashes of their id, and the first LABELLED_CHARACTERS of their texts. With fewer
+    than two distinct grades, everything has severity 0."""
+    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    share = min(1.0, LABELLED / max(1, chosen.count()))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_grade"))
+    chosen = chosen.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share * (1 << 40))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(words((t or "")[:LABELLED_BYTES])) for t in batch.column(1).to_pylist()]
+            found = [sorted(words((t or "")[:LABELLED_CHARACTERS])) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["grade", "words"])
 
-    # The labels are at most LABELLED rows of 16 bytes, so they are sent to every task.
+    # The labels are about LABELLED rows of 16 bytes, so they are sent to every task.
     rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.select("_grade", "_text").mapInArrow(features, "grade int, words array<string>").toArrow()
     grade = np.array(rows["grade"].to_pylist(), np.int64)

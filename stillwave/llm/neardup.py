@@ -292,3 +292,17 @@ class _Exact:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents by three-word shingles at 0.85."""
     return near_duplicates(common.documents(spark, sf_dir), k=3, threshold=85)
+
+
+#: The same rows by comparing all texts that share a shingle; for small tables.
+SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+shingle AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(node, component) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.component FROM reach r JOIN edge e ON e.a = r.node)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id
+JOIN (SELECT node, min(component) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language": langid.query,
 }
 ORACLES = {
+    "op2_near_duplicates": neardup.SQL,
     "op3_licenses": licenses.SQL,
     "op4_top_k": topk.SQL,
 }

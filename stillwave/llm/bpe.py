@@ -60,27 +60,59 @@ def cuts(data: bytes, average: int = CHUNK_BYTES) -> list[int]:
 
 
 class WordEncoder(dict):
-    """Word to (ids as decimal text, tokens as text, count); both texts end in a space."""
+    """Word to (ids as decimal text, tokens as text, count); both texts end in a space.
+
+    Words of printable ASCII and Latin-1 letters are lowered and cut into the pieces that
+    the vocabulary's own pattern finds, which are kept too: a word with a capital or a
+    comma costs no call then. All other words, and those with special strings, go to the
+    library whole.
+    """
+
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    #: Fixed value: the pattern of the vocabulary, for those letters.
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.plain = "[\\p{L}]+|[\\p{N}]|" in self.library.to_str().replace("\\\\", "\\")
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.texts = [(f"{i} ".encode(), f"{self.library.id_to_token(i)} ".encode()) for i in range(self.library.get_vocab_size())]
+        self.pieces: dict[str, tuple[bytes, bytes, int]] = {}
+        self.model = self.library.model
+        sign = {b: s for s, b in _byte_of_sign().items()}
+        self.signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+    def _library(self, text: str) -> tuple[bytes, bytes, int]:
+        return self._texts(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _texts(self, ids: list[int]) -> tuple[bytes, bytes, int]:
+        found = [self.texts[i] for i in ids]
+        return b"".join([a for a, _ in found]), b"".join([b for _, b in found]), len(ids)
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes, int]:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self._texts([t.id for t in self.model.tokenize(piece.translate(self.signs))])
+            if len(self.pieces) >= WORDS_KEPT // 2:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
 
     def __missing__(self, word: bytes) -> tuple[bytes, bytes, int]:
-        found = self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False)
-        ids = found.ids
-        tokens = [self.library.id_to_token(i) for i in ids]
-        value = (
-            "".join(f"{i} " for i in ids).encode(),
-            "".join(f"{t} " for t in tokens).encode(),
-            len(ids),
-        )
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = value
+        text = word.decode("utf-8", "surrogatepass")
+        if len(word) > LONGEST_KEPT:
+            return self._library(text)
+        if self.plain and self.PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            parts = [self._piece(p) for p in self.PIECE.findall(text.lower())]
+            value = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum(p[2] for p in parts))
+        else:
+            value = self._library(text)
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = value
         return value
 
 

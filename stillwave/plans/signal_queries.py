@@ -180,7 +180,7 @@ SELECT label, count(*) AS n FROM e JOIN q USING (label) WHERE energy > lo AND en
 def ag14(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = B.waveforms(spark, sf_dir).select("label", A.total(F.transform("x", lambda v, i: v * v * (i + 1))).alias("energy"))
     band = e.groupBy("label").agg(F.percentile("energy", F.lit(0.1)).alias("lo"), F.percentile("energy", F.lit(0.9)).alias("hi"))
-    return e.join(F.broadcast(band), "label").filter("energy > lo and energy < hi").groupBy("label").agg(F.count("*").alias("n"))
+    return e.join(band, "label").filter("energy > lo and energy < hi").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @PLANS.add(

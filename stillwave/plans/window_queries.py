@@ -187,7 +187,7 @@ FROM (SELECT label, vec_id, list_max(CAST(embedding AS DOUBLE[])) AS misfit FROM
 def or4(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = B.waveforms(spark, sf_dir).select("label", "vec_id", F.array_max("x").alias("misfit"))
     least = w.groupBy("label").agg(F.min("misfit").alias("least"))
-    return w.join(F.broadcast(least), "label").filter("misfit < 1.5D * least").select("label", "vec_id", C.rounded(F.col("misfit")).alias("misfit"))
+    return w.join(least, "label").filter("misfit < 1.5D * least").select("label", "vec_id", C.rounded(F.col("misfit")).alias("misfit"))
 
 
 @PLANS.add("st1_union", """SELECT source, count(*) AS n FROM (SELECT 'customer' AS source, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY source""")

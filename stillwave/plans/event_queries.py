@@ -14,26 +14,31 @@ from stillwave.session import table
 PLANS = B.Plans()
 
 _ORDER = ["ts", "event_id"]
-_RATIO_SQL = """r AS (SELECT user_id, event_id, ts, value, CASE WHEN row_number() OVER o >= 10 THEN avg(value * value) OVER (o ROWS 2 PRECEDING) / avg(value * value) OVER (o ROWS 9 PRECEDING) ELSE 0.0 END AS ratio
-  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_RATIO_SQL = """r AS (SELECT event_type, CAST(ts AS DATE) AS day, event_id, ts, value, CASE WHEN row_number() OVER o >= 10 THEN avg(value * value) OVER (o ROWS 2 PRECEDING) / avg(value * value) OVER (o ROWS 9 PRECEDING) ELSE 0.0 END AS ratio
+  FROM events WINDOW o AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id))"""
 # DuckDB takes no frame on a named window, so the frames are spelled out.
-_RATIO_SQL = _RATIO_SQL.replace("OVER (o ROWS 2 PRECEDING)", "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)").replace("OVER (o ROWS 9 PRECEDING)", "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING)")
+_RATIO_SQL = _RATIO_SQL.replace("OVER (o ROWS 2 PRECEDING)", "OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS 2 PRECEDING)").replace("OVER (o ROWS 9 PRECEDING)", "OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS 9 PRECEDING)")
 _ACTIVE_SQL = f"""{_RATIO_SQL}, a AS (SELECT *, coalesce(last_value(CASE WHEN ratio > 1.5 THEN true WHEN ratio <= 0.7 THEN false END IGNORE NULLS)
-  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS active FROM r)"""
-_ISLANDS_SQL = """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM a), f AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n WHERE active)
-SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS npts, round(max(abs(value)), 6) + 0.0 AS peak FROM f GROUP BY user_id, run"""
+  OVER (PARTITION BY event_type, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS active FROM r)"""
+_ISLANDS_SQL = """, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, day ORDER BY ts, event_id) AS rn FROM a), f AS (SELECT *, rn - row_number() OVER (PARTITION BY event_type, day ORDER BY ts, event_id) AS run FROM n WHERE active)
+SELECT event_type, day, min(ts) AS start, max(ts) AS stop, count(*) AS npts, round(max(abs(value)), 6) + 0.0 AS peak FROM f GROUP BY event_type, day, run"""
+
+
+#: A chunk is one day of one channel: as in the reference, detection doesn't look beyond it,
+#: which also bounds what one task sorts, however many samples a channel has.
+_CHUNK = ["event_type", "day"]
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), "event_id", "ts", "value")
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.sta_lta(_samples(spark, sf_dir), ["user_id"], _ORDER, "value", 3, 10)
+    return E.sta_lta(_samples(spark, sf_dir), _CHUNK, _ORDER, "value", 3, 10)
 
 
 def _runs(df: DataFrame) -> DataFrame:
-    return E.islands(df, ["user_id"], _ORDER, "active", F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("npts"), C.rounded(F.max(F.abs("value"))).alias("peak"))
+    return E.islands(df, _CHUNK, _ORDER, "active", F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("npts"), C.rounded(F.max(F.abs("value"))).alias("peak"))
 
 
 @PLANS.add("wn8_sta_lta", f"WITH {_RATIO_SQL} SELECT event_id, round(ratio, 6) + 0.0 AS ratio FROM r")
@@ -43,12 +48,12 @@ def wn8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add("wn9_triggers", f"WITH {_ACTIVE_SQL}{_ISLANDS_SQL}")
 def wn9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(E.hysteresis(_ratios(spark, sf_dir), ["user_id"], _ORDER, "ratio", 1.5, 0.7))
+    return _runs(E.hysteresis(_ratios(spark, sf_dir), _CHUNK, _ORDER, "ratio", 1.5, 0.7))
 
 
-@PLANS.add("wn10_spikes", f"""WITH a AS (SELECT user_id, event_id, ts, value, max(CASE WHEN abs(value) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS active FROM events){_ISLANDS_SQL}""")
+@PLANS.add("wn10_spikes", f"""WITH a AS (SELECT event_type, CAST(ts AS DATE) AS day, event_id, ts, value, max(CASE WHEN abs(value) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS active FROM events){_ISLANDS_SQL}""")
 def wn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(E.spikes(_samples(spark, sf_dir), ["user_id"], _ORDER, "value", 150.0, 2))
+    return _runs(E.spikes(_samples(spark, sf_dir), _CHUNK, _ORDER, "value", 150.0, 2))
 
 
 _DETECTION_SQL = "d AS (SELECT event_id AS detection_id, user_id, user_id % 5 AS network, user_id % 25 AS station, ts AS t0, ts + INTERVAL 30 MINUTES AS t1, 1 + user_id % 2 AS weight, value FROM events WHERE value > 100)"

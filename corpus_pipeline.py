@@ -62,10 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what the one before kept, cut from its lineage."""
+    """All stages, each on the table that the one before has written."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = common.cut(docs)
+            docs = common.written(docs)
     return docs

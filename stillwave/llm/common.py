@@ -4,29 +4,41 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the cluster's checkpoint folder, so that later plans neither repeat
-    its work nor lose it with an executor.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on a local master, is a temporary folder used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, which the session's ``spark.checkpoint.dir`` names.
+    Only where that is unset, as in tests on a local master, is a temporary folder used."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from the cluster's checkpoint folder, so that later plans neither repeat
+    its work nor lose it with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in that folder: compressed, and later plans read only
+    the columns they need; for tables with texts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def crc32_of(column) -> F.Column:
     """Unsigned CRC-32 of a value's decimal text."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8"))

@@ -80,6 +80,19 @@ def test_language_model(spark, sf, docs):
     assert held.score.sum() > held.base_score.sum() and (rows.score < 0).all()
 
 
+def test_base_doesn_t_depend_on_the_head(spark, sf, docs, monkeypatch):
+    """Counts come from the broadcast head or from the join, and are the same."""
+    fold = common.crc32_of(F.col("doc_id")) % 5 != 1
+    few = docs.filter("doc_id < 60")
+    rows = []
+    for head in (1 << 17, 40, 0):
+        monkeypatch.setattr(lm, "HEAD", head)
+        rows.append(lm.score_documents(few, fold).toPandas().set_index("doc_id").sort_index())
+    for other in rows[1:]:
+        assert other.base_score.tolist() == pytest.approx(rows[0].base_score.tolist(), rel=1e-9)
+        assert other.n_known.tolist() == rows[0].n_known.tolist()
+
+
 def test_language_model_odd(odd, none):
     rows = lm.score_documents(odd, F.col("doc_id") % 2 == 0).toPandas()
     assert len(rows) == odd.count() and rows.score.notna().all()

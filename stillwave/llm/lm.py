@@ -8,9 +8,9 @@ probability follows from its count in the whole training corpus. The probabiliti
 known words and of one unknown word a class sum to one.
 
 Training is truncated backpropagation in numpy: tasks train on their own documents from the
-same weights, the weights are averaged, and so on for a few rounds. What is trained on is a
-fixed part of the training documents, so it grows with the corpus; all counts are of all
-training documents. Scoring carries the state across windows, from the first word of a
+same weights, the weights are averaged, and so on for a few rounds. Every training document
+is trained on once, in the round that its hash gives; all counts are of all training
+documents. Scoring carries the state across windows, from the first word of a
 document to its end.
 """
 
@@ -37,10 +37,10 @@ SPELLINGS = 31
 HEAD = 1 << 17
 #: Size of the state, steps of a window, and documents that run side by side.
 STATE, STEPS, STREAMS, TRAIN_STREAMS = 16, 24, 384, 128
-#: Tokens that are scored together, whole documents; it bounds a task's memory.
+#: Tokens that are trained on or scored together, whole documents; it bounds a task's memory.
 TOKENS = 1_500_000
-#: One of so many training documents trains the network, in so many rounds.
-TRAIN_ONE_IN, ROUNDS = 24, 3
+#: Rounds of averaging; each trains on its own part of the training documents.
+ROUNDS = 3
 RATE, CLIP = 0.01, 1.0
 #: Words that a task counts before it passes them on; averages that reach the driver.
 COUNTED, AVERAGES = 200_000, 8
@@ -222,8 +222,9 @@ class Network:
             if ends[c + 1] > ends[c] and self.v.bounds[c + 1] - self.v.bounds[c] > 1:
                 yield c, order[ends[c] : ends[c + 1]]
 
-    def learn(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, h0: np.ndarray) -> np.ndarray:
-        """One window of truncated backpropagation; returns the last state."""
+    def learn(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """One window of truncated backpropagation; returns the last state. Where ``real``
+        is given, targets outside it fill up a stream and teach nothing."""
         keep: list = []
         hs = self.states(x, fresh, h0, keep)
         flat, target = hs.reshape(-1, STATE), y.reshape(-1)
@@ -232,6 +233,9 @@ class Network:
         _, p = self._exp(flat, self.w["classes"], self.w["class_bias"], k)
         p /= p.sum(1, keepdims=True)
         p[np.arange(n), k] -= 1
+        if real is not None:
+            real = real.reshape(-1)
+            p *= real[:, None]
         g = {"classes": flat.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(self.w["words"]), "word_bias": np.zeros_like(self.w["word_bias"])}
         d_flat = p @ self.w["classes"].T
         for c, rows in self._by_class(k):
@@ -239,6 +243,8 @@ class Network:
             _, q = self._exp(flat[rows], self.w["words"][:, s:t], self.w["word_bias"][s:t], target[rows] - s)
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(rows)), target[rows] - s] -= 1
+            if real is not None:
+                q *= real[rows][:, None]
             g["words"][:, s:t] = flat[rows].T @ q
             g["word_bias"][s:t] = q.sum(0)
             d_flat[rows] += q @ self.w["words"][:, s:t].T
@@ -261,7 +267,7 @@ class Network:
         first = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) > 0]))
         g["table"] = np.zeros_like(self.w["table"])
         g["table"][symbols[order][first]] = np.add.reduceat(d_in.reshape(n, -1)[order], first, axis=0)
-        self._descend(g, n)
+        self._descend(g, n if real is None else int(real.sum()))
         return hs[-1]
 
     def _descend(self, g: dict[str, np.ndarray], n: int) -> None:
@@ -278,7 +284,8 @@ class Network:
 
 
 def train_on(network: Network, documents: list[np.ndarray]) -> int:
-    """Trains on documents of symbols laid end to end and cut into equal streams."""
+    """Trains on documents of symbols laid end to end and cut into equal streams, the last
+    of which are filled up; returns how many symbols there were."""
     if not documents:
         return 0
     end = network.v.symbol[0]
@@ -287,12 +294,15 @@ def train_on(network: Network, documents: list[np.ndarray]) -> int:
     fresh = np.zeros(len(y), bool)
     fresh[np.cumsum([0, *map(len, documents[:-1])])] = True
     streams = max(1, min(TRAIN_STREAMS, len(y) // (40 * STEPS)))
-    steps = len(y) // streams
-    x, y, fresh = (a[: streams * steps].reshape(streams, steps).T for a in (x, y, fresh))
+    steps, tokens = -(-len(y) // streams), len(y)
+    filled = lambda a, v: np.concatenate([a, np.full(streams * steps - tokens, v, a.dtype)]).reshape(streams, steps).T
+    x, y, fresh, real = filled(x, end), filled(y, end), filled(fresh, True), filled(np.ones(tokens, bool), False)
     h = np.zeros((streams, STATE), np.float32)
     for t in range(0, steps, STEPS):
-        h = network.learn(x[t : t + STEPS], fresh[t : t + STEPS], y[t : t + STEPS], h)
-    return streams * steps
+        part = real[t : t + STEPS]
+        if part.any():
+            h = network.learn(x[t : t + STEPS], fresh[t : t + STEPS], y[t : t + STEPS], h, None if part.all() else part)
+    return tokens
 
 
 def score_all(network: Network, documents: list[np.ndarray]) -> np.ndarray:
@@ -383,9 +393,14 @@ def _averaged(texts: DataFrame, v, weights: dict[str, np.ndarray], turn: int) ->
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, reader, tokens = Network(v.value, dict(given.value)), Reader(v.value), 0
         for batch in batches:
-            documents = [reader.symbols(reader.read(t.as_py())[0]) for t in batch.column(0)]
-            order = np.random.default_rng([turn, len(documents)]).permutation(len(documents))
-            tokens += train_on(network, [documents[i] for i in order])
+            documents, held = [], 0
+            for i, t in enumerate(batch.column(0)):
+                documents.append(reader.symbols(reader.read(t.as_py())[0]))
+                held += len(documents[-1])
+                if held >= TOKENS or i == batch.num_rows - 1:
+                    order = np.random.default_rng([turn, len(documents)]).permutation(len(documents))
+                    tokens += train_on(network, [documents[k] for k in order])
+                    documents, held = [], 0
         if tokens:
             flat = np.concatenate([network.w[k].reshape(-1) for k in sizes]).astype(np.float64) * tokens
             yield pa.RecordBatch.from_arrays(
@@ -442,11 +457,10 @@ def score_documents(df: DataFrame, training: F.Column, text: str = "text", id: s
     known = vocabulary([(bytes(r.word), r.c) for r in head], endings, n, v)
     shared = spark.sparkContext.broadcast(known)
 
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(TRAIN_ONE_IN)) == 0
-    sample = common.cut(rows.filter(F.col("training") & part).select("text"))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))
     weights = start_weights(known)
     for turn in range(ROUNDS):
-        weights = _averaged(sample, shared, weights, turn)
+        weights = _averaged(rows.filter(F.col("training") & (part == turn)).select("text"), shared, weights, turn)
     trained = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,6 +80,31 @@ def test_language_model(spark, sf, docs):
     assert held.score.sum() > held.base_score.sum() and (rows.score < 0).all()
 
 
+def test_every_training_document_trains_once(spark, docs, monkeypatch):
+    fold = common.crc32_of(F.col("doc_id")) % 5 != 1
+    seen, averaged = [], lm._averaged
+
+    def watched(texts, *rest):
+        seen.extend(r.text for r in texts.collect())
+        return averaged(texts, *rest)
+
+    monkeypatch.setattr(lm, "_averaged", watched)
+    few = docs.limit(60)
+    lm.score_documents(few, fold)
+    assert sorted(seen) == sorted(r.text for r in few.filter(fold).collect())
+
+
+def test_no_symbol_is_left_out_of_training():
+    v = small_vocabulary()
+    network, targets = lm.Network(v, lm.start_weights(v)), []
+    learn = network.learn
+    network.learn = lambda x, fresh, y, h, real=None: (targets.append(y[slice(None) if real is None else real].reshape(-1)), learn(x, fresh, y, h, real))[1]
+    documents = [np.random.default_rng(i).integers(1, v.learned, 2003) for i in range(3)]
+    assert lm.train_on(network, documents) == 6009
+    assert sorted(np.concatenate(targets)) == sorted(np.concatenate(documents))
+    assert all(np.isfinite(w).all() for w in network.w.values())
+
+
 def test_base_doesn_t_depend_on_the_head(spark, sf, docs, monkeypatch):
     """Counts come from the broadcast head or from the join, and are the same."""
     fold = common.crc32_of(F.col("doc_id")) % 5 != 1

@@ -26,11 +26,11 @@ from stillwave.llm import common
 
 #: Labelled documents that are learned from (on average), and the most characters of each.
 LABELLED, LABELLED_CHARACTERS = 5_000, 1 << 15
-#: Words that become features at most; each in at least so many labelled documents.
-FEATURES, LEAST_DOCUMENTS = 256, 3
-#: A feature's evidence (log-likelihood ratio of its counts) is at least so large, and at
-#: least this part of the strongest word's.
-EVIDENCE, PART_OF_BEST = 8.0, 0.3
+#: A word that becomes a feature is in at least so many labelled documents.
+LEAST_DOCUMENTS = 3
+#: Its evidence (log-likelihood ratio of its counts) is at least so large, and larger by
+#: twice the log of the number of words tested, as so many chances ask for.
+EVIDENCE = 8.0
 #: Documents of at least this expected severity, in grades, are rejected.
 REJECT = 0.3
 
@@ -59,7 +59,7 @@ class Ordinal:
 
 
 def select(documents: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """The words with the most evidence for or against, strongest first."""
+    """The words with enough evidence for or against, each by itself, strongest first."""
     counts: dict[str, list[int]] = {}
     for found, t in zip(documents, toxic.tolist(), strict=True):
         for w in found:
@@ -75,11 +75,33 @@ def select(documents: list[set[str]], toxic: np.ndarray) -> list[str]:
         even = (share, share, 1 - share, 1 - share)
         scored.append((2 * sum(c * math.log(c / (n * e)) for (c, n), e in zip(cells, even, strict=True) if c), w))
     scored.sort(key=lambda s: (-s[0], s[1]))
-    least = max(EVIDENCE, PART_OF_BEST * scored[0][0]) if scored else 0
-    return [w for z, w in scored[:FEATURES] if z >= least]
+    least = EVIDENCE + 2 * math.log(max(1, len(scored)))
+    return [w for z, w in scored if z >= least]
 
 
-def regress(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.05, penalty: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+class Presence:
+    """A matrix of zeros and of ones at (``rows``, ``columns``), for products with vectors."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.shape = rows, columns, shape
+
+    @property
+    def T(self) -> Presence:
+        return Presence(self.columns, self.rows, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, v[self.columns], self.shape[0])
+
+
+def presence(documents: list[set[str]], names: list[str]) -> Presence:
+    """Which documents have which of the words."""
+    place = {w: k for k, w in enumerate(names)}
+    found = [sorted(place[w] for w in d & place.keys()) for d in documents]
+    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    return Presence(rows, np.array([k for f in found for k in f], np.int64), (len(documents), len(names)))
+
+
+def regress(x: np.ndarray | Presence, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.05, penalty: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the largest penalised likelihood, by Adam on all rows.
 
     P(grade = k) = s(t_k - wx) - s(t_(k-1) - wx); the thresholds are the first one and
@@ -142,8 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     order = [order[k] for k in sorted(order)]
     documents, grade = [documents[i] for i in order], grade[order]
     names = select(documents, (grade > 0).astype(np.int64))
-    x = np.array([[w in d for w in names] for d in documents], float).reshape(len(documents), len(names))
-    w, thresholds = regress(x, grade, len(values))
+    w, thresholds = regress(presence(documents, names), grade, len(values))
     return Ordinal(dict(zip(names, w.tolist(), strict=True)), thresholds)
 
 

@@ -168,6 +168,19 @@ def test_ordinal_gradient():
         assert value(w + [d, 0], t) < best and value(w + [0, d], t) < best and value(w, t + d) < best
 
 
+def test_rare_insults_stay_beside_a_common_one():
+    """A word of 30 toxic and no clean documents counts, whatever the strongest word has."""
+    toxic = np.arange(4000) < 430
+    documents = [{f"common{i % 7}", *(["insult"] if i < 400 else ["rare"] if i < 430 else [])} for i in range(4000)]
+    assert toxicity.select(documents, toxic.astype(int)) == ["insult", "rare"]
+    many = [{f"m{10 * (i // 30) + k}" for k in range(10)} if i < 900 else {f"common{i % 7}"} for i in range(8000)]
+    found = toxicity.select(many, (np.arange(8000) < 900).astype(int))
+    assert {f"m{k}" for k in range(300)} <= set(found)
+    x = toxicity.presence(documents, ["insult", "rare"])
+    dense, v = np.array([["insult" in d, "rare" in d] for d in documents], float), np.random.default_rng(3).random(4000)
+    assert x @ np.array([2.0, 3.0]) == pytest.approx(dense @ [2.0, 3.0]) and x.T @ v == pytest.approx(dense.T @ v)
+
+
 def test_toxicity(spark, docs, odd, none, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels)

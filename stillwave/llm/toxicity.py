@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from stillwave.llm import common
 
-#: Labelled documents that are learned from (on average), and the most characters of each.
-LABELLED, LABELLED_CHARACTERS = 5_000, 1 << 15
+#: Labelled documents that are learned from (on average), each whole.
+LABELLED = 5_000
 #: A word that becomes a feature is in at least so many labelled documents.
 LEAST_DOCUMENTS = 3
 #: Its evidence (log-likelihood ratio of its counts) is at least so large, and larger by
@@ -138,8 +138,8 @@ def regress(x: np.ndarray | Presence, grade: np.ndarray, grades: int, steps: int
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id") -> Ordinal:
     """A model from labelled documents: of the labels with a value about LABELLED, those of
-    the smallest hashes of their id, and the first LABELLED_CHARACTERS of their texts. With fewer
-    than two distinct grades, everything has severity 0."""
+    the smallest hashes of their id, and all distinct words of their texts. With fewer than two
+    distinct grades, everything has severity 0."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     share = min(1.0, LABELLED / max(1, chosen.count()))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_grade"))
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(words((t or "")[:LABELLED_CHARACTERS])) for t in batch.column(1).to_pylist()]
+            found = [sorted(words(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["grade", "words"])
 
     # The labels are about LABELLED rows of 16 bytes, so they are sent to every task.

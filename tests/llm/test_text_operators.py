@@ -181,6 +181,14 @@ def test_rare_insults_stay_beside_a_common_one():
     assert x @ np.array([2.0, 3.0]) == pytest.approx(dense @ [2.0, 3.0]) and x.T @ v == pytest.approx(dense.T @ v)
 
 
+def test_words_at_the_end_of_long_texts_are_learned(spark):
+    rows = [(i, f"q{chr(97 + i // 10)}{chr(97 + i % 10)} {prose(i, 9000)}" + " blorg" * (i < 40)) for i in range(80)]
+    assert min(len(t) for _, t in rows) > 1 << 15
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic")))
+    assert model.weights["blorg"] > 0 and model.severity("you blorg") > 0.5
+
+
 def test_toxicity(spark, docs, odd, none, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,10 +72,27 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+_TEXTS = Path(__file__).parent / "license_texts"
+#: Entire texts, by file.
+ENTIRE: list[tuple[str, str]] = [
+    (name, (_TEXTS / f"{file}.txt").read_text("utf-8"))
+    for name, file in [
+        ("Apache-2.0", "Apache-2.0"), ("GPL-1.0-only", "GPL-1"), ("GPL-2.0-only", "GPL-2"), ("GPL-3.0-only", "GPL-3"), ("LGPL-2.0-only", "LGPL-2"),
+        ("LGPL-2.1-only", "LGPL-2.1"), ("LGPL-3.0-only", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"),
+    ]
+]
+
 # Patterns and replacements, applied in this order to lowered text. They keep
 # to what Java's, RE2's and Python's patterns share. White space is 0x20 and 0x09-0x0D.
 #: Lines that name a holder: white space or signs, then "copyright" or a sign of it and a year or another sign.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©)[^\n]*"
+#: All lines that name a holder, with names, years or placeholders in any order, and lines
+#: that reserve all rights; but no sentence of a licence that begins with "copyright".
+_SENTENCE = "and|as|disclaimer|for|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|of|on|or|owners?|permission|protection|statements?|to|treaty"
+HOLDER_LINE = (
+    rf"(^|\n)[^a-z0-9\n]*(copyright[ \t:]+(?!({_SENTENCE})(?![a-z0-9]))[^ \t:\n]|\(c\)[ \t]*[0-9]|©"
+    r"|all[ \t]+rights[ \t]+reserved(?=[^a-z0-9\n]*(\n|$)))[^\n]*"
+)
 NOT_WORDS = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 #: Whole words; the spaces around a word stand for its ends.
 EQUIVALENT: list[tuple[str, str]] = [
@@ -90,12 +108,12 @@ EQUIVALENT: list[tuple[str, str]] = [
 ]
 
 
-def canonical_lines(text: F.Column) -> F.Column:
+def canonical_lines(text: F.Column, holder: str = COPYRIGHT_LINE) -> F.Column:
     """Lowered text without copyright lines, punctuation and variant spellings; words
     stand between single spaces, lines stay."""
     out = F.regexp_replace(F.lower(text), "\r", "\n")
     # A line consumes the break before it, so a second pass isn't needed for adjacent lines.
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, holder, "\n")
     out = F.regexp_replace(out, NOT_WORDS, " ")
     out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), "\n", " \n ")
     for old, new in EQUIVALENT:
@@ -107,10 +125,10 @@ def _squeezed(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
-def _plain(text: str) -> str:
+def _plain(text: str, holder: str = COPYRIGHT_LINE) -> str:
     """The same canonical form in Python, for the known texts."""
     out = re.sub("\r", "\n", text.lower())
-    out = re.sub(COPYRIGHT_LINE, "\n", out)
+    out = re.sub(holder, "\n", out)
     out = re.sub(NOT_WORDS.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), " ", out)
     out = re.sub("\n", " \n ", f" {out} ")
     for old, new in EQUIVALENT:
@@ -118,17 +136,17 @@ def _plain(text: str) -> str:
     return re.sub(r"[ \n]+", " ", out).strip(" ")
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(_plain(text).encode()).hexdigest()
+def digest(text: str, holder: str = COPYRIGHT_LINE) -> str:
+    return hashlib.sha256(_plain(text, holder).encode()).hexdigest()
 
 
-def known_digests(known: list[tuple[str, str]]) -> dict[str, str]:
-    return {digest(text): name for name, text in known}
+def known_digests(known: list[tuple[str, str]], holder: str = COPYRIGHT_LINE) -> dict[str, str]:
+    return {digest(text, holder): name for name, text in known}
 
 
 def scan(df: DataFrame, known: list[tuple[str, str]] | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row for each row of ``df``: ``id``, ``canonical_sha256`` of the whole text,
-    ``license`` if that is a known licence's, and ``notices``, the licences whose one-line
+    ``license`` if the text without any HOLDER_LINE is a known licence, and ``notices``, the licences whose one-line
     notices are lines of the text, sorted and joined by ",", or null.
 
     A null text has null results; a text without words has the digest of the empty text,
@@ -136,12 +154,16 @@ def scan(df: DataFrame, known: list[tuple[str, str]] | None = None, text: str =
     empty result, and other columns are left out. ``known`` holds pairs of a name and a
     text, so the broadcast side is as short as that list.
     """
-    known = KNOWN if known is None else known
-    digests = known_digests(known)
+    known = [*ENTIRE, *KNOWN] if known is None else known
+    digests = known_digests(known, HOLDER_LINE)
     notices = known_digests([k for k in known if "\n" not in k[1].strip()])
-    table = df.sparkSession.createDataFrame(sorted(digests.items()) or [("", "")], "_digest string, license string")
-    rows = df.select(F.col(id).alias("_id"), canonical_lines(F.col(text).cast("string")).alias("_lines"))
+    table = df.sparkSession.createDataFrame(sorted(digests.items()) or [("", "")], "_key string, license string")
+    rows = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"), canonical_lines(F.col(text).cast("string")).alias("_lines"))
     rows = rows.withColumn("_digest", F.sha2(_squeezed(F.col("_lines")), 256))
+    # Few texts have such a line; of all others both digests are the same.
+    named = F.lower("_text").rlike("copyright|rights[ \t]+reserved")
+    unnamed = F.sha2(_squeezed(canonical_lines(F.col("_text"), HOLDER_LINE)), 256)
+    rows = rows.withColumn("_key", F.when(named, unnamed).otherwise(F.col("_digest")))
     # Digests of those lines alone that are as long as some notice.
     lengths = sorted({len(_plain(t)) for _, t in known if "\n" not in t.strip()})
     lines = F.transform(F.split("_lines", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
@@ -152,7 +174,7 @@ def scan(df: DataFrame, known: list[tuple[str, str]] | None = None, text: str =
         hits = F.filter(F.transform(lines, lambda x: F.element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
         found = F.array_join(F.array_sort(F.array_distinct(hits)), ",")
     rows = rows.withColumn("_found", found)
-    return rows.join(F.broadcast(table), "_digest", "left").select(
+    return rows.join(F.broadcast(table), "_key", "left").select(
         F.col("_id").alias(id),
         F.col("_digest").alias("canonical_sha256"),
         "license",

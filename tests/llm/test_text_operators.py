@@ -61,6 +61,17 @@ def test_licence_texts(spark, name, change):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().license == name
 
 
+def test_holder_lines_and_entire_licences(spark):
+    mit = licenses._MIT
+    holders = ["Copyright Jane Doe 2020", "Copyright The Foo Authors", "Copyright: 2020 X", "Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright (c) 2020 X\nAll rights reserved."]
+    wrapped = mit.replace("The above copyright notice", "The above\ncopyright notice").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    shorter = wrapped.replace("copyright notice and this permission notice shall be", "")
+    rows = [*((i, f"{h}\n\n{mit}", "MIT") for i, h in enumerate(holders)), (10, wrapped, "MIT"), (11, shorter, None), (12, "All rights reserved.", None)]
+    rows += [(20 + i, f"Copyright The Foo Authors\n\n{t.upper()}", name) for i, (name, t) in enumerate(licenses.ENTIRE)]
+    found = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert found == {i: name for i, _, name in rows}
+
+
 def test_licence_lines_and_odd(spark, odd, none):
     df = spark.createDataFrame([(1, "Some words.\nReleased under the MIT License.\nlicensed under the apache licence, v 2.0"), (2, None), (3, "")], "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.scan(df).collect()}

@@ -60,9 +60,10 @@ def passing(names: list[str]) -> Column:
 
 def outside_rejected(chunks: DataFrame, periods: DataFrame, key: str) -> DataFrame:
     """Chunks with ``ok_accepted_time``: false where the chunk overlaps a rejected period
-    of its component, ends included. The periods are a short configured list."""
+    of its component, ends included; a join on the component, whose side Spark sends around only
+    if it is small."""
     p = periods.select(F.col(key), F.col("starttime").alias("_s"), F.col("endtime").alias("_e"))
-    hit = chunks.join(F.broadcast(p), key).filter(C.overlaps(F.col("starttime"), F.col("endtime"), F.col("_s"), F.col("_e")))
+    hit = chunks.join(p, key).filter(C.overlaps(F.col("starttime"), F.col("endtime"), F.col("_s"), F.col("_e")))
     hit = hit.select("chunk_id").distinct().withColumn("_hit", F.lit(True))
     return chunks.join(hit, "chunk_id", "left").withColumn("ok_accepted_time", F.col("_hit").isNull()).drop("_hit")
 
@@ -83,9 +84,12 @@ def passed_only(work: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFra
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], nothing_on_conflict: bool = False) -> DataFrame:
-    """The table after an insert that updates rows of an equal key, or leaves them."""
+    """The table after an insert that updates rows of an equal key, or leaves them. Of new
+    rows that share a key the one with the largest values, column by column, counts."""
+    rest = [c for c in existing.columns if c not in key]
+    new = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else new.select(*key).distinct()
     if nothing_on_conflict:
-        return existing.unionByName(new.dropDuplicates(key).join(existing.select(*key), key, "left_anti").select(*existing.columns))
+        return existing.unionByName(new.join(existing.select(*key), key, "left_anti").select(*existing.columns))
     return existing.join(new.select(*key), key, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
 
 
@@ -99,3 +103,20 @@ def run_lengths(df: DataFrame, by: list[str], order: str, flag: str) -> DataFram
     w = Window.partitionBy(*by).orderBy(order)
     islands = df.withColumn("_k", F.row_number().over(w) - F.sum(F.col(flag).cast("int")).over(w)).filter(F.col(flag))
     return islands.groupBy(*by, "_k").agg(F.count("*").alias("length"), F.min(order).alias("first"), F.max(order).alias("last")).drop("_k")
+
+
+def numbered(df: DataFrame, by: list[str], part: str, order: list[str], name: str) -> DataFrame:
+    """``name``: each row's place from 1 within its key, in the order of ``part`` (a day, say)
+    and then of ``order``.
+
+    Rows are sorted by key and part, so a key with many rows is as many pieces of work as it
+    has parts; a part begins where the counts of the key's earlier parts, one row each, end.
+    Nulls sort first; rows equal in all of these are placed in any order.
+    """
+    key = [*by, part]
+    counts = df.groupBy(*key).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias(f"_{c}") for c in key), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return within.join(starts, same).withColumn(name, F.col(name) + F.col("_before")).drop("_before", *(f"_{c}" for c in key))

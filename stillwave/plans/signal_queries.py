@@ -65,12 +65,15 @@ def dsp2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add(
     "wn4_sliced_samples",
-    f"""WITH {B.SAMPLES_SQL} SELECT timespan_id, event_type, list(round(value, 6) + 0.0 ORDER BY ts, event_id) AS samples FROM sample WHERE user_id < 20 GROUP BY ALL""",
+    f"""WITH {B.SAMPLES_SQL} SELECT timespan_id, user_id, event_type, hour(ts) // 6 AS block, list(round(value, 6) + 0.0 ORDER BY ts, event_id) AS samples FROM sample GROUP BY ALL""",
 )
 def wn4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each window, device and channel, in numbered blocks of six hours, so that
+    no array is longer than a device's rate makes it."""
     s = F.array_sort(F.collect_list(F.struct("ts", "event_id", C.rounded(F.col("value")).alias("v"))))
-    found = B.samples(spark, sf_dir).filter("user_id < 20").groupBy("timespan_id", "event_type").agg(s.alias("s"))
-    return found.select("timespan_id", "event_type", F.col("s.v").alias("samples"))
+    block = F.floor(F.hour("ts") / 6).alias("block")
+    found = B.samples(spark, sf_dir).groupBy("timespan_id", "user_id", "event_type", block).agg(s.alias("s"))
+    return found.select("timespan_id", "user_id", "event_type", "block", F.col("s.v").alias("samples"))
 
 
 _CCF_SQL = f"""{B.WAVEFORMS_SQL}, ccf AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS label_a, b.label AS label_b, list_transform(range(-10, 11), lambda l:

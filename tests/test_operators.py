@@ -89,11 +89,34 @@ def test_quality_bounds_both_ways(spark):
     assert [tuple(r) for r in df.select(*swapped).collect()] == [(False, True), (False, False)]
 
 
+def test_missing_statistics_and_gps(spark):
+    """A chunk without a GPS row or statistics stays, with nulls, unless strict; its verdicts
+    are then the policy's."""
+    c = spark.createDataFrame([(1, 2.0), (2, None)], "k int, mean double")
+    gps = spark.createDataFrame([(1, 5.0)], "k int, error double")
+    assert sorted(map(tuple, chunks.with_gps(c, gps, ["k"], strict=False).collect())) == [(1, 2.0, 5.0), (2, None, None)]
+    assert [tuple(r) for r in chunks.with_gps(c, gps, ["k"], strict=True).collect()] == [(1, 2.0, 5.0)]
+    for policy in (True, False):
+        verdicts = [*chunks.bounds_verdicts({"mean_max": 3.0}, policy), *chunks.bounds_verdicts({"error_max": 4.0}, policy)]
+        found = chunks.with_gps(c, gps, ["k"], strict=False).orderBy("k").select(*verdicts).collect()
+        assert [tuple(r) for r in found] == [(True, False), (policy, policy)]
+
+
+def test_numbered(spark):
+    rows = [("a", d, i) for d in (3, 1, 2, None) for i in range(4)] + [(None, 1, 0), ("b", 2, 9)]
+    df = spark.createDataFrame(rows, "k string, d int, i int")
+    places = {(r.k, r.d, r.i): r.n for r in chunks.numbered(df, ["k"], "d", ["i"], "n").collect()}
+    expected = {r: n for n, r in enumerate(sorted((x for x in rows if x[0] == "a"), key=lambda r: (r[1] or 0, r[2])), 1)}
+    assert places == expected | {(None, 1, 0): 1, ("b", 2, 9): 1}
+
+
 def test_upsert_and_ids(spark):
     old, new = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(chunks.upsert(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
     assert rows(chunks.upsert(old, new, ["k"], nothing_on_conflict=True)) == [(1, "a"), (2, "b"), (3, "d")]
+    twice = new.unionByName(spark.createDataFrame([(3, "e"), (2, "a")], "k int, v string"))
+    assert rows(chunks.upsert(old, twice, ["k"])) == [(1, "a"), (2, "c"), (3, "e")]
     assert chunks.next_id(old, "k").first().next_id == 3
     assert chunks.next_id(old.filter("k > 9"), "k").first().next_id == 1
 

@@ -61,7 +61,7 @@ WHERE a.component = 'Z' AND b.component = 'Z' AND a.station <> b.station""",
 def sc2(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = B.components(spark, sf_dir).filter("component = 'Z'")
     a, b = (z.select(F.col("station").alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}")) for k in "ab")
-    both = F.broadcast(a).join(b, F.col("a") != F.col("b"))
+    both = a.join(b, F.col("a") != F.col("b"))
     return both.select("a", "b", C.is_east_of(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("east"))
 
 

@@ -14,18 +14,18 @@ def read_stationxml(spark: SparkSession, path: str) -> DataFrame:
     ``component``, ``lat``, ``lon``, ``elevation``, ``start_date``, ``end_date``.
 
     A component's dates are its channels' first and last, else the station's; without an
-    end it is taken to stand for ten years.
+    end it is taken to stand for ten years. Its place is that of its first epoch.
     """
     raw = spark.read.format("xml").option("rowTag", "Network").schema(f"_code string, Station array<{_STATION}>").load(path)
     stations = raw.select(F.col("_code").alias("network"), F.explode("Station").alias("s"))
     channels = stations.select("network", "s", F.explode("s.Channel").alias("c"))
     time = lambda c: F.to_timestamp_ntz(F.substring(F.col(c), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     found = channels.groupBy("network", F.col("s._code").alias("station"), F.right("c._code", F.lit(1)).alias("component")).agg(
-        F.first("s.Latitude").alias("lat"), F.first("s.Longitude").alias("lon"), F.first("s.Elevation").alias("elevation"),
+        F.min(F.struct(time("s._startDate"), "s.Latitude", "s.Longitude", "s.Elevation")).alias("place"),
         F.min(time("c._startDate")).alias("cs"), F.max(time("c._endDate")).alias("ce"), F.min(time("s._startDate")).alias("ss"), F.max(time("s._endDate")).alias("se"),
     )
     start = F.coalesce("cs", "ss")
-    return found.select("network", "station", "component", "lat", "lon", "elevation", start.alias("start_date"), F.coalesce("ce", "se", start + F.expr("interval 10 years")).alias("end_date"))
+    return found.select("network", "station", "component", F.col("place.Latitude").alias("lat"), F.col("place.Longitude").alias("lon"), F.col("place.Elevation").alias("elevation"), start.alias("start_date"), F.coalesce("ce", "se", start + F.expr("interval 10 years")).alias("end_date"))
 
 
 def export_by_pair(ccfs: DataFrame, path: str, pair: list[str], time: str, overwrite: bool = False) -> None:
@@ -41,6 +41,7 @@ def export_gps_csv(soh: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_by_day(chunks: DataFrame, path: str, time: str, *keys: str) -> None:
-    """Chunks under year, day of year and the given keys, so that later reads prune."""
+    """Chunks under year, day of year and the given keys, so that later reads prune. Folders
+    that the new chunks fall in are replaced; all others stay."""
     dated = chunks.withColumn("year", F.year(time)).withColumn("doy", F.dayofyear(time))
-    dated.write.partitionBy("year", "doy", *keys).mode("overwrite").parquet(path)
+    dated.write.partitionBy("year", "doy", *keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

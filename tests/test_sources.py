@@ -84,6 +84,13 @@ def test_exports(spark, tmp_path):
         inventory.export_by_pair(df, str(tmp_path / "x"), ["pair"], "t")
 
 
+def test_days_stay(spark, tmp_path):
+    day = lambda d, v: spark.createDataFrame([(dt.datetime(2016, 1, d, 3), v)], "t timestamp_ntz, v int")
+    for d, v in ((7, 1), (8, 2), (7, 3)):
+        inventory.write_by_day(day(d, v), str(tmp_path / "days"), "t")
+    assert sorted((r.doy, r.v) for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [(7, 3), (8, 2)]
+
+
 def test_configs():
     got = config.parse('[QCOneConfig]\nnull_policy = "pass"\nstrict_gps = "true"\n', "QCOneConfig")
     assert got.null_value and got.strict_gps and not got.uses_gps

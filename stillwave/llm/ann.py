@@ -2,8 +2,8 @@
 
 A unit vector is turned by fast pseudo-rotations (random signs and a Hadamard transform,
 three times) and hashed to the signed axis nearest to it. Every row is put into one bucket
-of each of several tables; a query probes its nearest axes in each table, the rows of those
-buckets are its candidates, and their cosines are computed exactly.
+of each of several tables; a query goes to the buckets of its nearest axes in each table,
+and only there meets rows: they are its candidates, and their cosines are computed exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from stillwave.llm import common, vectors
 
 #: Tables, and the part of a table's signed axes that a query probes.
-TABLES, PROBED = 16, 6 / 128
+TABLES, PROBED = 4, 0.2
+#: Pairs whose cosines are computed exactly at once.
+PAIRS = 1 << 16
 SEED = 20240302
 
 
@@ -45,49 +47,93 @@ def rotations(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return np.stack(out)
 
 
-def finder(k: int, tables: int, probed: float):
-    def find(ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray):
-        unit_c, unit_q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (c, q))
-        bucket = rotations(unit_c, tables).argmax(2)
-        near = rotations(unit_q, tables)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _tame(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _tame(x: np.ndarray) -> np.ndarray:
+    """The same directions; vectors whose squares a double can't hold are scaled first."""
+    largest = np.abs(x).max(1, keepdims=True)
+    far = (largest > 1e100) | ((largest < 1e-100) & (largest > 0))
+    return np.where(far, x / np.where(largest > 0, largest, 1), x)
+
+
+def _cells(dim: int, table, axis):
+    return (dim << 32) + (table << 26) + axis
+
+
+def placer(tables: int, probed: float | None):
+    """Cells of each vector: in every table its nearest signed axis or, if ``probed``, its
+    nearest so many of them."""
+
+    def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept = x.any(1)
+        x, dim = x[kept], x.shape[1]
+        near = rotations(_unit(x), tables)
         axes = near.shape[2]
-        probes = max(1, min(axes, round(axes * probed)))
-        asked = np.argpartition(-near, probes - 1, axis=2)[:, :, :probes]
-        scores = np.full((len(q_ids), len(ids)), -np.inf)
-        for t in range(tables):
-            probing = np.zeros((len(q_ids), axes), bool)
-            np.put_along_axis(probing, asked[t], True, 1)
-            order = np.argsort(bucket[t], kind="stable")
-            ends = np.searchsorted(bucket[t][order], np.arange(axes + 1))
-            for axis in range(axes):
-                rows, by = order[ends[axis] : ends[axis + 1]], np.flatnonzero(probing[:, axis])
-                if len(rows) and len(by):
-                    scores[np.ix_(by, rows)] = unit_q[by] @ unit_c[rows].T
-        norm_c, norm_q = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
-        # A product of matrices may round equal pairs apart; row sums don't.
-        exact = lambda r, at: (q[r] * c[at]).sum(1) / (norm_q[r] * norm_c[at])
-        return vectors.best_of(scores, ids, q_ids, k, exact=exact, margin=1e-12)
-
-    return find
+        if probed is None:
+            axis = near.argmax(2)[:, :, None]
+        else:
+            probes = max(1, min(axes, round(axes * probed)))
+            axis = np.argpartition(-near, probes - 1, axis=2)[:, :, :probes]
+        cells = _cells(dim, np.arange(tables)[:, None, None], axis)
+        return kept, cells.transpose(1, 0, 2).reshape(len(x), -1)
+
+    return place
+
+
+def maker(k: int):
+    def make(ids: np.ndarray, c: np.ndarray) -> vectors.Search:
+        c = _tame(c)
+        size = np.sqrt((c * c).sum(1))
+        unit = c / size[:, None]
+
+        def search(q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q = _tame(q)
+            q_size = np.sqrt((q * q).sum(1))
+            scores = (q / q_size[:, None]) @ unit.T
+            scores[ids[None] == q_ids[:, None]] = -np.inf
+            # A product of matrices may round equal pairs apart; row sums don't.
+            r, at = np.nonzero((scores >= vectors.kth(scores, k)[:, None] - 1e-12) & (scores > -np.inf))
+            exact = np.empty(len(r))
+            for s in range(0, len(r), PAIRS):
+                a, b = r[s : s + PAIRS], at[s : s + PAIRS]
+                exact[s : s + PAIRS] = (q[a] * c[b]).sum(1) / (q_size[a] * size[b])
+            best = vectors.best_of(r, ids[at], exact, k)
+            return r[best], at[best], exact[best]
+
+        return search
+
+    return make
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probed: float = PROBED, vector: str = "embedding", id: str = "vec_id") -> DataFrame:
     """(``query_id``, ``rank``, ``id``, ``score``): for each query the k rows of the largest
     cosine among its candidates, without its own id, ties to the smaller id.
 
+    Candidates are the rows in the buckets that the query probes; a query that finds fewer
+    than k there, as in small tables, probes all of the first table's, which is exact.
     Vectors that are null, empty, zero, or hold null or non-finite components take no part,
-    nor do rows with a null id. Vectors of unequal length aren't compared. A query whose
-    buckets hold fewer rows has fewer results; without queries or rows the result is empty.
-    Rows that repeat an id are candidates each. Other columns are left out. ``probed`` of 1
-    makes every row a candidate and the result exact.
+    nor do rows with a null id. Vectors of unequal length aren't compared. Without queries or
+    rows the result is empty. Rows that repeat an id are candidates each, and queries each,
+    with ranks of their own. Other columns are left out. ``probed`` of 1 makes every row a
+    candidate and the result exact.
     """
-
-    def prepare(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        largest = np.abs(x).max(1, keepdims=True)
-        far = (largest > 1e100) | ((largest < 1e-100) & (largest > 0))  # whose squares a double can't hold
-        return np.where(far, x / np.where(largest > 0, largest, 1), x), largest[:, 0] > 0
-
-    return vectors.search(df, queries, k, id, vector, prepare, finder(k, tables, probed), "double")
+    narrow = vectors.single(df, queries, vector=vector)
+    rows = vectors.located(df, id, vector, placer(tables, None), narrow)
+    asked = common.cut(vectors.located(queries, id, vector, placer(tables, probed), narrow).withColumn("bar", F.lit(None).cast("double")))
+    counts = vectors.blocks(rows)
+    found = common.cut(vectors.ranked(vectors.meet(rows, asked, counts, maker(k), "double", narrow), k))
+    whole = found.groupBy("quid").count().filter(F.col("count") >= k).select(F.col("quid").alias("uid"))
+    short = asked.join(whole, "uid", "left_anti")
+    if not short.isEmpty():
+        axes = 2 * F.pow(F.lit(2), F.ceil(F.log2("dim"))).cast("int")
+        first = F.shiftleft(F.col("dim").cast("long"), 32)
+        every = short.withColumn("cells", F.sequence(first, first + axes - 1))
+        exact = vectors.ranked(vectors.meet(rows, every, counts, maker(k), "double", narrow), k)
+        found = found.join(short.select(F.col("uid").alias("quid")), "quid", "left_anti").select(*exact.columns).unionByName(exact)
+    return found.select("query_id", "rank", F.col("id").alias(id), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

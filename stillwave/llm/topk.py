@@ -18,10 +18,11 @@ from stillwave.llm import common, vectors
 #: Segments by level.
 LEVELS = (4, 16)
 SCALE = 256
-#: Integers up to this can be multiplied and summed exactly, and their sums are longs.
-LARGEST = float(1 << 28)
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Survivors' part of a block beyond which one matrix product is cheaper than their list.
 DENSE = 0.25
+#: Pairs whose scores are computed at once from such a list.
+PAIRS = 1 << 16
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -34,61 +35,121 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * root, dev * root], 1)
 
 
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(256 x), as doubles, which hold it exactly; infinite where a double can't."""
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * x)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Which whole vectors have components so small that a double holds the inner product of
+    any two of them exactly."""
+    return np.abs(x).max(1, initial=0) <= np.floor(np.sqrt(2.0**52 / max(1, x.shape[1])))
+
+
 def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, as longs."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2**53:
-        return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.T.astype(np.int64)
-
-
-def finder(k: int):
-    def find(ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray):
-        slack = 1e-9 * (np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0) + 1)
-        own = ids[None, :] == q_ids[:, None]
-        alive = ~own
-        scores = np.full(alive.shape, np.iinfo(np.int64).min)
-        known = np.zeros(alive.shape, bool)
-        for level in LEVELS:
-            bound = statistics(q, level) @ statistics(c, level).T
-            bound[~alive] = -np.inf
-            # The k best bounds are computed first; the k-th exact score is the bar.
-            first = np.argpartition(bound, max(0, len(ids) - k), axis=1)[:, -k:]
-            for r in range(len(q_ids)):
-                scores[r, first[r]] = exact_products(q[r : r + 1], c[first[r]])[0]
-                known[r, first[r]] = True
-            bar = np.where(known & ~own, scores, np.iinfo(np.int64).min)
-            bar = np.partition(bar, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)] if len(ids) >= k else np.full(len(q_ids), np.iinfo(np.int64).min)
-            alive &= bound + slack >= bar[:, None]
-        rest = alive & ~known
-        if rest.mean() > DENSE:
-            some = rest.any(0)
-            scores[:, some] = exact_products(q, c[some])
-        else:
-            a, b = np.nonzero(rest)
-            if len(a):
-                scores[a, b] = np.einsum("ij,ij->i", q[a].astype(np.int64), c[b].astype(np.int64))
-        final = np.where(alive | (known & ~own), scores.astype(np.float64), -np.inf)
-        return vectors.best_of(final, ids, q_ids, k, exact=lambda r, at: scores[r, at], margin=1024.0 if np.abs(scores[alive]).max(initial=0) >= 2**52 else 0.0)
-
-    return find
+    """Inner products of floor(256 x) of any doubles, as longs; one that no long can hold is
+    the nearest long."""
+    a, b = whole(q), whole(c)
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * q.shape[1]
+    if most < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    exact = lambda x: np.array([[int(v) * SCALE if abs(v) >= 2.0**53 else int(np.floor(SCALE * v)) for v in row] for row in x.tolist()], object)
+    return np.clip(exact(q) @ exact(c).T, LEAST, MOST).astype(np.int64)
+
+
+def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row's cell: its dimension, and whether it is small."""
+    return np.ones(len(x), bool), 2 * x.shape[1] + (~small(whole(x)))[:, None].astype(np.int64)
+
+
+def place_query(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A query asks for both cells of its dimension."""
+    return np.ones(len(x), bool), np.repeat([[2 * x.shape[1], 2 * x.shape[1] + 1]], len(x), 0)
+
+
+def bounded(q: np.ndarray, c: np.ndarray, levels: list[np.ndarray], alive: np.ndarray, bars: np.ndarray, k: int) -> np.ndarray:
+    """Scores of all pairs of small vectors that can be among a query's k best, LEAST for the
+    others and where ``alive`` is false to begin with."""
+    slack = 1e-9 * (np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0) + 1)
+    scores, known, every = np.full(alive.shape, LEAST), np.zeros(alive.shape, bool), np.arange(len(q))[:, None]
+    few = min(k, alive.shape[1])
+    for level, held in zip(LEVELS, levels, strict=True):
+        bound = statistics(q, level) @ held.T + slack
+        bound[~alive] = -np.inf
+        # The k best bounds are computed first; the k-th exact score so far is the bar.
+        first = np.argpartition(bound, alive.shape[1] - few, axis=1)[:, -few:]
+        scores[every, first] = np.where(alive[every, first], np.einsum("ij,ikj->ik", q, c[first]).astype(np.int64), LEAST)
+        known[every, first] = True
+        if few == k:
+            bars = np.maximum(bars, vectors.kth(np.where(known, scores, LEAST), k))
+        alive = alive & (bound >= bars[:, None])
+    rest = alive & ~known
+    if rest.mean() > DENSE:
+        some = np.flatnonzero(rest.any(0))
+        scores[:, some] = np.where(alive[:, some], (q @ c[some].T).astype(np.int64), scores[:, some])
+    else:
+        a, b = np.nonzero(rest)
+        for s in range(0, len(a), PAIRS):
+            i, j = a[s : s + PAIRS], b[s : s + PAIRS]
+            scores[i, j] = np.einsum("ij,ij->i", q[i], c[j]).astype(np.int64)
+    return np.where(scores >= bars[:, None], scores, LEAST)
+
+
+def maker(k: int):
+    def make(ids: np.ndarray, c: np.ndarray) -> vectors.Search:
+        rows = whole(c)
+        levels = [statistics(rows, level) for level in LEVELS] if small(rows).all() else None
+
+        def search(q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            others = ids[None] != q_ids[:, None]
+            asked = whole(q)
+            scores = np.full(others.shape, LEAST)
+            plain = small(asked) if levels else np.zeros(len(q), bool)
+            if plain.any():
+                scores[plain] = bounded(asked[plain], rows, levels, others[plain], bars[plain], k)
+            if not plain.all():
+                scores[~plain] = exact_products(q[~plain], c)
+            valid = others & ((scores > LEAST) | ~plain[:, None])
+            r, at = np.nonzero(valid & (scores >= vectors.kth(np.where(valid, scores, LEAST), k)[:, None]))
+            found = scores[r, at]
+            # In steps, since the least long has no negative.
+            best = vectors.best_of(r, ids[at], np.maximum(found, LEAST + 1), k)
+            return r[best], at[best], found[best]
+
+        return search
+
+    return make
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", id: str = "vec_id") -> DataFrame:
     """(``query_id``, ``rank``, ``id``, ``score``): for each query the k rows of the largest
     inner product of floor(256 x), without its own id, ties to the smaller id.
 
-    Vectors that are null, empty, or hold null or non-finite components take no part, nor
-    do rows with a null id or with components beyond 2^20, whose products no long can hold.
-    Vectors of unequal length aren't compared. A query with fewer candidates has fewer
-    rows; without queries or rows the result is empty. Rows that repeat an id are candidates
-    each. Other columns are left out.
-    """
-
-    def prepare(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.floor(SCALE * x)
-        return whole, (np.abs(whole) <= LARGEST).all(1)
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor do
+    rows with a null id. Products of any size are exact; of a score that no long can hold the
+    nearest long is returned, and such scores tie. Vectors of unequal length aren't compared.
+    A query with fewer candidates has fewer rows; without queries or rows the result is empty.
+    Rows that repeat an id are candidates each, and queries each, with ranks of their own.
+    Other columns are left out.
 
-    return vectors.search(df, queries, k, id, vector, prepare, finder(k), "long")
+    Where there are several blocks of rows, each query's k-th score in the first one is the
+    bar that it brings to all blocks.
+    """
+    narrow = vectors.single(df, queries, vector=vector)
+    rows = vectors.located(df, id, vector, place, narrow)
+    asked = common.cut(vectors.located(queries, id, vector, place_query, narrow))
+    counts = vectors.blocks(rows)
+    none = asked.withColumn("bar", F.lit(None).cast("long"))
+    if counts.filter("blocks > 1").isEmpty():
+        found = vectors.meet(rows, none, counts, maker(k), "long", narrow)
+    else:
+        bars = vectors.ranked(vectors.meet(rows, none, counts, maker(k), "long", narrow, first=True), k)
+        bars = bars.filter(F.col("rank") == k).select(F.col("quid").alias("uid"), F.col("score").alias("bar"))
+        found = vectors.meet(rows, common.cut(asked.join(bars, "uid", "left")), counts, maker(k), "long", narrow)
+    return vectors.ranked(found, k).select("query_id", "rank", F.col("id").alias(id), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

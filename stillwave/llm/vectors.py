@@ -1,4 +1,5 @@
-"""Vectors packed into blocks, and a stated query set put against all rows block by block."""
+"""Vectors dealt to cells, and a stated query set that meets the rows of its cells block by
+block. The exact search has one cell for each kind of vector, hashing has one for each bucket."""
 
 from __future__ import annotations
 
@@ -6,101 +7,144 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from stillwave.llm import common
 
-#: Vectors in a block of rows and in a block of queries; both bound a task's memory.
-ROWS, QUERIES = 4096, 1024
+#: Rows in a block, on average, and queries that are scored at once; both bound a task's memory.
+ROWS, QUERIES = 16_384, 256
+#: Cells up to which their table of counts is sent to every task; it is joined beyond.
+CELLS = 100_000
+#: Turns a matrix of doubles into which rows to keep, and the cells of those kept.
+Place = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From a batch of queries' ids, matrix and bars: places of queries and of rows, and scores.
+Search = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Make = Callable[[np.ndarray, np.ndarray], Search]
 
-Prepare = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+def single(*frames: DataFrame, vector: str) -> bool:
+    """Whether the vectors of all frames are of single precision, and may travel as such."""
+    kinds = [df.schema[vector].dataType for df in frames]
+    return all(isinstance(k, ArrayType) and isinstance(k.elementType, FloatType) for k in kinds)
 
-def pack(df: DataFrame, id: str, vector: str, size: int, prepare: Prepare) -> DataFrame:
-    """Blocks (``ids``, ``matrix``, ``dim``) of at most ``size`` vectors of one dimension.
-    ``prepare`` turns a matrix of doubles into the one to keep, and tells which rows to
-    keep; vectors that are null, empty or hold a null or non-finite value go before."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple[list, list]] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, rows = waiting.pop(dim)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(rows).tobytes()], pa.binary()), pa.array([dim], pa.int32())],
-                ["ids", "matrix", "dim"],
-            )
+def located(df: DataFrame, id: str, vector: str, place: Place, narrow: bool) -> DataFrame:
+    """Vectors with their cells: ``uid`` (of the row), ``id``, ``dim``, ``cells`` and ``x``,
+    the components' bytes. Vectors that are null, empty or hold a null or non-finite
+    component are left out, and rows with a null id."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            by_dim: dict[int, tuple[list, list]] = {}
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if i is None or not v.is_valid or not len(v):
-                    continue
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all():  # a null became NaN
-                    ids, rows = by_dim.setdefault(len(x), ([], []))
-                    ids.append(i)
-                    rows.append(x)
-            for dim, (ids, rows) in by_dim.items():
-                matrix, good = prepare(np.array(rows))
-                for i, row in zip(np.array(ids)[good].tolist(), matrix[good], strict=True):
-                    held = waiting.setdefault(dim, ([], []))
-                    held[0].append(i)
-                    held[1].append(row)
-                    if len(held[0]) >= size:
-                        yield out(dim)
-        for dim in sorted(waiting):
-            yield out(dim)
-
-    return df.select(F.col(id).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "ids binary, matrix binary, dim int")
-
-
-def search(df: DataFrame, queries: DataFrame, k: int, id: str, vector: str, prepare: Prepare, find: Search, kind: str) -> DataFrame:
-    """(``query_id``, ``rank``, id, ``score``): of the rows that ``find`` gives for every
-    block of rows and block of queries, each query's ``k`` best, ties to the smaller id.
-
-    The blocks of queries are a stated set; the product of blocks is what "all rows against
-    a query set" means, and each pair of blocks gives at most k rows a query.
+            ids, vectors = batch.column(0), batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            lengths = np.where(ids.is_valid().to_numpy(zero_copy_only=False), lengths, 0)
+            for dim in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == dim)
+                x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                good = np.isfinite(x).all(1)  # a null became NaN
+                at, x = at[good], x[good]
+                kept, cells = place(x.astype(np.float64))
+                at, x = at[kept], x[kept]
+                if len(at):
+                    ends = np.arange(len(at) + 1, dtype=np.int32) * cells.shape[1]
+                    columns = [
+                        pa.array(uid + at), ids.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.reshape(-1).astype(np.int64))), pa.array([v.tobytes() for v in x], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "dim", "cells", "x"])
+            uid += batch.num_rows
+
+    values = F.col(vector).cast("array<float>" if narrow else "array<double>")
+    return df.select(F.col(id).cast("long"), values).mapInArrow(run, "uid long, id long, dim int, cells array<long>, x binary")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(``cell``, ``blocks``): the blocks of about ROWS rows that a cell's rows are dealt to."""
+    counted = rows.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    return common.cut(counted.select("cell", F.ceil(F.col("n") / F.lit(ROWS)).cast("int").alias("blocks")))
+
+
+def meet(rows: DataFrame, asked: DataFrame, counts: DataFrame, make: Make, score: str, narrow: bool, first: bool = False) -> DataFrame:
+    """(``quid``, ``query_id``, ``uid``, ``id``, ``score``): what ``make(ids, matrix)``, built
+    once for every block of rows, finds for the queries that ask for its cell; with ``first``
+    in the cells' first blocks alone.
+
+    A row is dealt to one block of each of its cells, a query to all blocks of the cells it
+    asks for. A task holds one block and lets the queries pass by, so memory is bounded
+    however many rows or queries a cell has, and a large cell is as many tasks as blocks.
     """
-    n = queries.count()
-    rows = pack(df, id, vector, ROWS, prepare)
-    asked = common.cut(pack(queries.repartition(max(1, -(-n // QUERIES))), id, vector, QUERIES, prepare))
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))
-    dtype = pa.int64() if kind == "long" else pa.float64()
+    if counts.count() <= CELLS:
+        counts = F.broadcast(counts)
+    held = rows.select("uid", "id", "x", F.explode("cells").alias("cell")).join(counts, "cell")
+    held = held.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int"))
+    passing = asked.select("uid", "id", "x", "bar", F.explode("cells").alias("cell")).join(counts, "cell")
+    passing = passing.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(0) if first else F.col("blocks") - 1)))
+    if first:
+        held = held.filter("block = 0")
+    columns = ["cell", "block", "kind", "uid", "id", "bar", "x"]
+    both = held.withColumns({"kind": F.lit(0), "bar": F.lit(None).cast(score)}).select(*columns)
+    both = both.unionByName(passing.withColumn("kind", F.lit(1)).select(*columns))
+    both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+    least = np.iinfo(np.int64).min if score == "long" else -np.inf
+    width, numbers = np.float32 if narrow else np.float64, pa.int64() if score == "long" else pa.float64()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(starts, starts[1:], strict=False):
+                if e > s:
+                    yield tuple(keys[:, s].tolist()), batch.slice(s, e - s)
+
+    def read(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(part.column("x").to_pylist()), width).reshape(part.num_rows, -1)
+        return part.column("uid").to_numpy(), part.column("id").to_numpy(), x.astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, matrix, dim, q_ids, q_matrix, q_dim in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if dim != q_dim:
-                    continue
-                c, q = (np.frombuffer(m, np.float64).reshape(-1, dim) for m in (matrix, q_matrix))
-                found = find(np.frombuffer(ids, np.int64), c, np.frombuffer(q_ids, np.int64), q)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], dtype)], ["query_id", "id", "score"])
-
-    found = rows.crossJoin(asked).mapInArrow(run, f"query_id long, id long, score {kind}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", F.col("id").alias(id), "score")
-
-
-def best_of(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int, exact=None, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best of a matrix of scores (minus infinity: no candidate), itself
-    left out, ties to the smaller id. With ``exact(query, rows)`` the scores are those of
-    the rows within ``margin`` of the k-th, computed again."""
-    out_q, out_i, out_s = [], [], []
-    kth = np.partition(scores, max(0, scores.shape[1] - k - 1), axis=1)[:, max(0, scores.shape[1] - k - 1)]
-    for q in range(len(q_ids)):
-        at = np.flatnonzero(scores[q] >= kth[q] - margin)
-        at = at[(scores[q, at] > -np.inf) & (ids[at] != q_ids[q])]
-        if not len(at):
-            continue
-        s = scores[q, at] if exact is None else exact(q, at)
-        order = np.lexsort((ids[at], -s))[:k]
-        out_q.append(np.full(len(order), q_ids[q]))
-        out_i.append(ids[at][order])
-        out_s.append(s[order])
-    if not out_q:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+        key, block, search = None, [], None
+        for (cell, number, kind), part in parts(batches):
+            if (cell, number) != key:
+                key, block, search = (cell, number), [], None
+            if kind == 0:  # the rows come first
+                block.append(read(part))
+                continue
+            if not block:
+                continue
+            if search is None:
+                uids, ids, x = (np.concatenate(c) for c in zip(*block, strict=True))
+                search = make(ids, x)
+            for s in range(0, part.num_rows, QUERIES):
+                few = part.slice(s, QUERIES)
+                q_uids, q_ids, q = read(few)
+                bars = few.column("bar").fill_null(least).to_numpy(zero_copy_only=False)
+                r, at, scores = search(q_ids, q, bars)
+                out = [pa.array(c, pa.int64()) for c in (q_uids[r], q_ids[r], uids[at], ids[at])]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(scores, numbers)], ["quid", "query_id", "uid", "id", "score"])
+
+    return both.mapInArrow(run, f"quid long, query_id long, uid long, id long, score {score}")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """Each query row's ``k`` best with their ``rank``, ties to the smaller id; a row that
+    was found in several cells counts once."""
+    best = Window.partitionBy("quid").orderBy(F.desc("score"), "id", "uid")
+    return found.withColumn("rank", F.dense_rank().over(best).cast("int")).filter(F.col("rank") <= k).dropDuplicates(["quid", "rank"])
+
+
+def best_of(r: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query r, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, r))
+    r = r[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return order[place < k]
+
+
+def kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, or the least of them if there are fewer."""
+    at = max(0, scores.shape[1] - k)
+    return np.partition(scores, at, axis=1)[:, at]

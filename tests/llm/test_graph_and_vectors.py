@@ -1,5 +1,6 @@
 """Near-duplicates, components, exact and approximate search."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillwave.llm import ann, components, neardup, topk
+from stillwave.llm import vectors as searched
 
 from .conftest import prose
 
@@ -123,6 +125,38 @@ def test_top_k(spark):
     assert topk.top_k(empty, empty).count() == 0 and topk.top_k(df, empty).count() == 0
 
 
+def exact_products(rows, q):
+    """Each row's score for the vector q, in Python's integers, held to a long."""
+    whole = lambda v: [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v]
+    return sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole(q[1]), whole(v), strict=True)))), i) for i, v, _ in rows if i != q[0] and len(v) == len(q[1]))
+
+
+def test_top_k_of_any_size_over_blocks(spark, monkeypatch):
+    """Small and large vectors, blocks of about 40 rows, and ids that are stored twice."""
+    monkeypatch.setattr(searched, "ROWS", 40)
+    rng = np.random.default_rng(8)
+    rows = [(i, v, 0) for i, v, _ in sample(2, 300, 16)]
+    rows += [(300 + i, (rng.standard_normal(16) * 10.0**e).tolist(), 0) for i, e in enumerate([5, 6, 8, 10, 14, 20, 200, 300])] + [(310, [2.0**21] + [0.0] * 15, 0)]
+    rows += [(100, (rng.standard_normal(16)).tolist(), 0), (7, rows[7][1], 0)]
+    df = vectors(spark, rows).repartition(3)
+    for asked in ("vec_id % 50 = 0", "vec_id in (303, 306, 310)"):
+        got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.filter(asked)).collect())
+        queries = [r for r in rows if (r[0] % 50 == 0 if "%" in asked else r[0] in (303, 306, 310))]
+        assert got == Counter((q[0], k + 1, i, -s) for q in queries for k, (s, i) in enumerate(exact_products(rows, q)[:5]))
+
+
+def test_own_and_repeated_ids(spark):
+    """A query's own id never fills its ranks, and each row of a repeated query id has ranks
+    of its own."""
+    rows = [(0, v, 0) for _, v, _ in sample(3, 8, 8)] + [(1 + i, v, 0) for i, v, _ in sample(4, 30, 8)]
+    df = vectors(spark, rows)
+    for found in (topk.top_k(df, df.filter("vec_id = 0")), ann.nearest(df, df.filter("vec_id = 0"))):
+        found = found.collect()
+        assert Counter((r.rank) for r in found) == {k: 8 for k in range(1, 6)} and all(r.vec_id for r in found)
+    one = df.filter("vec_id = 1")
+    assert ann.nearest(df.limit(5).unionByName(one), one).count() == 5
+
+
 def test_bound_is_one():
     rng = np.random.default_rng(5)
     q, c = rng.standard_normal((20, 64)), rng.standard_normal((50, 64))
@@ -170,6 +204,20 @@ def test_neighbours(spark):
     assert ann.nearest(empty, empty).count() == 0
 
 
+def test_buckets_in_blocks(spark, monkeypatch):
+    """Large buckets are dealt to blocks, and nothing but equal cells is ever joined."""
+    rows = sample(5, 600, 8)
+    df = vectors(spark, rows)
+    plain = sorted(tuple(r) for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), probed=0.3).collect())
+    monkeypatch.setattr(searched, "ROWS", 7)
+    found = ann.nearest(df, df.filter("vec_id % 50 = 0"), probed=0.3)
+    assert sorted(tuple(r) for r in found.collect()) == plain
+    narrow, asked = False, ann.vectors.located(df, "vec_id", "embedding", ann.placer(2, 0.5), False).withColumn("bar", F.lit(None).cast("double"))
+    cells = ann.vectors.located(df, "vec_id", "embedding", ann.placer(2, None), narrow)
+    plan = ann.vectors.meet(cells, asked, ann.vectors.blocks(cells), ann.maker(5), "double", narrow)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_recall(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     found = defaultdict(set)

@@ -39,6 +39,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Keys of more rows than this part of all, and than HOT_ROWS, are hot; so at most so many are.
+HOT_KEYS, HOT_ROWS = 1000, 100
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` with ``side``, which has one row for each key and in
+    ``count`` the number of its rows; ``total`` is the number of all rows, or more.
+
+    Keys of over max(HOT_ROWS, total / HOT_KEYS) rows, of which there can't be more than
+    HOT_KEYS, are sent to every task, so their rows meet them where they are. All others are
+    joined as usual. A null key matches nothing and isn't shuffled.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    rest = [c for c in side.columns if c != key]
+    hot = side.filter(F.col(count) > least).select(key, F.struct(*rest).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    at_once = F.col("_hot").isNotNull() | F.col(key).isNull() if how == "left" else F.col("_hot").isNotNull()
+    met = marked.filter(at_once).select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in rest))
+    others = marked.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot").join(side.filter(F.col(count) <= least), key, how)
+    return met.unionByName(others.select(*met.columns))
+
+
 def crc32_of(column) -> F.Column:
     """Unsigned CRC-32 of a value's decimal text."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8"))

@@ -26,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwave.llm import common
@@ -159,23 +160,31 @@ class Links:
 
 
 def _signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
+    """Each row's number, id, text hash, and what its set of shingles tells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minima = Minima(bands)
+        minima, uid = Minima(bands), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py(), k)
                 values = (len(found), None, None, None)
                 if len(found):
-                    values = (len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), *minima(found))
+                    values = (len(found), fingerprint(found), *minima(found))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["id", "n", "fp", "sig", "bands"]
+                [pa.array(np.arange(uid, uid + batch.num_rows)), batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))],
+                ["uid", "id", "t", "n", "fp", "sig", "bands"],
             )
+            uid += batch.num_rows
+
+    return docs.mapInArrow(run, "uid long, id long, t long, n long, fp binary, sig binary, bands array<long>")
 
-    return docs.mapInArrow(run, "id long, n long, fp binary, sig binary, bands array<long>")
+
+def fingerprint(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _blocks(rows: DataFrame, by: str, count: str, id: str) -> DataFrame:
@@ -186,79 +195,123 @@ def _blocks(rows: DataFrame, by: str, count: str, id: str) -> DataFrame:
     return rows.withColumn("i", F.least("_block", "_other")).withColumn("j", F.greatest("_block", "_other"))
 
 
-def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``df``: ``id``, ``n_shingles`` (size of the set of distinct
-    k-word shingles), ``component_id`` (the smallest id reachable over links, its own
-    included) and ``kept`` (whether that is its own id).
+def classes_of(df: DataFrame, k: int, threshold: int, text: str, id: str, by_id: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (``uid``, ``id``, ``t``, ``n``, ``fp``), a table (``fp``, ``component``, ``low``,
+    ``c``) of their classes, and the number of rows.
 
-    Texts whose sets have 100 * intersection >= threshold * union are linked. Words are runs
-    of bytes outside 0x20 and 0x09-0x0D, with A-Z lowered. Texts of fewer than k words have
-    their whole sequence as the one shingle. A null text or one without words has an empty
-    set and is linked with nothing. A row whose id is null takes no part: its component is
-    null and it is kept. Rows that repeat an id are one node. An empty table gives an empty
-    result; other columns are left out. Texts of any length are taken whole.
+    A class is the rows of one set; ``fp`` is null for empty sets, which have no class. ``c``
+    counts the class's rows, ``component`` names what it hangs together with, over links and,
+    with ``by_id``, over rows of one id, and ``low`` is the smallest id in there. ``t`` is a
+    hash of the text. Rows without an id have a class of their own nowhere: they take no part.
     """
     bands = bands_for(threshold)
     least = need(threshold, bands * ROWS)
-    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = common.cut(_signatures(docs, k, bands))
+    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    rows = common.cut(_signatures(docs.select("id", "t", "text"), k, bands))
+    total = rows.count()
     some = rows.filter("n > 0 and id is not null")
-    classes = some.groupBy("fp").agg(F.min(F.struct("id", "n", "sig", "bands")).alias("c")).select("c.*")
+    # Of a class the row of the smallest id stands for all.
+    first = F.min(F.struct("id", "uid", "t", "n", "sig", "bands")).alias("s")
+    classes = common.cut(some.groupBy("fp").agg(first, F.count("*").alias("c")).select("fp", "c", "s.*"))
 
     def alike_by_signature(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
         links = Links()
         for table in runs(batches, keys):
-            ids = table.column("id").to_numpy()
+            ids = table.column("uid").to_numpy()
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
             for group in hang_together(len(ids), lambda x, rest, sig=sig: (sig[rest] == sig[x]).sum(1) >= least):
                 links.star(ids[group].tolist())
             yield from links.batches(10_000)
         yield from links.batches(1)
 
-    buckets = classes.select("id", "sig", F.explode("bands").alias("bucket"))
-    buckets = buckets.withColumn("c", F.count("*").over(Window.partitionBy("bucket"))).filter("c > 1")
-    small = buckets.filter(F.col("c") <= BUCKET_BLOCK).select("bucket", "id", "sig").sortWithinPartitions("bucket")
-    large = buckets.filter(F.col("c") > BUCKET_BLOCK).withColumn("blocks", F.ceil(F.col("c") / BUCKET_BLOCK))
-    large = _blocks(large, "bucket", "blocks", "id").select("bucket", "i", "j", "id", "sig")
+    buckets = classes.select("uid", F.explode("bands").alias("bucket"))
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = common.join_hot(buckets, counts, "bucket", "c", bands * total)
+    shared = common.cut(shared.join(classes.select("uid", "sig"), "uid").select("bucket", "c", "uid", "sig"))
+    alone = shared.filter(F.col("c") <= BUCKET_BLOCK).repartition("bucket").sortWithinPartitions("bucket")
+    large = shared.filter(F.col("c") > BUCKET_BLOCK).withColumn("blocks", F.ceil(F.col("c") / BUCKET_BLOCK))
+    large = _blocks(large, "bucket", "blocks", "uid").select("bucket", "i", "j", "uid", "sig")
     large = large.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    candidates = small.mapInArrow(lambda b: alike_by_signature(b, 1), "a long, b long").unionByName(
+    candidates = alone.select("bucket", "uid", "sig").mapInArrow(lambda b: alike_by_signature(b, 1), "a long, b long").unionByName(
         large.mapInArrow(lambda b: alike_by_signature(b, 3), "a long, b long")
     )
 
-    groups = connected_components(candidates)
-    # A class is named by its smallest id, of which there may be repeated rows.
-    sizes = classes.select(F.col("id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"))
-    members = common.cut(groups.join(sizes, "node"))
+    groups = connected_components(candidates).withColumnRenamed("node", "uid")
+    members = common.cut(groups.join(classes.select("uid", "id", "t", "n", "fp"), "uid"))
     totals = members.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("c") / GROUP_BLOCK), F.ceil(F.col("s") / GROUP_SHINGLES)))
-    placed = members.join(totals.select("component", "blocks"), "component")
+    placed = common.join_hot(members, totals, "component", "c", total)
+    columns = ["component", "i", "j", "uid", "id", "t", "fp"]
     dealt = (
-        placed.filter("blocks = 1").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "node")
-        .unionByName(_blocks(placed.filter("blocks > 1"), "component", "blocks", "node").select("component", "i", "j", "node"))
+        placed.filter("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).select(*columns)
+        .unionByName(_blocks(placed.filter("blocks > 1"), "component", "blocks", "uid").select(*columns))
     )
 
     def alike_by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = Links()
         for table in runs(batches, 3):
-            ids = table.column("id").to_numpy()
-            sets = [shingles(t.as_py(), k) for t in table.column("text")]
-            for group in hang_together(len(ids), _Exact(sets, threshold)):
-                links.star(ids[group].tolist())
+            sets: dict[int, np.ndarray] = {}
+            for uid, fp, value in zip(*(table.column(c) for c in ("uid", "fp", "text")), strict=True):
+                if uid.as_py() not in sets and fingerprint(found := shingles(value.as_py(), k)) == fp.as_py():
+                    sets[uid.as_py()] = found
+            ids = np.array(list(sets), np.int64)
+            if len(ids) > 1:
+                for group in hang_together(len(ids), _Exact(list(sets.values()), threshold)):
+                    links.star(ids[group].tolist())
             yield from links.batches(10_000)
         yield from links.batches(1)
 
-    met = dealt.join(docs.filter("id is not null"), dealt["node"] == docs["id"]).select("component", "i", "j", "id", "text")
+    met = dealt.join(docs.filter("id is not null"), ["id", "t"]).select("component", "i", "j", "uid", "fp", "text")
+    edges, repeated = [], _repeated(rows)
+    if repeated is not None:
+        met = met.dropDuplicates(["component", "i", "j", "uid"])
     met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = common.cut(met.mapInArrow(alike_by_sets, "a long, b long"))
-    if totals.filter("blocks > 1").isEmpty():  # then every star is a whole component
-        found = links.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+    if by_id and repeated is not None:
+        # Classes with rows of one id are linked with the first of these classes.
+        several = some.select("id", "fp").join(repeated.filter("several").select("id"), "id").distinct()
+        several = several.join(classes.select("fp", "uid"), "fp").select("id", F.col("uid").alias("a"))
+        edges = [several.join(several.groupBy("id").agg(F.min("a").alias("b")), "id").select("a", "b")]
+    if not edges and totals.filter("blocks > 1").isEmpty():  # then every star is a whole component
+        found = links.select(F.col("a").alias("uid"), F.col("b").alias("component")).distinct()
+        found = found.unionByName(found.select(F.col("component").alias("uid"), "component").distinct())
     else:
-        found = connected_components(links)
+        found = connected_components(links.unionByName(*edges) if edges else links).withColumnRenamed("node", "uid")
+    found = common.cut(found.join(classes.select("uid", "id"), "uid"))
+    low = found.groupBy("component").agg(F.min("id").alias("low"), F.count("*").alias("m"))
+    named = common.join_hot(found.select("uid", "component"), low, "component", "m", total).select("uid", "component", "low")
+    table = classes.select("fp", "c", "uid", "id").join(named, "uid", "left")
+    return rows.select("uid", "id", "t", "n", "fp"), table.select("fp", F.coalesce("component", "uid").alias("component"), F.coalesce("low", "id").alias("low"), "c"), total
+
+
+def _repeated(rows: DataFrame) -> DataFrame | None:
+    """Ids of more than one row, and whether these have ``several`` sets; None if there are
+    no such ids."""
+    by_id = rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("c"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    found = common.cut(by_id.filter("c > 1").select("id", (F.col("a") != F.col("b")).alias("several")))
+    return None if found.isEmpty() else found
+
 
-    by_set = some.groupBy("fp").agg(F.min("id").alias("node"))
-    by_set = by_set.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = rows.select("id", "n", "fp").join(by_set, "fp", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row for each row of ``df``: ``id``, ``n_shingles`` (size of the set of distinct
+    k-word shingles), ``component_id`` (the smallest id reachable over links, its own
+    included) and ``kept`` (whether that is its own id).
+
+    Texts whose sets have 100 * intersection >= threshold * union are linked. Words are runs
+    of bytes outside 0x20 and 0x09-0x0D, with A-Z lowered. Texts of fewer than k words have
+    their whole sequence as the one shingle. A null text or one without words has an empty
+    set and is linked with nothing. A row whose id is null takes no part: its component is
+    null and it is kept. Rows that repeat an id are one node, whatever their texts: what one
+    of them is linked with, all are. An empty table gives an empty result; other columns are
+    left out. Texts of any length are taken whole.
+    """
+    rows, table, total = classes_of(df, k, threshold, text, id, by_id=True)
+    out = common.join_hot(rows.withColumn("fp", F.when(F.col("id").isNotNull(), F.col("fp"))), table.select("fp", "low", "c"), "fp", "c", total, "left")
+    empty = out.filter("n = 0 and id is not null").select("id").distinct()
+    # Rows without words whose id also has a row with some: few, if any.
+    also = out.filter("n > 0").join(empty, "id", "left_semi").groupBy("id").agg(F.min("low").alias("also"))
+    out = out.join(also, "id", "left") if _repeated(rows) is not None else out.withColumn("also", F.lit(None).cast("long"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("low", "also", "id"))
     return out.select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
@@ -267,6 +320,30 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, text: str =
     )
 
 
+def keep_first(df: DataFrame, k: int = 5, threshold: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` with all their columns, of each group of texts that hangs together
+    one: that of the smallest id, and among rows of this id that of the smallest text hash.
+
+    Links are those of :func:`near_duplicates`, but rows are judged each by its own text:
+    rows that repeat an id go together only if their texts do. Rows whose id is null, and
+    texts without words, all stay. An empty table gives an empty result.
+    """
+    rows, table, total = classes_of(df, k, threshold, text, id, by_id=False)
+    rows = common.join_hot(rows.filter("n > 0 and id is not null"), table.select("fp", "component", "c"), "fp", "c", total)
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("m")).filter("m > 1")
+    groups = common.cut(common.join_hot(rows.select("component", "id", "t"), first, "component", "m", total))
+    gone = groups.filter(F.struct("id", "t") != F.col("first")).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
+    key = "_id_and_text_hash"
+    keyed = df.withColumn(key, F.struct(F.col(id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_t")))
+    left = keyed.join(gone.select(F.struct("_id", "_t").alias(key)), key, "left_anti")
+    # The first row itself may stand there more than once.
+    again = groups.filter(F.struct("id", "t") == F.col("first")).groupBy("id", "t").count().filter("count > 1")
+    again = common.cut(again.select(F.struct(F.col("id").alias("_id"), F.col("t").alias("_t")).alias(key)))
+    if again.isEmpty():
+        return left.select(*df.columns)
+    return left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key])).select(*df.columns)
+
+
 class _Exact:
     """Links by full sets: 100 * intersection >= threshold * union."""
 

@@ -71,6 +71,34 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Rows of one id are one node; where rows are judged each, only their texts count."""
+    a, b, c = prose(11, 80), prose(12, 80), prose(13, 80)
+    near = a + " end"
+    df = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    found = lambda *rows: Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df(*rows), 3, 85).collect())
+    assert found((1, a), (2, a), (2, b), (3, b)) == Counter([(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False)])
+    assert found((4, a), (2, near), (4, ""), (4, c), (9, c), (5, b), (5, None)) == Counter([(4, 2, False)] * 3 + [(2, 2, True), (9, 2, False), (5, 5, True), (5, 5, True)])
+    left = lambda *rows: sorted(tuple(r) for r in neardup.keep_first(df(*rows), 3, 85).collect())
+    assert left((1, a), (5, a), (5, c)) == [(1, a), (5, c)]
+    assert left((2, b), (2, b), (2, c), (3, near), (3, a), (3, a), (7, "")) == sorted([(2, b), (2, c), (7, ""), min((3, near), (3, a), key=lambda r: spark_hash(spark, r[1]))])
+
+
+def spark_hash(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text)).alias("h")).first().h
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Hubs, hot buckets and large classes take the other way of a join to the same rows."""
+    base = prose(21, 120)
+    rows = [(i, base) for i in range(30)] + [(100 + i, base.replace("the", f"edit{i}", 1)) for i in range(40)] + [(200 + i, prose(50 + i, 60)) for i in range(20)] + [(300, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect())
+    monkeypatch.setattr("stillwave.llm.common.HOT_ROWS", 3)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect()) == plain
+    assert {r[0]: r[1:3] for r in plain} == linked(rows, 3, 85)
+
+
 def test_no_nested_loops(docs):
     plan = neardup.near_duplicates(docs)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan

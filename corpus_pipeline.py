@@ -33,16 +33,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that hangs together at a similarity of 0.8 of five-word
-    shingles: the one of the smallest id. Of rows that repeat an id one stays; rows
-    without an id, and texts without words, all stay."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, threshold=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    twice = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    shingles: the one of the smallest id. Each row is judged by its own text, so rows that
+    repeat an id with other texts stay; rows without an id, and texts without words, all
+    stay."""
+    return neardup.keep_first(docs, k=5, threshold=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

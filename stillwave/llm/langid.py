@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from stillwave.llm import common
 
-#: Texts that are learned from for a language (on average), the most characters of each,
-#: and the most characters in all.
-TEXTS, TEXT_CHARACTERS, CHARACTERS = 400, 20_000, 1_500_000
+#: Texts that are learned from for a language (on average), each whole.
+TEXTS = 400
 #: Signs in an n-gram; words are padded with a blank on either side.
 N = (3, 4)
-#: Slots of the filter and hash functions; at most so many n-grams of a language go in.
-SLOTS, HASHES, GRAMS = 1 << 18, 3, 20_000
+#: Slots of the filter and hash functions.
+SLOTS, HASHES = 1 << 18, 3
 #: An n-gram goes in for a language if it makes up at least so much of the language's
-#: n-grams, and at least this part of what it makes up in the language that has it most.
+#: n-grams (so no more than one over this go in), and at least this part of what it makes up
+#: in the language that has it most.
 LEAST_RATE, LEAST_PART = 4e-5, 0.3
 #: Characters that are looked up at once.
 BLOCK = 1 << 17
@@ -140,10 +140,11 @@ class Filter:
         return names, [0.0 if u else x for u, x in zip(und, score.tolist(), strict=True)]
 
 
-def build(counted: dict[str, dict[int, int]]) -> Filter:
-    """A filter from each language's counts by n-gram hash."""
+def build(counted: dict[str, dict[int, int]], totals: dict[str, int] | None = None) -> Filter:
+    """A filter from each language's counts by n-gram hash; ``totals`` are the counts of all its
+    n-grams, if these are but some."""
     languages = sorted(counted)
-    totals = {name: max(1, sum(c.values())) for name, c in counted.items()}
+    totals = totals or {name: max(1, sum(c.values())) for name, c in counted.items()}
     most: dict[int, float] = {}
     for name, c in counted.items():
         for g, k in c.items():
@@ -151,7 +152,7 @@ def build(counted: dict[str, dict[int, int]]) -> Filter:
     slots = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
     for bit, name in enumerate(languages):
         rates = ((k / totals[name], g) for g, k in counted[name].items())
-        kept = sorted((r, g) for r, g in rates if r >= LEAST_RATE and r >= LEAST_PART * most[g])[-GRAMS:]
+        kept = sorted((r, g) for r, g in rates if r >= LEAST_RATE and r >= LEAST_PART * most[g])
         h = np.array([g for _, g in kept], np.uint64)
         for k in range(HASHES):
             at = ((h * _MULTIPLY[k + 1]) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
@@ -162,36 +163,47 @@ def build(counted: dict[str, dict[int, int]]) -> Filter:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Filter:
     """A filter from labelled rows: for each language about TEXTS rows, those of the
-    smallest hashes of their id, of each the first TEXT_CHARACTERS, and of all CHARACTERS.
-    Rows without text or label teach nothing. The languages are the labels of those rows.
+    smallest hashes of their id, each whole. Rows without text or label teach nothing. The
+    languages are the labels of those rows.
 
-    How many rows a language has decides below which hash its rows are taken, so no task
-    passes on, or gathers, more than the sample.
+    How many rows a language has decides below which hash its rows are taken. Tasks count the
+    n-grams of their rows, Spark adds the counts up, and what reaches the driver are the
+    n-grams that make up at least LEAST_RATE of a language, at most one over it.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = rows.groupBy(F.col(lang).cast("string").alias("l")).count().collect()
     if not known:
-        return build({})
+        return build({}, {})
     chance = F.create_map(*[F.lit(x) for r in known for x in (r.l, min(1.0, TEXTS / r["count"]))])
-    rows = rows.select(F.col(lang).cast("string").alias("_l"), F.substring(F.col(text).cast("string"), 1, TEXT_CHARACTERS).alias("_t"), F.xxhash64(id).alias("_o"))
-    rows = rows.filter(F.pmod("_o", F.lit(1 << 40)) < F.lit(float(1 << 40)) * F.element_at(chance, F.col("_l")))
-
-    def count(table: pa.Table) -> pa.Table:
-        texts = sorted(zip(table["_o"].to_pylist(), table["_t"].to_pylist(), strict=True))
-        left, found = CHARACTERS, []
-        for _, t in texts:
-            found += [h for _, block in pieces([t[:left]]) for h, _ in grams(block)]
-            left -= len(t)
-            if left <= 0:
-                break
-        h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        keep = n >= max(2, LEAST_RATE / 4 * n.sum())
-        return pa.table(
-            {"l": table["_l"][:1], "h": pa.array([h[keep].astype(np.int64)], pa.list_(pa.int64())), "n": pa.array([n[keep]], pa.list_(pa.int64()))}
-        )
-
-    counted = rows.groupBy("_l").applyInArrow(count, "l string, h array<long>, n array<long>").collect()
-    return build({r.l: dict(zip((x & (2**64 - 1) for x in r.h), r.n, strict=True)) for r in counted})
+    rows = rows.select(F.col(lang).cast("string").alias("_l"), F.col(text).cast("string").alias("_t"), F.xxhash64(id).alias("_o"))
+    rows = rows.filter(F.pmod("_o", F.lit(1 << 40)) < F.lit(float(1 << 40)) * F.element_at(chance, F.col("_l"))).select("_l", "_t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts.setdefault(name, []).append(value)
+            for name, some in texts.items():
+                for _, block in pieces(some):
+                    for h, _ in grams(block):
+                        counted[name] = _added(*counted.get(name, (h[:0], np.empty(0, np.int64))), *np.unique(h, return_counts=True))
+        for name, (h, n) in counted.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["l", "h", "n"])
+
+    counted = common.cut(rows.mapInArrow(count, "l string, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n")))
+    totals = {r.l: r.n for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    least = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, max(2.0, LEAST_RATE * n))]) if totals else F.lit(None)
+    found: dict[str, dict[int, int]] = {r.l: {} for r in known}
+    for r in counted.filter(F.col("n") >= F.element_at(least, F.col("l"))).collect() if totals else []:
+        found[r.l][r.h & (2**64 - 1)] = r.n
+    return build(found, {name: max(1, totals.get(name, 0)) for name in found})
+
+
+def _added(h: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of two sets of hashes together."""
+    found, at = np.unique(np.concatenate([h, more]), return_inverse=True)
+    return found, np.bincount(at, np.concatenate([n, times]), len(found)).astype(np.int64)
 
 
 def predict(df: DataFrame, filter: Filter, text: str = "text", id: str = "doc_id") -> DataFrame:

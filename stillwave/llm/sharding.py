@@ -22,11 +22,12 @@ from stillwave.llm import common
 DRAWS = 32
 #: Ranges for each shard, and the most rows for which one range is meant.
 RANGES_PER_SHARD = 8
-ROWS_PER_RANGE = 250_000
-#: A group of equal texts stays in one shard if it takes at most this part of a shard.
+ROWS_PER_RANGE = 1_000_000
+#: A group of equal texts stays in one shard if it takes at most this part of a shard, and at
+#: most one range's share.
 GROUP_SHARE = 0.005
 #: Times that overfull ranges are sampled again.
-ROUNDS = 4
+ROUNDS = 6
 #: A range is overfull beyond so many times its share.
 OVERFULL = 2.0
 
@@ -86,7 +87,8 @@ def shard(df: DataFrame, shards: int, text: str = "text", id: str = "doc_id", ov
     ``text_crc32`` (unsigned, of the UTF-8 bytes), ``shard`` and ``slot``.
 
     Rows of equal text lie next to each other in the order, and share a shard if together
-    they take at most GROUP_SHARE of one; larger groups are split by id and row. A null text
+    they take at most GROUP_SHARE of one and at most one range; larger groups are split by id
+    and row. A null text
     has no bytes, so its size is ``overhead`` and its CRC 0; a null id sorts first. Repeated
     rows each get a slot of their own. An empty table gives an empty result. Other columns
     are left out, so their names can't clash.
@@ -125,7 +127,10 @@ def shard(df: DataFrame, shards: int, text: str = "text", id: str = "doc_id", ov
         for weight, key in draws:
             within[bisect.bisect_right(splitters, key)].append((weight, key))
         for r, bytes_ in over.items():
-            more += _quantiles(within[r], max(2, round(bytes_ / share)))
+            for key in _quantiles(within[r], max(2, round(bytes_ / share))):
+                # Cut before a whole group, unless the range itself begins there or within it.
+                start = (key[0], LOWEST, LOWEST)
+                more.append(start if not r or start > splitters[r - 1] else key)
         if not set(more) - set(splitters):
             break
         splitters = sorted({*splitters, *more})
@@ -147,7 +152,7 @@ def shard(df: DataFrame, shards: int, text: str = "text", id: str = "doc_id", ov
         .withColumn("_whole", F.sum("_size").over(group))
         .withColumn("_first", F.min("_start").over(group))
     )
-    small = F.col("_whole") <= F.lit(int(GROUP_SHARE * total / shards))
+    small = F.col("_whole") <= F.lit(int(min(GROUP_SHARE * total / shards, share)))
     twice_middle = F.when(small, 2 * F.col("_first") + F.col("_whole")).otherwise(F.col("_start") + F.col("_end"))
     where = F.expr(f"_twice_middle * {shards}L div {2 * max(1, total)}L")
     placed = common.cut(

@@ -110,17 +110,24 @@ EQUIVALENT: list[tuple[str, str]] = [
 
 def canonical_lines(text: F.Column, holder: str = COPYRIGHT_LINE) -> F.Column:
     """Lowered text without copyright lines, punctuation and variant spellings; words
-    stand between single spaces, lines stay."""
+    stand between blanks, lines stay."""
     out = F.regexp_replace(F.lower(text), "\r", "\n")
     # A line consumes the break before it, so a second pass isn't needed for adjacent lines.
     out = F.regexp_replace(out, holder, "\n")
     out = F.regexp_replace(out, NOT_WORDS, " ")
     out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), "\n", " \n ")
-    for old, new in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+    out = F.replace(out, F.lit(" "), F.lit("  "))
+    for old, new in spaced():
+        out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
+def spaced() -> list[tuple[str, str]]:
+    """EQUIVALENT for texts whose blanks are doubled: each word then has blanks of its own, so
+    that of neighbours none is passed over."""
+    return [(f" {old} ".replace(" ", "  ")[1:-1], f" {new} ".replace(" ", "  ")[1:-1]) for old, new in EQUIVALENT]
+
+
 def _squeezed(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
@@ -130,9 +137,9 @@ def _plain(text: str, holder: str = COPYRIGHT_LINE) -> str:
     out = re.sub("\r", "\n", text.lower())
     out = re.sub(holder, "\n", out)
     out = re.sub(NOT_WORDS.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), " ", out)
-    out = re.sub("\n", " \n ", f" {out} ")
-    for old, new in EQUIVALENT:
-        out = out.replace(f" {old} ", f" {new} ")
+    out = re.sub("\n", " \n ", f" {out} ").replace(" ", "  ")
+    for old, new in spaced():
+        out = out.replace(old, new)
     return re.sub(r"[ \n]+", " ", out).strip(" ")
 
 
@@ -193,8 +200,9 @@ def _sql() -> str:
     text = f"regexp_replace({text}, '{quote(COPYRIGHT_LINE)}', chr(10), 'g')"
     text = f"regexp_replace({text}, '{quote(NOT_WORDS)}', ' ', 'g')"
     text = f"replace(' ' || {text} || ' ', chr(10), ' ' || chr(10) || ' ')"
-    for old, new in EQUIVALENT:
-        text = f"replace({text}, ' {old} ', ' {new} ')"
+    text = f"replace({text}, ' ', '  ')"
+    for old, new in spaced():
+        text = f"replace({text}, '{old}', '{new}')"
     values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests(KNOWN).items()))
     notices = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests([k for k in KNOWN if chr(10) not in k[1].strip()]).items()))
     return f"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -44,6 +45,14 @@ def test_shards_of_one_text(spark):
     assert len(rows) == 3000 and sizes.max() - sizes.min() <= 2 * rows["size"].max() + 2 * 0.005 * sizes.mean()
 
 
+def test_groups_share_a_shard(spark):
+    """Beside a text that fills several shards, groups of five equal texts stay together."""
+    rows = [(i, f"{'word ' * 30}{i // 5}") for i in range(4000)] + [(4000 + i, "x" * 500) for i in range(3000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).toPandas()
+    assert (found[found.doc_id < 4000].groupby("text_crc32").shard.nunique() == 1).all()
+    assert found[found.doc_id >= 4000].shard.nunique() > 1
+
+
 def test_shards_odd(odd, none):
     rows, _ = shards(sharding.shard(odd, 4))
     assert len(rows) == odd.count() and rows[rows.doc_id == 1][["size", "text_crc32"]].values.tolist() == [[16, 0]]
@@ -72,6 +81,32 @@ def test_holder_lines_and_entire_licences(spark):
     assert found == {i: name for i, _, name in rows}
 
 
+def canonical_words(text):
+    """The canonical form word by word, written down apart from the operator's replacements."""
+    words = []
+    for line in text.lower().replace("\r", "\n").split("\n"):
+        if re.match(r"[^a-z0-9]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©)", line):
+            continue
+        found = re.findall("[a-z0-9\x80-\U0010ffff]+", line)
+        for old, new in licenses.EQUIVALENT:
+            old, out = old.split(), []
+            while found:
+                n = len(old) if found[: len(old)] == old else 0
+                out += new.split() if n else found[:1]
+                found = found[n or 1 :]
+            found = out
+        words += found
+    return " ".join(words)
+
+
+def test_canonical_form_word_by_word(spark, docs):
+    odd = ["licence licence licence\ncopyright owner copyright owner", "sub licence sub license, Centre-centre", "© 2020 Foo\n (c) 2021\nv v v https", "Copyright 2001\n\nwhilst\r\nwhilst"]
+    given = spark.createDataFrame(list(enumerate(odd, 10**6)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    texts = {r.doc_id: r.text for r in given.collect()}
+    found = {r.doc_id: r.canonical_sha256 for r in licenses.scan(given).collect()}
+    assert found == {d: None if t is None else hashlib.sha256(canonical_words(t).encode()).hexdigest() for d, t in texts.items()}
+
+
 def test_licence_lines_and_odd(spark, odd, none):
     df = spark.createDataFrame([(1, "Some words.\nReleased under the MIT License.\nlicensed under the apache licence, v 2.0"), (2, None), (3, "")], "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.scan(df).collect()}
@@ -241,6 +276,15 @@ def test_languages_held_out(spark, sf, docs, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    """What stands only behind the first 20,000 signs counts, and ties go to the first name."""
+    rows = [(i, ("mmmm nnnn " if i % 2 else "pppp qqqq ") * 2500 + ("zoky vuda " if i % 2 else "hefi gabu ") * 400, "xx" if i % 2 else "aa") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(["zoky vuda", "hefi gabu"])[0] == ["xx", "aa"]
+    same = langid.fit(spark.createDataFrame([(1, "abcd efgh", "b"), (2, "abcd efgh", "a"), (3, "abcd efgh", "b"), (4, "abcd efgh", "a")], "doc_id long, text string, lang string"))
+    assert same.predict(["abcd"])[0] == ["a"]
+
+
 def test_repeatable(spark, sf):
     first, second = (sorted(map(tuple, langid.query(spark, sf).collect())) for _ in range(2))
     assert first == second

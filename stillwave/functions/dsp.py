@@ -127,6 +127,29 @@ def whiten(x: np.ndarray, water: float = 0.01, quefrency: float | None = None, r
     return np.fft.irfft(spectrum / np.maximum(size, water * size.max()), len(x))
 
 
+def response(freqs: np.ndarray, poles: list[complex], zeros: list[complex], gain: float) -> np.ndarray:
+    """A sensor's response at frequencies in Hz, from poles and zeros in radians a second and
+    the gain that multiplies their quotient."""
+    s = 2j * np.pi * freqs
+    return gain * np.prod([s - z for z in zeros], axis=0) / np.prod([s - p for p in poles], axis=0)
+
+
+def remove_response(x: np.ndarray, rate: float, poles: list[complex], zeros: list[complex], gain: float, taper_share: float = 0.05, water_db: float = 60.0) -> np.ndarray:
+    """The motion that gave ``x`` through a response: demeaned, tapered, padded to twice the
+    length, and divided in the spectrum, where the response's size is raised to ``water_db``
+    below its largest. Where it is zero, as at no frequency, so is the result."""
+    x = x - x.mean()
+    width = int(len(x) * taper_share)
+    if width:
+        x = taper(x, taper_share)
+    n = 1 << (2 * len(x) - 1).bit_length()
+    h = response(np.fft.rfftfreq(n, 1 / rate), poles, zeros, gain)
+    size = np.abs(h)
+    floor = size.max() * 10 ** (-water_db / 20)
+    raised = np.where(size > 0, h / np.maximum(size, 1e-300) * np.maximum(size, floor), 1.0)
+    return np.fft.irfft(np.where(size > 0, np.fft.rfft(x, n) / raised, 0.0), n)[: len(x)]
+
+
 def power_spectrum(x: np.ndarray, rate: float) -> np.ndarray:
     """One-sided density 2 dt / n |X|^2; its sum times the step is the mean square."""
     n = len(x)

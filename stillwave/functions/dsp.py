@@ -12,16 +12,18 @@ import numpy as np
 
 def detrend(x: np.ndarray, order: int = 3) -> np.ndarray:
     """Less the least-squares polynomial, fitted over -1 to 1 for stability."""
-    if len(x) <= order:
-        return x - x.mean() if len(x) else x
-    t = np.linspace(-1, 1, len(x))
+    n = x.shape[-1]
+    if n <= order:
+        return x - x.mean(-1, keepdims=True) if n else x
+    t = np.linspace(-1, 1, n)
     basis, _ = np.linalg.qr(np.vander(t, order + 1))
-    return x - basis @ (basis.T @ x)
+    return x - (x @ basis) @ basis.T
 
 
 def taper(x: np.ndarray, share: float = 0.05) -> np.ndarray:
-    width = max(1, int(len(x) * share))
-    edge = np.minimum(np.arange(len(x)), np.arange(len(x))[::-1])
+    n = x.shape[-1]
+    width = max(1, int(n * share))
+    edge = np.minimum(np.arange(n), np.arange(n)[::-1])
     return x * np.where(edge >= width, 1.0, 0.5 * (1 - np.cos(np.pi * edge / width)))
 
 
@@ -70,20 +72,54 @@ def butterworth(low: float | None, high: float | None, rate: float, order: int =
     return sos
 
 
+#: Samples that a filter takes in one step.
+BLOCK = 128
+
+
+def _walk(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cascade over the last axis sample by sample, from a state (..., section, 2); the
+    output, and the states after each sample."""
+    out, states = np.empty_like(x), np.empty((x.shape[-1], *state.shape))
+    for i in range(x.shape[-1]):
+        v = x[..., i]
+        state = state.copy()
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+            w = b0 * v + state[..., k, 0]
+            state[..., k, 0] = b1 * v - a1 * w + state[..., k, 1]
+            state[..., k, 1] = b2 * v - a2 * w
+            v = w
+        out[..., i], states[i] = v, state
+    return out, states
+
+
 def run_sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The cascade over the last axis, from rest; traces run side by side."""
-    y = np.array(x, float)
-    for b0, b1, b2, _, a1, a2 in sos:
-        s1, s2 = np.zeros(y.shape[:-1]), np.zeros(y.shape[:-1])
-        out = np.empty_like(y)
-        for i in range(y.shape[-1]):
-            v = y[..., i]
-            w = b0 * v + s1
-            s1 = b1 * v - a1 * w + s2
-            s2 = b2 * v - a2 * w
-            out[..., i] = w
-        y = out
-    return y
+    """The cascade over the last axis, from rest; traces run side by side.
+
+    What a block of samples gives out, and the state that it leaves, are linear in the block
+    and in the state before it. The matrices follow from one impulse and the unit states, so
+    blocks are products of matrices, and only their states are passed on one by one.
+    """
+    x = np.asarray(x, float)
+    n, size = x.shape[-1], 2 * len(sos)
+    if n == 0:
+        return x
+    first, state = np.zeros((size + 1, BLOCK)), np.zeros((size + 1, len(sos), 2))
+    first[0, 0] = 1.0
+    state[1:] = np.eye(size).reshape(size, len(sos), 2)
+    given, left = _walk(sos, first, state)
+    left = left.reshape(BLOCK, size + 1, size)
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
+    of_block = np.where(lag >= 0, given[0][np.maximum(lag, 0)], 0.0).T
+    reach, over, of_state = left[::-1, 0], left[-1, 1:], given[1:]
+    blocks = -(-n // BLOCK)
+    padded = np.zeros((*x.shape[:-1], blocks * BLOCK))
+    padded[..., :n] = x
+    padded = padded.reshape(*x.shape[:-1], blocks, BLOCK)
+    added = padded @ reach
+    before = np.zeros((*x.shape[:-1], blocks, size))
+    for b in range(1, blocks):
+        before[..., b, :] = before[..., b - 1, :] @ over + added[..., b - 1, :]
+    return (padded @ of_block + before @ of_state).reshape(*x.shape[:-1], -1)[..., :n]
 
 
 def bandpass(x: np.ndarray, low: float | None, high: float | None, rate: float, order: int = 4, zero_phase: bool = False) -> np.ndarray:
@@ -117,14 +153,14 @@ def whiten(x: np.ndarray, water: float = 0.01, quefrency: float | None = None, r
     ``quefrency`` (seconds) the magnitude is smoothed by cutting its cepstrum there."""
     spectrum = np.fft.rfft(x)
     size = np.abs(spectrum)
-    if not size.max(initial=0):
-        return np.zeros_like(x)
     if quefrency is not None:
         cepstrum = np.fft.irfft(np.log(np.maximum(size, 1e-300)))
         cut = max(1, int(quefrency * rate))
-        cepstrum[cut : len(cepstrum) - cut + 1] = 0
-        size = np.exp(np.fft.rfft(cepstrum).real)[: len(spectrum)]
-    return np.fft.irfft(spectrum / np.maximum(size, water * size.max()), len(x))
+        cepstrum[..., cut : cepstrum.shape[-1] - cut + 1] = 0
+        size = np.exp(np.fft.rfft(cepstrum).real)[..., : spectrum.shape[-1]]
+    most = size.max(-1, keepdims=True, initial=0)
+    quiet = np.abs(spectrum).max(-1, keepdims=True, initial=0) == 0
+    return np.where(quiet, 0.0, np.fft.irfft(spectrum / np.maximum(size, np.maximum(water * most, 1e-300)), x.shape[-1]))
 
 
 def response(freqs: np.ndarray, poles: list[complex], zeros: list[complex], gain: float) -> np.ndarray:
@@ -152,23 +188,53 @@ def remove_response(x: np.ndarray, rate: float, poles: list[complex], zeros: lis
 
 def power_spectrum(x: np.ndarray, rate: float) -> np.ndarray:
     """One-sided density 2 dt / n |X|^2; its sum times the step is the mean square."""
-    n = len(x)
+    n = x.shape[-1]
     p = 2.0 / (rate * n) * np.abs(np.fft.rfft(x)) ** 2
-    p[0] /= 2
+    p[..., 0] /= 2
     if n % 2 == 0:
-        p[-1] /= 2
+        p[..., -1] /= 2
     return p
 
 
-def correlate(a: np.ndarray, b: np.ndarray, max_lag: int, normalise: bool = True) -> np.ndarray:
-    """Sums of a(i + lag) b(i) by Fourier transform, of demeaned traces, over the root of
-    both energies."""
-    a, b = a - a.mean(), b - b.mean()
-    n = 1 << (len(a) + len(b) - 1).bit_length()
+def segment_spectra(x: np.ndarray, rate: float, length: int, step: int, low: float, high: float, at: np.ndarray | None = None, tapered: float | None = None) -> np.ndarray:
+    """Densities 2 dt^2 / T |X|^2 of whole segments of a trace (segment, frequency), at the
+    transform's frequencies from ``low`` to ``high``, or interpolated to those of ``at``."""
+    n = 1 + (len(x) - length) // step if len(x) >= length else 0
+    parts = np.lib.stride_tricks.sliding_window_view(x, length)[::step][:n] if n else np.empty((0, length))
+    if tapered is not None:
+        parts = taper(parts, tapered)
+    freqs = np.arange((length - 1) // 2 + 1) * rate / length
+    held = (freqs >= low) & (freqs <= high)
+    size = np.abs(np.fft.rfft(parts)[:, : len(freqs)][:, held])
+    if at is not None:
+        size = np.array([np.interp(at, freqs[held], s) for s in size]).reshape(len(size), len(at))
+    return 2 / rate**2 / (length / rate) * size**2
+
+
+def mean_spectrum(spectra: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation (over n) of the segments whose energy lies strictly within the
+    quantiles at either end; NaN if there are none."""
+    energy = np.nansum(spectra, axis=1)
+    if len(energy):
+        low, high = np.nanquantile(energy, [quantile, 1 - quantile])
+        spectra = spectra[(energy > low) & (energy < high)]
+    if not len(spectra):
+        return np.full(spectra.shape[1], np.nan), np.full(spectra.shape[1], np.nan)
+    return spectra.mean(0), spectra.std(0)
+
+
+def correlate(a: np.ndarray, b: np.ndarray, max_lag: int, normalise: bool = True, demean: bool = True) -> np.ndarray:
+    """Sums of a(i + lag) b(i) over the last axis by Fourier transform, for lags from -max_lag
+    to max_lag; demeaned, and over the root of both energies."""
+    if demean:
+        a, b = a - a.mean(-1, keepdims=True), b - b.mean(-1, keepdims=True)
+    n = 1 << (max(a.shape[-1], b.shape[-1]) + max(max_lag, 1)).bit_length()
     full = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)
-    out = np.concatenate([full[-max_lag:], full[: max_lag + 1]]) if max_lag else full[:1]
-    energy = np.sqrt((a * a).sum() * (b * b).sum())
-    return out / energy if normalise and energy > 0 else out
+    out = np.concatenate([full[..., n - max_lag :], full[..., : max_lag + 1]], -1)
+    if not normalise:
+        return out
+    energy = np.sqrt((a * a).sum(-1, keepdims=True) * (b * b).sum(-1, keepdims=True))
+    return out / np.where(energy > 0, energy, 1.0)
 
 
 def classic_sta_lta(x: np.ndarray, short: int, long: int) -> np.ndarray:

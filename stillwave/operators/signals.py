@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillwave.config import PPSDParams
 from stillwave.functions import dsp
 
 
 def _stage(name: str, rate: float, o: dict):
-    """The function of one trace that a stage's name and options stand for."""
+    """The function of traces side by side that a stage's name and options stand for."""
     if name == "detrend":
         return lambda x: dsp.detrend(x, o["order"])
     if name == "resample":
@@ -26,32 +28,100 @@ def _stage(name: str, rate: float, o: dict):
         return lambda x: dsp.power_spectrum(x, rate)
     if name == "process":  # whiten, filter, one-bit
         return lambda x: np.sign(dsp.bandpass(dsp.whiten(x, o["water"], o.get("quefrency"), rate), o["low"], o["high"], rate))
-    if name == "preprocess":  # detrend, demean, resample, taper, filter, and the same without delay
+    if name == "preprocess":  # detrend, demean, resample, taper, filter, response, and filter without delay
         new = o["new_rate"]
 
         def whole(x: np.ndarray) -> np.ndarray:
             x = dsp.detrend(x)
-            x = dsp.taper(dsp.resample(x - x.mean(), rate, new))
-            return dsp.bandpass(dsp.bandpass(x, o["low"], o["high"], new), o["low"], o["high"], new, zero_phase=True)
+            x = dsp.taper(dsp.resample(x - x.mean(-1, keepdims=True), rate, new))
+            x = dsp.bandpass(x, o["low"], o["high"], new)
+            if o.get("response"):
+                x = dsp.remove_response(x, new, *o["response"])
+            return dsp.bandpass(x * o.get("coefficient", 1.0), o["low"], o["high"], new, zero_phase=True)
 
         return whole
     raise ValueError(f"no stage {name}")
 
 
+#: Samples that a stage works on at once.
+SAMPLES = 4_000_000
+
+
+def _side_by_side(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and matrices of the traces that aren't null, by length, in bounded parts."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        places = np.flatnonzero(lengths == n)
+        few = max(1, SAMPLES // max(1, n))
+        for k in range(0, len(places), few):
+            at = places[k : k + few]
+            yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+
+
 def per_trace(df: DataFrame, stage: str, rate: float, id: str = "vec_id", array: str = "x", **options) -> DataFrame:
-    """``id`` and ``y``, the stage's result for each trace; a null trace stays null. One
-    narrow pass: nothing is shuffled, and a batch of traces is in memory at once."""
+    """``id`` and ``y``, the stage's result for each trace; a null trace stays null, an empty one
+    empty. One narrow pass: nothing is shuffled, and traces of one length run side by side."""
     run = _stage(stage, rate, options)
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
-            out = [run(v.values.to_numpy(zero_copy_only=False).astype(float)) if v.is_valid else None for v in batch.column(1)]
+            out: list = [None] * batch.num_rows
+            for at, x in _side_by_side(batch.column(1)):
+                for i, y in zip(at, run(x) if x.shape[1] else x, strict=True):
+                    out[i] = y
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [id, "y"])
 
     kind = df.schema[id].dataType.simpleString()
     return df.select(id, F.col(array).cast("array<double>").alias(array)).mapInArrow(batches, f"{id} {kind}, y array<double>")
 
 
+def correlations(df: DataFrame, keys: list[str], a: str, b: str, max_lag: int, normalise: bool = True, demean: bool = True) -> DataFrame:
+    """``keys`` and ``y``, the correlation of both arrays at lags from -max_lag to max_lag, by
+    Fourier transform. Null where either is null or empty or their lengths differ. Narrow."""
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            first, second = batch.column(len(keys)), batch.column(len(keys) + 1)
+            other = pc.fill_null(pc.list_value_length(second), -1).to_numpy(zero_copy_only=False)
+            out: list = [None] * batch.num_rows
+            for at, x in _side_by_side(first):
+                same = other[at] == x.shape[1]
+                at, x = at[same], x[same]
+                if x.size:
+                    y = second.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(x.shape)
+                    for i, c in zip(at, dsp.correlate(x, y, max_lag, normalise, demean), strict=True):
+                        out[i] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.list_(pa.float64()))], [*keys, "y"])
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, F.col(a).cast("array<double>").alias("_a"), F.col(b).cast("array<double>").alias("_b")).mapInArrow(batches, f"{kinds}, y array<double>")
+
+
+def spectra(df: DataFrame, params: PPSDParams, id: str = "vec_id", array: str = "x") -> DataFrame:
+    """``id``, ``mean`` and ``std`` of the densities of a trace's segments, without those of too
+    little or too much energy, and ``segments``, how many there were; null for a trace
+    shorter than one."""
+    at = np.array(params.resampled_frequencies) if params.resample else None
+    tapered = None if params.taper_type is None else (params.taper_max_percentage or 0.05)
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            out: list[list] = [[], [], []]
+            for v in batch.column(1):
+                values = (None, None, 0)
+                if v.is_valid:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(float)
+                    found = dsp.segment_spectra(x, params.sampling_rate, params.segment_samples, params.step_samples, params.freq_min, params.freq_max, at, tapered)
+                    values = (*dsp.mean_spectrum(found, params.rejected_windows_quantile), len(found)) if len(found) else values
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            kinds = (pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], [id, "mean", "std", "segments"])
+
+    kind = df.schema[id].dataType.simpleString()
+    return df.select(id, F.col(array).cast("array<double>")).mapInArrow(batches, f"{id} {kind}, mean array<double>, std array<double>, segments long")
+
+
 def array_response(stations: DataFrame, axis: list[float], freqs: list[float]) -> DataFrame:
     """Array response on a slowness grid: the trapezoid over frequencies of the squared sum
     of the stations' phases, over its maximum. Grid and frequencies are literals; the sums

@@ -2,18 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys whose sums a task holds before it passes them on.
+HELD = 4096
+
+
 def linear_stack(df: DataFrame, keys: list[str], array: str, least: int = 1) -> DataFrame:
     """``stack``, the elementwise mean of a group's arrays, and ``no_ccfs``, of groups of at
-    least so many. Sums are combined by place before the shuffle; a group's arrays are
-    never gathered."""
-    long = df.select(*keys, F.posexplode(array).alias("_i", "_v"))
-    means = long.groupBy(*keys, "_i").agg(F.avg("_v").alias("_m"), F.count("*").alias("_n"))
-    whole = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s"), F.max("_n").alias("no_ccfs"))
-    return whole.filter(F.col("no_ccfs") >= least).select(*keys, F.col("_s._m").alias("stack"), "no_ccfs")
+    least so many. A place that only some arrays have is their mean; null arrays don't count.
+
+    Tasks add up the arrays of each key before anything is shuffled, so what meets for a key
+    is one array of sums from each task, however many rows the key has.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "sums", "counts", "n"]
+
+    def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if len(a) < len(b):
+            a, b = b, a
+        out = a.copy()
+        out[: len(b)] += b
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray, int]] = {}
+        schema = None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(schema)]
+            sums, counts, n = zip(*held.values(), strict=True)
+            columns += [pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64())), pa.array(n, pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            schema = [batch.schema.field(i).type for i in range(len(keys))]
+            for *key, v in zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), batch.column(len(keys)), strict=True):
+                if not v.is_valid:
+                    continue
+                x = v.values.to_numpy(zero_copy_only=False).astype(float)
+                s, c, n = held.get(tuple(key), (x[:0], np.empty(0, np.int64), 0))
+                held[tuple(key)] = (added(s, x), added(c, np.ones(len(x), np.int64)), n + 1)
+                if len(held) >= HELD:
+                    yield out()
+        if held:
+            yield out()
+
+    def together(group: pa.Table) -> pa.Table:
+        sums, counts = np.empty(0), np.empty(0, np.int64)
+        for s, c in zip(group["sums"], group["counts"], strict=True):
+            sums, counts = added(sums, s.values.to_numpy(zero_copy_only=False)), added(counts, c.values.to_numpy(zero_copy_only=False))
+        return pa.table([*(group[k].slice(0, 1) for k in keys), pa.array([sums / np.maximum(counts, 1)], pa.list_(pa.float64())), pa.array([sum(group["n"].to_pylist())], pa.int64())], names=[*keys, "stack", "no_ccfs"])
+
+    parts = df.select(*keys, F.col(array).cast("array<double>")).mapInArrow(run, f"{kinds}, sums array<double>, counts array<long>, n long")
+    return parts.groupBy(*keys).applyInArrow(together, f"{kinds}, stack array<double>, no_ccfs long").filter(F.col("no_ccfs") >= least)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, low: float, step: float, bins: int) -> DataFrame:

@@ -87,7 +87,7 @@ def ccfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = B.waveforms(spark, sf_dir)
     a = w.select(F.col("vec_id").alias("a"), F.col("label").alias("label_a"), F.col("x").alias("xa")).withColumn("b", F.explode(F.sequence(F.col("a"), F.col("a") + 2)))
     b = w.select(F.col("vec_id").alias("b"), F.col("label").alias("label_b"), F.col("x").alias("xb"))
-    return a.join(b, "b").select("a", "b", "label_a", "label_b", A.cross_correlation(F.col("xa"), F.col("xb"), 10).alias("y"))
+    return signals.correlations(a.join(b, "b"), ["a", "b", "label_a", "label_b"], "xa", "xb", 10, normalise=False, demean=False)
 
 
 @PLANS.add("dsp13_cross_correlation", f"WITH {_CCF_SQL} SELECT a, b, {_R('y')} AS y FROM ccf")
@@ -156,16 +156,20 @@ def jn9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.bucketed_containment_join(c, w, "starttime", "endtime", "w_start", "w_end", 21600).groupBy("w_start").agg(F.count("*").alias("no_ccfs"))
 
 
+def qctwo() -> list:
+    a, b = F.col("a"), F.col("b")
+    return [(a >= 10).alias("ok_starttime"), (b <= 480).alias("ok_endtime"), (~C.overlaps(a, b, F.lit(100), F.lit(120))).alias("ok_accepted_time")]
+
+
 @PLANS.add("qcv5_qctwo", f"""WITH {_CCF_SQL} SELECT a, b, a >= 10 AS ok_starttime, b <= 480 AS ok_endtime, NOT (a <= 120 AND b >= 100) AS ok_accepted_time FROM ccf""")
 def qcv5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return ccfs(spark, sf_dir).select("a", "b", (a >= 10).alias("ok_starttime"), (b <= 480).alias("ok_endtime"), (~C.overlaps(a, b, F.lit(100), F.lit(120))).alias("ok_accepted_time"))
+    return ccfs(spark, sf_dir).select("a", "b", *qctwo())
 
 
 @PLANS.add("ag4_passing_ccfs", f"WITH {_CCF_SQL} SELECT label_a, count(*) AS n FROM ccf WHERE a >= 10 AND b <= 480 AND NOT (a <= 120 AND b >= 100) GROUP BY label_a")
 def ag4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = qcv5(spark, sf_dir).select("a", "b", K.passing(["ok_starttime", "ok_endtime", "ok_accepted_time"]))
-    return K.passed_only(ccfs(spark, sf_dir), verdicts, ["a", "b"]).groupBy("label_a").agg(F.count("*").alias("n"))
+    found = ccfs(spark, sf_dir).select("a", "b", "label_a", *qctwo())
+    return found.filter(K.passing(["ok_starttime", "ok_endtime", "ok_accepted_time"])).groupBy("label_a").agg(F.count("*").alias("n"))
 
 
 @PLANS.add("dsp23_ccf_matrix", f"WITH {_CCF_SQL} SELECT a AS midtime, list(list_transform(y, lambda v: round(v, 6) + 0.0) ORDER BY b) AS matrix FROM ccf GROUP BY a")

@@ -166,31 +166,33 @@ class Network:
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of the symbols x (step, stream); where ``fresh`` is set, a
         document begins and the state before is zero."""
-        table, gates, new = self.w["table"], self.w["gates"], self.w["new"]
-        out = np.empty((*x.shape, STATE), np.float32)
+        # Streams are laid side by side in memory, so that each gate is one block of numbers.
+        gates, new = np.ascontiguousarray(self.w["gates"].T), np.ascontiguousarray(self.w["new"].T)
+        inputs = np.ascontiguousarray(self.w["table"][x].transpose(0, 2, 1))
+        out = np.empty((len(x), STATE, x.shape[1]), inputs.dtype)
         begins = fresh.any(1)
-        inputs = table[x]
+        h = np.ascontiguousarray(h.T)
         for t in range(len(x)):
             if begins[t]:
-                h = h * ~fresh[t][:, None]
+                h = h * ~fresh[t]
             a = inputs[t]
-            zr = h @ gates
-            zr += a[:, : 2 * STATE]
+            zr = gates @ h
+            zr += a[: 2 * STATE]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :STATE], zr[:, STATE:]
+            z, r = zr[:STATE], zr[STATE:]
             rh = r * h
-            c = rh @ new
-            c += a[:, 2 * STATE :]
+            c = new @ rh
+            c += a[2 * STATE :]
             np.tanh(c, out=c)
             if keep is not None:
                 keep.append((h, z, r, rh, c))
             d = c - h
             d *= z
             h = np.add(h, d, out=out[t])
-        return out
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
 
     def _exp(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The logits at y, and the exponentials of all. A state is within -1 and 1, so the
@@ -206,67 +208,83 @@ class Network:
         """Natural logs of the probabilities of the symbols y (for a spelling class, of the
         class alone) after the states h."""
         k = self.class_of[y]
+        order, parts = self._by_class(k)
+        h, y, k = h[order], y[order], k[order]
         out, e = self._exp(h, self.w["classes"], self.w["class_bias"], k)
         sums = e @ np.ones(e.shape[1], np.float32)
-        for c, rows in self._by_class(k):
-            s, t = self.v.bounds[c], self.v.bounds[c + 1]
-            at, e = self._exp(h[rows], self.w["words"][:, s:t], self.w["word_bias"][s:t], y[rows] - s)
+        for rows, words in parts:
+            at, e = self._exp(h[rows], self.w["words"][:, words], self.w["word_bias"][words], y[rows] - words.start)
             out[rows] += at
-            sums[rows] *= e @ np.ones(t - s, np.float32)
-        return out.astype(np.float64) - np.log(sums.astype(np.float64))
-
-    def _by_class(self, k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            sums[rows] *= e @ np.ones(e.shape[1], np.float32)
+        logs = np.empty(len(y))
+        logs[order] = out.astype(np.float64) - np.log(sums.astype(np.float64))
+        return logs
+
+    def _by_class(self, k: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """An order by class; and there, for every learned class of several words that occurs,
+        its rows and its words."""
         order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(len(self.v.bounds)))
-        for c in range(len(self.v.bounds) - 1):
-            if ends[c + 1] > ends[c] and self.v.bounds[c + 1] - self.v.bounds[c] > 1:
-                yield c, order[ends[c] : ends[c + 1]]
+        ends = np.searchsorted(k[order], np.arange(len(self.v.bounds))).tolist()
+        parts = zip(ends, ends[1:], self.v.bounds, self.v.bounds[1:], strict=False)
+        return order, [(slice(a, b), slice(s, t)) for a, b, s, t in parts if b > a and t - s > 1]
 
     def learn(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         """One window of truncated backpropagation; returns the last state. Where ``real``
         is given, targets outside it fill up a stream and teach nothing."""
         keep: list = []
-        hs = self.states(x, fresh, h0, keep)
-        flat, target = hs.reshape(-1, STATE), y.reshape(-1)
-        n = len(target)
-        k = self.class_of[target]
+        hs, begins = self.states(x, fresh, h0, keep), fresh.any(1)
+        n = y.size
+        k = self.class_of[y.reshape(-1)]
+        order, parts = self._by_class(k)
+        flat, target, k = hs.reshape(-1, STATE)[order], y.reshape(-1)[order], k[order]
         _, p = self._exp(flat, self.w["classes"], self.w["class_bias"], k)
         p /= p.sum(1, keepdims=True)
         p[np.arange(n), k] -= 1
         if real is not None:
-            real = real.reshape(-1)
+            real = real.reshape(-1)[order]
             p *= real[:, None]
         g = {"classes": flat.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(self.w["words"]), "word_bias": np.zeros_like(self.w["word_bias"])}
-        d_flat = p @ self.w["classes"].T
-        for c, rows in self._by_class(k):
-            s, t = self.v.bounds[c], self.v.bounds[c + 1]
-            _, q = self._exp(flat[rows], self.w["words"][:, s:t], self.w["word_bias"][s:t], target[rows] - s)
+        d_sorted = p @ self.w["classes"].T
+        for rows, words in parts:
+            at = target[rows] - words.start
+            _, q = self._exp(flat[rows], self.w["words"][:, words], self.w["word_bias"][words], at)
             q /= q.sum(1, keepdims=True)
-            q[np.arange(len(rows)), target[rows] - s] -= 1
+            q[np.arange(len(at)), at] -= 1
             if real is not None:
                 q *= real[rows][:, None]
-            g["words"][:, s:t] = flat[rows].T @ q
-            g["word_bias"][s:t] = q.sum(0)
-            d_flat[rows] += q @ self.w["words"][:, s:t].T
-        d_out = d_flat.reshape(hs.shape)
-        d_in = np.empty((*x.shape, 3 * STATE), np.float32)
-        g["gates"], g["new"] = np.zeros_like(self.w["gates"]), np.zeros_like(self.w["new"])
-        d_next = np.zeros_like(h0)
+            g["words"][:, words] = flat[rows].T @ q
+            g["word_bias"][words] = q.sum(0)
+            d_sorted[rows] += q @ self.w["words"][:, words].T
+        d_flat = np.empty_like(d_sorted)
+        d_flat[order] = d_sorted
+        d_out = np.ascontiguousarray(d_flat.reshape(hs.shape).transpose(0, 2, 1))
+        d_in = np.empty((len(x), 3 * STATE, x.shape[1]), d_out.dtype)
+        # What doesn't depend on later steps is computed for all steps at once.
+        h, z, r, rh, c = (np.stack(a) for a in zip(*keep, strict=True))
+        rest = 1 - z
+        by_z, by_r, by_new = (c - h) * z * rest, h * r * (1 - r), z * (1 - c * c)
+        d_next = np.zeros_like(d_out[0])
         for t in reversed(range(len(x))):
-            h, z, r, rh, c = keep[t]
-            d = d_out[t] + d_next
-            d_new = d * z * (1 - c * c)
-            d_rh = d_new @ self.w["new"].T
-            d_zr = np.concatenate([d * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)], 1)
-            d_next = (d * (1 - z) + d_rh * r + d_zr @ self.w["gates"].T) * ~fresh[t][:, None]
-            g["gates"] += h.T @ d_zr
-            g["new"] += rh.T @ d_new
-            d_in[t, :, : 2 * STATE], d_in[t, :, 2 * STATE :] = d_zr, d_new
+            d, step = d_out[t], d_in[t]
+            d += d_next
+            np.multiply(d, by_z[t], out=step[:STATE])
+            np.multiply(d, by_new[t], out=step[2 * STATE :])
+            d_rh = self.w["new"] @ step[2 * STATE :]
+            np.multiply(d_rh, by_r[t], out=step[STATE : 2 * STATE])
+            d_rh *= r[t]
+            d_next = d * rest[t]
+            d_next += d_rh
+            d_next += self.w["gates"] @ step[: 2 * STATE]
+            if begins[t]:
+                d_next *= ~fresh[t]
+        g["gates"] = np.matmul(h, d_in[:, : 2 * STATE].transpose(0, 2, 1)).sum(0)
+        g["new"] = np.matmul(rh, d_in[:, 2 * STATE :].transpose(0, 2, 1)).sum(0)
+        flat_in = d_in.transpose(0, 2, 1).reshape(n, -1)
         symbols = x.reshape(-1)
         order = np.argsort(symbols, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) > 0]))
         g["table"] = np.zeros_like(self.w["table"])
-        g["table"][symbols[order][first]] = np.add.reduceat(d_in.reshape(n, -1)[order], first, axis=0)
+        g["table"][symbols[order][first]] = np.add.reduceat(flat_in[order], first, axis=0)
         self._descend(g, n if real is None else int(real.sum()))
         return hs[-1]
 

@@ -371,3 +371,91 @@ def deconvolve(beam: np.ndarray, response: np.ndarray, sources: int) -> tuple[li
         weights = nnls(response[:, chosen], target)
         rest = target - response[:, chosen] @ weights
     return chosen, weights, float(np.sqrt((rest**2).mean())) if rest.size else 0.0
+
+
+def beam_maps(spectra: np.ndarray, freqs: np.ndarray, delays: np.ndarray, method: str = "beamforming") -> tuple[np.ndarray, np.ndarray]:
+    """Absolute and relative beam power of every node, summed over frequencies.
+
+    ``delays`` has each station's delay at each node (seconds). With the covariance R of the n
+    stations and unit phases e, the power at a frequency is e^H R e / n^2 or, by Capon,
+    1 / (e^H R^-1 e); the relative one is the sum over the stations' mean power, so it is 1
+    where all stations agree.
+    """
+    n = len(spectra)
+    total = np.zeros(delays.shape[1])
+    for k, f in enumerate(freqs):
+        e = np.exp(-2j * np.pi * f * delays)
+        x = spectra[:, k]
+        if method == "capon":
+            inverse = np.linalg.pinv(np.outer(x, x.conj()) + 1e-3 * (np.abs(x) ** 2).mean() * np.eye(n), rcond=1e-6)
+            total += 1 / np.maximum((e.conj() * (inverse @ e)).sum(0).real, 1e-300)
+        else:
+            total += np.abs(e.conj().T @ x) ** 2 / n**2
+    power = (np.abs(spectra) ** 2).mean(0).sum()
+    return total, total / power if power > 0 else np.zeros_like(total)
+
+
+def plane_delays(places: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Delays of plane waves of slowness (x, y) at stations; nodes run over y within x."""
+    sx, sy = np.meshgrid(x, y, indexing="ij")
+    return places @ np.stack([sx.ravel(), sy.ravel()])
+
+
+def source_delays(places: np.ndarray, x: np.ndarray, y: np.ndarray, slowness: float = 1.0) -> np.ndarray:
+    """Delays of waves from sources at (x, y): distance times slowness (matched field)."""
+    sx, sy = np.meshgrid(x, y, indexing="ij")
+    return slowness * np.hypot(sx.ravel()[None] - places[:, :1], sy.ravel()[None] - places[:, 1:2])
+
+
+def _around(grid: np.ndarray, size: int, largest: bool) -> np.ndarray:
+    """The largest (or smallest) value in the square of so many nodes around each node;
+    beyond the edges the grid is mirrored."""
+    before, after = size // 2, size - 1 - size // 2
+    padded = np.pad(grid, (before, after), mode="symmetric") if before <= min(grid.shape) else np.pad(grid, (before, after), mode="edge")
+    for axis in (0, 1):
+        view = np.lib.stride_tricks.sliding_window_view(padded, size, axis=axis)
+        padded = view.max(-1) if largest else view.min(-1)
+    return padded
+
+
+def peaks(grid: np.ndarray, size: float = 3, threshold: float = 0.0, count: int = 10) -> list[tuple[int, int]]:
+    """Nodes that are the largest within ``size`` nodes around them, where the values there
+    differ by more than ``threshold``. Adjoining nodes count as one, at the middle of their
+    bounding box. The largest ``count``, ties by place."""
+    size = max(1, int(size))
+    high = _around(grid, size, True)
+    top = (grid == high) & (high - _around(grid, size, False) > threshold)
+    seen, found = np.zeros_like(top), []
+    for start in zip(*np.nonzero(top), strict=True):
+        if seen[start]:
+            continue
+        front, members = [start], []
+        seen[start] = True
+        while front:
+            i, j = front.pop()
+            members.append((i, j))
+            for at in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
+                if 0 <= at[0] < grid.shape[0] and 0 <= at[1] < grid.shape[1] and top[at] and not seen[at]:
+                    seen[at] = True
+                    front.append(at)
+        rows, columns = zip(*members, strict=True)
+        found.append((int(min(rows) + max(rows)) // 2, int(min(columns) + max(columns)) // 2))
+    return sorted(found, key=lambda p: (-grid[p], p))[:count]
+
+
+def significant(windows: list[list[tuple[int, int, float]]], least: float) -> list[tuple[int, int, float, int, float]]:
+    """Peaks (i, j, amplitude) of windows by place: mean amplitude, how often, and mean share.
+    A peak counts if its share of its window's amplitudes is over ``least``, which is halved
+    until some peak does. Largest first."""
+    shares = [(i, j, a, a / sum(p[2] for p in w)) for w in windows for i, j, a in w if sum(p[2] for p in w) > 0]
+    if not shares:
+        return []
+    most = max(s[3] for s in shares)
+    while most <= least:
+        least /= 2
+    held: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    for i, j, a, share in shares:
+        if share > least:
+            held.setdefault((i, j), []).append((a, share))
+    out = [(i, j, sum(a for a, _ in v) / len(v), len(v), sum(s for _, s in v) / len(v)) for (i, j), v in held.items()]
+    return sorted(out, key=lambda p: (-p[2], p[:2]))

@@ -43,12 +43,17 @@ def slices(records: DataFrame, spans: DataFrame, keys: list[str], bucket_s: int)
 
 
 def chunks(records: DataFrame, spans: DataFrame, keys: list[str], params: DatachunkParams, rate: float, bucket_s: int = 3600) -> DataFrame:
+    """What :func:`filled` makes of the records' slices."""
+    return filled(slices(records, spans, keys, bucket_s), keys, params, rate)
+
+
+def filled(sliced: DataFrame, keys: list[str], params: DatachunkParams, rate: float) -> DataFrame:
     """One row for each key and window with any samples: ``samples`` that fill the window,
     ``deficit`` (how many were missing) and, where they can't, null samples and a ``problem``.
 
     A group holds one window of one channel, so it is as large as the window is long.
     """
-    kinds = [records.schema[k].dataType.simpleString() for k in keys]
+    kinds = [sliced.schema[k].dataType.simpleString() for k in keys]
 
     def run(group: pa.Table) -> pa.Table:
         parts = [T.Trace(at / 1e6, r, np.array(x)) for at, r, x in zip(*(group[c].to_pylist() for c in ("at", "rate", "samples")), strict=True)]
@@ -68,4 +73,4 @@ def chunks(records: DataFrame, spans: DataFrame, keys: list[str], params: Datach
         )
 
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)), "timespan_id long, samples array<double>, deficit long, problem string"])
-    return slices(records, spans, keys, bucket_s).groupBy(*keys, "timespan_id").applyInArrow(run, schema)
+    return sliced.groupBy(*keys, "timespan_id").applyInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwave.config import PPSDParams
+from stillwave.config import BeamformingParams, EventDetectionParams, PPSDParams
 from stillwave.functions import dsp
 
 
@@ -170,3 +170,91 @@ def beams(traces: DataFrame, rate: float, low: float, high: float, axis: list[fl
 
     schema = "timespan_id long, rank int, sx double, sy double, slowness double, azimuth double, power double"
     return traces.select("timespan_id", "vec_id", "x", "px", "py").groupBy("timespan_id").applyInArrow(run, schema)
+
+
+def beam_peaks(traces: DataFrame, params: BeamformingParams, rate: float, source: bool = False) -> DataFrame:
+    """Peaks of the beams of each window of analysis: ``timespan_id``, ``kind`` (average or all
+    windows of beam power, absolute or relative), ``rank``, ``sx``, ``sy``, ``slowness``,
+    ``azimuth``, ``backazimuth``, ``amplitude``, ``occurrences`` and ``proportion``.
+
+    ``traces`` has ``timespan_id``, ``vec_id``, ``x``, ``px``, ``py``: one row for each station,
+    so a group is as large as the array. Within it the beam runs over whole windows of the
+    parameters' length and step. Windows of analysis with fewer traces of one length than the
+    parameters ask for are left out. With ``source`` nodes are places, not slownesses.
+    """
+    x, y = (np.array(params.axis(a)) for a in "xy")
+    length, step = int(round(params.window_s * rate)), max(1, int(round(params.step_s * rate)))
+    kinds = [f"{which}_{power}power" for power in ("abs", "rel") for which in ("average", "all")]
+    wanted = [k for k in kinds if getattr(params, "extract_peaks_" + k.replace("average_", "average_beamformer_").replace("all_", "all_beamformers_"))]
+
+    def run(table: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(11)]
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("vec_id", "x", "px", "py")), strict=True))
+        rows = [r for r in rows if r[1] is not None and len(r[1]) == max(len(q[1] or []) for q in rows)]
+        if len(rows) >= params.minimum_trace_count and len(rows[0][1]) >= length:
+            data, places = np.array([r[1] for r in rows], float), np.array([r[2:] for r in rows], float)
+            freqs = np.fft.rfftfreq(length, 1 / rate)
+            band = (freqs >= params.min_freq) & (freqs <= params.max_freq)
+            maps: dict[str, list[np.ndarray]] = {"abs": [], "rel": []}
+            for s in range(0, data.shape[1] - length + 1, step):
+                spectra = np.fft.rfft(data[:, s : s + length])[:, band]
+                kept = dsp.statistical_reject(spectra, params.n_sigma_stat_reject) if params.perform_statistical_reject else np.ones(len(spectra), bool)
+                delays = dsp.source_delays(places[kept], x, y) if source else dsp.plane_delays(places[kept], x, y)
+                for name, m in zip(("abs", "rel"), dsp.beam_maps(spectra[kept], freqs[band], delays, params.method), strict=True):
+                    maps[name].append(m.reshape(len(x), len(y)))
+            for kind in wanted:
+                held = maps[kind.split("_")[1][:3]]
+                held = [np.mean(held, axis=0)] if kind.startswith("average") else held
+                tops = [[(i, j, float(m[i, j])) for i, j in dsp.peaks(m, params.neighborhood, params.maxima_threshold, params.best_point_count)] for m in held]
+                for rank, (i, j, amplitude, n, share) in enumerate(dsp.significant(tops, params.beam_portion_threshold), 1):
+                    azimuth = float(np.degrees(np.arctan2(x[i], y[j])))
+                    values = (table["timespan_id"][0].as_py(), kind, rank, float(x[i]), float(y[j]), float(np.hypot(x[i], y[j])), azimuth, azimuth % -360 + 180, amplitude, n, share)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+        types = [pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * 6, pa.int32(), pa.float64()]
+        names = ["timespan_id", "kind", "rank", "sx", "sy", "slowness", "azimuth", "backazimuth", "amplitude", "occurrences", "proportion"]
+        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    schema = "timespan_id long, kind string, rank int, sx double, sy double, slowness double, azimuth double, backazimuth double, amplitude double, occurrences int, proportion double"
+    return traces.select("timespan_id", "vec_id", "x", "px", "py").groupBy("timespan_id").applyInArrow(run, schema)
+
+
+def detections(df: DataFrame, params: EventDetectionParams, rate: float, keys: list[str], array: str = "x") -> DataFrame:
+    """Events of each trace: ``keys``, ``first`` and ``last`` sample (with the margin, within the
+    trimmed trace), ``pgv`` (largest size there) and ``ratio`` (the largest STA/LTA; null for
+    spikes). The trace is trimmed and filtered first. Averages are as long as so many periods
+    of the lowest frequency; spikes are samples of at least the threshold, joined over the
+    margin. Narrow: none or several rows for each trace."""
+    margin, trim = int(round(params.output_margin_length_sec * rate)), int(round((params.trace_trimming_sec or 0) * rate))
+
+    def events(x: np.ndarray) -> list[tuple[int, int, float, float | None]]:
+        x = x[trim : len(x) - trim]
+        if not len(x):
+            return []
+        if params.minimum_frequency is not None and params.maximum_frequency is not None:
+            x = dsp.bandpass(x, params.minimum_frequency, params.maximum_frequency, rate)
+        if params.detection_type == "sta_lta":
+            short, long = (max(1, int(n / (params.minimum_frequency or 1.0) * rate)) for n in (params.n_short_time_average, params.n_long_time_average))
+            ratio = dsp.classic_sta_lta(x, short, long)
+            found = [(a, b, float(ratio[a : b + 1].max())) for a, b in dsp.triggers(ratio, params.trigger_value, params.detrigger_value)]
+        else:
+            at = np.flatnonzero(np.abs(x) >= params.peak_ground_velocity_threshold)
+            cut = np.flatnonzero(np.diff(at) > 2 * margin + 1)
+            found = [(int(p[0]), int(p[-1]), None) for p in np.split(at, cut + 1) if len(p)]
+        wide = [(max(0, a - margin), min(len(x) - 1, b + margin), r) for a, b, r in found]
+        return [(trim + a, trim + b, float(np.abs(x[a : b + 1]).max()), r) for a, b, r in wide]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, v in enumerate(batch.column(len(keys))):
+                if v.is_valid:
+                    new = events(v.values.to_numpy(zero_copy_only=False).astype(float))
+                    at += [i] * len(new)
+                    rows += new
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], [*keys, "first", "last", "pgv", "ratio"])
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, F.col(array).cast("array<double>")).mapInArrow(run, f"{kinds}, first long, last long, pgv double, ratio double")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +34,14 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "stillw
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables; the path may be in any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one that ``spark.checkpoint.dir`` names; only on a
+    local master, where that is unset, below a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stillwave-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -22,32 +22,31 @@ SCHEMA = "path string, network string, station string, location string, channel
 
 
 def _steim(data: bytes, order: str, count: int, two: bool) -> np.ndarray:
-    """Samples from frames of 64 bytes; the last one is checked against the header's."""
-    differences: list[int] = []
-    first = last = 0
-    for f in range(len(data) // 64):
-        words = struct.unpack(f"{order}16I", data[64 * f : 64 * f + 64])
-        for k in range(1, 16):
-            code = words[0] >> (30 - 2 * k) & 3
-            if f == 0 and k in (1, 2):
-                value = words[k] - (words[k] >> 31 << 32)
-                first, last = (value, last) if k == 1 else (first, value)
-                continue
-            if code == 0:
-                continue
-            if two:
-                shape = _STEIM2.get((code, None if code == 1 else words[k] >> 30))
-                if shape is None:
-                    raise ValueError("unknown Steim 2 code")
-            else:
-                shape = {1: (4, 8), 2: (2, 16), 3: (1, 32)}[code]
-            n, bits = shape
-            for i in range(n):
-                v = words[k] >> (bits * (n - 1 - i)) & (1 << bits) - 1
-                differences.append(v - (v >> bits - 1 << bits))
-    if len(differences) < count:
-        raise ValueError(f"{len(differences)} differences for {count} samples")
-    out = first + np.concatenate([[0], np.cumsum(differences[1:count])])
+    """Samples from frames of 64 bytes; the last one is checked against the header's. All words
+    of one kind are unpacked together, and the differences sorted by their place."""
+    words = np.frombuffer(data[: len(data) // 64 * 64], f"{order}u4").astype(np.int64).reshape(-1, 16)
+    code = words[:, :1] >> (30 - 2 * np.arange(16)) & 3
+    code[:, 0] = 0
+    signed = lambda v, bits: v - (v >> (bits - 1) << bits)
+    first, last = (int(signed(words[0, k], 32)) for k in (1, 2)) if len(words) else (0, 0)
+    code[:1, 1:3] = 0
+    words, code = words.reshape(-1), code.reshape(-1)
+    shapes = _STEIM2 if two else {(1, None): (4, 8), (2, None): (2, 16), (3, None): (1, 32)}
+    top = words >> 30
+    places, values, known = [], [], code == 0
+    for (kind, sub), (n, bits) in shapes.items():
+        at = np.flatnonzero((code == kind) & (True if sub is None else top == sub))
+        known[at] = True
+        shift = bits * np.arange(n - 1, -1, -1)
+        values.append(signed(words[at, None] >> shift & (1 << bits) - 1, bits).reshape(-1))
+        places.append((at[:, None] * 8 + np.arange(n)).reshape(-1))
+    if not known.all():
+        raise ValueError("unknown Steim 2 code")
+    places, values = np.concatenate(places), np.concatenate(values)
+    if len(values) < count:
+        raise ValueError(f"{len(values)} differences for {count} samples")
+    differences = values[np.argsort(places, kind="stable")][1:count]
+    out = first + np.concatenate([[0], np.cumsum(differences)])
     if count and out[-1] != last:
         raise ValueError("the last sample differs from the header's")
     return out.astype(float)
@@ -97,8 +96,39 @@ def records(data: bytes) -> Iterator[tuple]:
         at += length
 
 
-def read_miniseed(spark: SparkSession, path: str | list[str], pattern: str = "*", strict: bool = False) -> DataFrame:
-    """One row for each record of the files below ``path``. A record that can't be decoded
+def encode(network: str, station: str, location: str, channel: str, start: dt.datetime, rate: float, samples: np.ndarray, length: int = 4096) -> bytes:
+    """Records of 64-bit floats that hold a trace; whole rates, or whole periods below one."""
+    out, room = [], (length - 64) // 8
+    factor = int(round(rate)) if rate >= 1 else -int(round(1 / rate))
+    for k in range(0, len(samples), room):
+        part = np.asarray(samples[k : k + room], ">f8")
+        t = start + dt.timedelta(microseconds=round(k / rate * 1e6))
+        names = f"{station[:5]:<5}{location[:2]:<2}{channel[:3]:<3}{network[:2]:<2}".encode()
+        head = f"{k // room % 1_000_000:06d}D ".encode() + names
+        head += struct.pack(">HHBBBBH", t.year, t.timetuple().tm_yday, t.hour, t.minute, t.second, 0, t.microsecond // 100)
+        head += struct.pack(">Hhh", len(part), factor, 1) + bytes([0, 0, 0, 1]) + struct.pack(">iHH", 0, 64, 48)
+        head += struct.pack(">HHBBBB", 1000, 0, 5, 1, length.bit_length() - 1, 0)
+        out.append((head.ljust(64, b"\0") + part.tobytes()).ljust(length, b"\0"))
+    return b"".join(out)
+
+
+def encoded(traces: DataFrame) -> DataFrame:
+    """(``path``, ``content``) of traces ``network``, ``station``, ``location``, ``channel``,
+    ``starttime``, ``rate``, ``samples``: one file's bytes for each row, named by code and time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True))
+            paths = [f"{r[0]}/{r[1]}/{r[3]}/{'.'.join(map(str, r[:4]))}.{r[4]:%Y.%j.%H%M%S%f}" for r in rows]
+            content = [encode(*r[:6], r[6].values.to_numpy(zero_copy_only=False)) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(content, pa.binary())], ["path", "content"])
+
+    columns = ["network", "station", "location", "channel", "starttime", "rate", "samples"]
+    return traces.select(*columns).mapInArrow(run, "path string, content binary")
+
+
+def decoded(files: DataFrame, strict: bool = False) -> DataFrame:
+    """One row for each record of files (``path``, ``content``). A record that can't be decoded
     has null samples and its ``problem``; with ``strict`` it is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +141,14 @@ def read_miniseed(spark: SparkSession, path: str | list[str], pattern: str = "*"
                     raise ValueError(f"{name}: {bad}")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def read_miniseed(spark: SparkSession, path: str | list[str], pattern: str = "*", strict: bool = False) -> DataFrame:
+    """The records of the files below ``path`` whose names match, as :func:`decoded` gives them."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path), strict)
+
+
 def time_series_index(records: DataFrame) -> DataFrame:
     """One row for each file and channel: first and last time, records, samples and rates."""
     from pyspark.sql import functions as F

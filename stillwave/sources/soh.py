@@ -87,8 +87,9 @@ def converted(form: SohFormat) -> list[Column]:
     return values + [(null_as_zero_sum([F.col(c) for c in cs]) / F.lit(by)).alias(name) for name, (cs, by) in form.summed.items()]
 
 
-def read_soh(spark: SparkSession, paths: str | list[str], station: str, kind: str) -> DataFrame:
-    """All files of a kind under the paths: ``datetime`` (UTC) and the converted columns.
+def read_soh(spark: SparkSession, paths: str | list[str], station: str, kind: str, pattern: str | None = None) -> DataFrame:
+    """All files of a kind under the paths, by the kind's glob or another ``pattern``:
+    ``datetime`` (UTC) and the converted columns.
 
     Columns count by their place, whatever the first line calls them. Lines that repeat the
     header, or hold no time at all, are left out; one whose time can't be read is an error. An
@@ -96,9 +97,9 @@ def read_soh(spark: SparkSession, paths: str | list[str], station: str, kind: st
     """
     form = soh_format(station, kind)
     if form.channels:
-        return _read_channels(spark, paths, form)
+        return _read_channels(spark, paths, form, pattern or form.glob)
     schema = ", ".join(f"{c} {'string' if c in ('timestamp', 'utc_datetime') or c in form.strings else 'double'}" for c in form.columns)
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("pathGlobFilter", form.glob).option("recursiveFileLookup", True).csv(paths)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("pathGlobFilter", pattern or form.glob).option("recursiveFileLookup", True).csv(paths)
     raw = raw.filter(F.col("utc_datetime").isNotNull() & ~F.lower("utc_datetime").contains("time"))
     text = F.trim(F.regexp_replace("utc_datetime", "[TZ]|UTC|\\+00:?00$", " "))
     time = F.try_to_timestamp(F.substring_index(text, ".", 1), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
@@ -108,10 +109,10 @@ def read_soh(spark: SparkSession, paths: str | list[str], station: str, kind: st
     return raw.select(time.alias("datetime"), *converted(form))
 
 
-def _read_channels(spark: SparkSession, paths: str | list[str], form: SohFormat) -> DataFrame:
+def _read_channels(spark: SparkSession, paths: str | list[str], form: SohFormat, pattern: str) -> DataFrame:
     """Samples of the used channels side by side, by station and time; a channel without a
     sample at a time is null there. Of samples that stand twice the larger counts."""
-    records = read_miniseed(spark, paths, form.glob).filter(F.col("channel").isin(list(form.columns)) & (F.col("rate") > 0))
+    records = read_miniseed(spark, paths, pattern).filter(F.col("channel").isin(list(form.columns)) & (F.col("rate") > 0))
     at = records.select("station", "channel", "starttime", "rate", F.posexplode("samples").alias("i", "value"))
     time = F.col("starttime") + F.make_dt_interval(secs=(F.col("i") / F.col("rate")).cast("decimal(18,6)"))
     wide = at.groupBy("station", time.alias("datetime")).pivot("channel", list(form.columns)).agg(F.max("value"))

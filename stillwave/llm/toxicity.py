@@ -28,9 +28,9 @@ from stillwave.llm import common
 LABELLED = 5_000
 #: A word that becomes a feature is in at least so many labelled documents.
 LEAST_DOCUMENTS = 3
-#: Its evidence (log-likelihood ratio of its counts) is at least so large, and larger by
-#: twice the log of the number of words tested, as so many chances ask for.
-EVIDENCE = 8.0
+#: Its evidence (log-likelihood ratio of its counts) is at least this and twice the log of the
+#: number of words tested, a bar that about one of them passes by chance.
+EVIDENCE = -4.0
 #: Documents of at least this expected severity, in grades, are rejected.
 REJECT = 0.3
 

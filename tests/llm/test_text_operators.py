@@ -235,6 +235,26 @@ def test_words_at_the_end_of_long_texts_are_learned(spark):
     assert model.weights["blorg"] > 0 and model.severity("you blorg") > 0.5
 
 
+def test_toxicity_in_every_language(spark):
+    """Insults of four languages of unequal share, learned from some documents and found in
+    others; clean documents of all of them stay."""
+    rng = random.Random(5)
+    languages = {"en": (600, "scum moron"), "de": (250, "depp trottel"), "fr": (200, "crétin abruti"), "es": (120, "idiota imbécil")}
+    rows = []
+    for name, (n, insults) in languages.items():
+        words = [f"{name}{a}{b}" for a in "aeiou" for b in "bcdfglmnrst"]
+        for k in range(n):
+            text = [rng.choice(words) for _ in range(60)]
+            if k % 8 == 0:
+                text[rng.randrange(60)] = rng.choice(insults.split())
+            rows.append((len(rows), " ".join(text), name, int(k % 8 == 0), rng.random() < 0.6))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int, learned boolean")
+    model = toxicity.fit(df.select("doc_id", "text"), df.filter("learned").select("doc_id", "toxic"))
+    found = toxicity.score(df.filter("not learned"), model).join(df, "doc_id").toPandas()
+    for name, some in found.groupby("lang"):
+        assert some[some.toxic == 1].rejected.mean() >= 0.9 and some[some.toxic == 0].rejected.mean() == 0, name
+
+
 def test_toxicity(spark, docs, odd, none, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels)

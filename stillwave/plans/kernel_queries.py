@@ -66,16 +66,19 @@ def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", low.alias("low"), high.alias("high")).filter("low < high")
 
 
-@PLANS.add("src14_traces_of_window", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id, label, len(x) AS npts FROM wave WHERE label = 3")
+@PLANS.add("src14_traces_of_window", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id // 16 AS timespan_id, CAST(count(*) AS BIGINT) AS traces, min(len(x)) = max(len(x)) AS one_length, list(vec_id ORDER BY vec_id) AS vec_ids FROM wave GROUP BY ALL")
 def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.waveforms(spark, sf_dir).filter("label = 3").select("vec_id", "label", F.size("x").cast("long").alias("npts"))
+    """The traces of every window, sixteen at most, and whether they are of one length."""
+    by = B.waveforms(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 16).alias("timespan_id"))
+    return by.agg(F.count("*").alias("traces"), (F.min(F.size("x")) == F.max(F.size("x"))).alias("one_length"), F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
 
 
-@PLANS.add("src1_files", None)
+@PLANS.add("src1_files", """SELECT t || '.parquet' AS name, true AS filled FROM (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS t)""")
 def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stillwave.sources.soh import list_files
 
-    return list_files(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return list_files(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled"))
 
 
 @PLANS.add("fch2_stacking_windows", "SELECT s AS starttime, s + INTERVAL 6 HOURS AS endtime FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-14 18:00:00', INTERVAL 3 HOURS)) AS s)")

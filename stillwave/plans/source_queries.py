@@ -3,11 +3,14 @@ through the library's readers."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwave import config
 from stillwave.functions import columns as C
+from stillwave.functions import dsp
 from stillwave.operators import chunks as K
 from stillwave.operators import jobs, preparation, signals
 from stillwave.plans import bindings as B
@@ -156,6 +159,71 @@ def dsp1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("timespan_id", F.transform("samples", lambda v: C.rounded(v)).alias("samples"), "deficit", F.col("problem").isNotNull().alias("refused"))
 
 
+def _stretched(spark: SparkSession, sf_dir: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Every waveform at the start of a window of its own of so many samples: records, windows."""
+    first = F.lit("2024-01-01").cast("timestamp_ntz")
+    at = lambda k: first + F.make_dt_interval(secs=(k * length / 64.0).cast("decimal(18,6)"))
+    w = B.waveforms(spark, sf_dir)
+    records = w.select(F.lit(1).cast("long").alias("component_id"), at(F.col("vec_id")).alias("starttime"), F.lit(64.0).alias("rate"), F.col("x").alias("samples"))
+    return records, w.select(F.col("vec_id").alias("timespan_id"), at(F.col("vec_id")).alias("starttime"), at(F.col("vec_id") + 1).alias("endtime"))
+
+
+@PLANS.add("dsp3_interpolated_ends", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id AS timespan_id, list_transform(list_concat(x, list_transform(range(1, 17), lambda k: x[64] * (1 - k / 16.0))), lambda v: round(v, 6) + 0.0) AS samples FROM wave")
+def dsp3_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 80 samples of which 64 are there; a line leads down to a zero at the end."""
+    params = config.DatachunkParams(datachunk_sample_tolerance=0.3, zero_padding_method="interpolated")
+    found = preparation.chunks(*_stretched(spark, sf_dir, 80), ["component_id"], params, 64.0, bucket_s=60)
+    return found.select("timespan_id", F.transform("samples", lambda v: C.rounded(v)).alias("samples"))
+
+
+@PLANS.add("dsp3_tapered_ends", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id AS timespan_id, list_transform(list_concat(list_transform(x, lambda v, i: v * CASE WHEN i > 56 THEN 0.5 * (1 - cos(pi() * (64 - i) / 7)) ELSE 1.0 END), list_transform(range(16), lambda k: 0.0)), lambda v: round(v, 6) + 0.0) AS samples FROM wave")
+def dsp3_tapered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with an eighth of a second tapered before the zeros."""
+    params = config.DatachunkParams(datachunk_sample_tolerance=0.3, zero_padding_method="tapered_padded", padding_taper_max_length=0.125, padding_taper_max_percentage=0.5)
+    found = preparation.chunks(*_stretched(spark, sf_dir, 80), ["component_id"], params, 64.0, bucket_s=60)
+    return found.select("timespan_id", F.transform("samples", lambda v: C.rounded(v)).alias("samples"))
+
+
+@PLANS.add("dsp2_bridged_gaps", f"""WITH {B.WAVEFORMS_SQL} SELECT a.vec_id // 2 AS timespan_id, list_transform(a.x || [a.x[64] + (b.x[1] - a.x[64]) / 3, a.x[64] + (b.x[1] - a.x[64]) * 2 / 3] || b.x, lambda v: round(v, 6) + 0.0) AS samples
+FROM wave a JOIN wave b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0""")
+def dsp2_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms two by two in windows of 130 samples, with a gap of two samples between."""
+    first = F.lit("2024-01-01").cast("timestamp_ntz")
+    at = lambda samples: first + F.make_dt_interval(secs=(samples / 64.0).cast("decimal(18,6)"))
+    w, pair = B.waveforms(spark, sf_dir), F.floor(F.col("vec_id") / 2)
+    records = w.select(F.lit(1).cast("long").alias("component_id"), at(pair * 130 + F.col("vec_id") % 2 * 66).alias("starttime"), F.lit(64.0).alias("rate"), F.col("x").alias("samples"))
+    spans = w.select(pair.alias("timespan_id")).distinct().select("timespan_id", at(F.col("timespan_id") * 130).alias("starttime"), at((F.col("timespan_id") + 1) * 130).alias("endtime"))
+    params = config.DatachunkParams(datachunk_sample_tolerance=0.1, max_gap_for_merging=2)
+    found = preparation.chunks(records, spans, ["component_id"], params, 64.0, bucket_s=60).filter("problem is null")
+    return found.select("timespan_id", F.transform("samples", lambda v: C.rounded(v)).alias("samples"))
+
+
+@PLANS.add("dsp17_source_delays", f"""WITH {B.COMPONENTS_SQL} SELECT component_id, i AS node, round(0.5 * sqrt(pow(i // 5 * 10 - 20 - lon, 2) + pow(i % 5 * 10 - 20 - lat, 2)), 6) + 0.0 AS delay FROM component, range(25) t(i)""")
+def dsp17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delays from the sources of a grid of five by five places to every station."""
+    nodes = np.arange(-20.0, 21.0, 10.0)
+
+    def run(batches):
+        for batch in batches:
+            places = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+            delays = dsp.source_delays(places, nodes, nodes, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(places)), 25))), pa.array(np.tile(np.arange(25), len(places))), pa.array(delays.reshape(-1))], ["component_id", "node", "delay"])
+
+    found = B.components(spark, sf_dir).select("component_id", "lon", "lat").mapInArrow(run, "component_id long, node long, delay double")
+    return found.select("component_id", "node", C.rounded(F.col("delay")).alias("delay"))
+
+
+@PLANS.add("dsp21_beam_peaks")
+def dsp21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of average and of all windows of beams, absolute and relative, of each group of 16
+    waveforms; held against plane waves and node by node in tests."""
+    w = B.waveforms(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("timespan_id"), "vec_id", "x")
+    places = w.select("timespan_id", "vec_id", "x", F.cos(F.col("vec_id").cast("double")).alias("px"), F.sin(F.col("vec_id").cast("double") * 1.7).alias("py"))
+    every = {f"extract_peaks_{which}_{power}power": True for which in ("average_beamformer", "all_beamformers") for power in ("abs", "rel")}
+    params = config.BeamformingParams(min_freq=4.0, max_freq=16.0, slowness_x_min=-0.3, slowness_x_max=0.3, slowness_y_min=-0.3, slowness_y_max=0.3, window_length=0.5, window_step_fraction=0.5, **every)
+    return signals.beam_peaks(places, params, 64.0)
+
+
 @PLANS.add("run5_datachunk_jobs", f"WITH {_WHOLE} SELECT timespan_id, round(list_sum(x) / 512, 6) + 0.0 AS mean, round(list_max(list_concat(x, CASE WHEN len(x) < 512 THEN [0.0] ELSE [] END)), 6) + 0.0 AS max FROM chunk WHERE len(x) >= 256")
 def run5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and then statistics, in two increments each."""

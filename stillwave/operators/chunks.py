@@ -58,11 +58,11 @@ def passing(names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n) for n in names]).alias("is_passing")
 
 
-def outside_rejected(chunks: DataFrame, periods: DataFrame, key: str) -> DataFrame:
+def outside_rejected(chunks: DataFrame, periods: DataFrame, key: str | list[str]) -> DataFrame:
     """Chunks with ``ok_accepted_time``: false where the chunk overlaps a rejected period
     of its component, ends included; a join on the component, whose side Spark sends around only
     if it is small."""
-    p = periods.select(F.col(key), F.col("starttime").alias("_s"), F.col("endtime").alias("_e"))
+    p = periods.select(*([key] if isinstance(key, str) else key), F.col("starttime").alias("_s"), F.col("endtime").alias("_e"))
     hit = chunks.join(p, key).filter(C.overlaps(F.col("starttime"), F.col("endtime"), F.col("_s"), F.col("_e")))
     hit = hit.select("chunk_id").distinct().withColumn("_hit", F.lit(True))
     return chunks.join(hit, "chunk_id", "left").withColumn("ok_accepted_time", F.col("_hit").isNull()).drop("_hit")

@@ -102,6 +102,22 @@ def crosscorrelations(processed: DataFrame, pairs: DataFrame, table: DataFrame,
     return step(work, table, key, lambda new: signals.correlations(new, key, "x_a", "x_b", max_lag).filter("y is not null").withColumnRenamed("y", "ccf"))
 
 
+def qc_two(ccfs: DataFrame, spans: DataFrame, periods: DataFrame, table: DataFrame, params: config.QCTwoConfig) -> DataFrame:
+    """Verdicts of correlations: within the accepted period, and outside the rejected times of
+    their pair (``component_id_a``, ``component_id_b``, ``starttime``, ``endtime``)."""
+    pair = ["component_id_a", "component_id_b"]
+    key = [*pair, "timespan_id"]
+
+    def compute(new: DataFrame) -> DataFrame:
+        work = new.select(*key).join(spans.select("timespan_id", "starttime", "endtime"), "timespan_id").withColumn("chunk_id", F.concat_ws("/", *key))
+        work = K.outside_rejected(work, periods, pair)
+        start, end = (F.lit(config.moment(t).isoformat(" ")).cast("timestamp_ntz") for t in (params.starttime, params.endtime))
+        found = work.select(*key, *K.time_verdicts(start, end, params.null_value), "ok_accepted_time")
+        return found.withColumn("is_passing", K.passing(["ok_starttime", "ok_endtime", "ok_accepted_time"]))
+
+    return step(ccfs, table, key, compute)
+
+
 def stacks(ccfs: DataFrame, spans: DataFrame, stack_spans: DataFrame, table: DataFrame, least: int, verdicts: DataFrame | None = None) -> DataFrame:
     """Mean correlations by pair and stacking window (``stack_id``, ``stack_start``,
     ``stack_end``), of the windows within it whose verdicts, where given, pass."""

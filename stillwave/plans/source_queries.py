@@ -248,6 +248,42 @@ def run6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.crosscorrelations(both, pairs, first, 4).select("timespan_id", C.rounded(F.element_at("ccf", 5)).alias("zero_lag"))
 
 
+QCTWO = """[QCTwo]
+starttime = 2024-01-01T00:00:20
+endtime = 2024-01-01T00:08:00
+[[QCTwo.rejected_times]]
+network_a = "SW"
+station_a = "S1"
+component_a = "Z"
+network_b = "SW"
+station_b = "S2"
+component_b = "Z"
+starttime = 2024-01-01T00:01:00
+endtime = 2024-01-01T00:03:20
+"""
+
+
+@PLANS.add("run6_qctwo_job", f"""WITH {B.WAVEFORMS_SQL}, p AS (SELECT a.label AS component_id_a, b.label AS component_id_b, a.vec_id AS timespan_id, {DAY} + to_seconds(a.vec_id) AS s FROM wave a JOIN wave b ON b.vec_id = a.vec_id + 1),
+v AS (SELECT component_id_a, component_id_b, timespan_id, s >= TIMESTAMP '2024-01-01 00:00:20' AS ok_starttime, s + INTERVAL 1 SECOND <= TIMESTAMP '2024-01-01 00:08:00' AS ok_endtime,
+NOT (component_id_a = 1 AND component_id_b = 2 AND s <= TIMESTAMP '2024-01-01 00:03:20' AND s + INTERVAL 1 SECOND >= TIMESTAMP '2024-01-01 00:01:00') AS ok_accepted_time FROM p)
+SELECT CAST(component_id_a AS BIGINT) AS component_id_a, CAST(component_id_b AS BIGINT) AS component_id_b, timespan_id, ok_starttime AND ok_endtime AND ok_accepted_time AS is_passing FROM v""")
+def run6_qctwo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the correlations of neighbouring waveforms, by their times and by a rejected
+    time that the configuration names by its stations."""
+    w = B.waveforms(spark, sf_dir)
+    one = w.select(F.col("label").cast("long").alias("component_id_a"), F.col("vec_id").alias("timespan_id"))
+    two = w.select(F.col("label").cast("long").alias("component_id_b"), (F.col("vec_id") - 1).alias("timespan_id"))
+    work = one.join(two, "timespan_id")
+    at = lambda c: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+    spans = one.select("timespan_id", at(F.col("timespan_id")).alias("starttime"), at(F.col("timespan_id") + 1).alias("endtime"))
+    known = work.select("component_id_a", "component_id_b").distinct()
+    named = [F.lit("SW").alias(f"network_{s}") for s in "ab"] + [F.format_string("S%d", f"component_id_{s}").alias(f"station_{s}") for s in "ab"] + [F.lit("Z").alias(f"component_{s}") for s in "ab"]
+    params = config.parse(QCTWO)
+    periods = config.rejected_pairs(params, known.select("*", *named))
+    none = spark.createDataFrame([], "component_id_a long, component_id_b long, timespan_id long, ok_starttime boolean, ok_endtime boolean, ok_accepted_time boolean, is_passing boolean")
+    return jobs.qc_two(work, spans, periods, none, params).select("component_id_a", "component_id_b", "timespan_id", "is_passing")
+
+
 @PLANS.add("run7_event_jobs", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id AS timespan_id, list_position(list_transform(x, lambda v: abs(v) >= 0.3), true) - 1 AS first, round(list_max(list_transform(x, lambda v: abs(v))), 6) + 0.0 AS pgv FROM wave WHERE list_max(list_transform(x, lambda v: abs(v))) >= 0.3")
 def run7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spikes of every waveform, joined over the whole of it: one event for each that has any."""

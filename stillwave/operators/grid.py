@@ -93,3 +93,17 @@ def bucketed_containment_join(inner: DataFrame, outer: DataFrame, inner_start: s
     listed = outer.withColumn("_bucket", F.explode(F.sequence(bucket(outer_start), bucket(outer_end))))
     inside = (F.col(outer_start) <= F.col(inner_start)) & (F.col(inner_end) <= F.col(outer_end))
     return inner.withColumn("_bucket", bucket(inner_start)).join(listed, "_bucket").filter(inside).drop("_bucket")
+
+
+def long_enough(spans: DataFrame, windows: float = 2.0) -> DataFrame:
+    """One row, ``long_enough``: whether all windows together last at least so many times their
+    mean length; null without windows."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp_ltz")) / 1e6
+    whole = seconds(F.max("endtime")) - seconds(F.min("starttime"))
+    return spans.agg((whole >= windows * F.avg(seconds(F.col("endtime")) - seconds(F.col("starttime")))).alias("long_enough"))
+
+
+def sample_bounds(spans: DataFrame, rate: float) -> DataFrame:
+    """Windows with ``last_instant``, a microsecond before their end, and ``last_sample``."""
+    end = F.col("endtime")
+    return spans.withColumn("last_instant", end - F.expr("interval 1 microsecond")).withColumn("last_sample", end - F.expr(f"interval {round(1e6 / rate)} microseconds"))

@@ -242,15 +242,12 @@ def ag12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add("run8_minimum_duration", f"WITH {B.SPANS_SQL} SELECT epoch(max(endtime) - min(starttime)) >= 2 * avg(epoch(endtime - starttime)) AS long_enough FROM span")
 def run8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = B.spans_of_events(spark, sf_dir)
-    seconds = lambda c: F.unix_micros(c.cast("timestamp_ltz")) / 1e6
-    return s.agg((seconds(F.max("endtime")) - seconds(F.min("starttime")) >= 2 * F.avg(seconds(F.col("endtime")) - seconds(F.col("starttime")))).alias("long_enough"))
+    return grid.long_enough(B.spans_of_events(spark, sf_dir))
 
 
 @PLANS.add("ldr4_sample_bounds", f"WITH {B.SPANS_SQL} SELECT timespan_id, endtime - INTERVAL 1 MICROSECOND AS last_instant, endtime - INTERVAL 40 MILLISECONDS AS last_sample FROM span")
 def ldr4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = F.col("endtime")
-    return B.spans_of_events(spark, sf_dir).select("timespan_id", (end - F.expr("interval 1 microsecond")).alias("last_instant"), (end - F.expr("interval 40 milliseconds")).alias("last_sample"))
+    return grid.sample_bounds(B.spans_of_events(spark, sf_dir), 25.0).select("timespan_id", "last_instant", "last_sample")
 
 
 @PLANS.add("or1_ordered_rows", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")

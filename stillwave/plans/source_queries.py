@@ -369,3 +369,17 @@ def cfg5(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = config.parse('[StackingSchema]\nstarttime = "2024-01-01"\nendtime = "2024-01-11"\nstacking_length = "6 hours"\nstacking_overlap = "3 hours"\n')
     start, end = (f"{config.moment(t):%Y-%m-%d %H:%M:%S}" for t in (schema.starttime, schema.endtime))
     return grid.timespans(spark, start, end, schema.length_s, overlap_s=schema.overlap_s, across_midnight=True).select("starttime", "endtime")
+
+
+@PLANS.add("st3_config_merges", "SELECT k, CAST(greatest(k, 5) AS DOUBLE) AS low, CAST(12 AS DOUBLE) AS high, CAST((340 + k) % 360 AS DOUBLE) AS angle_low, CAST(355 AS DOUBLE) AS angle_high FROM range(12) t(k)")
+def st3_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the configuration's intervals of slowness and of angle share."""
+    rows = [(k, *config.merge_intervals((float(k), 12.0), (5.0, 20.0)), *config.merge_angles((-20.0 + k, 355.0), (330.0, 360.0))) for k in range(12)]
+    return spark.createDataFrame(rows, "k long, low double, high double, angle_low double, angle_high double")
+
+
+@PLANS.add("sc12_vote_weights", "SELECT * FROM (VALUES ('S1', CAST(2 AS DOUBLE)), ('S2', CAST(3 AS DOUBLE)), ('S10', CAST(1 AS DOUBLE))) t(station, weight)")
+def sc12_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes by station, as a configuration writes them."""
+    params = config.parse('[EventConfirmationParams]\nvote_weight = ["S1:2 S2-3", "S10 1"]\n')
+    return spark.createDataFrame(list(params.weights.items()), "station string, weight double")

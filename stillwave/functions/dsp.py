@@ -174,16 +174,16 @@ def remove_response(x: np.ndarray, rate: float, poles: list[complex], zeros: lis
     """The motion that gave ``x`` through a response: demeaned, tapered, padded to twice the
     length, and divided in the spectrum, where the response's size is raised to ``water_db``
     below its largest. Where it is zero, as at no frequency, so is the result."""
-    x = x - x.mean()
-    width = int(len(x) * taper_share)
-    if width:
+    x = x - x.mean(-1, keepdims=True)
+    length = x.shape[-1]
+    if int(length * taper_share):
         x = taper(x, taper_share)
-    n = 1 << (2 * len(x) - 1).bit_length()
+    n = 1 << (2 * length - 1).bit_length()
     h = response(np.fft.rfftfreq(n, 1 / rate), poles, zeros, gain)
     size = np.abs(h)
     floor = size.max() * 10 ** (-water_db / 20)
     raised = np.where(size > 0, h / np.maximum(size, 1e-300) * np.maximum(size, floor), 1.0)
-    return np.fft.irfft(np.where(size > 0, np.fft.rfft(x, n) / raised, 0.0), n)[: len(x)]
+    return np.fft.irfft(np.where(size > 0, np.fft.rfft(x, n) / raised, 0.0), n)[..., :length]
 
 
 def power_spectrum(x: np.ndarray, rate: float) -> np.ndarray:

@@ -24,6 +24,8 @@ def _stage(name: str, rate: float, o: dict):
         return lambda x: dsp.bandpass(x, o["low"], o["high"], rate, o.get("order", 4), o.get("zero_phase", False))
     if name == "whiten":
         return lambda x: dsp.whiten(x, o["water"], o.get("quefrency"), rate)
+    if name == "response":
+        return lambda x: dsp.remove_response(x, rate, *o["response"])
     if name == "power_spectrum":
         return lambda x: dsp.power_spectrum(x, rate)
     if name == "process":  # whiten, filter, one-bit

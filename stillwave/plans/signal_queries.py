@@ -279,6 +279,7 @@ _kernel("dsp4_detrend", "detrend", order=3)
 _kernel("dsp5_resample", "resample", new_rate=16.0)
 _kernel("dsp7_bandpass", "bandpass", low=2.0, high=16.0, order=4)
 _kernel("dsp9_preprocess", "preprocess", low=2.0, high=12.0, new_rate=32.0)
+_kernel("dsp8_response_removed", "response", response=([-4.44 + 4.44j, -4.44 - 4.44j], [0j, 0j], 800.0))
 _kernel("dsp10_whiten", "whiten", water=0.01)
 _kernel("dsp12_process", "process", low=2.0, high=16.0, water=0.01)
 _kernel("dsp15_power_spectrum", "power_spectrum")

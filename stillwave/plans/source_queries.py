@@ -88,6 +88,20 @@ def src9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soh.read_soh(spark, paths, "centaur", "gpstime", "*.csv").select("datetime", "gps_receiver_status", "time_error", "time_uncertainty")
 
 
+@PLANS.add("src8_soh_miniseed", f"""WITH {B.WAVEFORMS_SQL}, s AS (SELECT label, {DAY} + to_seconds(vec_id) AS t, unnest(range(64)) AS i, unnest(x) AS v FROM wave)
+SELECT 'S' || (label // 2) AS station, t + to_microseconds(i * 15625) AS datetime, max(CASE WHEN label % 2 = 0 THEN v END) / 1000 AS supply_voltage, CAST(NULL AS DOUBLE) AS total_current, max(CASE WHEN label % 2 = 1 THEN v END) / 1000 AS temperature
+FROM s GROUP BY ALL""")
+def src8_miniseed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All waveforms as records of two channels of a health instrument, side by side by time;
+    the third channel is in no record."""
+    w = B.waveforms(spark, sf_dir)
+    channel = F.when(F.col("label") % 2 == 0, "VEI").otherwise("VDT").alias("channel")
+    t = traces(spark, sf_dir).select("network", "location", "starttime", "rate", "samples")
+    at = w.select(F.format_string("S%d", F.floor(F.col("label") / 2)).alias("station"), channel, (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("vec_id").cast("decimal(18,6)"))).alias("starttime"))
+    records = miniseed.decoded(miniseed.encoded(t.join(at, "starttime")), strict=True)
+    return soh.side_by_side(records, soh.soh_format("centaur", "miniseed_instrument"))
+
+
 @PLANS.add("src11_formats", """SELECT * FROM (VALUES ('centaur', 'instrument', 5), ('centaur', 'gpstime', 11), ('centaur', 'gnsstime', 11), ('centaur', 'environment', 9), ('centaur', 'miniseed_instrument', 3),
 ('centaur', 'miniseed_gpstime', 7), ('taurus', 'instrument', 9), ('taurus', 'gpstime', 13), ('taurus', 'environment', 9)) t(station, kind, columns)""")
 def src11(spark: SparkSession, sf_dir: str) -> DataFrame:

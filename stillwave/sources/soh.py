@@ -97,7 +97,7 @@ def read_soh(spark: SparkSession, paths: str | list[str], station: str, kind: st
     """
     form = soh_format(station, kind)
     if form.channels:
-        return _read_channels(spark, paths, form, pattern or form.glob)
+        return side_by_side(read_miniseed(spark, paths, pattern or form.glob), form)
     schema = ", ".join(f"{c} {'string' if c in ('timestamp', 'utc_datetime') or c in form.strings else 'double'}" for c in form.columns)
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("pathGlobFilter", pattern or form.glob).option("recursiveFileLookup", True).csv(paths)
     raw = raw.filter(F.col("utc_datetime").isNotNull() & ~F.lower("utc_datetime").contains("time"))
@@ -109,10 +109,10 @@ def read_soh(spark: SparkSession, paths: str | list[str], station: str, kind: st
     return raw.select(time.alias("datetime"), *converted(form))
 
 
-def _read_channels(spark: SparkSession, paths: str | list[str], form: SohFormat, pattern: str) -> DataFrame:
-    """Samples of the used channels side by side, by station and time; a channel without a
-    sample at a time is null there. Of samples that stand twice the larger counts."""
-    records = read_miniseed(spark, paths, pattern).filter(F.col("channel").isin(list(form.columns)) & (F.col("rate") > 0))
+def side_by_side(records: DataFrame, form: SohFormat) -> DataFrame:
+    """Samples of the used channels of records side by side, by station and time; a channel
+    without a sample at a time is null there. Of samples that stand twice the larger counts."""
+    records = records.filter(F.col("channel").isin(list(form.columns)) & (F.col("rate") > 0))
     at = records.select("station", "channel", "starttime", "rate", F.posexplode("samples").alias("i", "value"))
     time = F.col("starttime") + F.make_dt_interval(secs=(F.col("i") / F.col("rate")).cast("decimal(18,6)"))
     wide = at.groupBy("station", time.alias("datetime")).pivot("channel", list(form.columns)).agg(F.max("value"))

@@ -54,7 +54,20 @@ def halved_rates(x, n):
     return (out + (half * np.exp(2j * np.pi * (n // 2) * t / len(x))).real) / len(x)
 
 
+def without_response(x):
+    """Division in the spectrum of twice the length, frequency by frequency."""
+    x = x - x.mean()
+    edge = np.minimum(np.arange(64), np.arange(64)[::-1])
+    x = np.concatenate([x * np.where(edge >= 3, 1.0, 0.5 * (1 - np.cos(np.pi * edge / 3))), np.zeros(64)])
+    c = np.fft.fft(x)
+    h = np.array([800.0 * (2j * np.pi * f) ** 2 / ((2j * np.pi * f + 4.44) ** 2 + 4.44**2) for f in np.arange(65) / 2.0])
+    least = np.abs(h).max() / 1000
+    half = [0.0 if k == 0 else c[k] / (h[k] / abs(h[k]) * max(abs(h[k]), least)) for k in range(65)]
+    return np.fft.ifft(half + [np.conj(v) for v in half[63:0:-1]]).real[:64]
+
+
 EXPECTED = {
+    "dsp8_response_removed": without_response,
     "dsp4_detrend": cubic_rest,
     "dsp5_resample": lambda x: halved_rates(x, 16),
     "dsp7_bandpass": lambda x: difference_equation(x, 2.0, 16.0, RATE, 4),

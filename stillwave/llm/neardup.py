@@ -195,9 +195,9 @@ def _blocks(rows: DataFrame, by: str, count: str, id: str) -> DataFrame:
     return rows.withColumn("i", F.least("_block", "_other")).withColumn("j", F.greatest("_block", "_other"))
 
 
-def classes_of(df: DataFrame, k: int, threshold: int, text: str, id: str, by_id: bool) -> tuple[DataFrame, DataFrame, int]:
+def classes_of(df: DataFrame, k: int, threshold: int, text: str, id: str, by_id: bool) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
     """Rows (``uid``, ``id``, ``t``, ``n``, ``fp``), a table (``fp``, ``component``, ``low``,
-    ``c``) of their classes, and the number of rows.
+    ``c``) of their classes, the number of rows, and :func:`_repeated` ids.
 
     A class is the rows of one set; ``fp`` is null for empty sets, which have no class. ``c``
     counts the class's rows, ``component`` names what it hangs together with, over links and,
@@ -208,11 +208,13 @@ def classes_of(df: DataFrame, k: int, threshold: int, text: str, id: str, by_id:
     least = need(threshold, bands * ROWS)
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = common.cut(_signatures(docs.select("id", "t", "text"), k, bands))
-    total = rows.count()
+    total, repeated = rows.count(), _repeated(rows)
     some = rows.filter("n > 0 and id is not null")
-    # Of a class the row of the smallest id stands for all.
+    # Of a class the row of the smallest id stands for all. Where no id repeats it names the
+    # class, so that the smallest node of a component is its smallest id.
     first = F.min(F.struct("id", "uid", "t", "n", "sig", "bands")).alias("s")
-    classes = common.cut(some.groupBy("fp").agg(first, F.count("*").alias("c")).select("fp", "c", "s.*"))
+    classes = some.groupBy("fp").agg(first, F.count("*").alias("c")).select("fp", "c", "s.*")
+    classes = common.cut(classes if repeated is not None else classes.withColumn("uid", F.col("id")))
 
     def alike_by_signature(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
         links = Links()
@@ -262,7 +264,7 @@ def classes_of(df: DataFrame, k: int, threshold: int, text: str, id: str, by_id:
         yield from links.batches(1)
 
     met = dealt.join(docs.filter("id is not null"), ["id", "t"]).select("component", "i", "j", "uid", "fp", "text")
-    edges, repeated = [], _repeated(rows)
+    edges = []
     if repeated is not None:
         met = met.dropDuplicates(["component", "i", "j", "uid"])
     met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -277,11 +279,15 @@ def classes_of(df: DataFrame, k: int, threshold: int, text: str, id: str, by_id:
         found = found.unionByName(found.select(F.col("component").alias("uid"), "component").distinct())
     else:
         found = connected_components(links.unionByName(*edges) if edges else links).withColumnRenamed("node", "uid")
-    found = common.cut(found.join(classes.select("uid", "id"), "uid"))
-    low = found.groupBy("component").agg(F.min("id").alias("low"), F.count("*").alias("m"))
-    named = common.join_hot(found.select("uid", "component"), low, "component", "m", total).select("uid", "component", "low")
-    table = classes.select("fp", "c", "uid", "id").join(named, "uid", "left")
-    return rows.select("uid", "id", "t", "n", "fp"), table.select("fp", F.coalesce("component", "uid").alias("component"), F.coalesce("low", "id").alias("low"), "c"), total
+    if repeated is None:
+        found = found.withColumn("low", F.col("component"))
+    else:
+        found = common.cut(found.join(classes.select("uid", "id"), "uid"))
+        low = found.groupBy("component").agg(F.min("id").alias("low"), F.count("*").alias("m"))
+        found = common.join_hot(found.select("uid", "component"), low, "component", "m", total).select("uid", "component", "low")
+    table = classes.select("fp", "c", "uid", "id").join(found, "uid", "left")
+    table = table.select("fp", F.coalesce("component", "uid").alias("component"), F.coalesce("low", "id").alias("low"), "c")
+    return rows.select("uid", "id", "t", "n", "fp"), table, total, repeated
 
 
 def _repeated(rows: DataFrame) -> DataFrame | None:
@@ -305,12 +311,15 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, text: str =
     of them is linked with, all are. An empty table gives an empty result; other columns are
     left out. Texts of any length are taken whole.
     """
-    rows, table, total = classes_of(df, k, threshold, text, id, by_id=True)
+    rows, table, total, repeated = classes_of(df, k, threshold, text, id, by_id=True)
     out = common.join_hot(rows.withColumn("fp", F.when(F.col("id").isNotNull(), F.col("fp"))), table.select("fp", "low", "c"), "fp", "c", total, "left")
-    empty = out.filter("n = 0 and id is not null").select("id").distinct()
-    # Rows without words whose id also has a row with some: few, if any.
-    also = out.filter("n > 0").join(empty, "id", "left_semi").groupBy("id").agg(F.min("low").alias("also"))
-    out = out.join(also, "id", "left") if _repeated(rows) is not None else out.withColumn("also", F.lit(None).cast("long"))
+    if repeated is None:
+        out = out.withColumn("also", F.lit(None).cast("long"))
+    else:
+        # Rows without words whose id also has a row with some: few, if any.
+        empty = out.filter("n = 0 and id is not null").select("id").distinct()
+        also = out.filter("n > 0").join(empty, "id", "left_semi").groupBy("id").agg(F.min("low").alias("also"))
+        out = out.join(also, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "also", "id"))
     return out.select(
         F.col("id").alias(id),
@@ -328,7 +337,7 @@ def keep_first(df: DataFrame, k: int = 5, threshold: int = 80, text: str = "text
     rows that repeat an id go together only if their texts do. Rows whose id is null, and
     texts without words, all stay. An empty table gives an empty result.
     """
-    rows, table, total = classes_of(df, k, threshold, text, id, by_id=False)
+    rows, table, total, _ = classes_of(df, k, threshold, text, id, by_id=False)
     rows = common.join_hot(rows.filter("n > 0 and id is not null"), table.select("fp", "component", "c"), "fp", "c", total)
     first = rows.groupBy("component").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("m")).filter("m > 1")
     groups = common.cut(common.join_hot(rows.select("component", "id", "t"), first, "component", "m", total))

@@ -137,12 +137,16 @@ def regress(x: np.ndarray | Presence, grade: np.ndarray, grades: int, steps: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id") -> Ordinal:
-    """A model from labelled documents: of the labels with a value about LABELLED, those of
-    the smallest hashes of their id, and all distinct words of their texts. With fewer than two
-    distinct grades, everything has severity 0."""
+    """A model from labelled documents: of the ids with a label about LABELLED, those of the
+    smallest hashes, and all distinct words of their texts. With fewer than two distinct
+    grades, everything has severity 0.
+
+    Of several labels of one id the highest grade counts, and of several rows of one id the
+    text of the smallest hash, so ids that repeat neither weigh more nor swell the sample.
+    """
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_grade"))
     share = min(1.0, LABELLED / max(1, chosen.count()))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_grade"))
     chosen = chosen.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share * (1 << 40))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     # The labels are about LABELLED rows of 16 bytes, so they are sent to every task.
     rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", "_grade").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     rows = rows.select("_grade", "_text").mapInArrow(features, "grade int, words array<string>").toArrow()
     grade = np.array(rows["grade"].to_pylist(), np.int64)
     values, grade = np.unique(grade, return_inverse=True)

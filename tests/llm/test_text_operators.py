@@ -255,6 +255,17 @@ def test_toxicity_in_every_language(spark):
         assert some[some.toxic == 1].rejected.mean() >= 0.9 and some[some.toxic == 0].rejected.mean() == 0, name
 
 
+def test_repeated_labels_and_ids(spark):
+    """Labels that contradict each other, and rows that repeat an id, count once."""
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} some words" + " blorg" * (i < 40)) for i in range(160)]
+    docs = spark.createDataFrame(rows + [(200, "blorg and more")] * 300, "doc_id long, text string")
+    labels = [(i, int(i < 40)) for i in range(160)] + [(0, 0), (0, None)] * 20 + [(200, 0)] * 50
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    once = toxicity.fit(docs.dropDuplicates(["doc_id"]), spark.createDataFrame([(i, int(i < 40)) for i in range(160)] + [(200, 0)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, given)
+    assert model.weights == once.weights and model.weights["blorg"] > 0 and list(model.thresholds) == list(once.thresholds)
+
+
 def test_toxicity(spark, docs, odd, none, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels)

@@ -81,23 +81,25 @@ def choose_pairs(
     return df.filter(every(tests))
 
 
-def cylindrical_pairs(df: DataFrame) -> DataFrame:
+def cylindrical_pairs(df: DataFrame, with_backazimuth: bool = False) -> DataFrame:
     """For every pair of stations, the rotated codes with the component ids that each
-    needs; ids of letters that a code doesn't need are null, codes without all are left out."""
+    needs; ids of letters that a code doesn't need are null, codes without all are left out.
+    On request with the backazimuth, the smallest of the pair's components'."""
     pick = [
         F.max(F.when(F.col(f"component_{side}") == letter, F.col(f"component_id_{side}"))).alias(f"{side}{letter}")
         for side in "ab"
         for letter in "ENZ"
     ]
     stations = df.filter(~F.col("autocorrelation") & ~F.col("intracorrelation")).groupBy("network_a", "station_a", "network_b", "station_b")
-    wide = stations.agg(*pick, F.first("backazimuth").alias("backazimuth"))
+    wide = stations.agg(*pick, F.min("backazimuth").alias("backazimuth"))
     ids = [f"{s}{x}" for s in "ab" for x in "ENZ"]
     rows = []
     for code, (a1, a2, b1, b2) in CYLINDRICAL.items():
         used = {f"a{a1}", f"a{a2}", f"b{b1}", f"b{b2}"}
         rows.append(F.struct(F.lit(code).alias("code"), *((F.col(c) if c in used else F.lit(None).cast("long")).alias(c) for c in ids), every([F.col(c).isNotNull() if c in used else None for c in ids]).alias("whole")))
-    out = wide.select("network_a", "station_a", "network_b", "station_b", F.explode(F.array(*rows)).alias("r"))
-    return out.filter("r.whole").select("network_a", "station_a", "network_b", "station_b", F.col("r.code").alias("component_cylindrical_code_pair"), *(F.col(f"r.{c}") for c in ids))
+    out = wide.select("network_a", "station_a", "network_b", "station_b", "backazimuth", F.explode(F.array(*rows)).alias("r"))
+    kept = ["network_a", "station_a", "network_b", "station_b", *["backazimuth"] * with_backazimuth]
+    return out.filter("r.whole").select(*kept, F.col("r.code").alias("component_cylindrical_code_pair"), *(F.col(f"r.{c}") for c in ids))
 
 
 def choose_cylindrical(df: DataFrame, ids_a: list[int], ids_b: list[int], codes: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwave import config
+from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
 from stillwave.operators import chunks as K
 from stillwave.operators import grid, inventory, preparation, signals, stacking
@@ -102,6 +103,45 @@ def crosscorrelations(processed: DataFrame, pairs: DataFrame, table: DataFrame,
     return step(work, table, key, lambda new: signals.correlations(new, key, "x_a", "x_b", max_lag).filter("y is not null").withColumnRenamed("y", "ccf"))
 
 
+#: By rotated code, the letters at both stations of the correlations that it combines, in order.
+_PARTS = {
+    "RR": ("EE", "EN", "NE", "NN"), "TT": ("EE", "EN", "NE", "NN"), "RT": ("EE", "EN", "NE", "NN"), "TR": ("EE", "EN", "NE", "NN"),
+    "RZ": ("EZ", "NZ"), "TZ": ("EZ", "NZ"), "ZR": ("ZE", "ZN"), "ZT": ("ZE", "ZN"),
+}
+
+
+def cylindrical(ccfs: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Rotated correlations (``station_a``, ``station_b``, ``code``, ``timespan_id``, ``ccf``) of
+    the pairs (``inventory.cylindrical_pairs`` with backazimuth) whose parts are all there.
+
+    A part is looked up by its two components, whichever of them the correlation has first;
+    one that is stored the other way round is turned over in time.
+    """
+    key = ["station_a", "station_b", "code", "timespan_id"]
+    need = F.create_map(*[x for code, parts in _PARTS.items() for x in (F.lit(code), F.array(*map(F.lit, parts)))])
+    ids = lambda s, letter: F.coalesce(*(F.when(letter == x, F.col(f"{s}{x}")) for x in "ENZ"))
+    wanted = pairs.withColumn("code", F.col("component_cylindrical_code_pair")).withColumn("part", F.explode(F.element_at(need, F.col("code"))))
+    wanted = wanted.withColumn("_a", ids("a", F.substring("part", 1, 1))).withColumn("_b", ids("b", F.substring("part", 2, 1)))
+    wanted = wanted.select("station_a", "station_b", "code", "backazimuth", "part", "_a", F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))
+    held = ccfs.select("component_id_a", "timespan_id", "ccf", F.least("component_id_a", "component_id_b").alias("low"), F.greatest("component_id_a", "component_id_b").alias("high"))
+    found = wanted.join(held, ["low", "high"])
+    found = found.withColumn("ccf", F.when(F.col("component_id_a") == F.col("_a"), F.col("ccf")).otherwise(F.reverse("ccf")))
+
+    def compute(new: DataFrame) -> DataFrame:
+        slots = sorted({p for parts in _PARTS.values() for p in parts})
+        picked = [F.max(F.when(F.col("part") == p, F.col("ccf"))).alias(p) for p in slots]
+        wide = new.groupBy(*key, "backazimuth").agg(*picked)
+        out = F.when(F.lit(False), F.col(slots[0]))
+        for code, parts in _PARTS.items():
+            columns, back = [F.col(p) for p in parts], F.col("backazimuth")
+            value = A.rotate(code, *columns, back) if len(parts) == 4 else A.rotate_vertical(code, *columns, back)
+            whole = inventory.every([c.isNotNull() for c in columns])
+            out = out.when((F.col("code") == code) & whole, value)
+        return wide.select(*key, out.alias("ccf")).filter("ccf is not null")
+
+    return step(found, table, key, compute)
+
+
 def qc_two(ccfs: DataFrame, spans: DataFrame, periods: DataFrame, table: DataFrame, params: config.QCTwoConfig) -> DataFrame:
     """Verdicts of correlations: within the accepted period, and outside the rejected times of
     their pair (``component_id_a``, ``component_id_b``, ``starttime``, ``endtime``)."""

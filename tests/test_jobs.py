@@ -100,6 +100,27 @@ def test_correlations_and_stacks(spark, network, chunks):
     assert stacks[1, 2, 0].stack == pytest.approx(np.mean([held[1, 2, k].ccf for k in range(3)], axis=0))
 
 
+def test_rotated_correlations(spark):
+    """Parts in either order of their components; a code that lacks one has no row."""
+    rng = np.random.default_rng(3)
+    ids = {("a", "E"): 1, ("a", "N"): 2, ("a", "Z"): 3, ("b", "E"): 4, ("b", "N"): 5, ("b", "Z"): 6}
+    pairs = spark.createDataFrame([("A", "B", 40.0, code, *(ids[s, x] for s in "ab" for x in "ENZ")) for code in ("RR", "TT", "RT", "TR", "RZ", "TZ", "ZR", "ZT")], "station_a string, station_b string, backazimuth double, component_cylindrical_code_pair string, aE long, aN long, aZ long, bE long, bN long, bZ long")
+    ccf = {(x, y): rng.standard_normal(9) for x in "ENZ" for y in "ENZ"}
+    rows = [((ids["a", x], ids["b", y], 0, v.tolist()) if x != "N" else (ids["b", y], ids["a", x], 0, v[::-1].tolist())) for (x, y), v in ccf.items() if (x, y) != ("Z", "N")]
+    held = spark.createDataFrame(rows, "component_id_a long, component_id_b long, timespan_id long, ccf array<double>")
+    none = empty(spark, "station_a string, station_b string, code string, timespan_id long, ccf array<double>")
+    once = jobs.cylindrical(held, pairs, none)
+    got = {r.code: np.array(r.ccf) for r in jobs.cylindrical(held, pairs, once).collect()}
+    s, c = np.sin(np.radians(40.0)), np.cos(np.radians(40.0))
+    ee, en, ne, nn = (ccf[p] for p in (("E", "E"), ("E", "N"), ("N", "E"), ("N", "N")))
+    expected = {
+        "RR": s * s * ee + s * c * en + s * c * ne + c * c * nn, "TT": c * c * ee - s * c * en - s * c * ne + s * s * nn,
+        "RT": -s * c * ee + s * s * en - c * c * ne + s * c * nn, "TR": -s * c * ee - c * c * en + s * s * ne + s * c * nn,
+        "RZ": -s * ccf["E", "Z"] - c * ccf["N", "Z"], "TZ": -c * ccf["E", "Z"] + s * ccf["N", "Z"],
+    }
+    assert set(got) == set(expected) and all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
 def test_spectra_events_and_grids(spark, network, chunks):
     params = config.PPSDParams(segment_length=10.0, segment_step=5.0, freq_min=0.5, freq_max=3.0, sampling_rate=RATE)
     spectra = jobs.power_spectra(chunks, empty(spark, f"{KEY}, mean array<double>, std array<double>, segments long"), params)

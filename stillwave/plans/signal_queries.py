@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
+from stillwave.functions import dsp
 from stillwave.operators import chunks as K
 from stillwave.operators import signals, stacking
 from stillwave.plans import bindings as B
@@ -265,30 +267,70 @@ def dsp18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(C.rounded(F.col(c)).alias(c) for c in ("sx", "sy", "response")))
 
 
-def _kernel(key: str, stage: str, **options):
-    """A kernel that runs in numpy over Arrow batches; held against closed forms in tests."""
+def _nine(sql: str) -> str:
+    return f"list_transform({sql}, lambda v: round(v, 9) + 0.0)"
 
-    @PLANS.add(key)
+
+def _kernel(key: str, stage: str, sql: str | None = None, **options):
+    """A kernel that runs in numpy over Arrow batches, to nine digits; beside its SQL, which gives
+    ``vec_id`` and ``y`` from ``wave``, or held against plain numpy in tests."""
+
+    @PLANS.add(key, sql and f"WITH {B.WAVEFORMS_SQL}, {_FOURIER_SQL}, result AS ({sql}) SELECT vec_id, {_nine('y')} AS y FROM result")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return signals.per_trace(B.waveforms(spark, sf_dir), stage, rate=64.0, **options)
+        found = signals.per_trace(B.waveforms(spark, sf_dir), stage, rate=64.0, **options)
+        return found.select("vec_id", F.transform("y", lambda v: C.rounded(v, 9)).alias("y"))
 
     return query
 
 
-_kernel("dsp4_detrend", "detrend", order=3)
-_kernel("dsp5_resample", "resample", new_rate=16.0)
-_kernel("dsp7_bandpass", "bandpass", low=2.0, high=16.0, order=4)
+def _sum(term: str, n: int = 64) -> str:
+    return f"list_sum(list_transform(range({n}), lambda i: {term}))"
+
+
+#: Real and imaginary parts of each waveform's transform, by the definition.
+_FOURIER_SQL = f"""fourier AS (SELECT vec_id, label, list_transform(range(33), lambda k: {_sum("x[i + 1] * cos(2 * pi() * k * i / 64)")}) AS re,
+list_transform(range(33), lambda k: {_sum("-x[i + 1] * sin(2 * pi() * k * i / 64)")}) AS im FROM wave)"""
+_POWER_SQL = "list_transform(range(33), lambda k: (re[k + 1] * re[k + 1] + im[k + 1] * im[k + 1]) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / 4096.0)"
+#: Orthogonal polynomials over 64 places, whose parts are taken off one by one.
+_CUBIC_SQL = """SELECT vec_id, list_transform(range(64), lambda i: x[i + 1] - list_avg(x) - list_inner_product(x, p1) / list_inner_product(p1, p1) * p1[i + 1]
+- list_inner_product(x, p2) / list_inner_product(p2, p2) * p2[i + 1] - list_inner_product(x, p3) / list_inner_product(p3, p3) * p3[i + 1]) AS y
+FROM wave, (SELECT list_transform(range(64), lambda i: CAST(i - 31.5 AS DOUBLE)) AS p1, list_transform(range(64), lambda i: CAST(pow(i - 31.5, 2) - 4095 / 12.0 AS DOUBLE)) AS p2,
+list_transform(range(64), lambda i: CAST(pow(i - 31.5, 3) - (i - 31.5) * 12281 / 20.0 AS DOUBLE)) AS p3)"""
+_KERNEL_16 = " + ".join(f"2 * cos(2 * pi() * {k} * (4 * t - i) / 64)" for k in range(1, 8))
+_RESAMPLE_SQL = f"SELECT vec_id, list_transform(range(16), lambda t: {_sum(f'x[i + 1] * (1 + {_KERNEL_16} + cos(2 * pi() * 8 * (4 * t - i) / 64)) / 64')}) AS y FROM wave"
+_WHITE_SQL = f"""SELECT vec_id, list_transform(range(64), lambda t: {_sum("CASE WHEN i IN (0, 32) THEN 1 ELSE 2 END * (re[i + 1] * cos(2 * pi() * i * t / 64) - im[i + 1] * sin(2 * pi() * i * t / 64)) / d[i + 1] / 64", 33)}) AS y
+FROM (SELECT *, list_transform(range(33), lambda k: greatest(sqrt(re[k + 1] * re[k + 1] + im[k + 1] * im[k + 1]), 0.01 * sqrt(list_max(list_transform(range(33), lambda m: re[m + 1] * re[m + 1] + im[m + 1] * im[m + 1]))))) AS d FROM fourier)"""
+
+
+def _impulse(low: float, high: float, order: int, n: int = 64) -> str:
+    """A band-pass' response to one impulse, by the difference equation of its whole polynomials."""
+    b, a = np.array([1.0]), np.array([1.0])
+    for section in dsp.butterworth(low, high, 64.0, order):
+        b, a = np.convolve(b, section[:3]), np.convolve(a, section[3:])
+    h: list[float] = []
+    for i in range(n):
+        h.append((b[i] if i < len(b) else 0.0) - sum(a[k] * h[i - k] for k in range(1, min(i, len(a) - 1) + 1)))
+    return "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in map(float, h)) + "]"
+
+
+_BAND_SQL = f"SELECT vec_id, list_transform(range(64), lambda t: list_inner_product(list_slice(x, 1, t + 1), list_slice(h, 64 - t, 64))) AS y FROM wave, (SELECT list_reverse({_impulse(2.0, 16.0, 4)}) AS h)"
+
+_kernel("dsp4_detrend", "detrend", _CUBIC_SQL, order=3)
+_kernel("dsp5_resample", "resample", _RESAMPLE_SQL, new_rate=16.0)
+_kernel("dsp7_bandpass", "bandpass", _BAND_SQL, low=2.0, high=16.0, order=4)
 _kernel("dsp9_preprocess", "preprocess", low=2.0, high=12.0, new_rate=32.0)
 _kernel("dsp8_response_removed", "response", response=([-4.44 + 4.44j, -4.44 - 4.44j], [0j, 0j], 800.0))
-_kernel("dsp10_whiten", "whiten", water=0.01)
+_kernel("dsp10_whiten", "whiten", _WHITE_SQL, water=0.01)
 _kernel("dsp12_process", "process", low=2.0, high=16.0, water=0.01)
-_kernel("dsp15_power_spectrum", "power_spectrum")
+_kernel("dsp15_power_spectrum", "power_spectrum", f"SELECT vec_id, {_POWER_SQL} AS y FROM fourier")
 
 
-@PLANS.add("ag5_average_psd")
+@PLANS.add("ag5_average_psd", f"""WITH {B.WAVEFORMS_SQL}, {_FOURIER_SQL}, long AS (SELECT label, unnest(range(33)) AS k, unnest({_POWER_SQL}) AS p FROM fourier), means AS (SELECT label, k, avg(p) AS m, count(*) AS n FROM long GROUP BY label, k)
+SELECT label, list(round(m, 9) + 0.0 ORDER BY k) AS stack, CAST(max(n) AS BIGINT) AS no_ccfs FROM means GROUP BY label""")
 def ag5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spectra = signals.per_trace(B.waveforms(spark, sf_dir), "power_spectrum", rate=64.0).join(B.waveforms(spark, sf_dir).select("vec_id", "label"), "vec_id")
-    return stacking.linear_stack(spectra, ["label"], "y", least=1)
+    spectra = signals.per_trace(B.waveforms(spark, sf_dir).select(F.struct("vec_id", "label").alias("k"), "x"), "power_spectrum", rate=64.0, id="k")
+    found = stacking.linear_stack(spectra.select("k.label", "y"), ["label"], "y", least=1)
+    return found.select("label", F.transform("stack", lambda v: C.rounded(v, 9)).alias("stack"), "no_ccfs")
 
 
 @PLANS.add("dsp16_beams")

@@ -104,7 +104,7 @@ def test_average_spectra(spark, sf, waves):
     got = {r.label: (np.array(r.stack), r.no_ccfs) for r in catalogue.QUERIES["ag5_average_psd"](spark, sf).collect()}
     for label in {k for k, _ in waves.values()}:
         own = [EXPECTED["dsp15_power_spectrum"](x) for k, x in waves.values() if k == label]
-        assert got[label][1] == len(own) and got[label][0] == pytest.approx(np.mean(own, axis=0))
+        assert got[label][1] == len(own) and got[label][0] == pytest.approx(np.mean(own, axis=0), abs=1e-9)  # nine digits
 
 
 def power_map(xs, places, axis, band, method):

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,25 +59,71 @@ class Ordinal:
         return float((1 / (1 + np.exp(np.clip(self.thresholds - x, -50, 50)))).sum())
 
 
+@dataclass
+class Bags:
+    """Documents as sets of words: the words in order, and which document has which."""
+
+    words: list[str]
+    rows: np.ndarray
+    places: np.ndarray
+    size: int
+
+    @staticmethod
+    def of(lists: pa.ListArray | pa.ChunkedArray) -> Bags:
+        """From lists of distinct words, which are held once, however many documents they are in."""
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        coded = lists.flatten().dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        order = sorted(range(len(found)), key=found.__getitem__)
+        rank = np.empty(len(found), np.int64)
+        rank[order] = np.arange(len(found))
+        rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return Bags([found[k] for k in order], rows, rank[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else rows, len(lists))
+
+    def distinct(self, grade: np.ndarray) -> tuple[Bags, np.ndarray]:
+        """One of equal documents of a grade, in an order that doesn't depend on the rows'."""
+        order = np.lexsort((self.places, self.rows))
+        rows, places = self.rows[order], self.places[order]
+        ends = np.searchsorted(rows, np.arange(self.size + 1))
+        first = {(int(grade[k]), places[s:e].astype(">u4").tobytes()): k for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False))}
+        kept = [first[key] for key in sorted(first)]
+        parts = [places[ends[k] : ends[k + 1]] for k in kept]
+        rows = np.repeat(np.arange(len(kept)), [len(p) for p in parts])
+        return Bags(self.words, rows, np.concatenate(parts) if parts else places[:0], len(kept)), grade[kept]
+
+    def select(self, toxic: np.ndarray) -> list[int]:
+        """Places of the words with enough evidence for or against, each by itself, strongest
+        first."""
+        m, n1 = len(self.words), int(toxic.sum())
+        n0 = self.size - n1
+        c1 = np.bincount(self.places, toxic[self.rows].astype(float), m)
+        c0 = np.bincount(self.places, minlength=m) - c1
+        share = (c0 + c1) / max(1, self.size)
+        score = np.zeros(m)
+        for c, n, even in ((c1, n1, share), (c0, n0, share), (n1 - c1, n1, 1 - share), (n0 - c0, n0, 1 - share)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score += np.where(c > 0, 2 * c * np.log(c / (n * even)), 0.0)
+        tested = np.flatnonzero(c0 + c1 >= LEAST_DOCUMENTS)
+        least = EVIDENCE + 2 * math.log(max(1, len(tested)))
+        tested = tested[score[tested] >= least]
+        return tested[np.lexsort((tested, -score[tested]))].tolist()
+
+    def presence(self, chosen: list[int]) -> Presence:
+        """Which documents have which of the words at these places."""
+        column = np.full(len(self.words), -1, np.int64)
+        column[chosen] = np.arange(len(chosen))
+        held = column[self.places] if len(self.words) else self.places
+        return Presence(self.rows[held >= 0], held[held >= 0], (self.size, len(chosen)))
+
+
+def _bags(documents: list[set[str]]) -> Bags:
+    return Bags.of(pa.array([sorted(d) for d in documents], pa.list_(pa.string())))
+
+
 def select(documents: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """The words with enough evidence for or against, each by itself, strongest first."""
-    counts: dict[str, list[int]] = {}
-    for found, t in zip(documents, toxic.tolist(), strict=True):
-        for w in found:
-            counts.setdefault(w, [0, 0])[t] += 1
-    n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
-    scored = []
-    for w, (c0, c1) in counts.items():
-        if c0 + c1 < LEAST_DOCUMENTS:
-            continue
-        cells = ((c1, n1), (c0, n0), (n1 - c1, n1), (n0 - c0, n0))
-        share = (c0 + c1) / (n0 + n1)
-        even = (share, share, 1 - share, 1 - share)
-        scored.append((2 * sum(c * math.log(c / (n * e)) for (c, n), e in zip(cells, even, strict=True) if c), w))
-    scored.sort(key=lambda s: (-s[0], s[1]))
-    least = EVIDENCE + 2 * math.log(max(1, len(scored)))
-    return [w for z, w in scored if z >= least]
+    """The words with enough evidence for or against, strongest first."""
+    bags = _bags(documents)
+    return [bags.words[k] for k in bags.select(toxic)]
 
 
 class Presence:
@@ -95,10 +142,11 @@ class Presence:
 
 def presence(documents: list[set[str]], names: list[str]) -> Presence:
     """Which documents have which of the words."""
-    place = {w: k for k, w in enumerate(names)}
-    found = [sorted(place[w] for w in d & place.keys()) for d in documents]
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    return Presence(rows, np.array([k for f in found for k in f], np.int64), (len(documents), len(names)))
+    bags = _bags(documents)
+    at = {w: k for k, w in enumerate(bags.words)}
+    found = bags.presence([at[w] for w in names if w in at])
+    columns = np.array([k for k, w in enumerate(names) if w in at], np.int64)
+    return Presence(found.rows, columns[found.columns] if len(columns) else found.columns, (len(documents), len(names)))
 
 
 def regress(x: np.ndarray | Presence, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.05, penalty: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.groupBy("_id", "_grade").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     rows = rows.select("_grade", "_text").mapInArrow(features, "grade int, words array<string>").toArrow()
-    grade = np.array(rows["grade"].to_pylist(), np.int64)
-    values, grade = np.unique(grade, return_inverse=True)
+    values, grade = np.unique(rows["grade"].to_numpy(), return_inverse=True)
     if len(values) < 2:
         return Ordinal({}, np.array([50.0]))
-    documents = [set(w) for w in rows["words"].to_pylist()]
-    # One order of rows, whatever order the tasks ended in.
     # Copies would count as evidence again and again, so one of equal documents stays.
-    order = {(int(grade[i]), *sorted(d)): i for i, d in enumerate(documents)}
-    order = [order[k] for k in sorted(order)]
-    documents, grade = [documents[i] for i in order], grade[order]
-    names = select(documents, (grade > 0).astype(np.int64))
-    w, thresholds = regress(presence(documents, names), grade, len(values))
-    return Ordinal(dict(zip(names, w.tolist(), strict=True)), thresholds)
+    bags, grade = Bags.of(rows["words"]).distinct(grade)
+    chosen = bags.select((grade > 0).astype(np.int64))
+    w, thresholds = regress(bags.presence(chosen), grade, len(values))
+    return Ordinal(dict(zip([bags.words[k] for k in chosen], w.tolist(), strict=True)), thresholds)
 
 
 def score(df: DataFrame, model: Ordinal, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -227,8 +227,9 @@ class ByteEncoder(dict):
 
     A space between two other signs than white space always begins a new piece of the
     pattern, so the pieces between such spaces can be encoded one by one and kept. The same
-    holds for a single line break. Pieces with the vocabulary's special strings go to the
-    tokenizers library, the rest to tiktoken with the same vocabulary's ranks.
+    holds for a single line break. They go to tiktoken with the vocabulary's ranks. A special
+    string ends what stands before it as the text's end does, so texts that hold one go to
+    the tokenizers library whole.
     """
 
     #: White space other than spaces and line breaks.
@@ -252,8 +253,6 @@ class ByteEncoder(dict):
         self.newline = self._ids("\n")
 
     def _ids(self, piece: str) -> bytes:
-        if any(s in piece for s in self.special):
-            return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
         return array("I", self.ranks.encode_ordinary(piece)).tobytes()
 
     def start(self, piece: str) -> bytes:
@@ -278,6 +277,8 @@ class ByteEncoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if (
             "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text
             or text.endswith("\n\n") or self.RARE.search(text)

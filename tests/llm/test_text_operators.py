@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -131,8 +131,12 @@ def test_bpe_round_trip(text):
     assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(TEXTS)
+@example("\n\n<|endoftext|>")
+@example("Hello.\n\n<|endoftext|>x")
+@example("a\n\n<|endoftext|>\n\n<|endoftext|>\n\n")
+@example("a <|endoftext|> b  <|endoftext|>\n<|endoftext|><|endoftext|> c")
 def test_byte_encoder_agrees(text):
     ids = Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(bpe.byte_encoder(BYTE).encode(text), "<u4").tolist() == ids

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stillwave.llm import ann, bpe, langid, licenses, lm, neardup, packing, sharding, topk, toxicity
+from stillwave.llm import ann, bpe, codes, exactdup, langid, licenses, lm, neardup, packing, ranked, sharding, topk, toxicity
 
 QUERIES = {
     "op1_shards": sharding.query,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_neighbours": ann.query,
     "op10_language": langid.query,
+    "op11_ranked_search": ranked.query,
+    "op12_exact_duplicates": exactdup.query,
+    "op13_vector_codes": codes.query,
 }
 ORACLES = {
     "op2_near_duplicates": neardup.SQL,
     "op3_licenses": licenses.SQL,
     "op4_top_k": topk.SQL,
+    "op11_ranked_search": ranked.SQL,
+    "op12_exact_duplicates": exactdup.SQL,
+    "op13_vector_codes": codes.SQL,
 }

@@ -1,5 +1,6 @@
 """Sharding, licences, tokenizers, packing, toxicity and languages."""
 
+import functools
 import hashlib
 import random
 import re
@@ -20,6 +21,8 @@ from .conftest import prose
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 TEXTS = st.lists(st.sampled_from([*"abzAZ 019.,!?'é́ßİΣς\n\t\r\x0b\x85\x1c  　中🙂-_<|>", "'s", "'LL", "  ", "\n\n", "\n\n\n", " \n", "<|endoftext|>", "<|startoftext|>", "tion", " the"]), max_size=120).map("".join)
 
+library = functools.cache(Tokenizer.from_file)
+
 
 def shards(df):
     rows = df.toPandas()
@@ -124,11 +127,11 @@ def test_licence_plan_is_native(spark, sf):
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_bpe_round_trip(text):
-    library = Tokenizer.from_file(WORD)
-    ids = library.encode(text, add_special_tokens=False).ids
+    words = library(WORD)
+    ids = words.encode(text, add_special_tokens=False).ids
     n, as_text, decoded = bpe.chunk_encoder(WORD).encode(text)
     assert (n, as_text.decode()) == (len(ids), " ".join(map(str, ids)))
-    assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
+    assert decoded.decode() == words.decode(ids, skip_special_tokens=False)
 
 
 @settings(max_examples=1000, deadline=None)
@@ -138,7 +141,7 @@ def test_bpe_round_trip(text):
 @example("a\n\n<|endoftext|>\n\n<|endoftext|>\n\n")
 @example("a <|endoftext|> b  <|endoftext|>\n<|endoftext|><|endoftext|> c")
 def test_byte_encoder_agrees(text):
-    ids = Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+    ids = library(BYTE).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(bpe.byte_encoder(BYTE).encode(text), "<u4").tolist() == ids
 
 

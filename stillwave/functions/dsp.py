@@ -163,6 +163,69 @@ def whiten(x: np.ndarray, water: float = 0.01, quefrency: float | None = None, r
     return np.where(quiet, 0.0, np.fft.irfft(spectrum / np.maximum(size, np.maximum(water * most, 1e-300)), x.shape[-1]))
 
 
+def hann_ends(n: int, width: int) -> np.ndarray:
+    """Ones with the halves of a symmetric Hann window of 2 * width places at both ends."""
+    out = np.ones(n)
+    if width > 0:
+        edge = 0.5 - 0.5 * np.cos(np.pi * np.arange(width) / (width - 0.5))
+        out[:width], out[n - width :] = edge, edge[::-1]
+    return out
+
+
+def ramp(k: np.ndarray, first: int, width: int) -> np.ndarray:
+    """Squared sine that rises from 0 at ``first`` to 1 at ``first + width - 1`` and stays there."""
+    return np.sin(np.clip((k - first) / max(1, width - 1), 0, 1) * np.pi / 2) ** 2
+
+
+def smoothing_width(n: int, rate: float, low: float, high: float, min_samples: int, ratio_to_bandwidth: float, max_ratio_to_low: float) -> int:
+    """Places of the kernel that smooths a spectrum of n: a share of the band's width in Hz, no
+    more than a share of its lower corner, and so many places at least."""
+    hertz = min(ratio_to_bandwidth * (high - low), max_ratio_to_low * low)
+    return min(max(1, n - 1), round(max(min_samples, hertz / (rate / 2) * n)))
+
+
+def smoothed_log(log: np.ndarray, width: int, lowpass: float, taper_samples: int, taper_ratio: float) -> np.ndarray:
+    """A log spectrum (last axis in the transform's order, its least 0) smoothed twice: by a moving
+    mean over all but no frequency, made even, with zeros beyond the ends; and by a low-pass
+    of its quefrencies, which keeps ``lowpass`` of them and falls off over a taper."""
+    n = log.shape[-1]
+    sums = np.cumsum(np.concatenate([np.zeros((*log.shape[:-1], 1)), log[..., 1:]], -1), -1)
+    centre = np.arange(n - 1) + (width - 1) // 2
+    mean = (sums[..., np.minimum(centre + 1, n - 1)] - sums[..., np.clip(centre + 1 - width, 0, n - 1)]) / width
+    even = np.concatenate([log[..., :1], 0.5 * (mean + mean[..., ::-1])], -1)
+    quefrency = np.minimum(np.arange(n), n - np.arange(n))
+    kept = round(n * lowpass / 2)
+    fall = max(taper_samples, round(n * taper_ratio))
+    return np.fft.ifft(np.fft.fft(even) * (1 - ramp(quefrency, kept, fall))).real
+
+
+def whitened(x: np.ndarray, rate: float, low: float, high: float, water: float, smooth: dict | None = None) -> np.ndarray:
+    """Traces whose spectrum is divided by its size, raised to ``water`` of the largest, except
+    at no frequency. Ends are tapered over a period of the lower corner, half the trace at
+    most. Without energy the result is zero.
+
+    With ``smooth`` (options of :func:`smoothing_width` and :func:`smoothed_log`) the size is
+    smoothed, and what lies outside the band is tapered off over the kernel's width.
+    """
+    n = x.shape[-1]
+    if not n:
+        return x
+    spectrum = np.fft.fft(x * hann_ends(n, min(n // 2, int(rate / low))))
+    size = np.abs(spectrum)
+    level = np.maximum(size, water * size.max(-1, keepdims=True))
+    level[..., 0] = size[..., 0]
+    band = 1.0
+    if smooth is not None:
+        width = smoothing_width(n, rate, low, high, smooth["min_samples"], smooth["ratio_to_bandwidth"], smooth["max_ratio_to_low"])
+        log = np.log(np.maximum(level, 1e-300))
+        least = log.min(-1, keepdims=True)
+        level = np.exp(smoothed_log(log - least, width, smooth["lowpass"], smooth["taper_samples"], smooth["taper_ratio"]) + least)
+        axis, k = np.linspace(0, rate / 2, max(1, round(n / 2))), np.minimum(np.arange(n), n - np.arange(n))
+        first, last = (int(np.argmin(np.abs(axis - f))) for f in (low, high))
+        band = ramp(k, first - width + 1, width) * (1 - ramp(k, last, width))
+    return np.where(size.max(-1, keepdims=True) > 0, np.fft.ifft(spectrum / np.where(level > 0, level, 1.0) * band).real, 0.0)
+
+
 def response(freqs: np.ndarray, poles: list[complex], zeros: list[complex], gain: float) -> np.ndarray:
     """A sensor's response at frequencies in Hz, from poles and zeros in radians a second and
     the gain that multiplies their quotient."""
@@ -223,20 +286,31 @@ def mean_spectrum(spectra: np.ndarray, quantile: float) -> tuple[np.ndarray, np.
     return spectra.mean(0), spectra.std(0)
 
 
-def correlate(a: np.ndarray, b: np.ndarray, max_lag: int, normalise: bool = True, demean: bool = True) -> np.ndarray:
-    """Sums of a(i + lag) b(i) over the last axis by Fourier transform, for lags from -max_lag
-    to max_lag; demeaned, and over the root of both energies."""
+def transformed(x: np.ndarray, max_lag: int, demean: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """What a trace brings to any correlation up to ``max_lag``: its padded transform and energy."""
     if demean:
-        a, b = a - a.mean(-1, keepdims=True), b - b.mean(-1, keepdims=True)
-    n = 1 << (max(a.shape[-1], b.shape[-1]) + max(max_lag, 1)).bit_length()
-    full = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)
+        x = x - x.mean(-1, keepdims=True)
+    n = 1 << (x.shape[-1] + max(max_lag, 1)).bit_length()
+    return np.fft.rfft(x, n), (x * x).sum(-1, keepdims=True)
+
+
+def correlate_transformed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], max_lag: int, normalise: bool = True) -> np.ndarray:
+    """:func:`correlate` of traces of one length from their transforms."""
+    n = 2 * (a[0].shape[-1] - 1)
+    full = np.fft.irfft(a[0] * np.conj(b[0]), n)
     out = np.concatenate([full[..., n - max_lag :], full[..., : max_lag + 1]], -1)
     if not normalise:
         return out
-    energy = np.sqrt((a * a).sum(-1, keepdims=True) * (b * b).sum(-1, keepdims=True))
+    energy = np.sqrt(a[1] * b[1])
     return out / np.where(energy > 0, energy, 1.0)
 
 
+def correlate(a: np.ndarray, b: np.ndarray, max_lag: int, normalise: bool = True, demean: bool = True) -> np.ndarray:
+    """Sums of a(i + lag) b(i) over the last axis by Fourier transform, for lags from -max_lag
+    to max_lag; demeaned, and over the root of both energies."""
+    return correlate_transformed(transformed(a, max_lag, demean), transformed(b, max_lag, demean), max_lag, normalise)
+
+
 def classic_sta_lta(x: np.ndarray, short: int, long: int) -> np.ndarray:
     """Ratio of the mean squares of the last ``short`` and ``long`` samples; zero until a
     long window is full."""

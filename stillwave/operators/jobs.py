@@ -1,9 +1,9 @@
 """Steps of the processing chain as incremental jobs.
 
 A step takes the tables it reads, and the table of its results so far. It does only the work
-that has no result yet, and returns the table with the new rows; running it again on the same
-input changes nothing. A window, chunk or pair that can't be done has no row, so it is tried
-again when more data has come.
+that has no result yet, or whose inputs have changed since, and returns the table with the
+new rows; running it again on the same input changes nothing. A window, chunk or pair that
+can't be done has no row, so it is tried again when more data has come.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ Compute = Callable[[DataFrame], DataFrame]
 
 
 def step(work: DataFrame, results: DataFrame, key: list[str], compute: Compute) -> DataFrame:
-    """The results with those of the work that had none."""
-    new = compute(K.not_done(work, results, key))
+    """The results with those of the work that had none. Which that is is found by keys alone, so
+    Spark may send around a short list of them instead of moving all work's arrays."""
+    todo = K.not_done(work.select(*key).distinct(), results, key)
+    new = compute(work.join(todo, key, "left_semi"))
     return K.upsert(results, new.select(*results.columns), key, nothing_on_conflict=True)
 
 
@@ -65,20 +67,20 @@ def statistics(datachunks: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def processed(datachunks: DataFrame, table: DataFrame, params: config.ProcessedDatachunkParams, rate: float) -> DataFrame:
-    """Chunks whitened, filtered and reduced to signs."""
+    """Chunks whitened, filtered and reduced to signs, as far as the parameters say so."""
     key = ["component_id", "timespan_id"]
-    options = {"low": params.filtering_low, "high": params.filtering_high, "water": params.waterlevel_ratio_to_max}
 
     def compute(new: DataFrame) -> DataFrame:
         named = new.select(F.struct(*key).alias("k"), F.col("samples").alias("x"))
-        return signals.per_trace(named, "process", rate, id="k", **options).select("k.*", F.col("y").alias("samples"))
+        return signals.per_trace(named, "processed", rate, id="k", params=params).select("k.*", F.col("y").alias("samples"))
 
     return step(datachunks, table, key, compute)
 
 
 def qc_one(statistics: DataFrame, spans: DataFrame, gps: DataFrame, periods: DataFrame, table: DataFrame, params: config.QCOneConfig) -> DataFrame:
     """Verdicts of chunks with statistics. ``gps`` has ``error`` and ``uncertainty`` by component
-    and window, ``periods`` the rejected times by component."""
+    and window, ``periods`` the rejected times by component. A verdict is made anew, since
+    GPS rows and periods that came later change it; it takes a chunk's numbers, no samples."""
     key = ["component_id", "timespan_id"]
 
     def compute(new: DataFrame) -> DataFrame:
@@ -89,18 +91,22 @@ def qc_one(statistics: DataFrame, spans: DataFrame, gps: DataFrame, periods: Dat
         found = work.select(*key, *verdicts)
         return found.withColumn("is_passing", K.passing([c for c in found.columns if c.startswith("ok_")]))
 
-    return step(statistics, table, key, compute)
+    return K.upsert(table, compute(statistics).select(*table.columns), key)
 
 
 def crosscorrelations(processed: DataFrame, pairs: DataFrame, table: DataFrame, max_lag: int, verdicts: DataFrame | None = None) -> DataFrame:
     """Correlations (``component_id_a``, ``component_id_b``, ``timespan_id``, ``ccf``) of the
-    pairs whose chunks are both there in a window and, where verdicts are given, pass."""
+    pairs whose chunks are both there in a window and, where verdicts are given, pass.
+
+    What is left to do is found by keys alone; the samples of finished work aren't moved."""
     chunk = ["component_id", "timespan_id"]
     held = processed if verdicts is None else K.passed_only(processed, verdicts, chunk)
     key = ["component_id_a", "component_id_b", "timespan_id"]
-    side = lambda s: held.select(F.col("component_id").alias(f"component_id_{s}"), "timespan_id", F.col("samples").alias(f"x_{s}"))
-    work = pairs.select("component_id_a", "component_id_b").join(side("a"), "component_id_a").join(side("b"), ["component_id_b", "timespan_id"])
-    return step(work, table, key, lambda new: signals.correlations(new, key, "x_a", "x_b", max_lag).filter("y is not null").withColumnRenamed("y", "ccf"))
+    there = held.select(*chunk).distinct()
+    side = lambda s: there.withColumnRenamed("component_id", f"component_id_{s}")
+    known = pairs.select("component_id_a", "component_id_b").distinct()
+    todo = K.not_done(known.join(side("a"), "component_id_a").join(side("b"), ["component_id_b", "timespan_id"]), table, key)
+    return table.unionByName(signals.block_correlations(held, todo, max_lag).select(*table.columns))
 
 
 #: By rotated code, the letters at both stations of the correlations that it combines, in order.
@@ -158,14 +164,47 @@ def qc_two(ccfs: DataFrame, spans: DataFrame, periods: DataFrame, table: DataFra
     return step(ccfs, table, key, compute)
 
 
+def changed(work: DataFrame, table: DataFrame, key: list[str], input: str, count: str | None = None) -> DataFrame:
+    """Keys of ``work`` whose inputs differ from those that their result was made of, or which
+    have none, with ``inputs``, a digest of the ids in ``input``.
+
+    The digest is compared if the table keeps one in ``inputs``; ``count``, if given, is the
+    table's column with the number of inputs. With neither, keys that have a result are done.
+    """
+    ids = F.xxhash64(input).cast("decimal(38,0)")
+    now = work.groupBy(*key).agg(F.pmod(F.sum(ids), F.lit(2**62)).cast("long").alias("inputs"), F.count("*").alias("_count"))
+    kept = {"inputs": "inputs"} if "inputs" in table.columns else {}
+    kept |= {count: "_count"} if count else {}
+    then = table.select(*key, *(F.col(c).alias(f"_then{c}") for c in kept), F.lit(True).alias("_there")).distinct()
+    same = inventory.every([F.col("_there").isNotNull(), *(F.col(f"_then{c}") == F.col(n) for c, n in kept.items())])
+    return now.join(then, key, "left").filter(~F.coalesce(same, F.lit(False))).select(*key, "inputs")
+
+
+def renewed(table: DataFrame, todo: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """The table with ``new`` in place of the rows of ``todo``'s keys."""
+    held = table.join(todo.select(*key), key, "left_anti")
+    if "inputs" in table.columns:
+        new = new.join(todo, key)
+    return held.select(*table.columns).unionByName(new.select(*table.columns))
+
+
 def stacks(ccfs: DataFrame, spans: DataFrame, stack_spans: DataFrame, table: DataFrame, least: int, verdicts: DataFrame | None = None) -> DataFrame:
     """Mean correlations by pair and stacking window (``stack_id``, ``stack_start``,
-    ``stack_end``), of the windows within it whose verdicts, where given, pass."""
+    ``stack_end``), of the windows within it whose verdicts, where given, pass.
+
+    A stack is made anew when the windows within it have changed: by their number
+    (``no_ccfs``) and, if the table has ``inputs``, by which they are. One that has fewer than
+    ``least`` of them now goes. Which these are is found without moving correlations.
+    """
     pair = ["component_id_a", "component_id_b"]
-    held = ccfs if verdicts is None else K.passed_only(ccfs, verdicts, [*pair, "timespan_id"])
-    work = held.join(spans.select("timespan_id", "starttime", "endtime"), "timespan_id")
-    work = grid.bucketed_containment_join(work, stack_spans, "starttime", "endtime", "stack_start", "stack_end", 3600)
-    return step(work, table, [*pair, "stack_id"], lambda new: stacking.linear_stack(new, [*pair, "stack_id"], "ccf", least))
+    key = [*pair, "stack_id"]
+    held = ccfs.filter("ccf is not null")
+    held = held if verdicts is None else K.passed_only(held, verdicts, [*pair, "timespan_id"])
+    within = grid.bucketed_containment_join(spans.select("timespan_id", "starttime", "endtime"), stack_spans, "starttime", "endtime", "stack_start", "stack_end", 3600)
+    within = within.select("timespan_id", "stack_id")
+    todo = changed(held.select(*pair, "timespan_id").join(within, "timespan_id"), table, key, "timespan_id", "no_ccfs")
+    work = held.join(within, "timespan_id").join(todo.select(*key), key, "left_semi")
+    return renewed(table, todo, stacking.linear_stack(work, key, "ccf", least), key)
 
 
 def power_spectra(datachunks: DataFrame, table: DataFrame, params: config.PPSDParams) -> DataFrame:
@@ -180,10 +219,13 @@ def power_spectra(datachunks: DataFrame, table: DataFrame, params: config.PPSDPa
 
 
 def beams(datachunks: DataFrame, places: DataFrame, table: DataFrame, params: config.BeamformingParams, rate: float) -> DataFrame:
-    """Peaks of the beams of windows. ``places`` has ``component_id``, ``px``, ``py``."""
-    work = datachunks.join(places, "component_id").select("timespan_id", F.col("component_id").alias("vec_id"), F.col("samples").alias("x"), "px", "py")
-    todo = K.not_done(work, table, ["timespan_id"])
-    return table.unionByName(signals.beam_peaks(todo, params, rate).select(*table.columns))
+    """Peaks of the beams of windows. ``places`` has ``component_id``, ``px``, ``py``. If the table
+    has ``inputs``, a window is done again when other components have come to it."""
+    key = ["timespan_id"]
+    placed = datachunks.join(places, "component_id")
+    todo = changed(placed.select(*key, "component_id"), table, key, "component_id")
+    work = placed.select("timespan_id", F.col("component_id").alias("vec_id"), F.col("samples").alias("x"), "px", "py").join(todo.select(*key), key, "left_semi")
+    return renewed(table, todo, signals.beam_peaks(work, params, rate), key)
 
 
 def events(datachunks: DataFrame, searched: DataFrame, params: config.EventDetectionParams, rate: float) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,23 @@ def _stage(name: str, rate: float, o: dict):
         return lambda x: dsp.power_spectrum(x, rate)
     if name == "process":  # whiten, filter, one-bit
         return lambda x: np.sign(dsp.bandpass(dsp.whiten(x, o["water"], o.get("quefrency"), rate), o["low"], o["high"], rate))
+    if name in ("whitened", "processed"):  # as parameters of processing switch and tune it
+        p = o["params"]
+        smooth = {
+            "min_samples": p.convolution_sliding_window_min_samples, "ratio_to_bandwidth": p.convolution_sliding_window_ratio_to_bandwidth, "max_ratio_to_low": p.convolution_sliding_window_max_ratio_to_fmin,
+            "lowpass": p.quefrency_filter_lowpass_pct, "taper_samples": p.quefrency_filter_taper_min_samples, "taper_ratio": p.quefrency_filter_taper_length_ratio_to_length_cepstrum,
+        }
+
+        def white(x: np.ndarray) -> np.ndarray:
+            return dsp.whitened(x, rate, p.filtering_low, p.filtering_high, p.waterlevel_ratio_to_max, smooth if p.quefrency else None)
+
+        def by_params(x: np.ndarray) -> np.ndarray:
+            if p.spectral_whitening:
+                x = white(x)
+            x = dsp.bandpass(x, p.filtering_low, p.filtering_high, rate, p.filtering_order)
+            return np.sign(x) if p.one_bit else x
+
+        return white if name == "whitened" else by_params
     if name == "preprocess":  # detrend, demean, resample, taper, filter, response, and filter without delay
         new = o["new_rate"]
 
@@ -99,6 +117,62 @@ def correlations(df: DataFrame, keys: list[str], a: str, b: str, max_lag: int, n
     return df.select(*keys, F.col(a).cast("array<double>").alias("_a"), F.col(b).cast("array<double>").alias("_b")).mapInArrow(batches, f"{kinds}, y array<double>")
 
 
+#: Components in a block, on average, and pairs that are correlated at once.
+BLOCK, PAIRS = 32, 32
+
+
+def block_correlations(chunks: DataFrame, todo: DataFrame, max_lag: int, normalise: bool = True, demean: bool = True, block: int = BLOCK) -> DataFrame:
+    """(``component_id_a``, ``component_id_b``, ``timespan_id``, ``ccf``) for the pairs of ``todo``
+    (the same keys) from ``chunks`` (``component_id``, ``timespan_id``, ``samples``).
+
+    Components are dealt to blocks, and a window's pairs to the pairs of their blocks. There a
+    chunk is transformed once for all its pairs, so what is shuffled are a chunk's samples
+    once for each block that it meets, not for each pair; a task holds two blocks. Pairs of which
+    a chunk is missing, null, empty or of another length than its partner have no row. Of
+    chunks that repeat a key the one of the largest samples counts. Rows of ``todo`` that
+    repeat each other give a row each.
+    """
+    key = ["component_id_a", "component_id_b", "timespan_id"]
+    known = todo.select(F.col("component_id_a").alias("c")).unionByName(todo.select(F.col("component_id_b").alias("c"))).distinct().count()
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-known // block))))
+    a, b = number("component_id_a"), number("component_id_b")
+    work = todo.select(*key, F.least(a, b).alias("_i"), F.greatest(a, b).alias("_j"))
+    side = lambda s: work.select(F.col(f"component_id_{s}").alias("component_id"), "timespan_id", F.struct("_i", "_j").alias("_to"))
+    needed = side("a").unionByName(side("b")).groupBy("component_id", "timespan_id").agg(F.collect_set("_to").alias("_to"))
+    held = chunks.select("component_id", "timespan_id", F.col("samples").cast("array<double>").alias("samples")).filter("size(samples) > 0")
+    copies = held.join(needed, ["component_id", "timespan_id"]).select("component_id", "timespan_id", "samples", F.explode("_to").alias("_to"))
+    copies = copies.select("component_id", "timespan_id", "samples", "_to.*")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict = {}
+        for component, samples in zip(left["component_id"].to_pylist(), left["samples"], strict=True):
+            x = samples.values.to_numpy(zero_copy_only=False).astype(float)
+            if component not in found or x.tolist() > found[component].tolist():
+                found[component] = x
+        place, groups = {}, {}
+        for component, x in found.items():
+            place[component] = (len(x), len(groups.setdefault(len(x), [])))
+            groups[len(x)].append(x)
+        spectra = {n: dsp.transformed(np.array(x), max_lag, demean) for n, x in groups.items()}
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for row, (c, d) in enumerate(zip(right["component_id_a"].to_pylist(), right["component_id_b"].to_pylist(), strict=True)):
+            if c in place and d in place and place[c][0] == place[d][0]:
+                rows.setdefault(place[c][0], []).append((row, place[c][1], place[d][1]))
+        at, out = [], []
+        for n, some in rows.items():
+            x, energy = spectra[n]
+            for s in range(0, len(some), PAIRS):
+                row, p, q = np.array(some[s : s + PAIRS]).T
+                at += row.tolist()
+                out += list(dsp.correlate_transformed((x[p], energy[p]), (x[q], energy[q]), max_lag, normalise))
+        kept = right.select(["component_id_a", "component_id_b", "_w"]).take(pa.array(at, pa.int64()))
+        return pa.table([*kept.columns, pa.array(out, pa.list_(pa.float64()))], [*key, "ccf"])
+
+    kinds = ", ".join(f"{k} {todo.schema[k].dataType.simpleString()}" for k in key)
+    wanted = work.select(*key[:2], *(F.col(c).alias(n) for c, n in (("timespan_id", "_w"), ("_i", "_p"), ("_j", "_q"))))
+    return copies.groupBy("timespan_id", "_i", "_j").cogroup(wanted.groupBy("_w", "_p", "_q")).applyInArrow(run, f"{kinds}, ccf array<double>")
+
+
 def spectra(df: DataFrame, params: PPSDParams, id: str = "vec_id", array: str = "x") -> DataFrame:
     """``id``, ``mean`` and ``std`` of the densities of a trace's segments, without those of too
     little or too much energy, and ``segments``, how many there were; null for a trace
@@ -141,20 +215,45 @@ def array_response(stations: DataFrame, axis: list[float], freqs: list[float]) -
     return power.crossJoin(F.broadcast(largest)).select("sx", "sy", (F.col("power") / F.col("largest")).alias("response"))  # one row
 
 
+def _alike(table: pa.Table) -> list[tuple]:
+    """Rows (``vec_id``, ``x``, ``px``, ``py``) of one window by id: of its traces the whole ones (not
+    null, no component null or NaN) of the commonest length, the longer of two as common."""
+    rows = [r for r in zip(*(table[c].to_pylist() for c in ("vec_id", "x", "px", "py")), strict=True) if r[1] and None not in r]
+    rows = [r for r in rows if None not in r[1] and np.isfinite(r[1]).all()]
+    lengths = Counter(len(r[1]) for r in rows)
+    common = max(lengths, key=lambda n: (lengths[n], n), default=0)
+    return sorted(r for r in rows if len(r[1]) == common)
+
+
+def kept_stations(traces: DataFrame, window: str) -> DataFrame:
+    """(``vec_id``, ``kept``): the traces ``x`` of each window, and which of them its sigma clipping
+    keeps. One that is null, empty or odd in length, or holds a null or NaN, isn't kept and
+    has no part in the others' levels."""
+
+    def run(group: pa.Table) -> pa.Table:
+        zeros = pa.array(np.zeros(group.num_rows))
+        good = _alike(group.append_column("px", zeros).append_column("py", zeros))
+        kept = dsp.statistical_reject(np.fft.rfft(np.array([r[1] for r in good], float))[:, 1:]) if good else []
+        ids = {r[0] for r, k in zip(good, kept, strict=True) if k}
+        return pa.table([group["vec_id"], pa.array([i in ids for i in group["vec_id"].to_pylist()])], ["vec_id", "kept"])
+
+    return traces.select("vec_id", "x", window).groupBy(window).applyInArrow(run, f"vec_id {traces.schema['vec_id'].dataType.simpleString()}, kept boolean")
+
+
 def beams(traces: DataFrame, rate: float, low: float, high: float, axis: list[float], method: str, peaks: int, least: int = 3) -> DataFrame:
     """Peaks of the beam power of each window: ``timespan_id``, ``rank``, ``sx``, ``sy``,
     ``slowness``, ``azimuth``, ``power``.
 
     ``traces`` has ``timespan_id``, ``vec_id``, ``x``, ``px``, ``py``: one row for each
-    station of a window, so a group is as large as the array. Windows of fewer than
-    ``least`` traces of one length, and stations that the spectra reject, are left out.
+    station of a window, so a group is as large as the array. Traces that are null, hold a
+    null or NaN, or are not as long as most of their window, are left out, as are stations
+    that the spectra reject, and windows of fewer than ``least`` traces.
     """
     nodes = np.array(axis)
 
     def run(table: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("timespan_id", "rank", "sx", "sy", "slowness", "azimuth", "power")}
-        rows = sorted(zip(table["vec_id"].to_pylist(), table["x"].to_pylist(), table["px"].to_pylist(), table["py"].to_pylist(), strict=True))
-        rows = [r for r in rows if r[1] is not None and len(r[1]) == len(rows[0][1] or [])]
+        rows = _alike(table)
         if len(rows) >= least:
             spectra = np.fft.rfft(np.array([r[1] for r in rows], float))
             freqs = np.fft.rfftfreq(len(rows[0][1]), 1 / rate)
@@ -181,8 +280,8 @@ def beam_peaks(traces: DataFrame, params: BeamformingParams, rate: float, source
 
     ``traces`` has ``timespan_id``, ``vec_id``, ``x``, ``px``, ``py``: one row for each station,
     so a group is as large as the array. Within it the beam runs over whole windows of the
-    parameters' length and step. Windows of analysis with fewer traces of one length than the
-    parameters ask for are left out. With ``source`` nodes are places, not slownesses.
+    parameters' length and step. Traces that are null, hold a null or NaN, or are not as long
+    as most of their window, are left out, and windows with fewer than the parameters ask for. With ``source`` nodes are places, not slownesses.
     """
     x, y = (np.array(params.axis(a)) for a in "xy")
     length, step = int(round(params.window_s * rate)), max(1, int(round(params.step_s * rate)))
@@ -191,8 +290,7 @@ def beam_peaks(traces: DataFrame, params: BeamformingParams, rate: float, source
 
     def run(table: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(11)]
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("vec_id", "x", "px", "py")), strict=True))
-        rows = [r for r in rows if r[1] is not None and len(r[1]) == max(len(q[1] or []) for q in rows)]
+        rows = _alike(table)
         if len(rows) >= params.minimum_trace_count and len(rows[0][1]) >= length:
             data, places = np.array([r[1] for r in rows], float), np.array([r[2:] for r in rows], float)
             freqs = np.fft.rfftfreq(length, 1 / rate)

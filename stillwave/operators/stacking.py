@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Keys whose sums a task holds before it passes them on.
-HELD = 4096
+#: Samples of sums that a task holds before it passes them on.
+HELD = 8_000_000
 
 
 def linear_stack(df: DataFrame, keys: list[str], array: str, least: int = 1) -> DataFrame:
@@ -33,7 +33,7 @@ def linear_stack(df: DataFrame, keys: list[str], array: str, least: int = 1) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[np.ndarray, np.ndarray, int]] = {}
-        schema = None
+        schema, size = None, 0
 
         def out() -> pa.RecordBatch:
             columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(schema)]
@@ -50,8 +50,10 @@ def linear_stack(df: DataFrame, keys: list[str], array: str, least: int = 1) ->
                 x = v.values.to_numpy(zero_copy_only=False).astype(float)
                 s, c, n = held.get(tuple(key), (x[:0], np.empty(0, np.int64), 0))
                 held[tuple(key)] = (added(s, x), added(c, np.ones(len(x), np.int64)), n + 1)
-                if len(held) >= HELD:
+                size += max(0, len(x) - len(s)) + (n == 0)
+                if size >= HELD:
                     yield out()
+                    size = 0
         if held:
             yield out()
 

@@ -141,10 +141,10 @@ def flt10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("user_id") + 1, "left").select("detection_id", "n_name", "c_mktsegment")
 
 
-@PLANS.add("jn10_windows_chunks_qc", f"""WITH {B.SAMPLES_SQL}, {B.SPANS_SQL}, c AS (SELECT timespan_id, event_type, avg(value) AS m, count(*) AS n FROM sample WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL)
+@PLANS.add("jn10_windows_chunks_qc", f"""WITH {B.SAMPLES_SQL}, {B.SPANS_SQL}, c AS (SELECT timespan_id, event_type, avg(value) AS m, count(*) AS n FROM sample GROUP BY ALL)
 SELECT timespan_id, count(*) AS traces, CAST(sum(n) AS BIGINT) AS npts FROM span JOIN c USING (timespan_id) WHERE m BETWEEN 30 AND 70 GROUP BY timespan_id HAVING count(*) >= 2""")
 def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = B.samples(spark, sf_dir).filter(F.col("event_type").isin("click", "view", "error")).groupBy("timespan_id", "event_type").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
+    c = B.samples(spark, sf_dir).groupBy("timespan_id", "event_type").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
     good = B.spans_of_events(spark, sf_dir).join(c.filter("m between 30 and 70"), "timespan_id")
     return good.groupBy("timespan_id").agg(F.count("*").alias("traces"), F.sum("n").alias("npts")).filter("traces >= 2")
 

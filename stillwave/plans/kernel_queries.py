@@ -124,6 +124,8 @@ def dsp22(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             out: list[tuple[int, int, int, float]] = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not v.is_valid:
+                    continue
                 x = v.values.to_numpy(zero_copy_only=False)
                 ratio = dsp.classic_sta_lta(x, 3, 16)
                 out += [(i, a, b, float(np.abs(x[a : b + 1]).max())) for a, b in dsp.triggers(ratio, 2.0, 1.0)]
@@ -136,14 +138,8 @@ def dsp22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.add("ag16_rejected_stations")
 def ag16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waveforms of each group of 16 that the spectra's sigma clipping keeps."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group["vec_id"].to_pylist(), group["x"].to_pylist(), strict=True))
-        kept = dsp.statistical_reject(np.fft.rfft(np.array([x for _, x in rows]))[:, 1:])
-        return pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "kept": pa.array(kept)})
-
     w = B.waveforms(spark, sf_dir).select("vec_id", "x", (F.col("vec_id") / 16).cast("long").alias("g"))
-    return w.groupBy("g").applyInArrow(run, "vec_id long, kept boolean")
+    return signals.kept_stations(w, "g")
 
 
 @PLANS.add("wn6_beam_windows")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stillwave import config
 from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
 from stillwave.functions import dsp
@@ -97,6 +98,23 @@ def dsp13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ccfs(spark, sf_dir).select("a", "b", rounded_array(F.col("y")).alias("y"))
 
 
+#: Each label's waveforms in tens are windows, in which the place is the component.
+_WINDOWS_SQL = f"{B.WAVEFORMS_SQL}, chunk AS (SELECT vec_id // 10 AS timespan_id, vec_id % 10 AS component_id, list_transform(x, lambda v: v - list_avg(x)) AS x FROM wave)"
+
+
+@PLANS.add("dsp13_block_correlations", f"""WITH {_WINDOWS_SQL} SELECT a.component_id AS component_id_a, b.component_id AS component_id_b, timespan_id, list_transform(range(-10, 11), lambda l: round(
+  list_inner_product(list_slice(a.x, greatest(l, 0) + 1, 64 + least(l, 0)), list_slice(b.x, greatest(-l, 0) + 1, 64 - greatest(l, 0))) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)), 6) + 0.0) AS ccf
+  FROM chunk a JOIN chunk b USING (timespan_id) WHERE a.component_id <= b.component_id""")
+def dsp13_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten waveforms a window, all pairs of them, as the job correlates them: by blocks of four."""
+    w = B.waveforms(spark, sf_dir)
+    held = w.select((F.col("vec_id") % 10).alias("component_id"), F.floor(F.col("vec_id") / 10).alias("timespan_id"), F.col("x").alias("samples"))
+    there = held.select("timespan_id", F.col("component_id").alias("component_id_a"))
+    todo = there.join(held.select("timespan_id", F.col("component_id").alias("component_id_b")), "timespan_id").filter("component_id_a <= component_id_b")
+    found = signals.block_correlations(held, todo, 10, block=4)
+    return found.select("component_id_a", "component_id_b", "timespan_id", rounded_array(F.col("ccf")).alias("ccf"))
+
+
 @PLANS.add("jn6_chunks_of_windows", f"WITH {B.WAVEFORMS_SQL} SELECT label, count(*) AS chunks, CAST(sum(len(x)) AS BIGINT) AS samples FROM wave GROUP BY label")
 def jn6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.waveforms(spark, sf_dir).groupBy("label").agg(F.count("*").alias("chunks"), F.sum(F.size("x")).alias("samples"))
@@ -144,14 +162,14 @@ def ag3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add(
     "jn9_stack_windows",
-    """WITH c AS (SELECT event_id, ts AS starttime, ts + INTERVAL 30 MINUTES AS endtime FROM events WHERE event_type = 'click'),
+    """WITH c AS (SELECT event_id, ts AS starttime, ts + INTERVAL 30 MINUTES AS endtime FROM events),
 w AS (SELECT s AS w_start, s + INTERVAL 6 HOURS AS w_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 21:00:00', INTERVAL 3 HOURS)) AS s))
 SELECT w_start, count(*) AS no_ccfs FROM w JOIN c ON w_start <= starttime AND endtime <= w_end GROUP BY w_start""",
 )
 def jn9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stillwave.operators import grid
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'click'")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     c = e.select("event_id", F.col("ts").alias("starttime"), (F.col("ts") + F.expr("interval 30 minutes")).alias("endtime"))
     w = grid.timespans(spark, "2024-01-01", "2024-01-31", 21600, overlap_s=10800, across_midnight=True)
     w = w.select(F.col("starttime").alias("w_start"), F.col("endtime").alias("w_end"))
@@ -313,15 +331,39 @@ def _impulse(low: float, high: float, order: int, n: int = 64) -> str:
     return "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in map(float, h)) + "]"
 
 
-_BAND_SQL = f"SELECT vec_id, list_transform(range(64), lambda t: list_inner_product(list_slice(x, 1, t + 1), list_slice(h, 64 - t, 64))) AS y FROM wave, (SELECT list_reverse({_impulse(2.0, 16.0, 4)}) AS h)"
+def _band(rows: str, low: float, high: float) -> str:
+    """The band-pass of ``x`` as the sum of its impulse responses."""
+    return f"SELECT vec_id, list_transform(range(64), lambda t: list_inner_product(list_slice(x, 1, t + 1), list_slice(h, 64 - t, 64))) AS y FROM ({rows}), (SELECT list_reverse({_impulse(low, high, 4)}) AS h)"
+
+
+_SIGNS_SQL = f"SELECT vec_id, list_transform(y, lambda v: CAST(sign(v) AS DOUBLE)) AS y FROM ({_band(f'SELECT vec_id, y AS x FROM ({_WHITE_SQL})', 2.0, 16.0)})"
+
+#: Whitening by a smoothed spectrum with a kernel of 4 places over 4 to 15 Hz.
+SMOOTH = config.ProcessedDatachunkParams(
+    filtering_low=4.0, filtering_high=15.0, waterlevel_ratio_to_max=0.02, convolution_sliding_window_min_samples=4, convolution_sliding_window_max_ratio_to_fmin=0.5,
+    convolution_sliding_window_ratio_to_bandwidth=0.15, quefrency_filter_lowpass_pct=0.5, quefrency_filter_taper_min_samples=6, quefrency=True, one_bit=False,
+)
+_RISE = "pow(sin(least(1.0, greatest(0.0, ({0}) / {1})) * pi() / 2), 2)"
+_SMOOTH_SQL = f"""SELECT vec_id, list_transform(range(64), lambda t: {_sum("CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re[k + 1] * cos(2 * pi() * k * t / 64) - im[k + 1] * sin(2 * pi() * k * t / 64)) / d[k + 1] * b[k + 1] / 64", 33).replace("lambda i", "lambda k")}) AS y
+FROM (SELECT vec_id, re, im, list_transform(range(33), lambda k: exp(least + {_sum(f"c[i + 1] * (1 - {_RISE.format('least(i, 64 - i) - 16', '5.0')}) * cos(2 * pi() * i * k / 64) / 64")})) AS d,
+  list_transform(range(33), lambda k: {_RISE.format("k - 1", "3.0")} * (1 - {_RISE.format("k - 15", "3.0")})) AS b
+FROM (SELECT vec_id, re, im, least, list_transform(range(64), lambda q: {_sum("e[i + 1] * cos(2 * pi() * i * q / 64)")}) AS c
+FROM (SELECT vec_id, re, im, least, list_transform(range(64), lambda j: CASE WHEN j = 0 THEN s[1] ELSE (m[j] + m[64 - j]) / 2 END) AS e
+FROM (SELECT *, list_transform(range(63), lambda i: list_sum(list_slice(s, greatest(0, i - 2) + 2, least(62, i + 1) + 2)) / 4) AS m
+FROM (SELECT vec_id, re, im, least, list_transform(range(64), lambda j: h[least(j, 64 - j) + 1] - least) AS s
+FROM (SELECT *, list_min(h) AS least FROM (SELECT *, list_transform(range(33), lambda k: ln(CASE WHEN k = 0 THEN z[1] ELSE greatest(z[k + 1], 0.02 * list_max(z)) END)) AS h
+FROM (SELECT *, list_transform(range(33), lambda k: sqrt(re[k + 1] * re[k + 1] + im[k + 1] * im[k + 1])) AS z
+FROM (SELECT vec_id, list_transform(range(33), lambda k: {_sum("w[i + 1] * cos(2 * pi() * k * i / 64)")}) AS re, list_transform(range(33), lambda k: {_sum("-w[i + 1] * sin(2 * pi() * k * i / 64)")}) AS im
+FROM (SELECT vec_id, list_transform(range(64), lambda i: x[i + 1] * CASE WHEN least(i, 63 - i) < 16 THEN 0.5 - 0.5 * cos(pi() * least(i, 63 - i) / 15.5) ELSE 1 END) AS w FROM wave))))))))))"""
 
 _kernel("dsp4_detrend", "detrend", _CUBIC_SQL, order=3)
 _kernel("dsp5_resample", "resample", _RESAMPLE_SQL, new_rate=16.0)
-_kernel("dsp7_bandpass", "bandpass", _BAND_SQL, low=2.0, high=16.0, order=4)
+_kernel("dsp7_bandpass", "bandpass", _band("SELECT * FROM wave", 2.0, 16.0), low=2.0, high=16.0, order=4)
 _kernel("dsp9_preprocess", "preprocess", low=2.0, high=12.0, new_rate=32.0)
 _kernel("dsp8_response_removed", "response", response=([-4.44 + 4.44j, -4.44 - 4.44j], [0j, 0j], 800.0))
 _kernel("dsp10_whiten", "whiten", _WHITE_SQL, water=0.01)
-_kernel("dsp12_process", "process", low=2.0, high=16.0, water=0.01)
+_kernel("dsp10_smoothed_whiten", "whitened", _SMOOTH_SQL, params=SMOOTH)
+_kernel("dsp12_process", "process", _SIGNS_SQL, low=2.0, high=16.0, water=0.01)
 _kernel("dsp15_power_spectrum", "power_spectrum", f"SELECT vec_id, {_POWER_SQL} AS y FROM fourier")
 
 

@@ -75,7 +75,8 @@ class Shard:
         self.impacts = impact(weights[term], tf[order], m[self.docs])
         self.size = len(m)
         known, starts = np.unique(term, return_index=True)
-        self.ends = dict(zip(known.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(term)], strict=True), strict=True))
+        stops = np.append(starts, len(term))[1:]
+        self.ends = dict(zip(known.tolist(), zip(starts.tolist(), stops.tolist(), strict=True), strict=True))
         self.most = dict(zip(known.tolist(), np.maximum.reduceat(self.impacts, starts).tolist() if len(term) else [], strict=True))
 
     def best(self, query: list[int], k: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -7,6 +7,8 @@ analogue Butterworth prototype.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -163,12 +165,18 @@ def whiten(x: np.ndarray, water: float = 0.01, quefrency: float | None = None, r
     return np.where(quiet, 0.0, np.fft.irfft(spectrum / np.maximum(size, np.maximum(water * most, 1e-300)), x.shape[-1]))
 
 
-def hann_ends(n: int, width: int) -> np.ndarray:
-    """Ones with the halves of a symmetric Hann window of 2 * width places at both ends."""
+def taper_ends(n: int, width: int, kind: str = "hann", side: str = "both") -> np.ndarray:
+    """Ones with so many places at the ends (or at the ``left`` or ``right`` one) rising: as half of
+    a symmetric Hann window of twice the width, or, as ``cosine``, as half a cosine from 0 to 1."""
+    if kind not in ("hann", "cosine") or side not in ("both", "left", "right"):
+        raise ValueError(f"no taper {kind} {side}")
     out = np.ones(n)
     if width > 0:
-        edge = 0.5 - 0.5 * np.cos(np.pi * np.arange(width) / (width - 0.5))
-        out[:width], out[n - width :] = edge, edge[::-1]
+        edge = 0.5 - 0.5 * np.cos(np.pi * np.arange(width) / (width - 0.5 if kind == "hann" else max(1, width - 1)))
+        if side != "right":
+            out[:width] *= edge
+        if side != "left":
+            out[n - width :] *= edge[::-1]
     return out
 
 
@@ -210,7 +218,7 @@ def whitened(x: np.ndarray, rate: float, low: float, high: float, water: float,
     n = x.shape[-1]
     if not n:
         return x
-    spectrum = np.fft.fft(x * hann_ends(n, min(n // 2, int(rate / low))))
+    spectrum = np.fft.fft(x * taper_ends(n, min(n // 2, int(rate / low))))
     size = np.abs(spectrum)
     level = np.maximum(size, water * size.max(-1, keepdims=True))
     level[..., 0] = size[..., 0]
@@ -234,21 +242,79 @@ def response(freqs: np.ndarray, poles: list[complex], zeros: list[complex], gain
 
 
 def remove_response(x: np.ndarray, rate: float, poles: list[complex], zeros: list[complex], gain: float, taper_share: float = 0.05, water_db: float = 60.0) -> np.ndarray:
-    """The motion that gave ``x`` through a response: demeaned, tapered, padded to twice the
-    length, and divided in the spectrum, where the response's size is raised to ``water_db``
-    below its largest. Where it is zero, as at no frequency, so is the result."""
+    """:func:`divide_response` by poles, zeros and gain."""
+    return divide_response(x, rate, lambda freqs: response(freqs, poles, zeros, gain), taper_share, water_db)
+
+
+def divide_response(x: np.ndarray, rate: float, of: Callable[[np.ndarray], np.ndarray], taper_share: float = 0.05, water_db: float = 60.0) -> np.ndarray:
+    """The motion that gave ``x`` through a response, which ``of`` gives at frequencies: demeaned,
+    tapered, padded to twice the length, and divided in the spectrum, where the response's
+    size is raised to ``water_db`` below its largest. Where it is zero, as at no frequency, so
+    is the result."""
     x = x - x.mean(-1, keepdims=True)
     length = x.shape[-1]
     if int(length * taper_share):
         x = taper(x, taper_share)
     n = 1 << (2 * length - 1).bit_length()
-    h = response(np.fft.rfftfreq(n, 1 / rate), poles, zeros, gain)
+    h = of(np.fft.rfftfreq(n, 1 / rate))
     size = np.abs(h)
     floor = size.max() * 10 ** (-water_db / 20)
     raised = np.where(size > 0, h / np.maximum(size, 1e-300) * np.maximum(size, floor), 1.0)
     return np.fft.irfft(np.where(size > 0, np.fft.rfft(x, n) / raised, 0.0), n)[..., :length]
 
 
+def _polynomials(top: list[float], bottom: list[float], at: np.ndarray) -> np.ndarray:
+    """A quotient of polynomials in 1 / at, lowest power first; an empty one is 1."""
+    value = lambda c: np.polyval(c[::-1], 1 / at) if c else np.ones(len(at))
+    return value(top) / value(bottom)
+
+
+def stage_response(stage: dict, freqs: np.ndarray) -> np.ndarray:
+    """One stage of an instrument at frequencies in Hz: its gain times what its ``kind`` says.
+
+    ``poles_zeros``: factor * product(s - zero) / product(s - pole), with s = 2 pi i f, or i f
+    if ``domain`` is HERTZ, or exp(2 pi i f / rate) if it is DIGITAL. ``coefficients`` and
+    ``fir``: numerator over denominator in powers of 1 / exp(2 pi i f / rate), or of s if the
+    domain is RADIANS or HERTZ. A FIR's ``symmetry`` ODD mirrors all coefficients but the
+    last, EVEN mirrors all. ``correction`` seconds of delay have been taken off the times of
+    samples, so they are taken off here. A stage of no kind is its gain.
+    """
+    domain, kind = stage.get("domain") or "DIGITAL", stage.get("kind")
+    unit = {"RADIANS": 2j * np.pi * freqs, "HERTZ": 1j * freqs}
+    h = np.ones(len(freqs), complex)
+    if kind is not None and domain == "DIGITAL" and not stage.get("rate"):
+        raise ValueError(f"stage {stage.get('number')} is digital and has no sample rate")
+    at = unit[domain] if domain in unit else np.exp(2j * np.pi * freqs / (stage.get("rate") or 1.0))
+    if kind == "poles_zeros":
+        for z in stage.get("zeros") or []:
+            h = h * (at - complex(*z))
+        for p in stage.get("poles") or []:
+            h = h / (at - complex(*p))
+        h = h * (1.0 if stage.get("factor") is None else stage["factor"])
+    elif kind in ("coefficients", "fir"):
+        top, bottom = list(stage.get("numerator") or []), list(stage.get("denominator") or [])
+        if kind == "fir":
+            top += {"ODD": top[-2::-1], "EVEN": top[::-1]}.get(stage.get("symmetry") or "NONE", [])
+        h = _polynomials(top, bottom, at) if domain == "DIGITAL" else _polynomials(top, bottom, 1 / np.where(at == 0, 1e-300, at))
+    h = h * np.exp(2j * np.pi * freqs * (stage.get("correction") or 0.0))
+    return h * (1.0 if stage.get("gain") is None else stage["gain"])
+
+
+#: By unit of the motion, how often it is to be differentiated to be a velocity.
+DERIVATIVES = {"M": 1, "M/S": 0, "M/S**2": -1}
+
+
+def stages_response(stages: list[dict], freqs: np.ndarray, unit: str = "M/S") -> np.ndarray:
+    """All stages of an instrument in a row, for a velocity of the ground: what an instrument for
+    displacement or acceleration (``unit``) gives for the velocity that goes with these."""
+    h = np.prod([stage_response(s, freqs) for s in stages], axis=0) if stages else np.ones(len(freqs), complex)
+    order = DERIVATIVES.get((unit or "M/S").upper().replace("M/S/S", "M/S**2"), 0)
+    s = 2j * np.pi * freqs
+    if order == 1:
+        return np.where(s != 0, h / np.where(s != 0, s, 1), 0)
+    return h * s if order == -1 else h
+
+
 def power_spectrum(x: np.ndarray, rate: float) -> np.ndarray:
     """One-sided density 2 dt / n |X|^2; its sum times the step is the mean square."""
     n = x.shape[-1]

@@ -17,7 +17,7 @@ from stillwave import config
 from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
 from stillwave.operators import chunks as K
-from stillwave.operators import grid, inventory, preparation, signals, stacking
+from stillwave.operators import grid, inventory, preparation, responses, signals, stacking
 
 Compute = Callable[[DataFrame], DataFrame]
 
@@ -60,6 +60,42 @@ def datachunks(records: DataFrame, spans: DataFrame, table: DataFrame, params: c
     return step(sliced, table, key, lambda new: preparation.filled(new, ["component_id"], params, rate).filter("problem is null"))
 
 
+def preprocessed(datachunks: DataFrame, spans: DataFrame, epochs: DataFrame, table: DataFrame, params: config.DatachunkParams, rate: float) -> DataFrame:
+    """Chunks of ``rate`` brought to the parameters' one: detrended, resampled, cut to the window's
+    number of samples, tapered and filtered; the response of their component's epoch at their
+    window's start is taken off if the parameters say so; they are multiplied by the
+    parameters' coefficient, or, if it is 0, divided by the sensitivity; and filtered again
+    without delay. A chunk whose response isn't known has no row. ``epochs`` is what
+    ``read_responses`` gives, by ``component_id``."""
+    key = ["component_id", "timespan_id"]
+    new, band = params.sampling_rate, {"low": params.prefiltering_low, "high": params.prefiltering_high, "order": params.prefiltering_order}
+    length = F.unix_micros(F.col("endtime").cast("timestamp_ltz")) - F.unix_micros(F.col("starttime").cast("timestamp_ltz"))
+    lengths = [r.n for r in spans.select(length.alias("n")).distinct().limit(2).collect()]
+    if len(lengths) > 1:
+        raise ValueError("windows of one set of parameters have one length")
+    samples = int(round(lengths[0] / 1e6 * new)) if lengths else 0
+    share = min(params.preprocessing_taper_max_length * new / max(samples, 1), params.preprocessing_taper_max_percentage * 0.01, 0.05)
+
+    def staged(df: DataFrame, stage: str, at: float, **options) -> DataFrame:
+        rest = F.struct(*[c for c in df.columns if c != "samples"])
+        return signals.per_trace(df.select(rest.alias("k"), F.col("samples").alias("x")), stage, at, id="k", **options).select("k.*", F.col("y").alias("samples"))
+
+    def known(df: DataFrame, **options) -> DataFrame:
+        return responses.without_response(df, epochs, new, key=["component_id"], taper_share=share, **options).filter("problem is null").drop("problem")
+
+    def compute(work: DataFrame) -> DataFrame:
+        out = staged(work.select(*key, "samples").join(spans.select("timespan_id", "starttime"), "timespan_id"), "prepared", rate, params=params, samples=samples)
+        if params.remove_response:
+            out = known(out)
+        if params.response_constant_coefficient == 0:
+            out = known(out, sensitivity_only=True)
+        elif params.response_constant_coefficient is not None:
+            out = out.withColumn("samples", A.scaled(F.col("samples"), params.response_constant_coefficient))
+        return staged(out, "bandpass", new, zero_phase=True, **band).filter("samples is not null")
+
+    return step(datachunks, table, key, compute)
+
+
 def statistics(datachunks: DataFrame, table: DataFrame) -> DataFrame:
     """Statistics of chunks."""
     key = ["component_id", "timespan_id"]

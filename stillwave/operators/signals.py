@@ -48,6 +48,18 @@ def _stage(name: str, rate: float, o: dict):
             return np.sign(x) if p.one_bit else x
 
         return white if name == "whitened" else by_params
+    if name == "prepared":  # detrend, demean, resample, trim, taper and filter by parameters of chunks
+        c = o["params"]
+
+        def ready(x: np.ndarray) -> np.ndarray:
+            x = dsp.detrend(x)
+            x = dsp.resample(x - x.mean(-1, keepdims=True), rate, c.sampling_rate)[..., : o["samples"]]
+            n = x.shape[-1]
+            width = min(int(c.preprocessing_taper_max_percentage * n), int(c.preprocessing_taper_max_length * c.sampling_rate), n // 2)
+            x = x * dsp.taper_ends(n, width, c.preprocessing_taper_type, c.preprocessing_taper_side)
+            return dsp.bandpass(x, c.prefiltering_low, c.prefiltering_high, c.sampling_rate, c.prefiltering_order)
+
+        return ready
     if name == "preprocess":  # detrend, demean, resample, taper, filter, response, and filter without delay
         new = o["new_rate"]
 

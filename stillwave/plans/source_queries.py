@@ -12,7 +12,7 @@ from stillwave import config
 from stillwave.functions import columns as C
 from stillwave.functions import dsp
 from stillwave.operators import chunks as K
-from stillwave.operators import jobs, preparation, signals
+from stillwave.operators import jobs, preparation, responses, signals
 from stillwave.plans import bindings as B
 from stillwave.plans.signal_queries import ccfs
 from stillwave.session import scratch, table
@@ -48,7 +48,7 @@ def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.add("src5_stationxml", f"WITH {B.COMPONENTS_SQL} SELECT network, station, component, lat, lon, start_date, end_date FROM component")
 def src5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stations, a dimension table, as a StationXML document, read back."""
+    """All stations as StationXML, a document for each network, read back."""
     c = B.components(spark, sf_dir)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     channel = F.format_string('<Channel code="HH%s" startDate="%s" endDate="%s"><Latitude>%s</Latitude></Channel>', "component", stamp("start_date"), stamp("end_date"), F.col("lat").cast("string"))
@@ -56,11 +56,66 @@ def src5(spark: SparkSession, sf_dir: str) -> DataFrame:
     station = F.format_string('<Station code="%s"><Latitude>%s</Latitude><Longitude>%s</Longitude><Elevation>0</Elevation>%s</Station>', "station", F.col("lat").cast("string"), F.col("lon").cast("string"), "channels")
     lines = stations.groupBy("network").agg(F.concat_ws("", F.array_sort(F.collect_list(station))).alias("stations"))
     path = scratch(spark, "stationxml")
-    networks = F.array_sort(F.collect_list(F.format_string('<Network code="%s">%s</Network>', "network", "stations")))
-    lines.agg(F.format_string("<FDSNStationXML>%s</FDSNStationXML>", F.concat_ws("", networks)).alias("value")).write.text(path)
+    value = F.format_string('<FDSNStationXML><Network code="%s">%s</Network></FDSNStationXML>', "network", "stations")
+    lines.select(value.alias("value"), F.col("network").alias("file")).write.partitionBy("file").text(path)
     return inventory.read_stationxml(spark, path).select("network", "station", "component", "lat", "lon", "start_date", "end_date")
 
 
+#: Two instruments: poles and zeros in radians with a gain and a filter, and in Hertz for acceleration.
+_FIRST = """<Response><InstrumentSensitivity><Value>%s</Value><InputUnits><Name>M/S</Name></InputUnits></InstrumentSensitivity>
+<Stage number="2"><StageGain><Value>%s</Value><Frequency>1</Frequency></StageGain></Stage>
+<Stage number="1"><PolesZeros><PzTransferFunctionType>LAPLACE (RADIANS/SECOND)</PzTransferFunctionType><NormalizationFactor>1.5</NormalizationFactor>
+<Zero number="0"><Real>0</Real><Imaginary>0</Imaginary></Zero><Zero number="1"><Real>0</Real><Imaginary>0</Imaginary></Zero>
+<Pole number="0"><Real>-4.44</Real><Imaginary>4.44</Imaginary></Pole><Pole number="1"><Real>-4.44</Real><Imaginary>-4.44</Imaginary></Pole></PolesZeros><StageGain><Value>2</Value></StageGain></Stage>
+<Stage number="3"><FIR><Symmetry>ODD</Symmetry><NumeratorCoefficient i="0">0.25</NumeratorCoefficient><NumeratorCoefficient i="1">0.5</NumeratorCoefficient></FIR>
+<Decimation><InputSampleRate>128</InputSampleRate><Correction>0.0078125</Correction></Decimation><StageGain><Value>1</Value></StageGain></Stage></Response>"""
+_SECOND = """<Response><Stage number="1"><PolesZeros><InputUnits><Name>M/S**2</Name></InputUnits><PzTransferFunctionType>LAPLACE (HERTZ)</PzTransferFunctionType><NormalizationFactor>3</NormalizationFactor>
+<Pole number="0"><Real>-2</Real><Imaginary>0</Imaginary></Pole></PolesZeros><StageGain><Value>%s</Value></StageGain></Stage></Response>"""
+
+
+def _quotients(h) -> str:
+    """Real and imaginary part of one over a response at the 65 frequencies of twice 64 samples at
+    64 Hz, raised to a thousandth of its largest; 0 where it is 0."""
+    values = np.array([h(f / 2) for f in range(65)], complex)
+    size = np.abs(values)
+    over = [0j if s == 0 else s / v / max(s, size.max() / 1000) for v, s in zip(values, size, strict=True)]
+    return ", ".join("[" + ", ".join(f"CAST({part(v)!r} AS DOUBLE)" for v in over) + "]" for part in (lambda v: float(v.real), lambda v: float(v.imag)))
+
+
+_S = lambda f: 2j * np.pi * f
+_INSTRUMENTS_SQL = ", ".join(
+    f"({k}, {_quotients(h)})"
+    for k, h in enumerate((
+        lambda f: 1.5 * 2 * 100 * _S(f) ** 2 / ((_S(f) + 4.44) ** 2 + 4.44**2) * (0.5 + 0.5 * np.cos(2 * np.pi * f / 128)),
+        lambda f: 3 * 40 / (1j * f + 2) * _S(f),
+        lambda f: 1.5 * 2 * 300 * _S(f) ** 2 / ((_S(f) + 4.44) ** 2 + 4.44**2) * (0.5 + 0.5 * np.cos(2 * np.pi * f / 128)),
+    ))
+)
+
+
+@PLANS.add("dsp8_stationxml_response", f"""WITH {B.WAVEFORMS_SQL}, instrument(number, re, im) AS (VALUES {_INSTRUMENTS_SQL}),
+t AS (SELECT vec_id, label, list_transform(range(64), lambda i: (x[i + 1] - list_avg(x)) * CASE WHEN least(i, 63 - i) >= 3 THEN 1 ELSE 0.5 * (1 - cos(pi() * least(i, 63 - i) / 3)) END) AS w,
+  CASE WHEN label = 9 THEN NULL WHEN vec_id < 100 THEN 0 WHEN vec_id < 150 THEN 2 WHEN vec_id < 250 THEN 0 WHEN vec_id < 400 THEN 1 END AS number FROM wave),
+f AS (SELECT *, list_transform(range(65), lambda k: list_sum(list_transform(range(64), lambda i: w[i + 1] * cos(2 * pi() * k * i / 128)))) AS a,
+  list_transform(range(65), lambda k: list_sum(list_transform(range(64), lambda i: -w[i + 1] * sin(2 * pi() * k * i / 128)))) AS b FROM t),
+q AS (SELECT vec_id, number, list_transform(range(65), lambda k: a[k + 1] * re[k + 1] - b[k + 1] * im[k + 1]) AS a, list_transform(range(65), lambda k: a[k + 1] * im[k + 1] + b[k + 1] * re[k + 1]) AS b FROM f LEFT JOIN instrument USING (number))
+SELECT vec_id, CASE WHEN number IS NULL THEN 'no epoch' END AS problem, CASE WHEN number IS NOT NULL THEN list_transform(range(64), lambda t: round(list_sum(list_transform(range(65), lambda k:
+  CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END * (a[k + 1] * cos(2 * pi() * k * t / 128) - b[k + 1] * sin(2 * pi() * k * t / 128)) / 128)), 9) + 0.0) END AS velocity FROM q""")
+def dsp8_stationxml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every waveform's response taken off, as StationXML has it for its station and time: two
+    epochs, a third one that overlaps the first, none for one station or after the second."""
+    found = traces(spark, sf_dir).withColumn("vec_id", F.unix_seconds(F.col("starttime").cast("timestamp_ltz")) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp_ntz").cast("timestamp_ltz")))
+    at = lambda s: f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}"
+    epochs = [(at(0), at(250), _FIRST % (200, 100)), (at(250), at(400), _SECOND % 40), (at(100), at(150), _FIRST % (600, 300))]
+    channels = "".join(f'<Channel code="HHZ" locationCode="" startDate="{a}" endDate="{b}"><SampleRate>64</SampleRate>{r}</Channel>' for a, b, r in epochs).replace("\n", "")
+    stations = found.select("network", "station").distinct().filter("station <> 'S9'")
+    path = scratch(spark, "responses")
+    parts = F.format_string('<FDSNStationXML><Network code="%s"><Station code="%s">%s</Station></Network></FDSNStationXML>', "network", "station", F.lit(channels))
+    stations.select(parts.alias("value"), F.col("station").alias("file")).write.partitionBy("file").text(path)
+    out = responses.without_response(found, inventory.read_responses(spark, path), 64.0)
+    return out.select("vec_id", "problem", F.transform("samples", lambda v: C.rounded(v, 9)).alias("velocity"))
+
+
 def _csv(df: DataFrame, name: str) -> str:
     path = scratch(df.sparkSession, name)
     df.write.option("header", True).csv(path)

@@ -28,6 +28,48 @@ def read_stationxml(spark: SparkSession, path: str) -> DataFrame:
     return found.select("network", "station", "component", F.col("place.Latitude").alias("lat"), F.col("place.Longitude").alias("lon"), F.col("place.Elevation").alias("elevation"), start.alias("start_date"), F.coalesce("ce", "se", start + F.expr("interval 10 years")).alias("end_date"))
 
 
+_ROOT = "array<struct<_number: int, Real: struct<_VALUE: double, _plusError: string, _minusError: string>, Imaginary: struct<_VALUE: double, _plusError: string, _minusError: string>>>"
+_UNITS = "InputUnits: struct<Name: string>"
+_NUMBERS = "array<struct<_VALUE: double, _i: int, _number: int>>"
+_STAGE = (
+    f"struct<_number: int, PolesZeros: struct<{_UNITS}, PzTransferFunctionType: string, NormalizationFactor: double, Zero: {_ROOT}, Pole: {_ROOT}>, "
+    f"Coefficients: struct<{_UNITS}, CfTransferFunctionType: string, Numerator: {_NUMBERS}, Denominator: {_NUMBERS}>, FIR: struct<{_UNITS}, Symmetry: string, NumeratorCoefficient: {_NUMBERS}>, "
+    "Decimation: struct<InputSampleRate: struct<_VALUE: double, _unit: string>, Correction: struct<_VALUE: double, _unit: string>>, StageGain: struct<Value: double>>"
+)
+_EPOCH = f"struct<_code: string, _locationCode: string, _startDate: string, _endDate: string, SampleRate: struct<_VALUE: double, _unit: string>, Response: struct<InstrumentSensitivity: struct<Value: double, {_UNITS}>, Stage: array<{_STAGE}>>>"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each channel and epoch: ``network``, ``station``, ``location``, ``channel``,
+    ``start_date``, ``end_date`` (null: still open), ``sensitivity``, ``unit`` of the motion, and
+    ``stages`` in their order, each as :func:`stillwave.functions.dsp.stage_response` takes it.
+    A channel without a response has no stages and no sensitivity."""
+    raw = spark.read.format("xml").option("rowTag", "Network").schema(f"_code string, Station array<struct<_code: string, Channel: array<{_EPOCH}>>>").load(path)
+    c = raw.select(F.col("_code").alias("network"), F.explode("Station").alias("s")).select("network", F.col("s._code").alias("station"), F.explode("s.Channel").alias("c"))
+    time = lambda c: F.to_timestamp_ntz(F.substring(F.col(c), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    pairs = lambda roots: F.transform(roots, lambda z: F.array(z["Real"]["_VALUE"], z["Imaginary"]["_VALUE"]))
+    numbers = lambda column: F.transform(column, lambda v: v["_VALUE"])
+
+    def stage(s):
+        pz, cf, fir = s["PolesZeros"], s["Coefficients"], s["FIR"]
+        kind = F.when(pz.isNotNull(), "poles_zeros").when(cf.isNotNull(), "coefficients").when(fir.isNotNull(), "fir")
+        named = F.upper(F.coalesce(pz["PzTransferFunctionType"], cf["CfTransferFunctionType"], F.lit("DIGITAL")))
+        domain = F.when(named.contains("RADIANS"), "RADIANS").when(named.contains("HERTZ"), "HERTZ").otherwise("DIGITAL")
+        return F.struct(
+            s["_number"].alias("number"), kind.alias("kind"), domain.alias("domain"), pz["NormalizationFactor"].alias("factor"), pairs(pz["Zero"]).alias("zeros"), pairs(pz["Pole"]).alias("poles"),
+            F.coalesce(numbers(cf["Numerator"]), numbers(fir["NumeratorCoefficient"])).alias("numerator"), numbers(cf["Denominator"]).alias("denominator"), F.upper(fir["Symmetry"]).alias("symmetry"),
+            s["Decimation"]["InputSampleRate"]["_VALUE"].alias("rate"), s["Decimation"]["Correction"]["_VALUE"].alias("correction"), s["StageGain"]["Value"].alias("gain"),
+        )
+
+    response, ordered = F.col("c.Response"), F.array_sort("c.Response.Stage", lambda a, b: a["_number"] - b["_number"])
+    first = F.get(ordered, F.lit(0))
+    unit = F.coalesce(response["InstrumentSensitivity"]["InputUnits"]["Name"], *(first[k]["InputUnits"]["Name"] for k in ("PolesZeros", "Coefficients", "FIR")))
+    return c.select(
+        "network", "station", F.coalesce("c._locationCode", F.lit("")).alias("location"), F.col("c._code").alias("channel"), time("c._startDate").alias("start_date"), time("c._endDate").alias("end_date"),
+        response["InstrumentSensitivity"]["Value"].alias("sensitivity"), unit.alias("unit"), F.transform(ordered, stage).alias("stages"),
+    )
+
+
 def export_by_pair(ccfs: DataFrame, path: str, pair: list[str], time: str, overwrite: bool = False) -> None:
     """Results by pair, each folder's rows in order of time; an existing export is only
     replaced if asked."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwave.config import BeamformingParams, EventDetectionParams, PPSDParams
-from stillwave.functions import dsp
+from stillwave.functions import deconvolution, dsp
 
 
 def _stage(name: str, rate: float, o: dict):
@@ -331,6 +331,46 @@ def beam_peaks(traces: DataFrame, params: BeamformingParams, rate: float, source
     return traces.select("timespan_id", "vec_id", "x", "px", "py").groupBy("timespan_id").applyInArrow(run, schema)
 
 
+def deconvolutions(maps: DataFrame, params: BeamformingParams, response: np.ndarray, keys: list[str], array: str = "power") -> DataFrame:
+    """``keys``, ``radii`` (slownesses, in the order in which they were chosen), ``weights`` (the sum
+    of each one's elements'), ``rms`` (of what is left over that of the map) and ``sources`` (the
+    map without the array's response), for maps (row y, column x, flat) on the parameters' axes.
+
+    ``response`` is the array's on a grid of the same step. The dictionary is made once in each
+    worker. A null map, one of another size, and one that holds a null or NaN have nulls, one
+    without structure has no radii. Narrow.
+    """
+    x, y = (np.array(params.axis(a)) for a in "xy")
+    step = params.sigma_slowness_kernels_ratio_to_ds * params.slowness_step
+    ranges = [(params.smin1, params.smax1), (params.smin2, params.smax2)]
+    ranges = [r for r in ranges if r[0] is not None] or [(0.0, min(params.slowness_x_max, params.slowness_y_max))]
+    angles = [(params.thetamin1, params.thetamax1), (params.thetamin2, params.thetamax2)]
+    angles = [a for a in angles if a[0] is not None] or [(0.0, 360.0)]
+    if len(angles) == 1:
+        angles *= len(ranges)
+    bounds = [deconvolution.Bounds(*r, *a) for r, a in zip(ranges, angles, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary = deconvolution.Dictionary(x, y, response, bounds, step, params.sigma_angle_kernels)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for value in batch.column(len(keys)).to_pylist():
+                row = (None, None, None, None)
+                if value is not None and len(value) == len(x) * len(y) and None not in value and np.isfinite(value).all():
+                    found = deconvolution.deconvolved(
+                        np.array(value).reshape(len(y), len(x)), dictionary, params.sparsity_max, params.rms_threshold_deconv, params.reg_coef_deconv,
+                        params.rel_rms_thresh_admissible_slowness, params.rel_rms_stop_crit_increase_sparsity,
+                    )
+                    row = (found.radii, [float(w.sum()) for w in found.weights], found.rms, found.sources.ravel())
+                for column, v in zip(out, row, strict=True):
+                    column.append(v)
+            kinds = (pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], [*keys, "radii", "weights", "rms", "sources"])
+
+    kinds = ", ".join(f"{k} {maps.schema[k].dataType.simpleString()}" for k in keys)
+    return maps.select(*keys, F.col(array).cast("array<double>")).mapInArrow(run, f"{kinds}, radii array<double>, weights array<double>, rms double, sources array<double>")
+
+
 def detections(df: DataFrame, params: EventDetectionParams, rate: float, keys: list[str], array: str = "x") -> DataFrame:
     """Events of each trace: ``keys``, ``first`` and ``last`` sample (with the margin, within the
     trimmed trace), ``pgv`` (largest size there) and ``ratio`` (the largest STA/LTA; null for

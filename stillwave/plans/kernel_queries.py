@@ -167,3 +167,20 @@ def dsp20(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.table({"label": pa.array([group["label"][0].as_py()] * n, pa.int32()), "ix": pa.array([p // 8 for p in places], pa.int64()), "iy": pa.array([p % 8 for p in places], pa.int64()), "weight": pa.array(weights.tolist(), pa.float64()), "rms": pa.array([rest] * n, pa.float64())})
 
     return ag17(spark, sf_dir).groupBy("label").applyInArrow(run, "label int, ix long, iy long, weight double, rms double")
+
+
+#: The axes and dictionary of the deconvolved maps, and the response of a cross of five stations.
+SPARSE = config.BeamformingParams(
+    slowness_x_min=-0.35, slowness_x_max=0.35, slowness_y_min=-0.35, slowness_y_max=0.35, slowness_step=0.1, window_length=1.0, window_step_fraction=1.0,
+    sigma_angle_kernels=45.0, sparsity_max=3, reg_coef_deconv=0.1, rms_threshold_deconv=0.05, rel_rms_stop_crit_increase_sparsity=0.05,
+)
+_AXIS = np.array([(i - 7) * 0.1 for i in range(15)])
+CROSS = np.abs(sum(np.exp(2j * np.pi * 2.0 * (px * _AXIS[None] + py * _AXIS[:, None])) for px, py in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)))) ** 2 / 25
+
+
+@PLANS.add("dsp20_sparse_maps")
+def dsp20_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of every waveform's samples, as a map of 8 x 8 slownesses, as few radii's polar
+    Gaussians seen through an array's response."""
+    maps = B.waveforms(spark, sf_dir).select("vec_id", F.transform("x", F.abs).alias("power"))
+    return signals.deconvolutions(maps, SPARSE, CROSS, ["vec_id"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillwave.functions import columns as C
@@ -95,6 +97,53 @@ def bucketed_containment_join(inner: DataFrame, outer: DataFrame, inner_start: s
     return inner.withColumn("_bucket", bucket(inner_start)).join(listed, "_bucket").filter(inside).drop("_bucket")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, name: str = "found", tolerance_s: float | None = None, bucket_s: int = 3600, carried: int = 1024) -> DataFrame:
+    """``left`` with ``name``, a struct of ``right``'s columns: its last row of equal keys at or before
+    ``time``, if that is within the tolerance (inclusive), else null.
+
+    Of right rows of one key and time the one of the largest columns counts. Left rows with a
+    null key or time find nothing, right rows with one are left out. Repeated left rows stay.
+
+    Both sides are dealt to buckets of time, and within one the last row so far is found by a
+    window. What comes before a bucket is one row: the last one of the buckets before,
+    found among the buckets' last rows, ``carried`` buckets at a time, so no window sees
+    more of a key than that, and a key with most of the rows is as many tasks as buckets.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ltz"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = lambda: [F.col(c).alias(n) for c, n in zip(keys, names, strict=True)]
+    whole = lambda t: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, t]])
+    bucket = F.floor(F.col("_t") / F.lit(bucket_s * 1_000_000)).alias("_b")
+    top = F.floor(F.col("_b") / F.lit(carried)).alias("_s")
+    rows = right.filter(whole(right_time)).select(*own(), micros(right_time).alias("_t"), F.struct(*right.columns).alias("_r")).select("*", bucket)
+    asked = left.filter(whole(time)).select(*own(), micros(time).alias("_t"), F.struct(*left.columns).alias("_l")).select("*", bucket)
+
+    # The last row of each bucket, and of each run of buckets; both without the rows themselves.
+    ends = rows.groupBy(*names, "_b").agg(F.max(F.struct("_t", "_r")).alias("_end")).select("*", top)
+    wanted = asked.select(*names, "_b").distinct().select("*", top)
+    runs = ends.groupBy(*names, "_s").agg(F.max("_end").alias("_end"))
+    before = lambda order, *by: F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    nothing = F.lit(None).cast(ends.schema["_end"].dataType)
+    every = runs.withColumn("_end", F.col("_end")).unionByName(wanted.select(*names, "_s").distinct().withColumn("_end", nothing))
+    every = every.groupBy(*names, "_s").agg(F.max("_end").alias("_end")).withColumn("_earlier", before("_s", *names)).select(*names, "_s", "_earlier")
+    marks = ends.unionByName(wanted.withColumn("_end", nothing)).groupBy(*names, "_b", "_s").agg(F.max("_end").alias("_end"), F.max(F.col("_end").isNull()).alias("_asked"))
+    carry = marks.withColumn("_within", before("_b", *names, "_s")).filter("_asked").join(every, [*names, "_s"])
+    carry = carry.select(*names, "_b", F.coalesce("_within", "_earlier").alias("_c")).filter("_c is not null")
+
+    no_l, no_r = F.lit(None).cast(asked.schema["_l"].dataType).alias("_l"), F.lit(None).cast(rows.schema["_r"].dataType).alias("_r")
+    parts = [
+        carry.select(*names, "_b", F.lit(0).alias("_kind"), F.col("_c._t").alias("_t"), F.col("_c._r").alias("_r"), no_l),
+        rows.select(*names, "_b", F.lit(1).alias("_kind"), "_t", "_r", no_l),
+        asked.select(*names, "_b", F.lit(2).alias("_kind"), "_t", no_r, "_l"),
+    ]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    last = F.last(F.when(F.col("_kind") < 2, F.struct("_t", "_r")), ignorenulls=True).over(Window.partitionBy(*names, "_b").orderBy("_t", "_kind", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_last", last).filter("_kind = 2")
+    near = F.lit(True) if tolerance_s is None else F.col("_t") - F.col("_last._t") <= F.lit(round(tolerance_s * 1_000_000))
+    out = found.select("_l.*", F.when(near, F.col("_last._r")).alias(name))
+    return out.unionByName(left.filter(~whole(time)).withColumn(name, F.lit(None).cast(out.schema[name].dataType)))
+
+
 def long_enough(spans: DataFrame, windows: float = 2.0) -> DataFrame:
     """One row, ``long_enough``: whether all windows together last at least so many times their
     mean length; null without windows."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stillwave.functions import columns as C
 from stillwave.operators import events as E
-from stillwave.operators import grid
+from stillwave.operators import grid, segments
 from stillwave.plans import bindings as B
 from stillwave.session import table
 
@@ -51,6 +51,18 @@ def wn9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(E.hysteresis(_ratios(spark, sf_dir), _CHUNK, _ORDER, "ratio", 1.5, 0.7))
 
 
+@PLANS.add("wn9_triggers_across_days", f"""WITH {_RATIO_SQL}, s AS (SELECT event_type, ts, event_id, value, last_value(CASE WHEN ratio > 1.5 THEN true WHEN ratio <= 0.7 THEN false END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS active FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - row_number() OVER (PARTITION BY event_type, coalesce(active, false) ORDER BY ts, event_id) AS k FROM s)
+SELECT event_type, min(ts) AS start, max(ts) AS stop, count(*) AS npts, round(max(abs(value)), 6) + 0.0 AS peak FROM n WHERE active GROUP BY event_type, k""")
+def wn9_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers of each type's whole history, which go on over midnight; days are segments."""
+    day = _ratios(spark, sf_dir).withColumn("part", F.to_date("ts"))
+    active = segments.hysteresis(day, ["event_type"], "part", _ORDER, "ratio", 1.5, 0.7)
+    measures = {"start": ("min", F.col("ts")), "stop": ("max", F.col("ts")), "peak": ("max", F.abs("value"))}
+    found = segments.runs(active, ["event_type"], "part", _ORDER, "active", measures)
+    return found.select("event_type", "start", "stop", F.col("length").alias("npts"), C.rounded(F.col("peak")).alias("peak"))
+
+
 @PLANS.add("wn10_spikes", f"""WITH a AS (SELECT event_type, CAST(ts AS DATE) AS day, event_id, ts, value, max(CASE WHEN abs(value) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS active FROM events){_ISLANDS_SQL}""")
 def wn10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(E.spikes(_samples(spark, sf_dir), _CHUNK, _ORDER, "value", 150.0, 2))
@@ -173,3 +185,13 @@ def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels as columns; one that no row has stays null."""
     e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).pivot("event_type", ["click", "view", "missing"]).agg(C.rounded(F.avg("value")))
     return e.select("day", "click", "view", "missing")
+
+
+@PLANS.add("jn23_last_known_state", """WITH state AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY user_id, ts)
+SELECT e.event_id, CASE WHEN e.ts - s.ts <= INTERVAL 3 DAYS THEN s.value END AS state, CASE WHEN e.ts - s.ts <= INTERVAL 3 DAYS THEN s.ts END AS known_since
+FROM events e ASOF LEFT JOIN state s ON e.user_id = s.user_id AND e.ts >= s.ts""")
+def jn23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event its device's last error at or before it, of the last three days."""
+    e = table(spark, sf_dir, "events")
+    found = grid.as_of(e.select("event_id", "user_id", "ts"), e.filter("event_type = 'error'").select("user_id", "ts", "value"), ["user_id"], "ts", "ts", tolerance_s=3 * 86_400, bucket_s=43_200, carried=16)
+    return found.select("event_id", F.col("found.value").alias("state"), F.col("found.ts").alias("known_since"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stillwave.functions import columns as C
 from stillwave.operators import chunks as K
-from stillwave.operators import grid
+from stillwave.operators import grid, segments
 from stillwave.plans import bindings as B
 from stillwave.plans.window_queries import ntz
 from stillwave.session import table
@@ -230,8 +230,10 @@ g AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id ORDER BY event_id)
 SELECT user_id, count(*) AS length, min(event_id) AS first, max(event_id) AS last FROM g GROUP BY user_id, k""",
 )
 def ag13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 30).alias("flag"))
-    return K.run_lengths(e, ["user_id"], "event_id", "flag")
+    """Runs of each device's events, by segments of event ids."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 30).alias("flag"), F.floor(F.col("event_id") / 4096).alias("part"))
+    ends = {"first": ("min", F.col("event_id")), "last": ("max", F.col("event_id"))}
+    return segments.runs(e, ["user_id"], "part", ["event_id"], "flag", ends)
 
 
 @PLANS.add("ag12_mode", "SELECT user_id, min(h) AS hour FROM (SELECT user_id, h, n, max(n) OVER (PARTITION BY user_id) AS m FROM (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL)) WHERE n = m GROUP BY user_id")

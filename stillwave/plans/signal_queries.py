@@ -11,7 +11,7 @@ from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
 from stillwave.functions import dsp
 from stillwave.operators import chunks as K
-from stillwave.operators import signals, stacking
+from stillwave.operators import segments, signals, stacking
 from stillwave.plans import bindings as B
 
 PLANS = B.Plans()
@@ -61,8 +61,9 @@ def dsp1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, event_id, ts - previous > INTERVAL 1 DAY AS gap FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE previous IS NOT NULL""",
 )
 def dsp2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.lag("ts").over(w).alias("previous"))
+    """Each device's days are segments, of which the next one needs the last time."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.to_date("ts").alias("day"))
+    e = segments.filled(e, ["user_id"], "day", ["ts", "event_id"], F.col("ts"), "previous", strictly=True)
     return e.filter("previous is not null").select("user_id", "event_id", (F.col("ts") - F.col("previous") > F.expr("interval 1 day")).alias("gap"))
 
 

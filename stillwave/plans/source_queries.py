@@ -16,7 +16,7 @@ from stillwave.operators import jobs, preparation, responses, signals
 from stillwave.plans import bindings as B
 from stillwave.plans.signal_queries import ccfs
 from stillwave.session import scratch, table
-from stillwave.sources import inventory, miniseed, soh
+from stillwave.sources import headers, inventory, miniseed, soh
 
 PLANS = B.Plans()
 DAY = "TIMESTAMP '2024-01-01'"
@@ -46,6 +46,16 @@ def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("station").agg(F.min("starttime").alias("starttime"), F.max("endtime").alias("endtime"), F.count("*").alias("files"), F.sum("npts").alias("npts"))
 
 
+@PLANS.add("src2_header_index", f"WITH {B.WAVEFORMS_SQL} SELECT 'S' || label AS station, min({DAY} + to_seconds(vec_id)) AS starttime, max({DAY} + to_seconds(vec_id) + INTERVAL 984375 MICROSECONDS) AS endtime, CAST(count(*) AS BIGINT) AS files, CAST(sum(len(x)) AS BIGINT) AS npts FROM wave WHERE label <> 3 GROUP BY label")
+def src2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all stations but one, from files' headers alone."""
+    folder = scratch(spark, "miniseed").removeprefix("file://").removeprefix("file:")
+    miniseed.write_files(miniseed.encoded(traces(spark, sf_dir)), folder).agg(F.sum("bytes")).collect()
+    found = headers.read_headers(spark, folder).filter(F.col("station").isin([f"S{k}" for k in range(10) if k != 3]))
+    index = miniseed.time_series_index(found)
+    return index.groupBy("station").agg(F.min("starttime").alias("starttime"), F.max("endtime").alias("endtime"), F.count("*").alias("files"), F.sum("npts").alias("npts"))
+
+
 @PLANS.add("src5_stationxml", f"WITH {B.COMPONENTS_SQL} SELECT network, station, component, lat, lon, start_date, end_date FROM component")
 def src5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stations as StationXML, a document for each network, read back."""

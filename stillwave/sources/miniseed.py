@@ -7,8 +7,11 @@ Written from the public SEED manual: the fixed header of 48 bytes, blockette 100
 from __future__ import annotations
 
 import datetime as dt
+import os
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,43 +60,64 @@ def _rate(factor: int, multiplier: int) -> float:
     return base * multiplier if multiplier > 0 else base / -multiplier if multiplier else base
 
 
+class Header(NamedTuple):
+    """What a record's first bytes tell of it; ``begin`` and ``length`` are in bytes."""
+
+    network: str
+    station: str
+    location: str
+    channel: str
+    starttime: dt.datetime
+    npts: int
+    rate: float
+    encoding: int | None
+    byte_order: str
+    begin: int
+    length: int
+
+
+def header(read: Callable[[int, int], bytes]) -> Header | None:
+    """The header of the record of which ``read(a, b)`` gives bytes a to b; None at the end."""
+    head = read(0, 48)
+    if len(head) < 48:
+        return None
+    order = ">" if 1900 <= struct.unpack(">H", head[20:22])[0] <= 2200 else "<"
+    year, doy, hour, minute, second, _, fraction = struct.unpack(f"{order}HHBBBBH", head[20:30])
+    npts, factor, multiplier = struct.unpack(f"{order}Hhh", head[30:36])
+    activity, correction = head[36], struct.unpack(f"{order}i", head[40:44])[0]
+    begin, blockette = struct.unpack(f"{order}HH", head[44:48])
+    encoding, length, byte_order = None, 4096, order
+    while blockette and len(found := read(blockette, blockette + 8)) == 8:
+        kind, following = struct.unpack(f"{order}HH", found[:4])
+        if kind == 1000:
+            encoding, length, byte_order = found[4], 1 << found[6], ">" if found[5] else "<"
+        if following <= blockette:
+            break
+        blockette = following
+    start = _EPOCH.replace(year=year) + dt.timedelta(days=doy - 1, hours=hour, minutes=minute, seconds=second, microseconds=100 * fraction)
+    if not activity & 2:  # the correction isn't in the time yet
+        start += dt.timedelta(microseconds=100 * correction)
+    text = lambda a, b: head[a:b].decode("ascii", "replace").strip()
+    return Header(text(18, 20), text(8, 13), text(13, 15), text(15, 18), start, npts, _rate(factor, multiplier), encoding, byte_order, begin, length)
+
+
 def records(data: bytes) -> Iterator[tuple]:
     """Each record's header and samples, and what was wrong with it, if anything."""
     at = 0
-    while at + 48 <= len(data):
-        head = data[at : at + 48]
-        order = ">" if 1900 <= struct.unpack(">H", head[20:22])[0] <= 2200 else "<"
-        year, doy, hour, minute, second, _, fraction = struct.unpack(f"{order}HHBBBBH", head[20:30])
-        npts, factor, multiplier = struct.unpack(f"{order}Hhh", head[30:36])
-        activity, correction = head[36], struct.unpack(f"{order}i", head[40:44])[0]
-        begin, blockette = struct.unpack(f"{order}HH", head[44:48])
-        encoding, length, byte_order = None, 4096, order
-        while blockette and at + blockette + 8 <= len(data):
-            kind, following = struct.unpack(f"{order}HH", data[at + blockette : at + blockette + 4])
-            if kind == 1000:
-                encoding = data[at + blockette + 4]
-                byte_order = ">" if data[at + blockette + 5] else "<"
-                length = 1 << data[at + blockette + 6]
-            if following <= blockette:
-                break
-            blockette = following
-        start = _EPOCH.replace(year=year) + dt.timedelta(days=doy - 1, hours=hour, minutes=minute, seconds=second, microseconds=100 * fraction)
-        if not activity & 2:  # the correction isn't in the time yet
-            start += dt.timedelta(microseconds=100 * correction)
+    while h := header(lambda a, b, at=at: data[at + a : at + b]):
         samples, problem = None, None
-        body = data[at + begin : at + length]
+        body = data[at + h.begin : at + h.length]
         try:
-            if encoding in _PLAIN:
-                samples = np.frombuffer(body, byte_order + _PLAIN[encoding], npts).astype(float)
-            elif encoding in (10, 11):
-                samples = _steim(body, byte_order, npts, encoding == 11)
+            if h.encoding in _PLAIN:
+                samples = np.frombuffer(body, h.byte_order + _PLAIN[h.encoding], h.npts).astype(float)
+            elif h.encoding in (10, 11):
+                samples = _steim(body, h.byte_order, h.npts, h.encoding == 11)
             else:
-                problem = f"encoding {encoding} isn't read"
+                problem = f"encoding {h.encoding} isn't read"
         except (ValueError, KeyError, struct.error) as e:
             problem = str(e)
-        text = lambda a, b: head[a:b].decode("ascii", "replace").strip()
-        yield text(18, 20), text(8, 13), text(13, 15), text(15, 18), start, npts, _rate(factor, multiplier), encoding, samples, problem
-        at += length
+        yield *h[:8], samples, problem
+        at += h.length
 
 
 def encode(network: str, station: str, location: str, channel: str, start: dt.datetime, rate: float, samples: np.ndarray, length: int = 4096) -> bytes:
@@ -127,6 +151,26 @@ def encoded(traces: DataFrame) -> DataFrame:
     return traces.select(*columns).mapInArrow(run, "path string, content binary")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(``path``, ``bytes``) of files (``path``, ``content``) once they are written below a folder
+    that all executors share. Each is written beside its place and then moved there, so a task
+    that runs again leaves it whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as file:
+                    sizes.append(file.write(content.as_buffer()))
+                os.replace(part, path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long")
+
+
 def decoded(files: DataFrame, strict: bool = False) -> DataFrame:
     """One row for each record of files (``path``, ``content``). A record that can't be decoded
     has null samples and its ``problem``; with ``strict`` it is an error."""

@@ -231,7 +231,7 @@ def whitened(x: np.ndarray, rate: float, low: float, high: float, water: float,
         axis, k = np.linspace(0, rate / 2, max(1, round(n / 2))), np.minimum(np.arange(n), n - np.arange(n))
         first, last = (int(np.argmin(np.abs(axis - f))) for f in (low, high))
         band = ramp(k, first - width + 1, width) * (1 - ramp(k, last, width))
-    return np.where(size.max(-1, keepdims=True) > 0, np.fft.ifft(spectrum / np.where(level > 0, level, 1.0) * band).real, 0.0)
+    return np.where(size.max(-1, keepdims=True) == 0, 0.0, np.fft.ifft(spectrum / np.where(level == 0, 1.0, level) * band).real)
 
 
 def response(freqs: np.ndarray, poles: list[complex], zeros: list[complex], gain: float) -> np.ndarray:

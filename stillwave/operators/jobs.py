@@ -3,7 +3,9 @@
 A step takes the tables it reads, and the table of its results so far. It does only the work
 that has no result yet, or whose inputs have changed since, and returns the table with the
 new rows; running it again on the same input changes nothing. A window, chunk or pair that
-can't be done has no row, so it is tried again when more data has come.
+can't be done has no row, so it is tried again when more data has come; with a ``quarantine``
+it has a row there, and what would end the job ends that item alone (or the job, if that is
+the quarantine's policy). Results are committed by ``committed``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
 from stillwave.operators import chunks as K
 from stillwave.operators import grid, inventory, preparation, responses, signals, stacking
+from stillwave.operators.quarantine import Quarantine
+from stillwave.operators.snapshots import Snapshots
 
 Compute = Callable[[DataFrame], DataFrame]
 
@@ -30,6 +34,18 @@ def step(work: DataFrame, results: DataFrame, key: list[str], compute: Compute)
     return K.upsert(results, new.select(*results.columns), key, nothing_on_conflict=True)
 
 
+def committed(table: Snapshots, work: DataFrame, key: list[str], compute: Compute) -> int:
+    """Computes what the table's last snapshot lacks of the work, publishes it as a new one, and
+    returns its version; a run that fails leaves the table as it was."""
+    todo = K.not_done(work.select(*key).distinct(), table.read(), key)
+    return table.upsert(compute(work.join(todo, key, "left_semi")), nothing_on_conflict=True)
+
+
+def sound(work: DataFrame, name: str, key: list[str], array: str, quarantine: Quarantine | None) -> DataFrame:
+    """The work whose array is whole, with a quarantine for the rest; without one, all of it."""
+    return work if quarantine is None else quarantine.sound(name, key, work, array)
+
+
 def index(records: DataFrame, table: DataFrame) -> DataFrame:
     """Files and channels of records, with their first and last time; rows of files that were
     read again are replaced."""
@@ -53,14 +69,15 @@ def pairs(components: DataFrame, table: DataFrame) -> DataFrame:
     return step(inventory.pairs(components), table, ["component_id_a", "component_id_b"], lambda new: new)
 
 
-def datachunks(records: DataFrame, spans: DataFrame, table: DataFrame, params: config.DatachunkParams, rate: float) -> DataFrame:
+def datachunks(records: DataFrame, spans: DataFrame, table: DataFrame, params: config.DatachunkParams, rate: float, quarantine: Quarantine | None = None) -> DataFrame:
     """Chunks (``component_id``, ``timespan_id``, ``samples``, ``deficit``) of records."""
     key = ["component_id", "timespan_id"]
     sliced = preparation.slices(records, spans, ["component_id"], 3600)
-    return step(sliced, table, key, lambda new: preparation.filled(new, ["component_id"], params, rate).filter("problem is null"))
+    good = (lambda df: df.filter("problem is null")) if quarantine is None else (lambda df: quarantine.split("datachunks", key, df))
+    return step(sliced, table, key, lambda new: good(preparation.filled(new, ["component_id"], params, rate)))
 
 
-def preprocessed(datachunks: DataFrame, spans: DataFrame, epochs: DataFrame, table: DataFrame, params: config.DatachunkParams, rate: float) -> DataFrame:
+def preprocessed(datachunks: DataFrame, spans: DataFrame, epochs: DataFrame, table: DataFrame, params: config.DatachunkParams, rate: float, quarantine: Quarantine | None = None) -> DataFrame:
     """Chunks of ``rate`` brought to the parameters' one: detrended, resampled, cut to the window's
     number of samples, tapered and filtered; the response of their component's epoch at their
     window's start is taken off if the parameters say so; they are multiplied by the
@@ -76,12 +93,16 @@ def preprocessed(datachunks: DataFrame, spans: DataFrame, epochs: DataFrame, tab
     samples = int(round(lengths[0] / 1e6 * new)) if lengths else 0
     share = min(params.preprocessing_taper_max_length * new / max(samples, 1), params.preprocessing_taper_max_percentage * 0.01, 0.05)
 
+    good = (lambda df: df.filter("problem is null").drop("problem")) if quarantine is None else (lambda df: quarantine.split("preprocessed", key, df))
+    datachunks = sound(datachunks, "preprocessed", key, "samples", quarantine)
+
     def staged(df: DataFrame, stage: str, at: float, **options) -> DataFrame:
         rest = F.struct(*[c for c in df.columns if c != "samples"])
-        return signals.per_trace(df.select(rest.alias("k"), F.col("samples").alias("x")), stage, at, id="k", **options).select("k.*", F.col("y").alias("samples"))
+        found = signals.per_trace(df.select(rest.alias("k"), F.col("samples").alias("x")), stage, at, id="k", problems=quarantine is not None, **options)
+        return found.select("k.*", F.col("y").alias("samples")) if quarantine is None else good(found.select("k.*", F.col("y").alias("samples"), "problem"))
 
     def known(df: DataFrame, **options) -> DataFrame:
-        return responses.without_response(df, epochs, new, key=["component_id"], taper_share=share, **options).filter("problem is null").drop("problem")
+        return good(responses.without_response(df, epochs, new, key=["component_id"], taper_share=share, **options))
 
     def compute(work: DataFrame) -> DataFrame:
         out = staged(work.select(*key, "samples").join(spans.select("timespan_id", "starttime"), "timespan_id"), "prepared", rate, params=params, samples=samples)
@@ -96,19 +117,24 @@ def preprocessed(datachunks: DataFrame, spans: DataFrame, epochs: DataFrame, tab
     return step(datachunks, table, key, compute)
 
 
-def statistics(datachunks: DataFrame, table: DataFrame) -> DataFrame:
+def statistics(datachunks: DataFrame, table: DataFrame, quarantine: Quarantine | None = None) -> DataFrame:
     """Statistics of chunks."""
     key = ["component_id", "timespan_id"]
+    datachunks = sound(datachunks, "statistics", key, "samples", quarantine)
     return step(datachunks, table, key, lambda new: new.select(*key, *(c.alias(n) for n, c in K.array_statistics(F.col("samples")).items())))
 
 
-def processed(datachunks: DataFrame, table: DataFrame, params: config.ProcessedDatachunkParams, rate: float) -> DataFrame:
+def processed(datachunks: DataFrame, table: DataFrame, params: config.ProcessedDatachunkParams, rate: float, quarantine: Quarantine | None = None) -> DataFrame:
     """Chunks whitened, filtered and reduced to signs, as far as the parameters say so."""
     key = ["component_id", "timespan_id"]
+    datachunks = sound(datachunks, "processed", key, "samples", quarantine)
 
     def compute(new: DataFrame) -> DataFrame:
         named = new.select(F.struct(*key).alias("k"), F.col("samples").alias("x"))
-        return signals.per_trace(named, "processed", rate, id="k", params=params).select("k.*", F.col("y").alias("samples"))
+        if quarantine is None:
+            return signals.per_trace(named, "processed", rate, id="k", params=params).select("k.*", F.col("y").alias("samples"))
+        found = signals.per_trace(named, "processed", rate, id="k", problems=True, params=params)
+        return quarantine.split("processed", key, found.select("k.*", F.col("y").alias("samples"), "problem"))
 
     return step(datachunks, table, key, compute)
 
@@ -130,12 +156,13 @@ def qc_one(statistics: DataFrame, spans: DataFrame, gps: DataFrame, periods: Dat
     return K.upsert(table, compute(statistics).select(*table.columns), key)
 
 
-def crosscorrelations(processed: DataFrame, pairs: DataFrame, table: DataFrame, max_lag: int, verdicts: DataFrame | None = None) -> DataFrame:
+def crosscorrelations(processed: DataFrame, pairs: DataFrame, table: DataFrame, max_lag: int, verdicts: DataFrame | None = None, quarantine: Quarantine | None = None) -> DataFrame:
     """Correlations (``component_id_a``, ``component_id_b``, ``timespan_id``, ``ccf``) of the
     pairs whose chunks are both there in a window and, where verdicts are given, pass.
 
     What is left to do is found by keys alone; the samples of finished work aren't moved."""
     chunk = ["component_id", "timespan_id"]
+    processed = sound(processed, "crosscorrelations", chunk, "samples", quarantine)
     held = processed if verdicts is None else K.passed_only(processed, verdicts, chunk)
     key = ["component_id_a", "component_id_b", "timespan_id"]
     there = held.select(*chunk).distinct()
@@ -152,7 +179,7 @@ _PARTS = {
 }
 
 
-def cylindrical(ccfs: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
+def cylindrical(ccfs: DataFrame, pairs: DataFrame, table: DataFrame, quarantine: Quarantine | None = None) -> DataFrame:
     """Rotated correlations (``station_a``, ``station_b``, ``code``, ``timespan_id``, ``ccf``) of
     the pairs (``inventory.cylindrical_pairs`` with backazimuth) whose parts are all there.
 
@@ -160,6 +187,7 @@ def cylindrical(ccfs: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFram
     one that is stored the other way round is turned over in time.
     """
     key = ["station_a", "station_b", "code", "timespan_id"]
+    ccfs = sound(ccfs, "cylindrical", ["component_id_a", "component_id_b", "timespan_id"], "ccf", quarantine)
     need = F.create_map(*[x for code, parts in _PARTS.items() for x in (F.lit(code), F.array(*map(F.lit, parts)))])
     ids = lambda s, letter: F.coalesce(*(F.when(letter == x, F.col(f"{s}{x}")) for x in "ENZ"))
     wanted = pairs.withColumn("code", F.col("component_cylindrical_code_pair")).withColumn("part", F.explode(F.element_at(need, F.col("code"))))
@@ -224,7 +252,7 @@ def renewed(table: DataFrame, todo: DataFrame, new: DataFrame, key: list[str]) -
     return held.select(*table.columns).unionByName(new.select(*table.columns))
 
 
-def stacks(ccfs: DataFrame, spans: DataFrame, stack_spans: DataFrame, table: DataFrame, least: int, verdicts: DataFrame | None = None) -> DataFrame:
+def stacks(ccfs: DataFrame, spans: DataFrame, stack_spans: DataFrame, table: DataFrame, least: int, verdicts: DataFrame | None = None, quarantine: Quarantine | None = None) -> DataFrame:
     """Mean correlations by pair and stacking window (``stack_id``, ``stack_start``,
     ``stack_end``), of the windows within it whose verdicts, where given, pass.
 
@@ -234,7 +262,7 @@ def stacks(ccfs: DataFrame, spans: DataFrame, stack_spans: DataFrame, table: Dat
     """
     pair = ["component_id_a", "component_id_b"]
     key = [*pair, "stack_id"]
-    held = ccfs.filter("ccf is not null")
+    held = sound(ccfs, "stacks", [*pair, "timespan_id"], "ccf", quarantine).filter("ccf is not null")
     held = held if verdicts is None else K.passed_only(held, verdicts, [*pair, "timespan_id"])
     within = grid.bucketed_containment_join(spans.select("timespan_id", "starttime", "endtime"), stack_spans, "starttime", "endtime", "stack_start", "stack_end", 3600)
     within = within.select("timespan_id", "stack_id")
@@ -243,9 +271,10 @@ def stacks(ccfs: DataFrame, spans: DataFrame, stack_spans: DataFrame, table: Dat
     return renewed(table, todo, stacking.linear_stack(work, key, "ccf", least), key)
 
 
-def power_spectra(datachunks: DataFrame, table: DataFrame, params: config.PPSDParams) -> DataFrame:
+def power_spectra(datachunks: DataFrame, table: DataFrame, params: config.PPSDParams, quarantine: Quarantine | None = None) -> DataFrame:
     """Mean spectra of chunks."""
     key = ["component_id", "timespan_id"]
+    datachunks = sound(datachunks, "power_spectra", key, "samples", quarantine)
 
     def compute(new: DataFrame) -> DataFrame:
         named = new.select(F.struct(*key).alias("k"), F.col("samples").alias("x"))
@@ -254,20 +283,22 @@ def power_spectra(datachunks: DataFrame, table: DataFrame, params: config.PPSDPa
     return step(datachunks, table, key, compute)
 
 
-def beams(datachunks: DataFrame, places: DataFrame, table: DataFrame, params: config.BeamformingParams, rate: float) -> DataFrame:
+def beams(datachunks: DataFrame, places: DataFrame, table: DataFrame, params: config.BeamformingParams, rate: float, quarantine: Quarantine | None = None) -> DataFrame:
     """Peaks of the beams of windows. ``places`` has ``component_id``, ``px``, ``py``. If the table
     has ``inputs``, a window is done again when other components have come to it."""
     key = ["timespan_id"]
+    datachunks = sound(datachunks, "beams", ["component_id", "timespan_id"], "samples", quarantine)
     placed = datachunks.join(places, "component_id")
     todo = changed(placed.select(*key, "component_id"), table, key, "component_id")
     work = placed.select("timespan_id", F.col("component_id").alias("vec_id"), F.col("samples").alias("x"), "px", "py").join(todo.select(*key), key, "left_semi")
     return renewed(table, todo, signals.beam_peaks(work, params, rate), key)
 
 
-def events(datachunks: DataFrame, searched: DataFrame, params: config.EventDetectionParams, rate: float) -> tuple[DataFrame, DataFrame]:
+def events(datachunks: DataFrame, searched: DataFrame, params: config.EventDetectionParams, rate: float, quarantine: Quarantine | None = None) -> tuple[DataFrame, DataFrame]:
     """Detections of chunks that weren't searched yet, and the table ``searched`` of keys with
     them added: a chunk may well have no event."""
     key = ["component_id", "timespan_id"]
+    datachunks = sound(datachunks, "events", key, "samples", quarantine)
     todo = K.not_done(datachunks, searched, key)
     found = signals.detections(todo, params, rate, key, array="samples")
     return found, searched.unionByName(todo.select(*key).distinct().select(*searched.columns))

@@ -90,21 +90,47 @@ def _side_by_side(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
 
 
-def per_trace(df: DataFrame, stage: str, rate: float, id: str = "vec_id", array: str = "x", **options) -> DataFrame:
+def _tried(run, x: np.ndarray) -> Iterator[tuple[np.ndarray | None, str | None]]:
+    """Each trace's result, or why there is none. All run side by side; only if that fails is
+    each tried by itself."""
+    try:
+        found = list(run(x))
+    except Exception:
+        found = []
+        for trace in x:
+            try:
+                found.append(run(trace[None])[0])
+            except Exception as e:
+                found.append(f"{type(e).__name__}: {e}")
+    for y in found:
+        if isinstance(y, str):
+            yield None, y
+        elif not np.isfinite(y).all():
+            yield None, "a result that isn't finite"
+        else:
+            yield y, None
+
+
+def per_trace(df: DataFrame, stage: str, rate: float, id: str = "vec_id", array: str = "x", problems: bool = False, **options) -> DataFrame:
     """``id`` and ``y``, the stage's result for each trace; a null trace stays null, an empty one
-    empty. One narrow pass: nothing is shuffled, and traces of one length run side by side."""
+    empty. One narrow pass: nothing is shuffled, and traces of one length run side by side.
+    With ``problems`` a trace that the stage fails on, or whose result isn't finite, has a null
+    and its ``problem``, and others aren't affected; else it is an error."""
     run = _stage(stage, rate, options)
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             out: list = [None] * batch.num_rows
+            why: list = [None] * batch.num_rows
             for at, x in _side_by_side(batch.column(1)):
-                for i, y in zip(at, run(x) if x.shape[1] else x, strict=True):
-                    out[i] = y
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [id, "y"])
+                found = _tried(run, x) if problems and x.shape[1] else zip(run(x) if x.shape[1] else x, [None] * len(x), strict=True)
+                for i, (y, problem) in zip(at, found, strict=True):
+                    out[i], why[i] = y, problem
+            columns = [batch.column(0), pa.array(out, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(why, pa.string())] if problems else columns, [id, "y", "problem"] if problems else [id, "y"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(id, F.col(array).cast("array<double>").alias(array)).mapInArrow(batches, f"{id} {kind}, y array<double>")
+    return df.select(id, F.col(array).cast("array<double>").alias(array)).mapInArrow(batches, f"{id} {kind}, y array<double>" + ", problem string" * problems)
 
 
 def correlations(df: DataFrame, keys: list[str], a: str, b: str, max_lag: int, normalise: bool = True, demean: bool = True) -> DataFrame:

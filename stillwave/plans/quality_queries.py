@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stillwave.functions import columns as C
 from stillwave.operators import chunks as K
-from stillwave.operators import grid, segments
+from stillwave.operators import grid, segments, snapshots
 from stillwave.plans import bindings as B
 from stillwave.plans.window_queries import ntz
-from stillwave.session import table
+from stillwave.session import scratch, table
 
 PLANS = B.Plans()
 
@@ -37,13 +37,13 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean GPS error and uncertainty by window and channel."""
-    e = B.samples(spark, sf_dir)
+    """Mean GPS error and uncertainty by window and channel, of receivers that were off for two days."""
+    e = B.samples(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-10' or ts >= timestamp_ntz'2024-01-12'")
     return e.groupBy("timespan_id", "event_type").agg(F.avg("value").alias("error"), F.avg(F.col("value") * 2 + F.col("user_id") % 10).alias("uncertainty"))
 
 
 _GPS_SQL = """gps AS (SELECT timespan_id, event_type, avg(value) AS error, avg(value * 2 + user_id % 10) AS uncertainty FROM sample
-  GROUP BY timespan_id, event_type)"""
+  WHERE ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-12' GROUP BY timespan_id, event_type)"""
 
 
 def _bound_sql(bounds: dict[str, float | None]) -> str:
@@ -212,6 +212,16 @@ def snk6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.upsert(*_tables(spark, sf_dir), ["k"], nothing_on_conflict=True)
 
 
+@PLANS.add("run3_committed_upserts", f"WITH old AS ({_OLD}), new AS ({_NEW}) SELECT * FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT * FROM new")
+def run3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as committed snapshots: one version with the table that stands, one with the rest."""
+    old, new = _tables(spark, sf_dir)
+    kept = snapshots.Snapshots.create(spark, scratch(spark, "upserts"), old.schema, ["k"], buckets=4)
+    kept.upsert(old)
+    kept.upsert(new)
+    return kept.read()
+
+
 @PLANS.add("snk8_soh_bridge", f"WITH {B.COMPONENTS_SQL} SELECT DISTINCT event_id, component_id FROM events JOIN component ON component_id % 25 = user_id % 25")
 def snk8(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.components(spark, sf_dir).select("component_id", (F.col("component_id") % 25).alias("device"))

@@ -79,14 +79,12 @@ ENTIRE: list[tuple[str, str]] = [
     for name, file in [
         ("Apache-2.0", "Apache-2.0"), ("GPL-1.0-only", "GPL-1"), ("GPL-2.0-only", "GPL-2"), ("GPL-3.0-only", "GPL-3"), ("LGPL-2.0-only", "LGPL-2"),
         ("LGPL-2.1-only", "LGPL-2.1"), ("LGPL-3.0-only", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"),
+        ("Artistic-1.0-Perl", "Artistic-1.0-Perl"), ("BSL-1.0", "BSL-1.0"), ("EPL-1.0", "EPL-1.0"), ("GFDL-1.2-only", "GFDL-1.2"), ("GFDL-1.3-only", "GFDL-1.3"), ("Unlicense", "Unlicense"),
     ]
 ]
 
-# Patterns and replacements, applied in this order to lowered text. They keep
-# to what Java's, RE2's and Python's patterns share. White space is 0x20 and 0x09-0x0D.
-#: Lines that name a holder: white space or signs, then "copyright" or a sign of it and a year or another sign.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©)[^\n]*"
-#: All lines that name a holder, with names, years or placeholders in any order, and lines
+# Patterns and replacements, applied in this order to lowered text.
+#: Lines that name a holder, with names, years or placeholders in any order, and lines
 #: that reserve all rights; but no sentence of a licence that begins with "copyright".
 _SENTENCE = "and|as|disclaimer|for|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|of|on|or|owners?|permission|protection|statements?|to|treaty"
 HOLDER_LINE = (
@@ -108,12 +106,12 @@ EQUIVALENT: list[tuple[str, str]] = [
 ]
 
 
-def canonical_lines(text: F.Column, holder: str = COPYRIGHT_LINE) -> F.Column:
-    """Lowered text without copyright lines, punctuation and variant spellings; words
-    stand between blanks, lines stay."""
+def canonical_lines(text: F.Column) -> F.Column:
+    """Lowered text without holders' lines, punctuation and variant spellings; words stand
+    between blanks, lines stay."""
     out = F.regexp_replace(F.lower(text), "\r", "\n")
     # A line consumes the break before it, so a second pass isn't needed for adjacent lines.
-    out = F.regexp_replace(out, holder, "\n")
+    out = F.regexp_replace(out, HOLDER_LINE, "\n")
     out = F.regexp_replace(out, NOT_WORDS, " ")
     out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), "\n", " \n ")
     out = F.replace(out, F.lit(" "), F.lit("  "))
@@ -132,10 +130,10 @@ def _squeezed(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
-def _plain(text: str, holder: str = COPYRIGHT_LINE) -> str:
+def _plain(text: str) -> str:
     """The same canonical form in Python, for the known texts."""
     out = re.sub("\r", "\n", text.lower())
-    out = re.sub(holder, "\n", out)
+    out = re.sub(HOLDER_LINE, "\n", out)
     out = re.sub(NOT_WORDS.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), " ", out)
     out = re.sub("\n", " \n ", f" {out} ").replace(" ", "  ")
     for old, new in spaced():
@@ -143,17 +141,17 @@ def _plain(text: str, holder: str = COPYRIGHT_LINE) -> str:
     return re.sub(r"[ \n]+", " ", out).strip(" ")
 
 
-def digest(text: str, holder: str = COPYRIGHT_LINE) -> str:
-    return hashlib.sha256(_plain(text, holder).encode()).hexdigest()
+def digest(text: str) -> str:
+    return hashlib.sha256(_plain(text).encode()).hexdigest()
 
 
-def known_digests(known: list[tuple[str, str]], holder: str = COPYRIGHT_LINE) -> dict[str, str]:
-    return {digest(text, holder): name for name, text in known}
+def known_digests(known: list[tuple[str, str]]) -> dict[str, str]:
+    return {digest(text): name for name, text in known}
 
 
 def scan(df: DataFrame, known: list[tuple[str, str]] | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``df``: ``id``, ``canonical_sha256`` of the whole text,
-    ``license`` if the text without any HOLDER_LINE is a known licence, and ``notices``, the licences whose one-line
+    """One row for each row of ``df``: ``id``, ``canonical_sha256`` of the whole text, ``license``
+    if that is the digest of a known licence, and ``notices``, the licences whose one-line
     notices are lines of the text, sorted and joined by ",", or null.
 
     A null text has null results; a text without words has the digest of the empty text,
@@ -162,15 +160,11 @@ def scan(df: DataFrame, known: list[tuple[str, str]] | None = None, text: str =
     text, so the broadcast side is as short as that list.
     """
     known = [*ENTIRE, *KNOWN] if known is None else known
-    digests = known_digests(known, HOLDER_LINE)
+    digests = known_digests(known)
     notices = known_digests([k for k in known if "\n" not in k[1].strip()])
     table = df.sparkSession.createDataFrame(sorted(digests.items()) or [("", "")], "_key string, license string")
-    rows = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"), canonical_lines(F.col(text).cast("string")).alias("_lines"))
-    rows = rows.withColumn("_digest", F.sha2(_squeezed(F.col("_lines")), 256))
-    # Few texts have such a line; of all others both digests are the same.
-    named = F.lower("_text").rlike("copyright|rights[ \t]+reserved")
-    unnamed = F.sha2(_squeezed(canonical_lines(F.col("_text"), HOLDER_LINE)), 256)
-    rows = rows.withColumn("_key", F.when(named, unnamed).otherwise(F.col("_digest")))
+    rows = df.select(F.col(id).alias("_id"), canonical_lines(F.col(text).cast("string")).alias("_lines"))
+    rows = rows.withColumn("_key", F.sha2(_squeezed(F.col("_lines")), 256))
     # Digests of those lines alone that are as long as some notice.
     lengths = sorted({len(_plain(t)) for _, t in known if "\n" not in t.strip()})
     lines = F.transform(F.split("_lines", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
@@ -183,7 +177,7 @@ def scan(df: DataFrame, known: list[tuple[str, str]] | None = None, text: str =
     rows = rows.withColumn("_found", found)
     return rows.join(F.broadcast(table), "_key", "left").select(
         F.col("_id").alias(id),
-        F.col("_digest").alias("canonical_sha256"),
+        F.col("_key").alias("canonical_sha256"),
         "license",
         F.when(F.col("_found") != "", F.col("_found")).alias("notices"),
     )
@@ -195,15 +189,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same in SQL, whose patterns can't look ahead: line by line, of two patterns."""
     quote = lambda s: s.replace("'", "''")
-    text = "regexp_replace(lower(text), chr(13), chr(10), 'g')"
-    text = f"regexp_replace({text}, '{quote(COPYRIGHT_LINE)}', chr(10), 'g')"
+    start = "^[^a-z0-9]*"
+    holds = rf"regexp_matches(l, '{start}(copyright[ \t:]+[^ \t:]|\(c\)[ \t]*[0-9]|©|all[ \t]+rights[ \t]+reserved[^a-z0-9]*$)')"
+    says = rf"regexp_matches(l, '{start}copyright[ \t:]+({_SENTENCE})($|[^a-z0-9])')"
+    text = f"array_to_string(list_filter(string_split(replace(lower(text), chr(13), chr(10)), chr(10)), lambda l: NOT ({holds} AND NOT {says})), chr(10))"
     text = f"regexp_replace({text}, '{quote(NOT_WORDS)}', ' ', 'g')"
     text = f"replace(' ' || {text} || ' ', chr(10), ' ' || chr(10) || ' ')"
     text = f"replace({text}, ' ', '  ')"
     for old, new in spaced():
         text = f"replace({text}, '{old}', '{new}')"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests(KNOWN).items()))
+    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests([*ENTIRE, *KNOWN]).items()))
     notices = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests([k for k in KNOWN if chr(10) not in k[1].strip()]).items()))
     return f"""
 WITH known(digest, license) AS (VALUES {values}), notice(digest, name) AS (VALUES {notices}),

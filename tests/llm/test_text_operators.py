@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -84,11 +85,46 @@ def test_holder_lines_and_entire_licences(spark):
     assert found == {i: name for i, _, name in rows}
 
 
+def test_one_canonical_form_in_query_and_sql(spark, tmp_path):
+    """Holders' lines of every kind before and in every known text: the SQL twin agrees on all, and
+    each has the digest of the text without them."""
+    holders = ["", "Copyright (c) 2020 X", "Copyright Jane Doe 2020", "Copyright: 2020 X", "/* © The Foo Authors", "Copyright The Foo Authors\nAll rights reserved.", "copyright notice of ours", "All rights reserved by us"]
+    known = [*licenses.ENTIRE, *licenses.KNOWN]
+    rows = [(100 * i + k, f"{h}\n\n{t.replace(chr(10), chr(13) + chr(10)) if k % 2 else t}") for i, (_, t) in enumerate(known) for k, h in enumerate(holders)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: tuple(r) for r in licenses.query(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    order = ["doc_id", "canonical_sha256", "license", "notices"]
+    cursor = con.execute(licenses.SQL)
+    names = [d[0] for d in cursor.description]
+    assert {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in order) for r in cursor.fetchall()} == found
+    for i, (name, text) in enumerate(known):
+        for k in range(6):
+            assert found[100 * i + k][1:3] == (licenses.digest(text), name), (name, holders[k])
+        assert all(found[100 * i + k][2] is None for k in (6, 7))
+
+
+def names_holder(line):
+    """Whether a lowered line names a holder or reserves all rights, by its first words."""
+    line = line[len(line) - len(line.lstrip("".join(set(line) - set("abcdefghijklmnopqrstuvwxyz0123456789©(")))) :] if line else line
+    while line[:1] == "(" and not re.match(r"\(c\)[ \t]*[0-9]", line):
+        line = re.sub(r"^[^a-z0-9]", "", line)
+        line = line.lstrip("".join(set(line) - set("abcdefghijklmnopqrstuvwxyz0123456789©(")))
+    if line.startswith("©") or re.match(r"\(c\)[ \t]*[0-9]", line):
+        return True
+    if re.fullmatch(r"all[ \t]+rights[ \t]+reserved[^a-z0-9]*", line):
+        return True
+    rest = re.match(r"copyright[ \t:]+([^ \t:].*)", line, re.S)
+    first = rest and re.match("[a-z0-9]*", rest[1])[0]
+    return bool(rest) and not re.fullmatch(licenses._SENTENCE, first)
+
+
 def canonical_words(text):
     """The canonical form word by word, written down apart from the operator's replacements."""
     words = []
     for line in text.lower().replace("\r", "\n").split("\n"):
-        if re.match(r"[^a-z0-9]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©)", line):
+        if names_holder(line):
             continue
         found = re.findall("[a-z0-9\x80-\U0010ffff]+", line)
         for old, new in licenses.EQUIVALENT:
@@ -103,7 +139,7 @@ def canonical_words(text):
 
 
 def test_canonical_form_word_by_word(spark, docs):
-    odd = ["licence licence licence\ncopyright owner copyright owner", "sub licence sub license, Centre-centre", "© 2020 Foo\n (c) 2021\nv v v https", "Copyright 2001\n\nwhilst\r\nwhilst"]
+    odd = ["Copyright Jane Doe\nCopyright holders of\n * Copyright: the\n-- all rights reserved.\nall rights reserved by\n((c) 3\n(x) copyright\tFoo\ncopyright\ncopyright : :", "licence licence licence\ncopyright owner copyright owner", "sub licence sub license, Centre-centre", "© 2020 Foo\n (c) 2021\nv v v https", "Copyright 2001\n\nwhilst\r\nwhilst"]
     given = spark.createDataFrame(list(enumerate(odd, 10**6)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     texts = {r.doc_id: r.text for r in given.collect()}
     found = {r.doc_id: r.canonical_sha256 for r in licenses.scan(given).collect()}

@@ -14,6 +14,7 @@ from stillwave.functions import columns as C
 from stillwave.functions import dsp, utm
 from stillwave.operators import signals
 from stillwave.plans import bindings as B
+from stillwave.plans import signal_queries as S
 from stillwave.plans.signal_queries import ag17
 from stillwave.session import table
 
@@ -135,14 +136,19 @@ def dsp22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(B.waveforms(spark, sf_dir).select("vec_id", "x"), run, "vec_id long, first int, last int, pgv double")
 
 
-@PLANS.add("ag16_rejected_stations")
+@PLANS.add("ag16_rejected_stations", f"WITH {B.WAVEFORMS_SQL}, {S._FOURIER_SQL}, {S._GROUPS_SQL}, {S.kept_sql('trace', 1, 32)} SELECT vec_id, k.vec_id IS NOT NULL AS kept FROM trace LEFT JOIN keep8 k USING (vec_id)")
 def ag16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waveforms of each group of 16 that the spectra's sigma clipping keeps."""
     w = B.waveforms(spark, sf_dir).select("vec_id", "x", (F.col("vec_id") / 16).cast("long").alias("g"))
     return signals.kept_stations(w, "g")
 
 
-@PLANS.add("wn6_beam_windows")
+_HALVES_SQL = f"""halves AS (SELECT vec_id, unnest(range(3)) AS k, x FROM wave), parts32 AS (SELECT vec_id, k, list_slice(x, k * 16 + 1, k * 16 + 32) AS x FROM halves),
+trace AS MATERIALIZED (SELECT vec_id // 16 * 3 + k AS g, vec_id, {S._PLACES_SQL}, list_transform(range(17), lambda q: {S._sum("x[i + 1] * cos(2 * pi() * q * i / 32)", 32)}) AS re,
+  list_transform(range(17), lambda q: {S._sum("-x[i + 1] * sin(2 * pi() * q * i / 32)", 32)}) AS im FROM parts32)"""
+
+
+@PLANS.add("wn6_beam_windows", f"WITH {B.WAVEFORMS_SQL}, {_HALVES_SQL}, {S.beams_sql('trace', 0.05, 13, [(k, 2.0 * k) for k in range(2, 9)], 'bartlett', 2)}")
 def wn6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beams of sliding sub-windows of 32 samples, every 16."""
     from stillwave.functions import arrays as A
@@ -150,7 +156,7 @@ def wn6(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = B.waveforms(spark, sf_dir).select("vec_id", F.posexplode(A.windows(F.col("x"), 32, 16)).alias("k", "x"))
     places = w.select((F.col("vec_id") / 16).cast("long").alias("g"), "k", "vec_id", "x", F.cos(F.col("vec_id").cast("double")).alias("px"), F.sin(F.col("vec_id").cast("double") * 1.7).alias("py"))
     numbered = places.withColumn("timespan_id", F.col("g") * 3 + F.col("k"))
-    return signals.beams(numbered, rate=64.0, low=4.0, high=16.0, axis=[(i - 6) * 0.05 for i in range(13)], method="bartlett", peaks=2)
+    return S.rounded_beams(signals.beams(numbered, rate=64.0, low=4.0, high=16.0, axis=[(i - 6) * 0.05 for i in range(13)], method="bartlett", peaks=2))
 
 
 @PLANS.add("dsp20_deconvolution")

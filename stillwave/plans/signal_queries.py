@@ -376,16 +376,65 @@ def ag5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", F.transform("stack", lambda v: C.rounded(v, 9)).alias("stack"), "no_ccfs")
 
 
-@PLANS.add("dsp16_beams")
-def dsp16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beam power on a slowness grid for each group of 16 waveforms of one label."""
+def kept_sql(traces: str, low: int, high: int, rounds: int = 8) -> str:
+    """CTEs ``keep0`` to the last round of the clipping of ``traces`` (g, vec_id, re, im by frequency):
+    of more than two the ones within two deviations of the mean log size stay, again and again;
+    after ``rounds`` nothing changes any more in the given tables."""
+    level = f"list_avg(list_transform(range({low}, {high + 1}), lambda k: ln(greatest(sqrt(re[k + 1] * re[k + 1] + im[k + 1] * im[k + 1]), 1e-300))))"
+    out = [f"keep0 AS MATERIALIZED (SELECT g, vec_id, {level} AS level FROM {traces})"]
+    for r in range(rounds):
+        out.append(f"""keep{r + 1} AS MATERIALIZED (SELECT g, vec_id, level FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n, avg(level) OVER (PARTITION BY g) AS m, stddev_pop(level) OVER (PARTITION BY g) AS d FROM keep{r})
+  WHERE n <= 2 OR abs(level - m) <= 2 * d + 1e-12)""")
+    return ", ".join(out)
+
+
+def beams_sql(traces: str, step: float, nodes: int, freqs: list[tuple[int, float]], method: str, peaks: int, name: str = "g") -> str:
+    """The peaks of beams of ``traces`` (g, vec_id, re, im, px, py) by sums over stations, frequencies
+    (place in the transform, Hz) and nodes; a peak is no smaller than the nodes around it."""
+    half = nodes // 2
+    picked = " UNION ALL ".join(f"SELECT {k} AS k, CAST({f} AS DOUBLE) AS f" for k, f in freqs)
+    power = "(re * re + im * im) / n"
+    if method == "capon":  # the inverse of x x* plus a multiple of one, by Sherman and Morrison
+        power = f"1 / ((1 - {power} / (load + energy)) / load)"
+    return f"""{kept_sql(traces, freqs[0][0], freqs[-1][0])}, enough AS (SELECT g FROM {traces} GROUP BY g HAVING count(*) >= 3),
+st AS MATERIALIZED (SELECT t.*, count(*) OVER (PARTITION BY t.g) AS n FROM {traces} t JOIN keep8 USING (g, vec_id) SEMI JOIN enough ON enough.g = t.g),
+freq AS ({picked}), axis AS (SELECT i, (i - {half}) * CAST({step} AS DOUBLE) AS s FROM range({nodes}) r(i)),
+parts AS MATERIALIZED (SELECT g, n, px, py, k, f, re[k + 1] AS re, im[k + 1] AS im FROM st, freq),
+energy AS (SELECT g, k, sum(re * re + im * im) AS energy, 1e-3 * avg(re * re + im * im) AS load FROM parts GROUP BY g, k),
+total AS (SELECT g, n, a.i, b.i AS j, a.s AS sx, b.s AS sy, k, sum(re * cos(2 * pi() * f * (px * a.s + py * b.s)) - im * sin(2 * pi() * f * (px * a.s + py * b.s))) AS re,
+  sum(re * sin(2 * pi() * f * (px * a.s + py * b.s)) + im * cos(2 * pi() * f * (px * a.s + py * b.s))) AS im FROM parts, axis a, axis b GROUP BY ALL),
+map AS MATERIALIZED (SELECT g, i, j, sx, sy, avg({power}) AS power FROM total JOIN energy USING (g, k) GROUP BY g, i, j, sx, sy),
+peak AS (SELECT m.g, m.i, m.j, m.sx, m.sy, m.power FROM map m JOIN map o ON o.g = m.g AND abs(o.i - m.i) <= 1 AND abs(o.j - m.j) <= 1 AND (o.i <> m.i OR o.j <> m.j)
+  GROUP BY ALL HAVING m.power >= max(o.power) AND m.power > min(o.power)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY power DESC, i, j) AS rank FROM peak)
+SELECT g AS timespan_id, CAST(rank AS INTEGER) AS rank, round(sx, 6) + 0.0 AS sx, round(sy, 6) + 0.0 AS sy, round(sqrt(sx * sx + sy * sy), 6) + 0.0 AS slowness, round(degrees(atan2(sx, sy)), 6) + 0.0 AS azimuth, round(power, 9) + 0.0 AS power
+FROM ranked WHERE rank <= {peaks}"""
+
+
+_PLACES_SQL = "cos(CAST(vec_id AS DOUBLE)) AS px, sin(vec_id * CAST(1.7 AS DOUBLE)) AS py"
+_GROUPS_SQL = f"trace AS MATERIALIZED (SELECT vec_id // 16 AS g, vec_id, re, im, {_PLACES_SQL} FROM fourier)"
+
+
+def rounded_beams(found: DataFrame) -> DataFrame:
+    places = (C.rounded(F.col(c)).alias(c) for c in ("sx", "sy", "slowness", "azimuth"))
+    return found.select("timespan_id", "rank", *places, C.rounded(F.col("power"), 9).alias("power"))
+
+
+def _beams(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     traces = B.waveforms(spark, sf_dir).select((F.col("vec_id") / 16).cast("long").alias("timespan_id"), "vec_id", "x")
     places = traces.select("timespan_id", "vec_id", "x", F.cos(F.col("vec_id").cast("double")).alias("px"), F.sin(F.col("vec_id").cast("double") * 1.7).alias("py"))
-    return signals.beams(places, rate=64.0, low=2.0, high=12.0, axis=[(i - 8) * 0.05 for i in range(17)], method="bartlett", peaks=3)
+    return rounded_beams(signals.beams(places, rate=64.0, low=2.0, high=12.0, axis=[(i - 8) * 0.05 for i in range(17)], method=method, peaks=3))
+
+
+_ONE_HERTZ = [(k, float(k)) for k in range(2, 13)]
+
+
+@PLANS.add("dsp16_beams", f"WITH {B.WAVEFORMS_SQL}, {_FOURIER_SQL}, {_GROUPS_SQL}, {beams_sql('trace', 0.05, 17, _ONE_HERTZ, 'bartlett', 3)}")
+def dsp16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam power on a slowness grid for each group of 16 waveforms."""
+    return _beams(spark, sf_dir, "bartlett")
 
 
-@PLANS.add("dsp16_capon_beams")
+@PLANS.add("dsp16_capon_beams", f"WITH {B.WAVEFORMS_SQL}, {_FOURIER_SQL}, {_GROUPS_SQL}, {beams_sql('trace', 0.05, 17, _ONE_HERTZ, 'capon', 3)}")
 def dsp16_capon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traces = B.waveforms(spark, sf_dir).select((F.col("vec_id") / 16).cast("long").alias("timespan_id"), "vec_id", "x")
-    places = traces.select("timespan_id", "vec_id", "x", F.cos(F.col("vec_id").cast("double")).alias("px"), F.sin(F.col("vec_id").cast("double") * 1.7).alias("py"))
-    return signals.beams(places, rate=64.0, low=2.0, high=12.0, axis=[(i - 8) * 0.05 for i in range(17)], method="capon", peaks=3)
+    return _beams(spark, sf_dir, "capon")

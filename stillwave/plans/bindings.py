@@ -69,16 +69,22 @@ pair AS (SELECT *, one_station AND NOT autocorrelation AS intracorrelation,
 )
 
 
+def period(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The first and last time of the events, as texts."""
+    row = table(spark, sf_dir, "events").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    return str(row.first), str(row.last)
+
+
 def spans_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily windows of January 2024, numbered."""
-    return spark.sql(
-        """SELECT CAST(i AS BIGINT) AS timespan_id, s AS starttime, s + interval 12 hours AS midtime, s + interval 1 day AS endtime
-           FROM (SELECT posexplode(sequence(TIMESTAMP_NTZ'2024-01-01', TIMESTAMP_NTZ'2024-01-30', interval 1 day)) AS (i, s))"""
-    )
+    """Daily windows from the events' first day to their last, numbered from 2024-01-01."""
+    days = table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    day = days.select(F.explode(F.sequence("a", "b")).alias("d")).select("d", F.col("d").cast("timestamp_ntz").alias("starttime"))
+    number = F.datediff("d", F.lit("2024-01-01").cast("date")).cast("long").alias("timespan_id")
+    return day.select(number, "starttime", (F.col("starttime") + F.expr("interval 12 hours")).alias("midtime"), (F.col("starttime") + F.expr("interval 1 day")).alias("endtime"))
 
 
-SPANS_SQL = """span AS (SELECT CAST(i AS BIGINT) AS timespan_id, TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)) AS starttime,
-  TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)) + INTERVAL 12 HOURS AS midtime, TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER) + 1) AS endtime FROM range(30) t(i))"""
+SPANS_SQL = """span AS (SELECT date_diff('day', DATE '2024-01-01', CAST(d AS DATE)) AS timespan_id, d AS starttime, d + INTERVAL 12 HOURS AS midtime, d + INTERVAL 1 DAY AS endtime
+  FROM (SELECT unnest(generate_series(CAST(min(CAST(ts AS DATE)) AS TIMESTAMP), CAST(max(CAST(ts AS DATE)) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM events))"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwave import config
+from stillwave.functions import arrays as A
 from stillwave.functions import columns as C
 from stillwave.functions import dsp, utm
-from stillwave.operators import signals
+from stillwave.operators import grid, signals
 from stillwave.plans import bindings as B
 from stillwave.plans import signal_queries as S
+from stillwave.plans import window_queries as W
 from stillwave.plans.signal_queries import ag17
 from stillwave.session import table
 
@@ -54,11 +56,16 @@ def sc10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.rounded(out).alias("s_min"))
 
 
-@PLANS.add("sc11_frequency_windows", "SELECT CAST(i AS BIGINT) AS config_id, CAST(round(0.1 + i * 0.1, 9) AS DOUBLE) AS min_freq, CAST(round(0.2 + i * 0.1, 9) AS DOUBLE) AS max_freq FROM range(100) t(i)")
+@PLANS.add("sc11_frequency_windows", f"""WITH {B.WAVEFORMS_SQL}, {S._FOURIER_SQL}, win AS (SELECT i AS config_id, CAST(2 + 2 * i AS DOUBLE) AS min_freq, CAST(6 + 2 * i AS DOUBLE) AS max_freq FROM range(13) t(i))
+SELECT label, config_id, min_freq, max_freq, round(avg(list_sum(list_filter({S._POWER_SQL}, lambda p, k: k - 1 >= min_freq AND k - 1 <= max_freq))), 9) + 0.0 AS power FROM fourier, win GROUP BY ALL""")
 def sc11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's mean power in the frequency windows that one configuration is spread over."""
     base = config.BeamformingParams(window_length=10.0, window_step_fraction=0.5)
-    found = config.over_windows(base, 0.1, 10.1, 0.1, 0.1)
-    return spark.createDataFrame([(i, p.min_freq, p.max_freq) for i, p in enumerate(found)], "config_id long, min_freq double, max_freq double")
+    found = [(i, p.min_freq, p.max_freq) for i, p in enumerate(config.over_windows(base, 2.0, 30.0, 2.0, 4.0))]
+    spectra = signals.per_trace(B.waveforms(spark, sf_dir).select(F.struct("vec_id", "label").alias("k"), "x"), "power_spectrum", rate=64.0, id="k")
+    windows = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("config_id"), F.lit(a).alias("min_freq"), F.lit(b).alias("max_freq")) for i, a, b in found))).alias("w")
+    each = spectra.select("k.label", "y", windows).select("label", "w.*", A.total(F.filter("y", lambda p, k: (k >= F.col("w.min_freq")) & (k <= F.col("w.max_freq")))).alias("p"))
+    return each.groupBy("label", "config_id", "min_freq", "max_freq").agg(C.rounded(F.avg("p"), 9).alias("power"))
 
 
 @PLANS.add("st3_merged_intervals", "SELECT p_partkey, greatest(p_size, 10) AS low, least(p_size + 15, 30) AS high FROM part WHERE greatest(p_size, 10) < least(p_size + 15, 30)")
@@ -82,13 +89,10 @@ def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_files(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled"))
 
 
-@PLANS.add("fch2_stacking_windows", "SELECT s AS starttime, s + INTERVAL 6 HOURS AS endtime FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-14 18:00:00', INTERVAL 3 HOURS)) AS s)")
+@PLANS.add("fch2_stacking_windows", f"SELECT starttime, endtime FROM ({W.grid_sql(10800, 21600)}) WHERE starttime >= TIMESTAMP '2024-01-10' AND endtime <= TIMESTAMP '2024-01-15'")
 def fch2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stillwave.operators import grid
-    from stillwave.plans.window_queries import ntz
-
-    w = grid.timespans(spark, "2024-01-01", "2024-01-31", 21600, overlap_s=10800, across_midnight=True)
-    return grid.between(w, ntz("2024-01-10"), ntz("2024-01-15")).select("starttime", "endtime")
+    w = grid.timespans(spark, *B.period(spark, sf_dir), 21600, overlap_s=10800, across_midnight=True)
+    return grid.between(w, W.ntz("2024-01-10"), W.ntz("2024-01-15")).select("starttime", "endtime")
 
 
 @PLANS.add("plt1_spectrogram", """SELECT CAST(ts AS DATE) AS day, event_type, round(10 * log10(avg(value * value)), 6) + 0.0 AS db FROM events GROUP BY ALL""")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stillwave import config
 from stillwave.functions import columns as C
 from stillwave.operators import chunks as K
 from stillwave.operators import grid, segments, snapshots
@@ -99,10 +103,20 @@ def qcv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gps(spark, sf_dir).select("timespan_id", "event_type", *K.bounds_verdicts(GPS_BOUNDS, POLICY))
 
 
-@PLANS.add("qcv6_uses", "SELECT true AS uses_gps, true AS uses_stats, true AS null_value")
+@PLANS.add("qcv6_uses", "SELECT s_suppkey, s_nationkey % 3 = 0 AS uses_gps, s_acctbal > 0 AS uses_stats, s_suppkey % 2 = 0 AS null_value FROM supplier")
 def qcv6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = lambda b: any(v is not None for v in b.values())
-    return spark.range(1).select(F.lit(used(GPS_BOUNDS)).alias("uses_gps"), F.lit(used(BOUNDS)).alias("uses_stats"), F.lit(POLICY).alias("null_value"))
+    """What the configuration of each supplier uses: its bounds follow from the row, null ones aren't used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, nation, balance in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q = config.QCOneConfig(starttime=START, endtime=END, null_treatment_policy="fail" if key % 2 else "pass", avg_gps_time_error_max=1.0 if nation % 3 == 0 else None, signal_energy_max=balance if balance > 0 else None)
+                found.append((key, q.uses_gps, q.uses_stats, q.null_value))
+            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], ["s_suppkey", "uses_gps", "uses_stats", "null_value"])
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").mapInArrow(run, "s_suppkey long, uses_gps boolean, uses_stats boolean, null_value boolean")
 
 
 @PLANS.add("qcv7_chunks_without_qcone", f"WITH {B.SAMPLES_SQL}, c AS (SELECT DISTINCT timespan_id, event_type FROM sample) SELECT * FROM c WHERE NOT (timespan_id < 10 AND event_type IN ('view', 'click'))")

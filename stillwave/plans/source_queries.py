@@ -3,10 +3,13 @@ through the library's readers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stillwave import config
 from stillwave.functions import columns as C
@@ -15,6 +18,7 @@ from stillwave.operators import chunks as K
 from stillwave.operators import jobs, preparation, responses, signals
 from stillwave.plans import bindings as B
 from stillwave.plans.signal_queries import ccfs
+from stillwave.plans.window_queries import grid_sql
 from stillwave.session import scratch, table
 from stillwave.sources import headers, inventory, miniseed, soh
 
@@ -167,10 +171,17 @@ def src8_miniseed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soh.side_by_side(records, soh.soh_format("centaur", "miniseed_instrument"))
 
 
-@PLANS.add("src11_formats", """SELECT * FROM (VALUES ('centaur', 'instrument', 5), ('centaur', 'gpstime', 11), ('centaur', 'gnsstime', 11), ('centaur', 'environment', 9), ('centaur', 'miniseed_instrument', 3),
-('centaur', 'miniseed_gpstime', 7), ('taurus', 'instrument', 9), ('taurus', 'gpstime', 13), ('taurus', 'environment', 9)) t(station, kind, columns)""")
+_FORMATS_SQL = """(VALUES (0, 'centaur', 'instrument', 5), (1, 'centaur', 'gpstime', 11), (2, 'centaur', 'gnsstime', 11), (3, 'centaur', 'environment', 9), (4, 'centaur', 'miniseed_instrument', 3),
+(5, 'centaur', 'miniseed_gpstime', 7), (6, 'taurus', 'instrument', 9), (7, 'taurus', 'gpstime', 13), (8, 'taurus', 'environment', 9)) f(i, station, kind, columns)"""
+
+
+@PLANS.add("src11_formats", f"SELECT user_id, station, kind, columns, count(*) AS records FROM events JOIN {_FORMATS_SQL} ON i = user_id % 9 GROUP BY ALL")
 def src11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, k, len(soh.soh_format(s, k).columns)) for s, k in soh.FORMATS], "station string, kind string, columns int")
+    """Each device's records with the format that the registry has for its kind of files."""
+    known = [(i, s, k, len(soh.soh_format(s, k).columns)) for i, (s, k) in enumerate(soh.FORMATS)]
+    formats = spark.createDataFrame(known, "i long, station string, kind string, columns int")
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("records"))
+    return e.withColumn("i", F.col("user_id") % 9).join(F.broadcast(formats), "i").select("user_id", "station", "kind", "columns", "records")
 
 
 @PLANS.add("snk1_days", f"WITH {B.SAMPLES_SQL} SELECT year(ts) AS year, dayofyear(ts) AS doy, count(*) AS n, round(sum(value), 3) AS value FROM sample GROUP BY ALL")
@@ -382,11 +393,13 @@ def run11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("component_id", "timespan_id", C.rounded(F.col("error")).alias("error"))
 
 
-@PLANS.add("run12_grid_job", f"SELECT CAST(row_number() OVER (ORDER BY s) AS BIGINT) AS timespan_id, s AS starttime FROM (SELECT unnest(generate_series({DAY}, TIMESTAMP '2024-01-08' - INTERVAL 1 MICROSECOND, INTERVAL 30 MINUTES)) AS s)")
+@PLANS.add("run12_grid_job", f"SELECT CAST(row_number() OVER (ORDER BY starttime) AS BIGINT) AS timespan_id, starttime FROM ({grid_sql(1800, 1800)})")
 def run12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of the events' time in two increments."""
     grid_table = spark.createDataFrame([], "timespan_id long, starttime timestamp_ntz, midtime timestamp_ntz, endtime timestamp_ntz")
-    for end in ("2024-01-03", "2024-01-08"):
-        grid_table = jobs.timespans(grid_table, "2024-01-01", end, 1800)
+    start, end = B.period(spark, sf_dir)
+    for until in ("2024-01-03", end):
+        grid_table = jobs.timespans(grid_table, start, until, 1800)
     return grid_table.select("timespan_id", "starttime")
 
 
@@ -417,48 +430,98 @@ def cfg3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.rejected_components(config.parse(QCONE), B.components(spark, sf_dir))
 
 
-@PLANS.add("cfg2_parsed", "SELECT 'fail' AS null_policy, false AS strict_gps, true AS uses_stats, false AS uses_gps, CAST(100.5 AS DOUBLE) AS energy_max, 2 AS rejected, TIMESTAMP '2024-01-01' AS starttime")
+_QCONE_OF = """[QCOne]
+null_treatment_policy = "%s"
+starttime = 2024-01-01
+endtime = 2024-02-01
+signal_energy_max = %s
+[[QCOne.rejected_times]]
+network = "EUROPE"
+station = "%s"
+component = "Z"
+starttime = 2024-01-05
+endtime = 2024-01-06
+"""
+
+
+def by_row(df: DataFrame, schema: str, of) -> DataFrame:
+    """What ``of`` makes of each row, a tuple; a helper for configurations, which are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [of(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    names, kinds = zip(*((f.name, to_arrow_type(f.dataType)) for f in df.sparkSession.createDataFrame([], schema).schema), strict=True)
+    return df.mapInArrow(run, schema)
+
+
+@PLANS.add("cfg2_parsed", "SELECT s_suppkey, CASE WHEN s_nationkey > 12 THEN 'fail' ELSE 'pass' END AS null_policy, false AS strict_gps, true AS uses_stats, false AS uses_gps, s_acctbal AS energy_max, s_name AS rejected, TIMESTAMP '2024-01-01' AS starttime FROM supplier")
 def cfg2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = config.parse(QCONE, "QCOne")
-    row = (q.null_policy, q.strict_gps, q.uses_stats, q.uses_gps, q.bounds["energy_max"], len(q.rejected_times), config.moment(q.starttime))
-    return spark.createDataFrame([row], "null_policy string, strict_gps boolean, uses_stats boolean, uses_gps boolean, energy_max double, rejected int, starttime timestamp_ntz")
+    """A configuration file of each supplier's values, parsed again."""
+    s = table(spark, sf_dir, "supplier")
+    policy = F.when(F.col("s_nationkey") > 12, "fail").otherwise("pass")
+    text = F.format_string(_QCONE_OF, policy, F.col("s_acctbal").cast("decimal(12,2)").cast("string"), "s_name")
+
+    def parsed(key: int, toml: str) -> tuple:
+        q = config.parse(toml, "QCOne")
+        return key, q.null_policy, q.strict_gps, q.uses_stats, q.uses_gps, q.bounds["energy_max"], q.rejected_times[0].station, config.moment(q.starttime)
 
+    return by_row(s.select("s_suppkey", text.alias("text")), "s_suppkey long, null_policy string, strict_gps boolean, uses_stats boolean, uses_gps boolean, energy_max double, rejected string, starttime timestamp_ntz", parsed)
 
-@PLANS.add("cfg4_stored", "SELECT CAST(CASE WHEN n = 1 THEN 7 ELSE 8 END AS BIGINT) AS id, CAST(CASE WHEN n = 1 THEN 24 ELSE 12 END AS DOUBLE) AS sampling_rate FROM range(1, 3) t(n)")
+
+@PLANS.add("cfg4_stored", "SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_nationkey + 1 AS DOUBLE) AS sampling_rate FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier) UNION ALL SELECT CAST(max(s_suppkey) + 1 AS BIGINT), 12.0 FROM supplier")
 def cfg4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A configuration stored beside another, under the next id, and both fetched."""
-    tables = {config.DatachunkParams: spark.createDataFrame([(7, 24.0)], "id long, sampling_rate double")}
-    after = config.stored(config.DatachunkParams(sampling_rate=12.0), tables)
-    return config.fetch(after, 7).unionByName(config.fetch(after, 8))
+    """A configuration stored beside those of all suppliers, under the next id, and fetched with the first."""
+    held = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), (F.col("s_nationkey") + 1).cast("double").alias("sampling_rate"))
+    ends = held.agg(F.min("id").alias("first"), F.max("id").alias("last")).first()
+    after = config.stored(config.DatachunkParams(sampling_rate=12.0), {config.DatachunkParams: held})
+    return config.fetch(after, ends.first).unionByName(config.fetch(after, ends.last + 1))
 
 
-@PLANS.add("cfg6_axes", "SELECT i AS node, round(CAST(-2 + 0.025 * i AS DOUBLE), 6) + 0.0 AS slowness FROM range(161) t(i)")
+@PLANS.add("cfg6_axes", f"WITH {B.WAVEFORMS_SQL} SELECT CAST(i AS INTEGER) AS node, round(CAST(-2 + 0.025 * i AS DOUBLE), 6) + 0.0 AS slowness, count(*) AS n FROM (SELECT floor((v + 2) / 0.025 + 0.5) AS i FROM (SELECT CAST(unnest(x) AS DOUBLE) AS v FROM wave)) GROUP BY i")
 def cfg6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slowness axis of a configuration, both ends included."""
+    """How many samples of all waveforms are nearest to each node of a configuration's slowness axis."""
     text = '[BeamformingParams]\nslowness_x_min = -2\nslowness_x_max = 2\nslowness_step = 0.025\nwindow_length = 10\nwindow_step = 5\n'
     axis = config.parse(text).axis("x")
-    return spark.createDataFrame(list(enumerate(axis)), "node long, slowness double").select("node", C.rounded(F.col("slowness")).alias("slowness"))
+    nodes = spark.createDataFrame(list(enumerate(axis)), "node int, slowness double")
+    near = B.waveforms(spark, sf_dir).select(F.explode("x").alias("v")).select(F.floor((F.col("v") - axis[0]) / 0.025 + 0.5).cast("int").alias("node"))
+    return near.groupBy("node").agg(F.count("*").alias("n")).join(F.broadcast(nodes), "node").select("node", C.rounded(F.col("slowness")).alias("slowness"), "n")
 
 
-@PLANS.add("cfg5_stacking_windows", f"SELECT s AS starttime, s + INTERVAL 6 HOURS AS endtime FROM (SELECT unnest(generate_series({DAY}, TIMESTAMP '2024-01-11' - INTERVAL 1 MICROSECOND, INTERVAL 3 HOURS)) AS s)")
+@PLANS.add("cfg5_stacking_windows", f"SELECT starttime, endtime FROM ({grid_sql(10800, 21600)})")
 def cfg5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid that a stacking schema asks for."""
+    """The grid that a stacking schema over the events' time asks for."""
     from stillwave.operators import grid
 
-    schema = config.parse('[StackingSchema]\nstarttime = "2024-01-01"\nendtime = "2024-01-11"\nstacking_length = "6 hours"\nstacking_overlap = "3 hours"\n')
+    a, b = (t.replace(" ", "T") for t in B.period(spark, sf_dir))
+    schema = config.parse(f'[StackingSchema]\nstarttime = "{a}"\nendtime = "{b}"\nstacking_length = "6 hours"\nstacking_overlap = "3 hours"\n')
     start, end = (f"{config.moment(t):%Y-%m-%d %H:%M:%S}" for t in (schema.starttime, schema.endtime))
     return grid.timespans(spark, start, end, schema.length_s, overlap_s=schema.overlap_s, across_midnight=True).select("starttime", "endtime")
 
 
-@PLANS.add("st3_config_merges", "SELECT k, CAST(greatest(k, 5) AS DOUBLE) AS low, CAST(12 AS DOUBLE) AS high, CAST((340 + k) % 360 AS DOUBLE) AS angle_low, CAST(355 AS DOUBLE) AS angle_high FROM range(12) t(k)")
+@PLANS.add("st3_config_merges", "SELECT p_partkey, CASE WHEN p_size < 12 THEN CAST(greatest(p_size, 5) AS DOUBLE) END AS low, CASE WHEN p_size < 12 THEN CAST(12 AS DOUBLE) END AS high, CASE WHEN p_size < 15 THEN CAST(340 + p_size AS DOUBLE) WHEN p_size >= 20 THEN CAST(330 AS DOUBLE) END AS angle_low, CASE WHEN p_size < 15 OR p_size >= 20 THEN CAST(355 AS DOUBLE) END AS angle_high FROM part")
 def st3_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the configuration's intervals of slowness and of angle share."""
-    rows = [(k, *config.merge_intervals((float(k), 12.0), (5.0, 20.0)), *config.merge_angles((-20.0 + k, 355.0), (330.0, 360.0))) for k in range(12)]
-    return spark.createDataFrame(rows, "k long, low double, high double, angle_low double, angle_high double")
+    """What intervals of slowness and of angle share that begin at each part's size; null if nothing."""
+
+    def shared(merge, a: tuple, b: tuple) -> tuple:
+        try:
+            return merge(a, b)
+        except config.ConfigError:
+            return None, None
+
+    of = lambda key, k: (key, *shared(config.merge_intervals, (float(k), 12.0), (5.0, 20.0)), *shared(config.merge_angles, (-20.0 + k, 355.0), (330.0, 360.0)))
+    return by_row(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey long, low double, high double, angle_low double, angle_high double", of)
 
 
-@PLANS.add("sc12_vote_weights", "SELECT * FROM (VALUES ('S1', CAST(2 AS DOUBLE)), ('S2', CAST(3 AS DOUBLE)), ('S10', CAST(1 AS DOUBLE))) t(station, weight)")
+@PLANS.add("sc12_vote_weights", "SELECT s_suppkey, 'S' || s_suppkey AS station, CAST(s_nationkey + 1 AS DOUBLE) AS weight, CAST(2 AS DOUBLE) AS other FROM supplier")
 def sc12_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes by station, as a configuration writes them."""
-    params = config.parse('[EventConfirmationParams]\nvote_weight = ["S1:2 S2-3", "S10 1"]\n')
-    return spark.createDataFrame(list(params.weights.items()), "station string, weight double")
+    """Votes by station, as a configuration of each supplier writes them."""
+    text = F.format_string('[EventConfirmationParams]\nvote_weight = ["S%d:%d T2-2", "T10 1"]\n', "s_suppkey", F.col("s_nationkey") + 1)
+
+    def weights(key: int, toml: str) -> tuple:
+        found = config.parse(toml).weights
+        station = next(iter(found))
+        return key, station, found[station], found["T2"]
+
+    return by_row(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), "s_suppkey long, station string, weight double, other double", weights)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwave.functions import columns as C
-from stillwave.operators import chunks, grid
+from stillwave.operators import chunks, grid, signals
 from stillwave.plans import bindings as B
 from stillwave.session import table
 
@@ -17,27 +17,29 @@ def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _grid_sql(start: str, end: str, step: int, length: int, where: str = "") -> str:
+def grid_sql(step: int, length: int, where: str = "") -> str:
+    """The grid over the days of the events, up to the midnight before the last one."""
     return f"""SELECT s AS starttime, s + INTERVAL {length // 2} SECONDS AS midtime, s + INTERVAL {length} SECONDS AS endtime
-FROM (SELECT unnest(generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}' - INTERVAL 1 MICROSECOND, INTERVAL {step} SECONDS)) AS s) {where}"""
+FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) - INTERVAL 1 MICROSECOND, INTERVAL {step} SECONDS)) AS s FROM events) {where}"""
 
 
 WITHIN = "WHERE CAST(s AS DATE) = CAST(s + INTERVAL {0} SECONDS - INTERVAL 1 MICROSECOND AS DATE)"
 
 
-@PLANS.add("wn1_windows", _grid_sql("2024-01-01", "2024-01-04", 1800, 1800))
+@PLANS.add("wn1_windows", grid_sql(1800, 1800))
 def wn1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.timespans(spark, "2024-01-01 07:00:00", "2024-01-04", 1800, across_midnight=True)
+    """Half hours over the events' whole time; both ends are cut to midnight."""
+    return grid.timespans(spark, *B.period(spark, sf_dir), 1800, across_midnight=True)
 
 
-@PLANS.add("wn2_windows_within_days", _grid_sql("2024-01-01", "2024-01-04", 1800, 3600, WITHIN.format(3600)))
+@PLANS.add("wn2_windows_within_days", grid_sql(1800, 3600, WITHIN.format(3600)))
 def wn2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.timespans(spark, "2024-01-01", "2024-01-04", 3600, overlap_s=1800)
+    return grid.timespans(spark, *B.period(spark, sf_dir), 3600, overlap_s=1800)
 
 
-@PLANS.add("wn3_stacking_windows", _grid_sql("2024-01-01", "2024-01-31", 10800, 21600))
+@PLANS.add("wn3_stacking_windows", grid_sql(10800, 21600))
 def wn3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.timespans(spark, "2024-01-01", "2024-01-31", 21600, overlap_s=21600 - grid.window_step(21600, overlap_s=10800), across_midnight=True)
+    return grid.timespans(spark, *B.period(spark, sf_dir), 21600, overlap_s=21600 - grid.window_step(21600, overlap_s=10800), across_midnight=True)
 
 
 @PLANS.add("flt2_windows_between", f"WITH {B.SPANS_SQL} SELECT * FROM span WHERE starttime >= TIMESTAMP '2024-01-05' AND endtime <= TIMESTAMP '2024-01-20'")
@@ -225,9 +227,13 @@ def sc8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.next_power_exponent(F.col("p_size")).alias("exponent"))
 
 
-@PLANS.add("sc9_lags", "SELECT CAST(i AS INTEGER) AS i, round(i / 24.0, 6) + 0.0 AS lag FROM range(-480, 481) t(i)")
+@PLANS.add("sc9_lags", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id, l AS i, round(l / 64.0, 6) + 0.0 AS lag, round(list_inner_product(list_slice(x, greatest(l, 0) + 1, 64 + least(l, 0)), list_slice(x, greatest(-l, 0) + 1, 64 - greatest(l, 0))), 6) + 0.0 AS value FROM wave, (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS l)")
 def sc9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(C.lags(480, 24.0)).alias("i", "lag")).select((F.col("i") - 480).alias("i"), C.rounded(F.col("lag")).alias("lag"))
+    """Every waveform's correlation with itself at the lags of its axis."""
+    w = B.waveforms(spark, sf_dir).withColumn("same", F.col("x"))
+    found = signals.correlations(w, ["vec_id"], "x", "same", 10, normalise=False, demean=False)
+    lags = found.select("vec_id", F.posexplode(F.arrays_zip(C.lags(10, 64.0).alias("lag"), F.col("y").alias("value"))).alias("i", "p"))
+    return lags.select("vec_id", (F.col("i") - 10).alias("i"), C.rounded(F.col("p.lag")).alias("lag"), C.rounded(F.col("p.value")).alias("value"))
 
 
 @PLANS.add("sc12_station_params", """SELECT s_suppkey, string_split_regex(s_name || '-' || s_nationkey || ':7', '[-:#\\s]+') AS parts FROM supplier""")

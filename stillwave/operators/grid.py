@@ -97,6 +97,21 @@ def bucketed_containment_join(inner: DataFrame, outer: DataFrame, inner_start: s
     return inner.withColumn("_bucket", bucket(inner_start)).join(listed, "_bucket").filter(inside).drop("_bucket")
 
 
+def overlapping_pairs(df: DataFrame, keys: list[str], start: str, end: str, bucket_s: int) -> DataFrame:
+    """Pairs of rows of equal keys whose periods overlap, ends included: the keys, and all other
+    columns with ``a`` and ``b`` added to their names. Each row meets itself too.
+
+    A period is listed under the buckets of time that it touches, and two meet in the first one
+    that both touch, so rows far apart are never compared. Null keys and times match nothing.
+    """
+    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp_ltz")) / (bucket_s * 1_000_000)).cast("long")
+    rest = [c for c in df.columns if c not in keys]
+    listed = df.withColumn("_first", number(start)).withColumn("_bucket", F.explode(F.sequence("_first", number(end))))
+    a, b = (listed.select(*keys, "_bucket", F.col("_first").alias(f"_first{k}"), *(F.col(c).alias(f"{c}{k}") for c in rest)) for k in "ab")
+    met = a.join(b, [*keys, "_bucket"]).filter(F.col("_bucket") == F.greatest("_firsta", "_firstb"))
+    return met.filter(C.overlaps(*(F.col(f"{c}{k}") for k in "ab" for c in (start, end)))).drop("_bucket", "_firsta", "_firstb")
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, name: str = "found", tolerance_s: float | None = None, bucket_s: int = 3600, carried: int = 1024) -> DataFrame:
     """``left`` with ``name``, a struct of ``right``'s columns: its last row of equal keys at or before
     ``time``, if that is within the tolerance (inclusive), else null.

@@ -30,20 +30,26 @@ def components(df: DataFrame, networks=None, stations=None, codes=None, ids=None
     return df.filter(every([*(F.col(c).isin(list(v)) if v else None for c, v in wanted), active]))
 
 
+#: Components in a block, on average.
+BLOCK = 1024
+
+
 def pairs(df: DataFrame, prune_by_time: bool = False) -> DataFrame:
     """Ordered pairs of components: those of one component (autocorrelation), those of one
     station, and those whose first station lies east of the second.
 
-    Stations number in the hundreds, so the product is one of small dimension tables; its
-    second side is sent to the tasks. With ``prune_by_time`` only pairs stay whose active
-    periods share an hour that both have begun.
+    Components are dealt to blocks, and each pair of blocks meets by its numbers, so a task has
+    two blocks, and an inventory of any size is as many tasks as it has pairs of them. With
+    ``prune_by_time`` only pairs stay whose active periods share an hour that both have begun.
     """
-    a = df.select(*(F.col(c).alias(f"{c}_a") for c in df.columns))
-    b = df.select(*(F.col(c).alias(f"{c}_b") for c in df.columns))
+    blocks = max(1, -(-df.count() // BLOCK))
+    number, every_block = F.pmod(F.xxhash64("component_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(*(F.col(c).alias(f"{c}_a") for c in df.columns), number.alias("_i"), every_block.alias("_j"))
+    b = df.select(*(F.col(c).alias(f"{c}_b") for c in df.columns), every_block.alias("_i"), number.alias("_j"))
     auto = F.col("component_id_a") == F.col("component_id_b")
     intra = (F.col("network_a") == F.col("network_b")) & (F.col("station_a") == F.col("station_b"))
     place = [F.col(c) for c in ("lat_a", "lon_a", "lat_b", "lon_b")]
-    out = a.crossJoin(b).filter(intra | C.is_east_of(*place))
+    out = a.join(b, ["_i", "_j"]).filter(intra | C.is_east_of(*place))
     if prune_by_time:
         hour = lambda c: F.date_trunc("hour", F.col(c))
         out = out.filter(F.greatest(hour("start_date_a"), hour("start_date_b")) < F.least(hour("end_date_a"), hour("end_date_b")))

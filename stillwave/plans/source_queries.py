@@ -60,6 +60,18 @@ def src2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("station").agg(F.min("starttime").alias("starttime"), F.max("endtime").alias("endtime"), F.count("*").alias("files"), F.sum("npts").alias("npts"))
 
 
+@PLANS.add("ldr1_checked_loads", f"WITH {B.WAVEFORMS_SQL} SELECT vec_id, x AS samples FROM wave WHERE label IN (2, 5)")
+def ldr1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All waveforms as files; those of two labels are then loaded by what was noted of them."""
+    folder, noted = (scratch(spark, n).removeprefix("file://").removeprefix("file:") for n in ("artefacts", "noted"))
+    miniseed.write_files(miniseed.encoded(traces(spark, sf_dir)), folder).write.parquet(noted)
+    time = F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("vec_id").cast("decimal(18,6)")), "yyyy.DDD.HHmmss")
+    named = B.waveforms(spark, sf_dir).filter("label in (2, 5)").select("vec_id", F.format_string("SW/S%d/HHZ/SW.S%d..HHZ.%s000000", "label", "label", time).alias("path"))
+    loaded = miniseed.checked(named.join(spark.read.parquet(noted), "path", "left"), folder)
+    found = miniseed.decoded(loaded.select(F.col("vec_id").cast("string").alias("path"), "content"), strict=True)
+    return found.select(F.col("path").cast("long").alias("vec_id"), "samples")
+
+
 @PLANS.add("src5_stationxml", f"WITH {B.COMPONENTS_SQL} SELECT network, station, component, lat, lon, start_date, end_date FROM component")
 def src5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stations as StationXML, a document for each network, read back."""

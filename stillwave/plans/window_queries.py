@@ -112,8 +112,7 @@ def flt12(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE a.o_orderdate <= b.o_orderdate + INTERVAL 30 DAYS AND b.o_orderdate <= a.o_orderdate + INTERVAL 30 DAYS""")
 def flt14(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("e"))
-    a, b = (o.select("o_custkey", *(F.col(c).alias(f"{c}{k}") for c in ("o_orderkey", "s", "e"))) for k in "ab")
-    near = a.join(b, "o_custkey").filter(F.col("o_orderkeya") < F.col("o_orderkeyb")).filter(C.overlaps(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb")))
+    near = grid.overlapping_pairs(o, ["o_custkey"], "s", "e", 30 * 86_400).filter("o_orderkeya < o_orderkeyb")
     return near.select(F.col("o_orderkeya").alias("a"), F.col("o_orderkeyb").alias("b"))
 
 

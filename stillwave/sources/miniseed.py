@@ -7,6 +7,7 @@ Written from the public SEED manual: the fixed header of 48 bytes, blockette 100
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 import struct
 import uuid
@@ -152,23 +153,72 @@ def encoded(traces: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """(``path``, ``bytes``) of files (``path``, ``content``) once they are written below a folder
-    that all executors share. Each is written beside its place and then moved there, so a task
-    that runs again leaves it whole."""
+    """(``path``, ``bytes``, ``sha256``) of files (``path``, ``content``) once they are written below
+    a folder that all executors share. Each is written beside its place and then moved there,
+    so a task that runs again leaves it whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = []
+            sizes, digests = [], []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 path = os.path.join(folder, name)
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with open(part, "wb") as file:
                     sizes.append(file.write(content.as_buffer()))
+                digests.append(hashlib.sha256(content.as_buffer()).hexdigest())
                 os.replace(part, path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["path", "bytes", "sha256"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, bytes long")
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long, sha256 string")
+
+
+class BadFile(RuntimeError):
+    """A file that is missing, or isn't what was written."""
+
+
+def checked(wanted: DataFrame, folder: str, strict: bool = True) -> DataFrame:
+    """The rows of ``wanted`` (``path``, ``bytes``, ``sha256`` as :func:`write_files` gave them, and
+    any other columns) with ``content`` and ``problem``. No other file is opened.
+
+    A null path, a file that isn't there, and one whose length or digest differs have a null
+    content and a problem that says so; with ``strict`` the first one is an error that names it.
+    The length is compared before anything is read. Columns called ``content`` or ``problem``
+    are replaced.
+    """
+    columns = [c for c in wanted.columns if c not in ("content", "problem")]
+    places = [columns.index(c) for c in ("path", "bytes", "sha256")]
+
+    def load(name: str | None, size: int | None, digest: str | None) -> bytes:
+        if name is None:
+            raise BadFile("no file")
+        path = os.path.join(folder, name)
+        try:
+            found = os.path.getsize(path)
+            if found != size:
+                raise BadFile(f"{name}: {found} bytes instead of {size}")
+            with open(path, "rb") as file:
+                data = file.read()
+        except FileNotFoundError as e:
+            raise BadFile(f"{name}: missing") from e
+        if hashlib.sha256(data).hexdigest() != digest:
+            raise BadFile(f"{name}: the content's digest isn't {digest}")
+        return data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in places), strict=True)):
+                content = problem = None
+                try:
+                    content = load(*row)
+                except BadFile as e:
+                    if strict:
+                        raise
+                    problem = str(e)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary()), pa.array([problem], pa.string())], [*batch.schema.names, "content", "problem"])
+
+    kinds = ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in columns)
+    return wanted.select(*columns).mapInArrow(run, f"{kinds}, content binary, problem string")
 
 
 def decoded(files: DataFrame, strict: bool = False) -> DataFrame:

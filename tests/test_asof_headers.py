@@ -124,4 +124,23 @@ def test_filters_are_tested_where_headers_are_read(spark, folder):
 def test_written_files_are_whole(spark, tmp_path):
     rows = [("a/b/1", b"x" * 10), ("a/2", b"")]
     done = miniseed.write_files(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path)).collect()
-    assert sorted(map(tuple, done)) == [("a/2", 0), ("a/b/1", 10)] and sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["1", "2"]
+    assert sorted((r.path, r.bytes) for r in done) == [("a/2", 0), ("a/b/1", 10)] and sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["1", "2"]
+
+
+def test_a_tampered_file_is_named_without_reading_others(spark, tmp_path):
+    rows = [(f"{i}.bin", bytes([i]) * (i + 1)) for i in range(8)]
+    noted = spark.createDataFrame(miniseed.write_files(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path)).collect()).withColumns({"problem": F.lit("old"), "kept": F.lit(1)})
+    whole = {r.path: (bytes(r.content), r.problem, r.kept) for r in miniseed.checked(noted, str(tmp_path)).collect()}
+    assert whole == {p: (c, None, 1) for p, c in rows}
+    (tmp_path / "3.bin").write_bytes(b"\x00" * 4)  # the same length
+    (tmp_path / "4.bin").write_bytes(b"longer than it was")
+    (tmp_path / "5.bin").unlink()
+    (tmp_path / "6.bin").chmod(0)
+    wanted = noted.filter("path in ('1.bin', '3.bin', '4.bin', '5.bin')").unionByName(noted.limit(1).withColumn("path", F.lit(None).cast("string")))
+    found = {r.path: r.problem for r in miniseed.checked(wanted, str(tmp_path), strict=False).collect()}
+    assert found["1.bin"] is None and found["3.bin"].startswith("3.bin: the content's digest") and found["4.bin"] == "4.bin: 18 bytes instead of 5"
+    assert found["5.bin"] == "5.bin: missing" and found[None] == "no file"
+    for name in ("3.bin", "4.bin", "5.bin"):
+        with pytest.raises(Exception, match=name):
+            miniseed.checked(noted.filter(F.col("path") == name), str(tmp_path)).collect()
+    assert miniseed.checked(noted.filter("path = '2.bin'"), str(tmp_path)).count() == 1

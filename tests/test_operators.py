@@ -139,3 +139,28 @@ def test_range_join_has_no_nested_loop(spark):
     joined = grid.bucketed_range_join(points, spans, "t", "s", "e", 10)
     assert joined.count() == 3 * 100 - 3
     assert "NestedLoop" not in joined._jdf.queryExecution().toString()
+
+
+def test_pairs_in_blocks(spark, sf, monkeypatch):
+    """Blocks of any size give the pairs of one block."""
+    from stillwave.operators import inventory
+    from stillwave.plans import bindings
+
+    c = bindings.components(spark, sf)
+    key = lambda df: sorted(map(tuple, df.select("component_id_a", "component_id_b", "intracorrelation", "distance").collect()))
+    whole = key(inventory.pairs(c))
+    monkeypatch.setattr(inventory, "BLOCK", 7)
+    assert key(inventory.pairs(c)) == whole and len(whole) == len({w[:2] for w in whole})
+    assert "CartesianProduct" not in inventory.pairs(c)._jdf.queryExecution().executedPlan().toString() and inventory.pairs(c.filter("false")).count() == 0
+
+
+def test_overlapping_pairs(spark):
+    import datetime as dt
+
+    from stillwave.operators import grid
+
+    at = lambda h: dt.datetime(2020, 1, 1) + dt.timedelta(hours=h)
+    rows = [(i, i % 2, at((i * 7) % 50), at((i * 7) % 50 + i % 9)) for i in range(60)] + [(99, None, at(0), at(1)), (98, 1, None, at(1))]
+    found = grid.overlapping_pairs(spark.createDataFrame(rows, "i long, k long, s timestamp_ntz, e timestamp_ntz"), ["k"], "s", "e", 3 * 3600)
+    good = [r for r in rows if None not in r]
+    assert sorted((r.ia, r.ib) for r in found.collect()) == sorted((a[0], b[0]) for a in good for b in good if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])

@@ -1,7 +1,7 @@
 """A data source of miniSEED headers, which reads no samples.
 
-A file is split into ranges of bytes, each a partition; a task goes from header to header and
-reads 64 bytes of each record. Files must lie in folders that executors can open; those in other
+Files are split into ranges of bytes, and small ones put together; a task goes from header to
+header and reads 64 bytes of each record. Files must lie in folders that executors can open; those in other
 stores are read by :func:`stillwave.sources.miniseed.read_miniseed`.
 """
 
@@ -25,8 +25,9 @@ _KINDS = [pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4, pa.timestamp(
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Bytes that are read of a record, if its blockettes lie within them.
 HEAD = 64
-#: Bytes of a file that are one partition; a task reads about a sixtieth of them.
-RANGE = 1 << 30
+#: Bytes of files that are one partition, of which a task reads about a sixtieth, and how many
+#: files it may have.
+RANGE, FILES = 1 << 30, 64
 #: Headers in a batch.
 ROWS = 8192
 
@@ -58,10 +59,10 @@ def walk(file: BinaryIO, first: int, end: int) -> Iterator[tuple[int, miniseed.H
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    start: int
-    end: int
+class Ranges(InputPartition):
+    """(path, start, end) of what one task reads."""
+
+    pieces: list[tuple[str, int, int]]
 
 
 #: How a filter that is pushed down tests a header's value.
@@ -88,13 +89,20 @@ class HeaderReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
-        out = []
+    def partitions(self) -> list[Ranges]:
+        out: list[Ranges] = []
+        room = 0
         files = [self.folder] if os.path.isfile(self.folder) else (os.path.join(d, f) for d, _, names in os.walk(self.folder) for f in names)
         for path in sorted(files):
             if fnmatch.fnmatch(os.path.basename(path), self.pattern):
                 size = os.path.getsize(path)
-                out += [Range(path, s, min(size, s + self.range)) for s in range(0, size, self.range)]
+                for start in range(0, size, self.range):
+                    end = min(size, start + self.range)
+                    if not out or end - start > room or len(out[-1].pieces) >= FILES:
+                        out.append(Ranges([]))
+                        room = self.range
+                    out[-1].pieces.append((path, start, end))
+                    room -= end - start
         return out
 
     def passes(self, header: miniseed.Header) -> bool:
@@ -106,21 +114,20 @@ class HeaderReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file at all
-            return
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
-        with open(partition.path, "rb", buffering=0) as file:
-            try:
-                for offset, h in walk(file, partition.start, partition.end):
-                    if self.passes(h):
-                        rows.append((partition.path, offset, h.length, *h[:8]))
-                    if len(rows) >= ROWS:
-                        yield as_batch()
-                        rows.clear()
-            except ValueError as e:
-                raise ValueError(f"{partition.path}: {e}") from e
+        for path, start, end in partition.pieces if partition else []:  # None: no file at all
+            with open(path, "rb", buffering=0) as file:
+                try:
+                    for offset, h in walk(file, start, end):
+                        if self.passes(h):
+                            rows.append((path, offset, h.length, *h[:8]))
+                        if len(rows) >= ROWS:
+                            yield as_batch()
+                            rows.clear()
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
         if rows:
             yield as_batch()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHANNEL = "struct<_code: string, _startDate: string, _endDate: string, Latitude: string, Longitude: string, Elevation: string>"
@@ -70,6 +70,14 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def result_path(kind: Column, network: Column, station: Column, component: Column, time: Column) -> Column:
+    """The name of a result's file below the folder of its kind, year and component; blanks in
+    codes are underscores."""
+    plain = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    code = [plain(network), plain(station), plain(component)]
+    return F.concat_ws("/", kind, F.date_format(time, "yyyy"), *code, F.concat_ws(".", *code, kind, F.date_format(time, "yyyy.DDD.HHmm")))
+
+
 def export_by_pair(ccfs: DataFrame, path: str, pair: list[str], time: str, overwrite: bool = False) -> None:
     """Results by pair, each folder's rows in order of time; an existing export is only
     replaced if asked."""

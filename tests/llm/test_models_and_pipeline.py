@@ -173,4 +173,4 @@ def test_clean_documents_stay(spark, sf):
 
 def test_registry(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registry.ORACLES) <= set(registry.QUERIES)

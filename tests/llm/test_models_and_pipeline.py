@@ -1,6 +1,7 @@
 """The language model, the pipeline and the registry."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -174,3 +175,49 @@ def test_clean_documents_stay(spark, sf):
 def test_registry(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 14)) and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_severities_by_brute_force(spark, sf, docs):
+    """The query's severities for the given table, from the labelled texts anew: dense rows of
+    words, evidence word by word, and plain gradient steps on the same likelihood."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()
+    grade_of = {}
+    for r in labels:
+        grade_of[r.doc_id] = max(grade_of.get(r.doc_id, 0), r.toxic)
+    assert len(grade_of) < toxicity.LABELLED  # so all of them are learned from
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    bags = {d: frozenset(re.findall(toxicity._WORD.pattern, t.lower())) if t else frozenset() for d, t in texts.items()}
+    learned = sorted({(g, tuple(sorted(bags[d]))) for d, g in grade_of.items() if d in bags})
+    grade, n = np.array([g for g, _ in learned]), len(learned)
+    evidence = {}
+    tested = 0
+    for w in sorted({w for _, b in learned for w in b}):
+        has = np.array([w in b for _, b in learned])
+        if has.sum() < toxicity.LEAST_DOCUMENTS:
+            continue
+        tested += 1
+        score = 0.0
+        for rows, expected in ((has, has.mean()), (~has, 1 - has.mean())):
+            for kind in (grade > 0, grade == 0):
+                c = (rows & kind).sum()
+                score += 2 * c * math.log(c / (kind.sum() * expected)) if c else 0.0
+        evidence[w] = score
+    least = toxicity.EVIDENCE + 2 * math.log(max(1, tested))
+    words = sorted((w for w in evidence if evidence[w] >= least), key=lambda w: (-evidence[w], w))
+    assert words
+    x = np.array([[w in b for w in words] for _, b in learned], float)
+    # Two grades: one threshold t and P(toxic) = s(wx - t); Adam as its authors state it.
+    theta = np.concatenate([np.zeros(len(words)), [math.log((grade == 0).sum() + 1) - math.log((grade > 0).sum() + 1)]])
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, 601):
+        w, t = theta[:-1], theta[-1]
+        p = 1 / (1 + np.exp(-(x @ w - t)))
+        error = (grade > 0) - p
+        g = np.concatenate([x.T @ error - 0.1 * w, [-error.sum()]]) / n
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    found = {r.doc_id: (r.severity, r.rejected) for r in toxicity.query(spark, sf).collect()}
+    assert set(found) == set(texts)
+    for d, b in bags.items():
+        severity = 1 / (1 + math.exp(-(sum(theta[k] for k, w in enumerate(words) if w in b) - theta[-1])))
+        assert found[d][0] == pytest.approx(severity, abs=1e-4) and found[d][1] == (found[d][0] >= toxicity.REJECT)

@@ -321,10 +321,10 @@ _WHITE_SQL = f"""SELECT vec_id, list_transform(range(64), lambda t: {_sum("CASE
 FROM (SELECT *, list_transform(range(33), lambda k: greatest(sqrt(re[k + 1] * re[k + 1] + im[k + 1] * im[k + 1]), 0.01 * sqrt(list_max(list_transform(range(33), lambda m: re[m + 1] * re[m + 1] + im[m + 1] * im[m + 1]))))) AS d FROM fourier)"""
 
 
-def _impulse(low: float, high: float, order: int, n: int = 64) -> str:
+def _impulse(low: float, high: float, order: int, n: int = 64, rate: float = 64.0) -> str:
     """A band-pass' response to one impulse, by the difference equation of its whole polynomials."""
     b, a = np.array([1.0]), np.array([1.0])
-    for section in dsp.butterworth(low, high, 64.0, order):
+    for section in dsp.butterworth(low, high, rate, order):
         b, a = np.convolve(b, section[:3]), np.convolve(a, section[3:])
     h: list[float] = []
     for i in range(n):
@@ -332,9 +332,36 @@ def _impulse(low: float, high: float, order: int, n: int = 64) -> str:
     return "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in map(float, h)) + "]"
 
 
-def _band(rows: str, low: float, high: float) -> str:
-    """The band-pass of ``x`` as the sum of its impulse responses."""
-    return f"SELECT vec_id, list_transform(range(64), lambda t: list_inner_product(list_slice(x, 1, t + 1), list_slice(h, 64 - t, 64))) AS y FROM ({rows}), (SELECT list_reverse({_impulse(low, high, 4)}) AS h)"
+def _band(rows: str, low: float, high: float, n: int = 64, rate: float = 64.0, backwards: bool = False) -> str:
+    """The band-pass of ``x`` as the sum of its impulse responses; or from its end to its start."""
+    x = "list_reverse(x)" if backwards else "x"
+    y = f"list_transform(range({n}), lambda t: list_inner_product(list_slice({x}, 1, t + 1), list_slice(h, {n} - t, {n})))"
+    return f"SELECT vec_id, {f'list_reverse({y})' if backwards else y} AS y FROM ({rows}), (SELECT list_reverse({_impulse(low, high, 4, n, rate)}) AS h)"
+
+
+def quotients(h) -> str:
+    """Real and imaginary part of one over a response at the 65 frequencies of twice 64 samples at
+    64 Hz, raised to a thousandth of its largest; 0 where it is 0."""
+    values = np.array([h(f / 2) for f in range(65)], complex)
+    size = np.abs(values)
+    over = [0j if s == 0 else s / v / max(s, size.max() / 1000) for v, s in zip(values, size, strict=True)]
+    return ", ".join("[" + ", ".join(f"CAST({part(v)!r} AS DOUBLE)" for v in over) + "]" for part in (lambda v: float(v.real), lambda v: float(v.imag)))
+
+
+_RESPONSE = quotients(lambda f: 800.0 * (2j * np.pi * f) ** 2 / ((2j * np.pi * f + 4.44) ** 2 + 4.44**2)).split("], [")
+_REMOVED_SQL = f"""SELECT vec_id, list_transform(range(64), lambda t: {_sum("CASE WHEN i IN (0, 64) THEN 1 ELSE 2 END * ((a[i + 1] * qr[i + 1] - b[i + 1] * qi[i + 1]) * cos(2 * pi() * i * t / 128) - (a[i + 1] * qi[i + 1] + b[i + 1] * qr[i + 1]) * sin(2 * pi() * i * t / 128)) / 128", 65)}) AS y
+FROM (SELECT vec_id, list_transform(range(65), lambda k: {_sum("w[i + 1] * cos(2 * pi() * k * i / 128)")}) AS a, list_transform(range(65), lambda k: {_sum("-w[i + 1] * sin(2 * pi() * k * i / 128)")}) AS b
+  FROM (SELECT vec_id, list_transform(range(64), lambda i: (x[i + 1] - list_avg(x)) * CASE WHEN least(i, 63 - i) >= 3 THEN 1 ELSE 0.5 * (1 - cos(pi() * least(i, 63 - i) / 3)) END) AS w FROM wave)), (SELECT {_RESPONSE[0]}] AS qr, [{_RESPONSE[1]} AS qi)"""
+#: Detrended and demeaned, brought to 32 samples, without its ends (a taper of one place), filtered, and again both ways.
+_KERNEL_32 = " + ".join(f"2 * cos(2 * pi() * {k} * (2 * t - i) / 64)" for k in range(1, 16))
+_HALVED_SQL = f"""SELECT vec_id, list_transform(range(32), lambda t: CASE WHEN t IN (0, 31) THEN 0.0 ELSE {_sum(f'x[i + 1] * (1 + {_KERNEL_32} + cos(2 * pi() * 16 * (2 * t - i) / 64)) / 64')} END) AS x
+FROM (SELECT vec_id, list_transform(y, lambda v: v - list_avg(y)) AS x FROM ({_CUBIC_SQL}))"""
+
+
+def _thrice(rows: str) -> str:
+    for backwards in (False, False, True):
+        rows = f"SELECT vec_id, y AS x FROM ({_band(rows, 2.0, 12.0, 32, 32.0, backwards)})"
+    return f"SELECT vec_id, x AS y FROM ({rows})"
 
 
 _SIGNS_SQL = f"SELECT vec_id, list_transform(y, lambda v: CAST(sign(v) AS DOUBLE)) AS y FROM ({_band(f'SELECT vec_id, y AS x FROM ({_WHITE_SQL})', 2.0, 16.0)})"
@@ -360,8 +387,8 @@ FROM (SELECT vec_id, list_transform(range(64), lambda i: x[i + 1] * CASE WHEN le
 _kernel("dsp4_detrend", "detrend", _CUBIC_SQL, order=3)
 _kernel("dsp5_resample", "resample", _RESAMPLE_SQL, new_rate=16.0)
 _kernel("dsp7_bandpass", "bandpass", _band("SELECT * FROM wave", 2.0, 16.0), low=2.0, high=16.0, order=4)
-_kernel("dsp9_preprocess", "preprocess", low=2.0, high=12.0, new_rate=32.0)
-_kernel("dsp8_response_removed", "response", response=([-4.44 + 4.44j, -4.44 - 4.44j], [0j, 0j], 800.0))
+_kernel("dsp9_preprocess", "preprocess", _thrice(_HALVED_SQL), low=2.0, high=12.0, new_rate=32.0)
+_kernel("dsp8_response_removed", "response", _REMOVED_SQL, response=([-4.44 + 4.44j, -4.44 - 4.44j], [0j, 0j], 800.0))
 _kernel("dsp10_whiten", "whiten", _WHITE_SQL, water=0.01)
 _kernel("dsp10_smoothed_whiten", "whitened", _SMOOTH_SQL, params=SMOOTH)
 _kernel("dsp12_process", "process", _SIGNS_SQL, low=2.0, high=16.0, water=0.01)

@@ -17,7 +17,7 @@ from stillwave.functions import dsp
 from stillwave.operators import chunks as K
 from stillwave.operators import jobs, preparation, responses, signals
 from stillwave.plans import bindings as B
-from stillwave.plans.signal_queries import ccfs
+from stillwave.plans.signal_queries import ccfs, quotients
 from stillwave.plans.window_queries import grid_sql
 from stillwave.session import scratch, table
 from stillwave.sources import headers, inventory, miniseed, soh
@@ -99,18 +99,9 @@ _SECOND = """<Response><Stage number="1"><PolesZeros><InputUnits><Name>M/S**2</N
 <Pole number="0"><Real>-2</Real><Imaginary>0</Imaginary></Pole></PolesZeros><StageGain><Value>%s</Value></StageGain></Stage></Response>"""
 
 
-def _quotients(h) -> str:
-    """Real and imaginary part of one over a response at the 65 frequencies of twice 64 samples at
-    64 Hz, raised to a thousandth of its largest; 0 where it is 0."""
-    values = np.array([h(f / 2) for f in range(65)], complex)
-    size = np.abs(values)
-    over = [0j if s == 0 else s / v / max(s, size.max() / 1000) for v, s in zip(values, size, strict=True)]
-    return ", ".join("[" + ", ".join(f"CAST({part(v)!r} AS DOUBLE)" for v in over) + "]" for part in (lambda v: float(v.real), lambda v: float(v.imag)))
-
-
 _S = lambda f: 2j * np.pi * f
 _INSTRUMENTS_SQL = ", ".join(
-    f"({k}, {_quotients(h)})"
+    f"({k}, {quotients(h)})"
     for k, h in enumerate((
         lambda f: 1.5 * 2 * 100 * _S(f) ** 2 / ((_S(f) + 4.44) ** 2 + 4.44**2) * (0.5 + 0.5 * np.cos(2 * np.pi * f / 128)),
         lambda f: 3 * 40 / (1j * f + 2) * _S(f),

@@ -125,7 +125,7 @@ def _flat(df: DataFrame, run, schema: str) -> DataFrame:
 ratio AS (SELECT vec_id, i, abs(x[i + 1]) AS size, CASE WHEN i >= 15 THEN (list_sum(list_transform(list_slice(x, i - 1, i + 1), lambda v: v * v)) / 3) / (list_sum(list_transform(list_slice(x, i - 14, i + 1), lambda v: v * v)) / 16) ELSE 0 END AS ratio FROM r),
 a AS (SELECT *, coalesce(last_value(CASE WHEN ratio > 2 THEN true WHEN ratio <= 1 THEN false END IGNORE NULLS) OVER (PARTITION BY vec_id ORDER BY i), false) AS active FROM ratio),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS k FROM a WHERE active)
-SELECT vec_id, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last, round(max(size), 6) + 0.0 AS pgv FROM g GROUP BY vec_id, k""")
+SELECT vec_id, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last, max(size) AS pgv FROM g GROUP BY vec_id, k""")
 def dsp22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA/LTA triggers of every waveform: none or several rows for each."""
 
@@ -141,8 +141,7 @@ def dsp22(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["vec_id", "first", "last", "pgv"])
 
-    found = _flat(B.waveforms(spark, sf_dir).select("vec_id", "x"), run, "vec_id long, first int, last int, pgv double")
-    return found.withColumn("pgv", C.rounded(F.col("pgv")))
+    return _flat(B.waveforms(spark, sf_dir).select("vec_id", "x"), run, "vec_id long, first int, last int, pgv double")
 
 
 @PLANS.add("ag16_rejected_stations", f"WITH {B.WAVEFORMS_SQL}, {S._FOURIER_SQL}, {S._GROUPS_SQL}, {S.kept_sql('trace', 1, 32)} SELECT vec_id, k.vec_id IS NOT NULL AS kept FROM trace LEFT JOIN keep8 k USING (vec_id)")

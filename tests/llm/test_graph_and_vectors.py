@@ -253,3 +253,52 @@ def test_recall(spark, sf):
         found[r.query_id].add(r.vec_id)
     expected = exact_cosines(rows)
     assert sum(len(found[q] & {i for _, i in b}) for q, b in expected.items()) >= 0.9 * sum(map(len, expected.values()))
+
+
+def clustered(seed, n, dim=64, centres=40, noise=0.05):
+    rng = np.random.default_rng(seed)
+    around = rng.standard_normal((centres, dim))
+    return around[rng.integers(centres, size=n)] + noise * rng.standard_normal((n, dim))
+
+
+def test_probes_follow_the_vectors():
+    """Vectors in clusters need few probes, vectors without structure many; a plan finds the
+    wanted part of its sample, and in a large table a bucket is told by a pair of axes."""
+    rng = np.random.default_rng(9)
+
+    def pairs(x):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit[:100] @ unit.T
+        near[np.arange(100), np.arange(100)] = -2
+        at = np.argsort(-near, axis=1)[:, :5]
+        return np.repeat(x[:100], 5, 0), x[at.ravel()]
+
+    wide, tight = pairs(rng.standard_normal((2000, 64))), pairs(clustered(1, 2000))
+    plans = {name: ann.chosen(*p, 2000, 40) for name, p in (("wide", wide), ("tight", tight))}
+    assert plans["tight"].tables * plans["tight"].probes * 4 < plans["wide"].tables * plans["wide"].probes
+    large = ann.chosen(*tight, 10**9, 10**7)
+    assert large.hashes == 2 and large.tables * large.probes / 128**2 < plans["tight"].tables * plans["tight"].probes / 128
+    for (q, x), plan in ((wide, plans["wide"]), (tight, plans["tight"]), (tight, large)):
+        _, lies = ann.dealer(lambda dim, p=plan: p, False)(x)
+        _, asks = ann.dealer(lambda dim, p=plan: p, True)(q)
+        assert asks.shape == (500, plan.tables * plan.probes) and lies.shape == (500, plan.tables)
+        met = (asks[:, :, None] == lies[:, None, :]).any((1, 2)).mean()
+        assert ann.RECALL <= met
+
+
+@pytest.mark.parametrize("hashes", [1, 2])
+def test_neighbours_in_clusters(spark, monkeypatch, hashes):
+    """Whole searches with either kind of bucket; a dimension that the sample lacks, and
+    queries that find too few, meet all rows."""
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(clustered(2, 900, 32))] + [(1000 + 50 * i, [1.0, float(i)], 0) for i in range(8)] + [(2000, [1.0] * 7, 0)]
+    df = vectors(spark, rows).repartition(3)
+    if hashes == 2:
+        monkeypatch.setattr(ann, "calibrated", lambda *_: {32: ann.Plan(2, 2, 4)})
+    found = defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    expected = {q: [i for _, i in b] for q, b in exact_cosines(rows).items()}
+    assert all(len(found[q]) == len(b) for q, b in expected.items())
+    assert all(found[q] == b for q, b in expected.items() if q >= 1000)
+    if hashes == 1:
+        assert sum(len(set(found[q]) & set(b)) for q, b in expected.items()) >= 0.9 * sum(map(len, expected.values()))

@@ -69,23 +69,24 @@ def blocks(rows: DataFrame) -> DataFrame:
     return common.cut(counted.select("cell", F.ceil(F.col("n") / F.lit(ROWS)).cast("int").alias("blocks")))
 
 
-def meet(rows: DataFrame, asked: DataFrame, counts: DataFrame, make: Make, score: str, narrow: bool, first: bool = False) -> DataFrame:
-    """(``quid``, ``query_id``, ``uid``, ``id``, ``score``): what ``make(ids, matrix)``, built
-    once for every block of rows, finds for the queries that ask for its cell; with ``first``
-    in the cells' first blocks alone.
-
-    A row is dealt to one block of each of its cells, a query to all blocks of the cells it
-    asks for. A task holds one block and lets the queries pass by, so memory is bounded
-    however many rows or queries a cell has, and a large cell is as many tasks as blocks.
-    """
+def meet(rows: DataFrame, asked: DataFrame, counts: DataFrame, make: Make, score: str, narrow: bool) -> DataFrame:
+    """What ``found`` gives for rows that are dealt to one block of each of their cells, and
+    queries that go to all blocks of the cells they ask for."""
     if counts.count() <= CELLS:
         counts = F.broadcast(counts)
     held = rows.select("uid", "id", "x", F.explode("cells").alias("cell")).join(counts, "cell")
     held = held.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int"))
     passing = asked.select("uid", "id", "x", "bar", F.explode("cells").alias("cell")).join(counts, "cell")
-    passing = passing.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(0) if first else F.col("blocks") - 1)))
-    if first:
-        held = held.filter("block = 0")
+    return found(held, passing.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), make, score, narrow)
+
+
+def found(held: DataFrame, passing: DataFrame, make: Make, score: str, narrow: bool) -> DataFrame:
+    """(``quid``, ``query_id``, ``uid``, ``id``, ``score``): what ``make(ids, matrix)``, built
+    once for every block of the rows in ``held``, finds for the queries that pass by it.
+
+    A task holds one block and lets the queries pass by, so memory is bounded however many
+    rows or queries a cell has, and a large cell is as many tasks as blocks.
+    """
     columns = ["cell", "block", "kind", "uid", "id", "bar", "x"]
     both = held.withColumns({"kind": F.lit(0), "bar": F.lit(None).cast(score)}).select(*columns)
     both = both.unionByName(passing.withColumn("kind", F.lit(1)).select(*columns))

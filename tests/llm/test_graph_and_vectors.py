@@ -302,3 +302,26 @@ def test_neighbours_in_clusters(spark, monkeypatch, hashes):
     assert all(found[q] == b for q, b in expected.items() if q >= 1000)
     if hashes == 1:
         assert sum(len(set(found[q]) & set(b)) for q, b in expected.items()) >= 0.9 * sum(map(len, expected.values()))
+
+
+@pytest.mark.parametrize(("groups", "cells"), [(10_000, 100_000), (6, 0)])
+def test_top_k_skips_blocks(spark, monkeypatch, groups, cells):
+    """Of smooth vectors most blocks are never visited, and the result is whole; with few
+    groups, neighbouring blocks share bounds, and with many codes these are joined."""
+    monkeypatch.setattr(searched, "ROWS", 40)
+    monkeypatch.setattr(searched, "CELLS", cells)
+    monkeypatch.setattr(topk, "GROUPS", groups)
+    rng = np.random.default_rng(11)
+    x = np.cumsum(rng.standard_normal((1200, 64)), 1).round(3)
+    x[100:220] = x[50]  # one code of more rows than a block has
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = vectors(spark, rows).repartition(3)
+    asked, plain = [], topk.visits
+    monkeypatch.setattr(topk, "visits", lambda *a: asked.append(plain(*a)) or asked[-1])
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id % 50 = 0")).collect()}
+    whole = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 1200, 50):
+        best = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    visited, every = asked[-1].count(), 24 * len({r.grp for r in asked[-1].select("grp").distinct().collect()})
+    assert len(asked) == 2 and asked[0].count() == 24 and visited < (0.5 if groups > 100 else 0.95) * every

@@ -40,13 +40,17 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(spans, "timespan_id").withColumn("chunk_id", F.concat_ws("/", "timespan_id", "event_type"))
 
 
-def _gps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean GPS error and uncertainty by window and channel, of receivers that were off for two days."""
-    e = B.samples(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-10' or ts >= timestamp_ntz'2024-01-12'")
+def _gps(spark: SparkSession, sf_dir: str, when: str = "true") -> DataFrame:
+    """Mean GPS error and uncertainty by window and channel."""
+    e = B.samples(spark, sf_dir).filter(when)
     return e.groupBy("timespan_id", "event_type").agg(F.avg("value").alias("error"), F.avg(F.col("value") * 2 + F.col("user_id") % 10).alias("uncertainty"))
 
 
-_GPS_SQL = """gps AS (SELECT timespan_id, event_type, avg(value) AS error, avg(value * 2 + user_id % 10) AS uncertainty FROM sample
+#: The means of receivers that were off for two days, where a join is to meet windows without any.
+_ON = "ts < timestamp_ntz'2024-01-10' or ts >= timestamp_ntz'2024-01-12'"
+_MEANS_SQL = "SELECT timespan_id, event_type, avg(value) AS error, avg(value * 2 + user_id % 10) AS uncertainty FROM sample"
+_ALL_GPS_SQL = f"gps AS ({_MEANS_SQL} GROUP BY timespan_id, event_type)"
+_GPS_SQL = f"""gps AS ({_MEANS_SQL}
   WHERE ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-12' GROUP BY timespan_id, event_type)"""
 
 
@@ -77,7 +81,7 @@ def qcone(spark: SparkSession, sf_dir: str, strict_gps: bool = False, inverted:
     periods = periods.select("event_type", F.col("starttime").cast("timestamp_ntz").alias("starttime"), F.col("endtime").cast("timestamp_ntz").alias("endtime"))
     key = ["timespan_id", "event_type"]
     work = _chunks(spark, sf_dir).join(_stats(spark, sf_dir), key, "left")
-    work = K.outside_rejected(K.with_gps(work, _gps(spark, sf_dir), key, strict_gps), periods, "event_type")
+    work = K.outside_rejected(K.with_gps(work, _gps(spark, sf_dir, _ON), key, strict_gps), periods, "event_type")
     verdicts = [*K.time_verdicts(ntz(START), ntz(END)), F.col("ok_accepted_time"), *K.bounds_verdicts(BOUNDS, POLICY, inverted), *K.bounds_verdicts(GPS_BOUNDS, POLICY)]
     return work.select(*key, *verdicts)
 
@@ -98,7 +102,7 @@ def qcv3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("timespan_id", "event_type", *K.bounds_verdicts(BOUNDS, POLICY))
 
 
-@PLANS.add("qcv4_gps_bounds", f"WITH {B.SAMPLES_SQL}, {_GPS_SQL} SELECT timespan_id, event_type, {_bound_sql(GPS_BOUNDS)} FROM gps")
+@PLANS.add("qcv4_gps_bounds", f"WITH {B.SAMPLES_SQL}, {_ALL_GPS_SQL} SELECT timespan_id, event_type, {_bound_sql(GPS_BOUNDS)} FROM gps")
 def qcv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gps(spark, sf_dir).select("timespan_id", "event_type", *K.bounds_verdicts(GPS_BOUNDS, POLICY))
 
@@ -152,7 +156,7 @@ def jn5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _joined(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     key = ["timespan_id", "event_type"]
-    found = K.with_gps(K.statistics(B.samples(spark, sf_dir), key), _gps(spark, sf_dir), key, strict)
+    found = K.with_gps(K.statistics(B.samples(spark, sf_dir), key), _gps(spark, sf_dir, _ON), key, strict)
     return found.select(*key, "npts", C.rounded(F.col("mean")).alias("mean"), C.rounded(F.col("error")).alias("error"))
 
 

@@ -144,19 +144,19 @@ def ag1(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JOINED = "timespan_id, event_type, npts, round(mean, 6) + 0.0 AS mean, round(error, 6) + 0.0 AS error"
 
 
-@PLANS.add("jn4_chunks_gps_stats", f"WITH {B.CHUNKS_SQL}, {_GPS_SQL} SELECT {_JOINED} FROM chunk JOIN gps USING (timespan_id, event_type)")
+@PLANS.add("jn4_chunks_gps_stats", f"WITH {B.CHUNKS_SQL}, {_ALL_GPS_SQL} SELECT {_JOINED} FROM chunk JOIN gps USING (timespan_id, event_type)")
 def jn4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(spark, sf_dir, True)
+    return _joined(spark, sf_dir, _gps(spark, sf_dir), True)
 
 
 @PLANS.add("jn5_top_up", f"WITH {B.CHUNKS_SQL}, {_GPS_SQL} SELECT {_JOINED} FROM chunk LEFT JOIN gps USING (timespan_id, event_type)")
 def jn5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(spark, sf_dir, False)
+    return _joined(spark, sf_dir, _gps(spark, sf_dir, _ON), False)
 
 
-def _joined(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, gps: DataFrame, strict: bool) -> DataFrame:
     key = ["timespan_id", "event_type"]
-    found = K.with_gps(K.statistics(B.samples(spark, sf_dir), key), _gps(spark, sf_dir, _ON), key, strict)
+    found = K.with_gps(K.statistics(B.samples(spark, sf_dir), key), gps, key, strict)
     return found.select(*key, "npts", C.rounded(F.col("mean")).alias("mean"), C.rounded(F.col("error")).alias("error"))
 
 

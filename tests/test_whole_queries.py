@@ -8,7 +8,7 @@ from stillwave.plans import catalogue
 WINDOWS = "select distinct date_diff('day', date '2024-01-01', cast(ts as date)), event_type from '{}/events.parquet'"
 
 
-@pytest.mark.parametrize("name", ["qcv4_gps_bounds"])
+@pytest.mark.parametrize("name", ["qcv4_gps_bounds", "jn4_chunks_gps_stats"])
 def test_every_window_has_its_gps_row(spark, sf, name):
     """No day's samples are left out, in the query or in its SQL."""
     con = duckdb.connect()

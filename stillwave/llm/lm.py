@@ -17,12 +17,12 @@ document to its end.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,13 @@ HEAD = 1 << 17
 STATE, STEPS, STREAMS, TRAIN_STREAMS = 16, 24, 384, 128
 #: Tokens that are trained on or scored together, whole documents; it bounds a task's memory.
 TOKENS = 1_500_000
+#: Bytes of texts whose words are told apart together, whole documents.
+PORTION = 1 << 22
 #: Rounds of averaging; each trains on its own part of the training documents.
 ROUNDS = 3
 RATE, CLIP = 0.01, 1.0
-#: Words that a task counts before it passes them on; averages that reach the driver.
-COUNTED, AVERAGES = 200_000, 8
+#: Averages that reach the driver.
+AVERAGES = 8
 
 END = b""
 _MARKS = b".,;:!?|)(\"'*#$%&"
@@ -55,6 +57,34 @@ def spelling(word: bytes) -> bytes:
     return bare[-2:] + b"." * (len(bare) < len(word))
 
 
+def spellings(words: pa.Array) -> pa.Array:
+    """The same for an array of words, a binary one."""
+    bare = pc.ascii_rtrim(words.cast(pa.string(), safe=False), _MARKS.decode()).cast(pa.binary())
+    marked = pc.if_else(pc.less(pc.binary_length(bare), pc.binary_length(words)), b".", b"")
+    return pc.binary_join_element_wise(pc.binary_slice(bare, -2), marked, b"")
+
+
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in slices of at most PORTION bytes, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PORTION, "right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
+def words_and_ends(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, the empty one after each text as its end; and where each
+    text's begin, with the end of the last. They are the words of ``common.ascii_words``."""
+    lowered = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # What follows the last space is empty, and so is the only part of an empty text.
+    spaced = pc.if_else(pc.greater(pc.binary_length(lowered), 0), pc.binary_join_element_wise(lowered, "", " "), lowered)
+    found = pc.ascii_split_whitespace(spaced)
+    return found.flatten().cast(pa.binary()), found.offsets.to_numpy()
+
+
 @dataclass
 class Vocabulary:
     """What counts alone decide: symbols, classes, and constants of every head word.
@@ -63,7 +93,7 @@ class Vocabulary:
     then follow the spelling classes.
     """
 
-    index: dict[bytes, int]  # of head words
+    words: pa.Array  # of the head
     symbol: np.ndarray  # by head word
     log_count: np.ndarray  # log10(c + 0.5), by head word
     bounds: list[int]  # of the learned classes, in symbols
@@ -108,32 +138,36 @@ def vocabulary(head: list[tuple[bytes, int]], endings: list[tuple[bytes, int, in
     of_learned = np.array([counts.get(w, 0) + 0.5 for w in learned])
     by_class = np.concatenate([[of_learned[s:e].sum() for s, e in zip(bounds, bounds[1:], strict=False)], size])
     return Vocabulary(
-        {w: k for k, w in enumerate(words)}, symbol, np.log10(c + 0.5), bounds, named, np.log10(size),
+        pa.array(words, pa.binary()), symbol, np.log10(c + 0.5), bounds, named, np.log10(size),
         np.log(by_class / by_class.sum()), np.log(of_learned), tokens, distinct,
     )
 
 
-class Reader(dict):
-    """Words to head places; a rarer word to -1 - its spelling class, and noted."""
+class Reader:
+    """Words to head places; a rarer word to -1 - its spelling class."""
 
     def __init__(self, v: Vocabulary):
-        super().__init__(v.index)
-        self.v, self.rare = v, []
-
-    def __missing__(self, word: bytes) -> int:
-        self.rare.append(word)
-        return -1 - self.v.endings.get(spelling(word), SPELLINGS)
-
-    def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Head places or classes of the words and the end; and the rare words."""
-        words = common.ascii_words(text)
-        words.append(END)
-        self.rare = []
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words)), self.rare
+        self.v, self.endings = v, pa.array(list(v.endings), pa.binary())
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Head places or classes of the words and ends of all texts, where each text's begin,
+        and the rare words."""
+        words, starts = words_and_ends(texts)
+        places = pc.index_in(words, self.v.words).fill_null(-1).to_numpy().copy()
+        at = np.flatnonzero(places < 0)
+        rare = words.take(pa.array(at))
+        places[at] = -1 - pc.index_in(spellings(rare), self.endings).fill_null(SPELLINGS).to_numpy()
+        return places, starts, rare
 
     def symbols(self, places: np.ndarray) -> np.ndarray:
         return np.where(places >= 0, self.v.symbol[np.maximum(places, 0)], self.v.learned - 1 - places).astype(np.int32)
 
+    def documents(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's symbols."""
+        for some in portions(texts):
+            places, starts, _ = self.read(some)
+            yield from np.split(self.symbols(places), starts[1:-1])
+
 
 def _sizes(v: Vocabulary) -> dict[str, tuple[int, ...]]:
     return {
@@ -159,63 +193,74 @@ class Network:
     def __init__(self, v: Vocabulary, weights: dict[str, np.ndarray]):
         self.v, self.w = v, weights
         class_of = np.repeat(np.arange(len(v.bounds) - 1), np.diff(v.bounds))
-        self.class_of = np.concatenate([class_of, len(v.bounds) - 1 + np.arange(len(v.log_size))])
-        self.slopes = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in weights.items()}
+        # Of two bytes, as numpy sorts those by their digits.
+        self.class_of = np.concatenate([class_of, len(v.bounds) - 1 + np.arange(len(v.log_size))]).astype(np.int16)
+        self.slopes = [np.zeros(sum(x.size for x in weights.values()), weights["table"].dtype) for _ in range(2)]
         self.steps = 0
 
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of the symbols x (step, stream); where ``fresh`` is set, a
-        document begins and the state before is zero."""
+        document begins and the state before is zero. ``keep`` gets what the way back needs:
+        the states before, the gates, the states let through, and the proposed ones."""
         # Streams are laid side by side in memory, so that each gate is one block of numbers.
-        gates, new = np.ascontiguousarray(self.w["gates"].T), np.ascontiguousarray(self.w["new"].T)
-        inputs = np.ascontiguousarray(self.w["table"][x].transpose(0, 2, 1))
-        out = np.empty((len(x), STATE, x.shape[1]), inputs.dtype)
-        begins = fresh.any(1)
-        h = np.ascontiguousarray(h.T)
+        gates, new = -np.ascontiguousarray(self.w["gates"].T), np.ascontiguousarray(self.w["new"].T)
+        inputs = np.ascontiguousarray(self.w["table"].take(x, axis=0).transpose(0, 2, 1))
+        room = lambda rows, steps: np.empty((steps, rows, x.shape[1]), inputs.dtype)
+        out, begins = room(STATE, len(x)), fresh.any(1)
+        # Without a way back, all steps use the same room.
+        kept = len(x) if keep is not None else 1
+        zrs, rhs, cs, d = room(2 * STATE, kept), room(STATE, kept), room(STATE, kept), room(STATE, 1)[0]
+        first = h = np.ascontiguousarray(h.T)
         for t in range(len(x)):
             if begins[t]:
                 h = h * ~fresh[t]
-            a = inputs[t]
-            zr = gates @ h
-            zr += a[: 2 * STATE]
-            np.negative(zr, out=zr)
+            a, k = inputs[t], t % kept
+            zr = np.matmul(gates, h, out=zrs[k])
+            zr -= a[: 2 * STATE]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:STATE], zr[STATE:]
-            rh = r * h
-            c = new @ rh
+            rh = np.multiply(zr[STATE:], h, out=rhs[k])
+            c = np.matmul(new, rh, out=cs[k])
             c += a[2 * STATE :]
             np.tanh(c, out=c)
-            if keep is not None:
-                keep.append((h, z, r, rh, c))
-            d = c - h
-            d *= z
+            np.subtract(c, h, out=d)
+            np.multiply(d, zr[:STATE], out=d)
             h = np.add(h, d, out=out[t])
+        if keep is not None:
+            before = np.concatenate([first[None], out[:-1]])
+            for t in np.flatnonzero(begins):
+                before[t] *= ~fresh[t]
+            keep += [before, zrs, rhs, cs]
         return np.ascontiguousarray(out.transpose(0, 2, 1))
 
-    def _exp(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The logits at y, and the exponentials of all. A state is within -1 and 1, so the
-        weights tell whether the largest logit must be taken off first."""
+    def _large(self, kind: str, bias: str) -> bool:
+        """Whether a logit could leave the range of exponentials. A state is within -1 and 1,
+        so the weights tell."""
+        return float((np.abs(self.w[kind]).sum(0) + np.abs(self.w[bias])).max()) > 60
+
+    def _logits(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, large: bool) -> np.ndarray:
+        """The logits, if need be less the largest one."""
         logits = h @ w
         logits += b
-        if float((np.abs(w).sum(0) + np.abs(b)).max()) > 60:
+        if large:
             logits -= logits.max(1, keepdims=True)
-        at = logits[np.arange(len(y)), y]
-        return at, np.exp(logits, out=logits)
+        return logits
 
     def logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of the symbols y (for a spelling class, of the
         class alone) after the states h."""
         k = self.class_of[y]
         order, parts = self._by_class(k)
-        h, y, k = h[order], y[order], k[order]
-        out, e = self._exp(h, self.w["classes"], self.w["class_bias"], k)
-        sums = e @ np.ones(e.shape[1], np.float32)
+        h, y, k = h.take(order, axis=0), y[order], k[order]
+        logits = self._logits(h, self.w["classes"], self.w["class_bias"], self._large("classes", "class_bias"))
+        out = logits[np.arange(len(y)), k]
+        sums = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+        large = self._large("words", "word_bias")
         for rows, words in parts:
-            at, e = self._exp(h[rows], self.w["words"][:, words], self.w["word_bias"][words], y[rows] - words.start)
-            out[rows] += at
-            sums[rows] *= e @ np.ones(e.shape[1], np.float32)
+            logits = self._logits(h[rows], self.w["words"][:, words], self.w["word_bias"][words], large)
+            out[rows] += logits[np.arange(len(logits)), y[rows] - words.start]
+            sums[rows] *= np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
         logs = np.empty(len(y))
         logs[order] = out.astype(np.float64) - np.log(sums.astype(np.float64))
         return logs
@@ -224,10 +269,20 @@ class Network:
         """An order by class; and there, for every learned class of several words that occurs,
         its rows and its words."""
         order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(len(self.v.bounds))).tolist()
-        parts = zip(ends, ends[1:], self.v.bounds, self.v.bounds[1:], strict=False)
+        ends = np.cumsum(np.bincount(k, minlength=len(self.v.bounds)))[: len(self.v.bounds) - 1].tolist()
+        parts = zip([0, *ends], ends, self.v.bounds, self.v.bounds[1:], strict=False)
         return order, [(slice(a, b), slice(s, t)) for a, b, s, t in parts if b > a and t - s > 1]
 
+    def _errors(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, real: np.ndarray | None, large: bool) -> np.ndarray:
+        """Slopes of the loss by the logits: the probabilities, less one at y."""
+        p = self._logits(h, w, b, large)
+        np.exp(p, out=p)
+        p *= 1 / (p @ np.ones(p.shape[1], p.dtype))[:, None]
+        p[np.arange(len(y)), y] -= 1
+        if real is not None:
+            p *= real[:, None]
+        return p
+
     def learn(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         """One window of truncated backpropagation; returns the last state. Where ``real``
         is given, targets outside it fill up a stream and teach nothing."""
@@ -236,69 +291,73 @@ class Network:
         n = y.size
         k = self.class_of[y.reshape(-1)]
         order, parts = self._by_class(k)
-        flat, target, k = hs.reshape(-1, STATE)[order], y.reshape(-1)[order], k[order]
-        _, p = self._exp(flat, self.w["classes"], self.w["class_bias"], k)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), k] -= 1
-        if real is not None:
-            real = real.reshape(-1)[order]
-            p *= real[:, None]
-        g = {"classes": flat.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(self.w["words"]), "word_bias": np.zeros_like(self.w["word_bias"])}
+        flat, target, k = hs.reshape(-1, STATE).take(order, axis=0), y.reshape(-1)[order], k[order]
+        taught = None if real is None else real.reshape(-1)[order]
+        p = self._errors(flat, self.w["classes"], self.w["class_bias"], k, taught, self._large("classes", "class_bias"))
+        ones = np.ones(n, p.dtype)
+        g = {"classes": flat.T @ p, "class_bias": ones @ p, "words": np.zeros_like(self.w["words"]), "word_bias": np.zeros_like(self.w["word_bias"])}
         d_sorted = p @ self.w["classes"].T
+        large = self._large("words", "word_bias")
         for rows, words in parts:
-            at = target[rows] - words.start
-            _, q = self._exp(flat[rows], self.w["words"][:, words], self.w["word_bias"][words], at)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(at)), at] -= 1
-            if real is not None:
-                q *= real[rows][:, None]
+            w = self.w["words"][:, words]
+            q = self._errors(flat[rows], w, self.w["word_bias"][words], target[rows] - words.start, None if real is None else taught[rows], large)
             g["words"][:, words] = flat[rows].T @ q
-            g["word_bias"][words] = q.sum(0)
-            d_sorted[rows] += q @ self.w["words"][:, words].T
-        d_flat = np.empty_like(d_sorted)
-        d_flat[order] = d_sorted
-        d_out = np.ascontiguousarray(d_flat.reshape(hs.shape).transpose(0, 2, 1))
-        d_in = np.empty((len(x), 3 * STATE, x.shape[1]), d_out.dtype)
+            g["word_bias"][words] = ones[rows] @ q
+            d_sorted[rows] += q @ w.T
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        d_out = np.ascontiguousarray(d_sorted.take(place, axis=0).reshape(hs.shape).transpose(0, 2, 1))
         # What doesn't depend on later steps is computed for all steps at once.
-        h, z, r, rh, c = (np.stack(a) for a in zip(*keep, strict=True))
-        rest = 1 - z
-        by_z, by_r, by_new = (c - h) * z * rest, h * r * (1 - r), z * (1 - c * c)
+        h, zr, rh, c = keep
+        z, r = zr[:, :STATE], zr[:, STATE:]
+        by_d, by_rh = np.empty((len(x), 3, *z.shape[1:]), z.dtype), np.empty((len(x), 2, *z.shape[1:]), z.dtype)
+        rest = np.subtract(1, z, out=by_d[:, 1])
+        np.multiply(1 - c * c, z, out=by_d[:, 0])
+        np.multiply((c - h) * z, rest, out=by_d[:, 2])
+        np.multiply(h * r, 1 - r, out=by_rh[:, 0])
+        by_rh[:, 1] = r
+        # Slopes by the proposed state and, past the update gate, by the state before; by the
+        # two gates; and, through the reset gate, by the state before: all to be summed up.
+        d_in = np.empty((len(x), 5, *z.shape[1:]), d_out.dtype)
+        one = np.eye(STATE, dtype=d_out.dtype)
+        back = np.concatenate([one, self.w["gates"], one], 1)
         d_next = np.zeros_like(d_out[0])
         for t in reversed(range(len(x))):
             d, step = d_out[t], d_in[t]
             d += d_next
-            np.multiply(d, by_z[t], out=step[:STATE])
-            np.multiply(d, by_new[t], out=step[2 * STATE :])
-            d_rh = self.w["new"] @ step[2 * STATE :]
-            np.multiply(d_rh, by_r[t], out=step[STATE : 2 * STATE])
-            d_rh *= r[t]
-            d_next = d * rest[t]
-            d_next += d_rh
-            d_next += self.w["gates"] @ step[: 2 * STATE]
+            np.multiply(d, by_d[t], out=step[:3])
+            np.multiply(self.w["new"] @ step[0], by_rh[t], out=step[3:])
+            d_next = back @ step[1:].reshape(4 * STATE, -1)
             if begins[t]:
                 d_next *= ~fresh[t]
-        g["gates"] = np.matmul(h, d_in[:, : 2 * STATE].transpose(0, 2, 1)).sum(0)
-        g["new"] = np.matmul(rh, d_in[:, 2 * STATE :].transpose(0, 2, 1)).sum(0)
-        flat_in = d_in.transpose(0, 2, 1).reshape(n, -1)
-        symbols = x.reshape(-1)
+        d_gates = d_in[:, 2:4].reshape(len(x), 2 * STATE, -1)
+        g["gates"] = np.matmul(h, d_gates.transpose(0, 2, 1)).sum(0)
+        g["new"] = np.matmul(rh, d_in[:, 0].transpose(0, 2, 1)).sum(0)
+        d_rows = np.empty((*x.shape, 3 * STATE), d_in.dtype)
+        d_rows[..., : 2 * STATE] = d_gates.transpose(0, 2, 1)
+        d_rows[..., 2 * STATE :] = d_in[:, 0].transpose(0, 2, 1)
+        symbols = x.reshape(-1).astype(np.int16)
         order = np.argsort(symbols, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) > 0]))
+        symbols = symbols[order]
+        first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         g["table"] = np.zeros_like(self.w["table"])
-        g["table"][symbols[order][first]] = np.add.reduceat(flat_in[order], first, axis=0)
+        g["table"][symbols[first]] = np.add.reduceat(d_rows.reshape(n, -1).take(order, axis=0), first, axis=0)
         self._descend(g, n if real is None else int(real.sum()))
         return hs[-1]
 
     def _descend(self, g: dict[str, np.ndarray], n: int) -> None:
+        """One step of Adam, for all weights laid end to end."""
         self.steps += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / n
-        scale = min(1.0, CLIP / max(norm, 1e-12)) / n
+        x = np.concatenate([g[k].reshape(-1) for k in self.w])
+        norm = np.sqrt(float(x @ x)) / n
+        x *= np.float32(min(1.0, CLIP / max(norm, 1e-12)) / n)
         rate = RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        for k, x in g.items():
-            x = x * np.float32(scale)
-            m, s = self.slopes[k]
-            m += np.float32(0.1) * (x - m)
-            s += np.float32(0.001) * (x * x - s)
-            self.w[k] = self.w[k] - np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-8))
+        m, s = self.slopes
+        m += np.float32(0.1) * (x - m)
+        s += np.float32(0.001) * (x * x - s)
+        flat = np.concatenate([w.reshape(-1) for w in self.w.values()]) - np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-8))
+        parts = np.split(flat, np.cumsum([w.size for w in self.w.values()])[:-1])
+        self.w = {k: part.reshape(w.shape) for (k, w), part in zip(self.w.items(), parts, strict=True)}
 
 
 def train_on(network: Network, documents: list[np.ndarray]) -> int:
@@ -364,26 +423,13 @@ def score_all(network: Network, documents: list[np.ndarray]) -> np.ndarray:
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(``word``, ``ending``, ``c``) over all texts of a one-column frame; the word "" is
-    the document's end. Tasks count first, then Spark adds up."""
+    the document's end. Tasks count portions first, then Spark adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(found)
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(map(spelling, words), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "ending", "c"]
-            )
-            found.clear()
-            return batch
-
         for batch in batches:
-            for text in batch.column(0):
-                found.update(common.ascii_words(text.as_py()))
-                if len(found) >= COUNTED:
-                    yield out()
-            found[END] += batch.num_rows
-        yield out()
+            for some in portions(batch.column(0)):
+                words, counts = pc.value_counts(words_and_ends(some)[0]).flatten()
+                yield pa.RecordBatch.from_arrays([words, spellings(words), counts], ["word", "ending", "c"])
 
     return texts.mapInArrow(run, "word binary, ending binary, c long").groupBy("word", "ending").agg(F.sum("c").alias("c"))
 
@@ -412,9 +458,9 @@ def _averaged(texts: DataFrame, v, weights: dict[str, np.ndarray], turn: int) ->
         network, reader, tokens = Network(v.value, dict(given.value)), Reader(v.value), 0
         for batch in batches:
             documents, held = [], 0
-            for i, t in enumerate(batch.column(0)):
-                documents.append(reader.symbols(reader.read(t.as_py())[0]))
-                held += len(documents[-1])
+            for i, symbols in enumerate(reader.documents(batch.column(0))):
+                documents.append(symbols)
+                held += len(symbols)
                 if held >= TOKENS or i == batch.num_rows - 1:
                     order = np.random.default_rng([turn, len(documents)]).permutation(len(documents))
                     tokens += train_on(network, [documents[k] for k in order])
@@ -486,39 +532,38 @@ def score_documents(df: DataFrame, training: F.Column, text: str = "text", id: s
         network, reader = Network(v, trained.value), Reader(v)
         uid = TaskContext.get().partitionId() << 40
 
-        def part(batch: pa.RecordBatch, symbols: list, base: list, fixed: list, words: list, times: list, ends: list) -> pa.RecordBatch:
-            logs = score_all(network, symbols) / np.log(10)
-            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+        def part(batch: pa.RecordBatch, read: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+            places, rare = np.concatenate([p for p, _, _ in read]), pa.concat_arrays([r for _, _, r in read])
+            lengths = np.concatenate([np.diff(s) for _, s, _ in read])
+            starts = np.cumsum(lengths) - lengths
+            symbols = reader.symbols(places)
+            logs = np.where(places >= 0, v.log_count[np.maximum(places, 0)], 0.0)
+            # Words of a spelling class: log10 of (c + 0.5) / size; of rare ones, c comes later.
+            fixed = np.where(symbols >= v.learned, logs - v.log_size[np.maximum(symbols - v.learned, 0)], 0.0)
+            learned = score_all(network, np.split(symbols, starts[1:])) / np.log(10)
+            of = np.searchsorted(starts, np.flatnonzero(places < 0), "right") - 1
+            counted = pa.table([pa.array(of), rare], ["of", "word"]).group_by(["of", "word"], use_threads=False).aggregate([([], "count_all")])
+            counted = counted.sort_by("of").combine_chunks()
+            ends = np.searchsorted(counted["of"].to_numpy(), np.arange(len(lengths) + 1)).astype(np.int32)
+            words = pa.StructArray.from_arrays([pa.concat_arrays(counted[c].chunks or [pa.array([], t)]) for c, t in (("word", pa.binary()), ("count_all", pa.int64()))], ["word", "n"])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(uid, uid + len(symbols)), pa.int64()), batch.column(0), batch.column(1), pa.array([len(s) for s in symbols], pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(logs + np.array(fixed), pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
+                    pa.array(np.arange(uid, uid + len(lengths)), pa.int64()), batch.column(0), batch.column(1), pa.array(lengths, pa.int64()),
+                    pa.array(np.add.reduceat(logs, starts)), pa.array(learned + np.add.reduceat(fixed, starts)), pa.ListArray.from_arrays(pa.array(ends), words),
                 ],
                 ["uid", "id", "training", "tokens", "base", "score", "rare"],
             )
 
         for batch in batches:
-            first, tokens = 0, 0
-            symbols, base, fixed, words, times, ends = [], [], [], [], [], [0]
-            for i, t in enumerate(batch.column(2)):
-                places, found = reader.read(t.as_py())
-                s = reader.symbols(places)
-                logs = v.log_count[places[places >= 0]]
-                spelled = s[s >= v.learned] - v.learned
-                symbols.append(s)
-                base.append(float(logs.sum()))
-                # Words of a spelling class: log10 of (c + 0.5) / size; of rare ones, c comes later.
-                fixed.append(float(logs[v.symbol[places[places >= 0]] >= v.learned].sum() - v.log_size[spelled].sum()))
-                counted = Counter(found)
-                words += counted
-                times += counted.values()
-                ends.append(len(words))
-                tokens += len(places)
-                if tokens >= TOKENS or i == batch.num_rows - 1:
-                    yield part(batch.slice(first, len(symbols)), symbols, base, fixed, words, times, ends)
-                    uid += len(symbols)
-                    first, tokens = i + 1, 0
-                    symbols, base, fixed, words, times, ends = [], [], [], [], [], [0]
+            read, first, last, tokens = [], 0, 0, 0
+            for some in portions(batch.column(2)):
+                read.append(reader.read(some))
+                last += len(some)
+                tokens += len(read[-1][0])
+                if tokens >= TOKENS or last == batch.num_rows:
+                    yield part(batch.slice(first, last - first), read)
+                    uid += last - first
+                    read, first, tokens = [], last, 0
 
     scored = common.cut(
         rows.select("id", "training", "text").mapInArrow(

@@ -11,7 +11,7 @@ from stillwave.functions import dsp, ordered
 from stillwave.plans import catalogue
 from stillwave.plans import signal_queries as S
 
-NAMES = ["dsp10_smoothed_whiten", "dsp10_whiten", "dsp9_preprocess", "dsp4_detrend"]
+NAMES = ["dsp10_smoothed_whiten", "dsp10_whiten", "dsp9_preprocess", "dsp4_detrend", "dsp7_bandpass"]
 
 
 #: Random walks, some of whose whitened samples lie beside a half of the ninth digit.
